@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import mixing
+from siltstone.llm import mixing, rules
 from siltstone.sources import table
 
 QUERIES: dict = {}
@@ -20,3 +20,10 @@ def op9_mix_sources(spark, sf_dir):
     """doc_id, size, source_size, target and taken words of every document."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+
+
+@query
+def op6_quality_rules(spark, sf_dir):
+    """Rule statistics and the verdict of every document."""
+    judged = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
