@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import mixing, rules
+from siltstone.llm import jaccard, mixing, rules
 from siltstone.sources import table
 
 QUERIES: dict = {}
@@ -27,3 +27,9 @@ def op6_quality_rules(spark, sf_dir):
     """Rule statistics and the verdict of every document."""
     judged = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query
+def op2_ngram_jaccard_join(spark, sf_dir):
+    """The near-duplicate class of every document: 4-word shingles, similarity 0.85."""
+    return jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
