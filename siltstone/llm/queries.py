@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import jaccard, mixing, rules
+from siltstone.llm import jaccard, lines, mixing, rules
 from siltstone.sources import table
 
 QUERIES: dict = {}
@@ -33,3 +33,9 @@ def op6_quality_rules(spark, sf_dir):
 def op2_ngram_jaccard_join(spark, sf_dir):
     """The near-duplicate class of every document: 4-word shingles, similarity 0.85."""
     return jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+@query
+def op3_line_dedup(spark, sf_dir):
+    """The text of every document without lines that stand earlier, up to one word."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
