@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import jaccard, lines, mixing, rules
+from siltstone.llm import bpe, jaccard, lines, mixing, rules
 from siltstone.sources import table
 
 QUERIES: dict = {}
@@ -39,3 +40,11 @@ def op2_ngram_jaccard_join(spark, sf_dir):
 def op3_line_dedup(spark, sf_dir):
     """The text of every document without lines that stand earlier, up to one word."""
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query
+def op8_bpe(spark, sf_dir):
+    """Token count and digests of ids and decoded bytes of every document."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
