@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, jaccard, lines, mixing, rules
+from siltstone.llm import bpe, embeddings, jaccard, lines, mixing, rules
 from siltstone.sources import table
 
 QUERIES: dict = {}
@@ -48,3 +48,9 @@ def op8_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op7_embedding_near_dedup(spark, sf_dir):
+    """Links and class of every vector: cosine 0.93 within a label."""
+    return embeddings.embedding_near_dedup(table(spark, sf_dir, "embeddings"))
