@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, embeddings, jaccard, lines, mixing, rules
+from siltstone.llm import bpe, embeddings, jaccard, lines, mixing, rules, warc
+from siltstone.llm.stored import stored
 from siltstone.sources import table
 
 QUERIES: dict = {}
@@ -54,3 +55,12 @@ def op8_bpe(spark, sf_dir):
 def op7_embedding_near_dedup(spark, sf_dir):
     """Links and class of every vector: cosine 0.93 within a label."""
     return embeddings.embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_warc(spark, sf_dir):
+    """Writes every page to archives, reads all records back by the index, and describes them."""
+    folder = warc.archive_folder(spark)
+    records = warc.resolve_revisits(stored(warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages"), folder), folder).drop("payload"), "read"))
+    page = lambda c: F.col(c).try_cast("long").alias(c)
+    return records.select(page("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), page("refers_to"))

@@ -54,3 +54,14 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(r.text, '') END AS t
   CAST(coalesce(len(string_split(d.text, chr(10))) - coalesce(r.n, 0), 0) AS BIGINT) AS n_removed
 FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id
 """
+
+SQL["op4_warc"] = r"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+keepers AS (
+  SELECT html, max(page_id) AS keeper FROM payloads GROUP BY html)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS INT), 1) FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN keeper > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper > page_id THEN keeper END AS refers_to
+FROM payloads p JOIN keepers k ON p.html = k.html
+"""
