@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, embeddings, jaccard, lines, mixing, rules, warc
+from siltstone.llm import bpe, embeddings, jaccard, lines, mixing, pages, rules, warc
 from siltstone.llm.stored import stored
 from siltstone.sources import table
 
@@ -64,3 +64,9 @@ def op4_warc(spark, sf_dir):
     records = warc.resolve_revisits(stored(warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages"), folder), folder).drop("payload"), "read"))
     page = lambda c: F.col(c).try_cast("long").alias(c)
     return records.select(page("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), page("refers_to"))
+
+
+@query
+def op10_extract_main_text(spark, sf_dir):
+    """The article of every page."""
+    return pages.extract_main_text(table(spark, sf_dir, "pages"))
