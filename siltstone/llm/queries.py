@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, embeddings, jaccard, lines, mixing, pages, rules, warc
+from siltstone.llm import bpe, embeddings, jaccard, language, lines, mixing, pages, rules, warc
 from siltstone.llm.stored import stored
 from siltstone.sources import table
 
@@ -70,3 +70,12 @@ def op4_warc(spark, sf_dir):
 def op10_extract_main_text(spark, sf_dir):
     """The article of every page."""
     return pages.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    """The language of every document, learned from those with crc32(doc_id) mod 4 other than 2."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.learn(docs.filter(~held))
+    return language.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
