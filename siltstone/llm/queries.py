@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, embeddings, jaccard, language, lines, mixing, pages, rules, warc
+from siltstone.llm import bpe, embeddings, jaccard, language, lines, mixing, pages, rules, warc, weak
 from siltstone.llm.stored import stored
 from siltstone.sources import table
 
@@ -79,3 +79,9 @@ def op5_language_id(spark, sf_dir):
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = language.learn(docs.filter(~held))
     return language.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@query
+def op1_quality_classifier(spark, sf_dir):
+    """Votes, posterior, score and verdict of every document."""
+    return weak.quality_classifier(table(spark, sf_dir, "documents"))

@@ -12,9 +12,11 @@ from siltstone.llm.stored import stored
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
+PUNCT = np.zeros(256, bool)
+PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct", "n_punct", "n_odd_words")
 #: What the forest sees: how far each share exceeds what labelled good rows show.
 FEATURES = ("symbols", "dup_lines", "repeats", "word_length", "upper", "sameness")
 TREES, LEAF_SAMPLE, FIT_ROWS = 100, 256, 4096
@@ -52,7 +54,7 @@ def _distinct(text: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return np.bincount(t[~again], minlength=n), np.bincount(t[again], minlength=n)
 
 
-def _block_stats(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+def block_stats(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     words = Words(data, offsets)
     n = words.n
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -64,7 +66,9 @@ def _block_stats(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     start, end, line = start[full], end[full], line[full]
     _, dup = _distinct(line, words.hasher(start, end), n)
     variety, _ = _distinct(words.text, words.hash, n)
-    return [words.count, chars, count(SYMBOL[data]), dup, _repeat_words(words), np.bincount(line, minlength=n), count(UPPER[data]), variety]
+    marks = np.concatenate([[0], np.cumsum(PUNCT[data])])
+    odd = np.bincount(words.text[marks[words.end] - marks[words.start] > 1], minlength=n)
+    return [words.count, chars, count(SYMBOL[data]), dup, _repeat_words(words), np.bincount(line, minlength=n), count(UPPER[data]), variety, count(PUNCT[data]), odd]
 
 
 def rule_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,7 +77,7 @@ def rule_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(1)):
-                cols = _block_stats(data, offsets)
+                cols = block_stats(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(np.asarray(c, np.int64)) for c in cols]], names=[id_col, *STATS])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -143,7 +147,47 @@ def mean_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, repeat_percent: int = 50, fit_rows: int = FIT_ROWS, trees: int = TREES, sample: int = LEAF_SAMPLE, usual_share: float = 0.999, good_kept: float = 0.99) -> DataFrame:
+class Judge:
+    """What fitting leaves: the usual levels, the forest and the threshold, and the base rules' bounds."""
+
+    def __init__(self, usual: np.ndarray, forest: Forest, cut: float, min_words: int, repeat_percent: int):
+        self.usual, self.forest, self.cut, self.min_words, self.repeat_percent = usual, forest, cut, min_words, repeat_percent
+
+    def score(self, columns: dict[str, np.ndarray]) -> np.ndarray:
+        return self.forest.score(excess(columns, self.usual))
+
+    def base_failed(self):
+        return (F.col("n_words") < self.min_words) | (100 * F.col("n_repeat_words") > self.repeat_percent * F.col("n_words"))
+
+
+def fit_judge(stats: DataFrame, labels: DataFrame, id_col: str, min_words: int, repeat_percent: int, fit_rows: int = FIT_ROWS, trees: int = TREES, sample: int = LEAF_SAMPLE, usual_share: float = 0.999, good_kept: float = 0.99) -> Judge:
+    """A judge from the stored statistics of all rows and the labelled rows; see quality_rules."""
+    judge = Judge(np.zeros(len(FEATURES)), Forest(np.zeros((0, len(FEATURES)))), 2.0, min_words, repeat_percent)
+    passed = stats.filter(~judge.base_failed() & F.col(id_col).isNotNull())
+    marked = labels.filter("quality IS NOT NULL").groupBy(id_col).agg(F.min("quality").alias("quality"))
+    levels = lambda df: df.agg(*[F.percentile_approx(c, usual_share, 100_000) for c in FEATURES]).first()
+    usual = levels(passed.join(marked.filter("quality = 1"), id_col))
+    if usual[0] is None:
+        usual = levels(passed)
+    judge.usual = np.array([x or 0.0 for x in usual])
+    fit = passed.select(id_col, *FEATURES).withColumn("_h", F.xxhash64(id_col)).orderBy("_h", id_col, *FEATURES).limit(fit_rows).toPandas()
+    judge.forest = Forest(excess({c: fit[c] for c in FEATURES}, judge.usual), trees, sample)
+    scored = with_scores(passed, judge)
+    bins = scored.join(marked, id_col).groupBy(F.floor(F.col("score") * BINS).cast("int").alias("bin")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    judge.cut = threshold({r.bin: (r.good, r.bad) for r in bins.collect()}, good_kept)  # BINS + 1 rows at most
+    return judge
+
+
+def with_scores(stats: DataFrame, judge: Judge) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            score = judge.score({c: batch.column(c).to_numpy(zero_copy_only=False) for c in FEATURES})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+
+    return stats.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema) + ", score double")
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, repeat_percent: int = 50, **fit) -> DataFrame:
     """(id, STATS..., FEATURES..., base_failed, score, kept) of every row of docs.
 
     base_failed: under min_words words, or over repeat_percent of the words in repeated windows. What
@@ -158,27 +202,28 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Null and empty text: no words, base_failed. Null ids get a verdict too, but fit and calibrate
     nothing. Repeated rows each get their row. Extra columns are ignored. Empty table: empty result.
     """
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    stats = stored(rule_stats(docs, id_col, text_col).withColumns(shares()).withColumn("base_failed", failed), "rules")
-    passed = stats.filter(~F.col("base_failed") & F.col(id_col).isNotNull())
-    marked = labels.filter("quality IS NOT NULL").groupBy(id_col).agg(F.min("quality").alias("quality"))
-    levels = lambda df: df.agg(*[F.percentile_approx(c, usual_share, 100_000) for c in FEATURES]).first()
-    usual = levels(passed.join(marked.filter("quality = 1"), id_col))
-    if usual[0] is None:
-        usual = levels(passed)
-    usual = np.array([x or 0.0 for x in usual])
-    fit = passed.select(id_col, *FEATURES).withColumn("_h", F.xxhash64(id_col)).orderBy("_h", id_col, *FEATURES).limit(fit_rows).toPandas()
-    forest = Forest(excess({c: fit[c] for c in FEATURES}, usual), trees, sample)
+    stats = stored(rule_stats(docs, id_col, text_col).withColumns(shares()), "rules")
+    judge = fit_judge(stats, labels, id_col, min_words, repeat_percent, **fit)
+    scored = with_scores(stats, judge).withColumn("base_failed", judge.base_failed())
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < judge.cut))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, repeat_percent: int = 50, **fit) -> DataFrame:
+    """The rows of docs that quality_rules keeps, judged where they are read, so that no text is shuffled."""
+    stats = stored(rule_stats(docs, id_col, text_col).withColumns(shares()), "rules")
+    judge = fit_judge(stats, labels, id_col, min_words, repeat_percent, **fit)
+    text = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            rows = excess({c: batch.column(c).to_numpy(zero_copy_only=False) for c in FEATURES}, usual)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(rows), pa.float64())], names=[*batch.schema.names, "score"])
-
-    scored = stats.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema) + ", score double")
-    bins = scored.filter("NOT base_failed").join(marked, id_col).groupBy(F.floor(F.col("score") * BINS).cast("int").alias("bin")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
-    cut = threshold({r.bin: (r.good, r.bad) for r in bins.collect()}, good_kept)  # BINS + 1 rows at most
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < cut))
+            for a, b, data, offsets in blocks(batch.column(text)):
+                s = dict(zip(STATS, block_stats(data, offsets), strict=True))
+                words, lines, chars = (np.maximum(s[c], 1) for c in ("n_words", "n_lines", "word_chars"))
+                shown = {"symbols": s["n_symbols"] / words, "dup_lines": s["n_dup_lines"] / lines, "repeats": s["n_repeat_words"] / words, "word_length": s["word_chars"] / words, "upper": s["n_upper"] / chars, "sameness": 1 - np.log1p(s["n_distinct"]) / np.log1p(words)}
+                kept = (s["n_words"] >= min_words) & (100 * s["n_repeat_words"] <= repeat_percent * s["n_words"]) & (judge.score(shown) < judge.cut)
+                yield batch.slice(a, b - a).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def threshold(bins: dict[int, tuple[int, int]], good_kept: float) -> float:
