@@ -1,9 +1,5 @@
 """QUERIES: name -> f(spark, sf_dir); SQL: name -> DuckDB text giving the same rows."""
 
-from pyspark.sql import functions as F
-
-from siltstone.sources import table
-
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -20,7 +16,6 @@ def query(sql: str | None = None):
     return keep
 
 
-@query("SELECT source, lang, count(*) AS n_hits FROM (SELECT source, lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '(?i)license') GROUP BY source, lang")
-def license_slice(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("source", "lang", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.filter(F.col("line").rlike("(?i)license")).groupBy("source", "lang").agg(F.count("*").alias("n_hits"))
+def load() -> None:
+    """Import the query modules, which register themselves."""
+    from siltstone.plans import search_queries  # noqa: F401
