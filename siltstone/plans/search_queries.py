@@ -58,14 +58,14 @@ def search_multiline(spark, sf_dir):
     return hits.join(_lines(spark, sf_dir).filter(F.col("text").contains(".")).select("path", "line_no"), ["path", "line_no"], "left_semi").select("path", "line_no")
 
 
-@query(with_lines("SELECT path, line_no, text FROM lines WHERE contains(lower(text), 'work') AND ((contains(lower(path || ' ' || text), 'license') AND NOT contains(lower(path || ' ' || text), 'gnu')) OR contains(lower(string_split(path, '/')[-1]), '7.txt') OR contains(lower(path), 'src3/en'))"))
+@query(with_lines("SELECT path, line_no, text FROM lines WHERE contains(lower(text), 'the') AND ((contains(lower(path || ' ' || text), 'license') AND NOT contains(lower(path || ' ' || text), 'gnu')) OR contains(lower(string_split(path, '/')[-1]), '7.txt') OR contains(lower(path), 'src3/en'))"))
 def refine_and_or_not(spark, sf_dir):
-    return S.refine(S.search(_lines(spark, sf_dir), "work"), "license -gnu | file:7.txt | path:src3/en")
+    return S.refine(S.search(_lines(spark, sf_dir), "the"), "license -gnu | file:7.txt | path:src3/en")
 
 
-@query(with_lines("SELECT path, line_no, text FROM lines WHERE contains(lower(text), 'work') AND contains(lower(path), 'en') AND NOT contains(lower(path || ' ' || text), 'version')"))
+@query(with_lines("SELECT path, line_no, text FROM lines WHERE contains(lower(text), 'of') AND contains(lower(path), 'en') AND NOT contains(lower(path || ' ' || text), 'version')"))
 def refine_refs(spark, sf_dir):
-    return S.refine_refs(S.search(_lines(spark, sf_dir), "work"), "path:en -version")
+    return S.refine_refs(S.search(_lines(spark, sf_dir), "of"), "path:en -version")
 
 
 @query(f"WITH {FILES} SELECT path FROM files WHERE (regexp_matches(lower(string_split(path, '/')[-1]), '^1[^/]*\\.txt$') OR contains(lower(path), 'src2/de')) AND ends_with(lower(string_split(path, '/')[-1]), '.txt') AND NOT regexp_matches(lower(path), '^src1/.*$')")
