@@ -18,4 +18,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the query modules, which register themselves."""
-    from siltstone.plans import refmap_queries, search_queries  # noqa: F401
+    from siltstone.plans import graph_queries, refmap_queries, search_queries, state_queries  # noqa: F401
