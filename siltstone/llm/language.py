@@ -31,7 +31,7 @@ NAMES = ("none", "other", *dict.fromkeys(s for *_, s in SCRIPTS))
 
 def script_table() -> np.ndarray:
     """The script of every code point: 0 for what isn't a letter."""
-    table = np.array([1 if unicodedata.category(chr(i))[0] == "L" else 0 for i in range(0x110000)], np.uint8)
+    table = np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), np.uint8, 0x110000)
     for a, b, name in SCRIPTS:
         part = table[a : b + 1]
         part[part > 0] = NAMES.index(name)
