@@ -227,7 +227,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def threshold(bins: dict[int, tuple[int, int]], good_kept: float) -> float:
-    """The lower edge of the first rejected bin; 2 rejects nothing."""
+    """The score from which rows are rejected: halfway from the lowest bin it must catch to the next good one below; 2 rejects nothing."""
     good, bad = sum(g for g, _ in bins.values()), sum(b for _, b in bins.values())
     best, cut, lost, caught = 0.0, 2.0, 0, 0
     if not good or not bad:
@@ -237,5 +237,6 @@ def threshold(bins: dict[int, tuple[int, int]], good_kept: float) -> float:
         if lost > (1 - good_kept) * good:
             break
         if caught / bad - lost / good > best:
-            best, cut = caught / bad - lost / good, b / BINS
-    return cut
+            best, cut = caught / bad - lost / good, b
+    below = [b for b in bins if cut != 2.0 and b < cut and bins[b][0]]
+    return 2.0 if cut == 2.0 else (cut + (max(below) + 1 if below else 0)) / 2 / BINS
