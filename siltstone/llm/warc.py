@@ -6,15 +6,19 @@ import base64
 import hashlib
 import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.stored import shared_folder, stored
 
 END = "\r\n\r\n"
+TEXT, NUMBER = pa.string(), pa.int64()
+INDEX = pa.schema([("file", TEXT), ("offset", NUMBER), ("length", NUMBER), ("id", TEXT), ("url", TEXT), ("digest", TEXT), ("type", TEXT), ("refers_to", TEXT)])
+RECORD = pa.schema([("id", TEXT), ("url", TEXT), ("type", TEXT), ("refers_to", TEXT), ("bytes", NUMBER), ("digest", TEXT), ("payload", pa.binary())])
 DATE = "1970-01-01T00:00:00Z"
-SHARD_BYTES = 128 << 20
+BITS = 23
+HEADER_READ = 64 << 10
 READ_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
 
@@ -30,75 +34,117 @@ def sha1_base32(data):
     return F.concat(*parts)
 
 
-def _record():
-    """A record's text up to its final blank lines, from id, url, html, digest, bytes, type and refers_to."""
+def _http():
+    return F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
+
+
+def _head():
+    """A record's text up to its payload, from id, url, digest, bytes, type and refers_to."""
     url = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"), F.lit("urn:unknown"))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
-    body = F.when(F.col("type") == "response", F.concat(http, F.col("html"))).otherwise(http)
+    block = F.octet_length(_http()) + F.when(F.col("type") == "response", F.col("bytes")).otherwise(0)
     revisit = F.when(F.col("type") == "revisit", F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"))).otherwise(F.lit(""))
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.col("type"), F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("none")), F.lit(">\r\nWARC-Date: "), F.lit(DATE),
         F.lit("\r\nWARC-Target-URI: "), url, F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\n"), revisit,
-        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END), body,
+        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), block.cast("string"), F.lit(END), _http(),
     )
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes a record for each row under folder and returns the index: (id, url, digest, type, refers_to, shard, offset, length).
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 0) -> DataFrame:
+    """Writes a record for each row under folder and returns the index: (file, offset, length, id, url, digest, type, refers_to), ids as strings.
 
     Records with equal payloads (the html in UTF-8) of min_revisit bytes or more: the one with the
     largest id is a response, the others are revisits of it without a payload; smaller ones are
-    responses. Records are dealt to shards by a hash of the row and stand in the order of their ids;
-    each shard is one folder with one uncompressed file, written by Spark's text sink with the blank
-    lines between records as its line end, so that a lost task writes its file anew. Offsets are sums
-    of the lengths before, known before a byte is written; the index is a table in the shared folder.
+    responses. Rows whose payload no other row has, by a broadcast bitmap of fixed size over the digests
+    that repeat, are written where they are read; only the others are joined with their group. Archives
+    are uncompressed files of Spark's text sink with the blank lines between records as its line end,
+    so a lost task writes its file anew. The index is made from the archives, a header at a time, and
+    is a table in the shared folder.
 
     Null html is an empty payload, null url is urn:unknown; white space and control characters in a
-    url become %20. Repeated rows each get a record; equal ones have one id between them. Rows with a
-    null id are responses. An empty table writes no archive.
+    url become %20. Repeated rows each get a record. Rows with a null id are responses. An empty table
+    writes no record.
     """
-    spark = pages.sparkSession
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"))
-    rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", sha1_base32(F.encode("html", "UTF-8")))
-    groups = rows.filter((F.col("bytes") >= min_revisit) & F.col("id").isNotNull()).groupBy("digest", "bytes").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(groups, ["digest", "bytes"], "left").withColumn("other", F.col("keeper") > F.col("id"))
-    rows = rows.withColumn("type", F.when(F.col("other"), "revisit").otherwise("response")).withColumn("refers_to", F.when(F.col("other"), F.col("keeper")))
-    records = stored(rows.select("id", "url", "digest", "type", "refers_to", _record().alias("value")).withColumn("length", F.octet_length("value").cast("long") + len(END)), "records")
-    total = records.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes), min(spark.sparkContext.defaultParallelism, total >> 20))
-    records = records.withColumn("shard", F.pmod(F.xxhash64("id", "url"), F.lit(shards)).cast("int"))
-    before = F.sum("length").over(Window.partitionBy("shard").orderBy("id", "url", "digest", "length").rowsBetween(Window.unboundedPreceding, -1))
-    index = records.select("id", "url", "digest", "type", "refers_to", "shard", F.coalesce(before, F.lit(0)).alias("offset"), "length")
-    index = stored(index, "index")
-    order = ["shard", "id", "url", "digest", "length"]
-    records.repartition(int(shards), "shard").sortWithinPartitions(*order).select("shard", "value").write.option("lineSep", END).option("compression", "none").partitionBy("shard").text(folder)
-    return index
-
-
-def _shard_file(fs, root: str, shard: int) -> str:
+    rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", sha1_base32(F.encode("html", "UTF-8"))).withColumn("place", F.pmod(F.xxhash64("digest"), F.lit(1 << BITS)))
+    groups = stored(rows.filter((F.col("bytes") >= min_revisit) & F.col("id").isNotNull()).groupBy("digest", "bytes", "place").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n"), "groups")
+    bitmap = groups.groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+    marked = rows.join(F.broadcast(bitmap), F.shiftright("place", 6).cast("int") == F.col("word"), "left")
+    repeats = F.coalesce(F.expr("shiftrightunsigned(bits, cast(place & 63 as int)) & 1"), F.lit(0)) == 1
+    kind = rows.schema["id"].dataType
+    alone = marked.filter(~repeats).select("id", "url", "html", "bytes", "digest", F.lit("response").alias("type"), F.lit(None).cast(kind).alias("refers_to"))
+    twins = marked.filter(repeats).join(groups.drop("place"), ["digest", "bytes"], "left").withColumn("other", F.coalesce(F.col("keeper") > F.col("id"), F.lit(False)))
+    twins = twins.select("id", "url", "html", "bytes", "digest", F.when(F.col("other"), "revisit").otherwise("response").alias("type"), F.when(F.col("other"), F.col("keeper")).alias("refers_to"))
+    value = F.when(F.col("type") == "response", F.concat(_head(), F.col("html"))).otherwise(_head())
+    alone.unionByName(twins).select(value.alias("value")).write.option("lineSep", END).option("compression", "none").text(folder)
+    return stored(index_archives(pages.sparkSession, folder), "index")
+
+
+def _open(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
+def index_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, offset, length, id, url, digest, type, refers_to) of every record of a folder's archives, a task a file."""
     from pyarrow import fs as pafs
 
-    found = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/shard={shard}")) if f.is_file and f.base_name.startswith("part-")]
-    if len(found) != 1:
-        raise FileNotFoundError(f"{root}/shard={shard}: {len(found)} files")
-    return found[0]
+    fs, root = _open(folder)
+    names = [f.base_name for f in fs.get_file_info(pafs.FileSelector(root)) if f.is_file and f.base_name.startswith("part-")]
+
+    def run(batches):
+        fs, root = _open(folder)
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                with fs.open_input_file(f"{root}/{name}") as f:
+                    found = [{"file": name} | r for r in _records(f)]
+                yield pa.RecordBatch.from_pylist(found, INDEX)
+
+    files = spark.createDataFrame([(n,) for n in sorted(names)], "file string").repartition(max(1, len(names)))
+    return files.mapInArrow(run, "file string, offset long, length long, id string, url string, digest string, type string, refers_to string")
+
+
+def _records(f):
+    """The header fields of each record, with its place; payloads are passed over."""
+    at, size, base, data = 0, f.size(), 0, b""
+    while at < size:
+        end, want = -1, HEADER_READ
+        while end < 0:
+            if at + want > base + len(data) and base + len(data) < size or at < base:
+                f.seek(at)
+                base, data = at, f.read(want)
+            end = data.find(b"\r\n\r\n", at - base)
+            if end < 0 and base + len(data) >= size:
+                raise ValueError("an archive ends inside a header")
+            want *= 2
+        fields = _fields(data[at - base : end])
+        length = end + 4 - (at - base) + int(fields["Content-Length"]) + len(END)
+        yield {"offset": at, "length": length, "id": _name(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "type": fields["WARC-Type"], "refers_to": _name(fields.get("WARC-Refers-To"))}
+        at += length
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    lines = head.decode().split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("not at a record")
+    return dict(x.split(": ", 1) for x in lines[1:])
+
+
+def _name(x: str | None) -> str | None:
+    return x and x.removeprefix("<urn:page:").removesuffix(">")
 
 
 def parse_record(record: bytes) -> tuple[str, str | None, str, str | None, bytes]:
     """(id, target, type, refers to, payload) of one record; a wrong length raises."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        raise ValueError("not at a record")
-    fields = dict(x.split(": ", 1) for x in lines[1:])
+    fields = _fields(head)
     n = int(fields["Content-Length"])
     block, end = rest[:n], rest[n:]
     if len(block) != n or end != END.encode():
         raise ValueError("a record ends elsewhere")
-    payload = block.partition(b"\r\n\r\n")[2]
-    name = lambda x: x and x.removeprefix("<urn:page:").removesuffix(">")
-    return name(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], name(fields.get("WARC-Refers-To")), payload
+    return _name(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], _name(fields.get("WARC-Refers-To")), block.partition(b"\r\n\r\n")[2]
 
 
 def coalesced(offsets, lengths, most: int = READ_BYTES, gap: int = GAP_BYTES) -> list[tuple[int, int, list[int]]]:
@@ -117,30 +163,27 @@ def coalesced(offsets, lengths, most: int = READ_BYTES, gap: int = GAP_BYTES) ->
 def read_warc(index: DataFrame, folder: str) -> DataFrame:
     """(id string, url, type, refers_to string, bytes, digest, payload) of the records in index, which may be any selection of write_warc's.
 
-    The selected ranges are sorted by shard and offset, near ones are read together, and bytes and
-    digest are computed from what is read. Executors open the archive by its path in the shared store
-    (local, hdfs, s3 or gcs, by pyarrow). Revisits have an empty payload; resolve_revisits finds theirs.
+    The selected ranges are sorted by file and offset, near ones are read together, and bytes and
+    digest are computed from what is read. Executors open the archives by their path in the shared
+    store (local, hdfs, s3 or gcs, by pyarrow). Revisits have an empty payload; resolve_revisits finds theirs.
     """
 
     def run(batches):
-        from pyarrow import fs as pafs
-
-        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        files: dict[int, str] = {}
-        for pdf in batches:
-            for shard, part in pdf.groupby("shard", sort=False):
-                if shard not in files:
-                    files[shard] = _shard_file(fs, root, shard)
-                with fs.open_input_file(files[shard]) as f:
-                    offsets, lengths = part["offset"].tolist(), part["length"].tolist()
+        fs, root = _open(folder)
+        for batch in batches:
+            names = batch.column("file").to_pylist()
+            cuts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for i, j in zip(cuts, [*cuts[1:], len(names)], strict=True):
+                with fs.open_input_file(f"{root}/{names[i]}") as f:
+                    offsets, lengths = (batch.column(c).slice(i, j - i).to_pylist() for c in ("offset", "length"))
                     for a, b, places in coalesced(offsets, lengths):
                         f.seek(a)
                         data = f.read(b - a)
-                        got = [parse_record(data[offsets[i] - a : offsets[i] - a + lengths[i]]) for i in places]
-                        yield pd.DataFrame({"id": [g[0] for g in got], "url": [g[1] for g in got], "type": [g[2] for g in got], "refers_to": [g[3] for g in got], "bytes": [len(g[4]) for g in got], "digest": [base64.b32encode(hashlib.sha1(g[4]).digest()).decode() for g in got], "payload": [g[4] for g in got]})
+                        got = [parse_record(data[offsets[p] - a : offsets[p] - a + lengths[p]]) for p in places]
+                        yield pa.RecordBatch.from_pylist([{"id": g[0], "url": g[1], "type": g[2], "refers_to": g[3], "bytes": len(g[4]), "digest": base64.b32encode(hashlib.sha1(g[4]).digest()).decode(), "payload": g[4]} for g in got], RECORD)
 
-    wanted = index.select("shard", "offset", "length").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    return wanted.mapInPandas(run, "id string, url string, type string, refers_to string, bytes long, digest string, payload binary")
+    wanted = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    return wanted.mapInArrow(run, "id string, url string, type string, refers_to string, bytes long, digest string, payload binary")
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
