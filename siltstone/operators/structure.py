@@ -215,7 +215,7 @@ def call_edges(lines: DataFrame, spans: DataFrame) -> DataFrame:
     declared = F.regexp_extract_all("code", F.lit(rf"\b({NAME})\s*\(\s*\*\s*{NAME}\s*\)\s*\("), F.lit(1))
     names = F.array_except(F.array_distinct(F.regexp_extract_all("code", F.lit(at), F.lit(1))), F.concat(pointers, declared))
     rows = inside.select("path", "func", "func_line", "line_no", "code", F.explode(names).alias("callee")).filter(~F.col("callee").isin(*KEYWORDS))
-    header = (F.col("callee") == F.col("func")) & ~F.col("code").contains(";")
+    header = (F.col("callee") == F.col("func")) & F.regexp_like("code", F.concat(F.lit(r"^\w[\w\s*]*\b"), "callee", F.lit(r"\s*\([^;{]*(\{|$)")))
     return rows.filter(~header).groupBy("path", F.col("func").alias("caller"), "callee").agg(F.min("line_no").alias("line_no"))
 
 
