@@ -121,3 +121,18 @@ def link_graph(spark, sf_dir):
 @query(f"WITH {LINKS} SELECT dst, count(*) AS n_sources FROM links GROUP BY dst")
 def linked_by(spark, sf_dir):
     return links(spark, sf_dir).groupBy("dst").agg(F.count("*").alias("n_sources"))
+
+
+@query(f"WITH RECURSIVE {DAG}, walk AS (SELECT src AS ancestor, dst AS node FROM dag WHERE src <= 60 UNION SELECT w.ancestor, d.dst FROM walk w JOIN dag d ON d.src = w.node) SELECT a AS ancestor, b AS node, EXISTS (SELECT 1 FROM walk w WHERE w.ancestor = a AND w.node = b) AS descendant FROM (SELECT DISTINCT src AS a FROM dag WHERE src <= 60) x, (SELECT DISTINCT dst AS b FROM dag WHERE dst BETWEEN 80 AND 90) y")
+def is_descendant(spark, sf_dir):
+    edges = dag(spark, sf_dir)
+    pairs = edges.filter("src <= 60").select(F.col("src").alias("ancestor")).distinct().crossJoin(F.broadcast(edges.filter("dst BETWEEN 80 AND 90").select(F.col("dst").alias("node")).distinct()))  # 11 ids at most
+    return G.is_descendant(edges, pairs)
+
+
+@query(f"WITH {DAG} SELECT src, dst FROM dag WHERE dst % 9 <> 4 UNION SELECT dst - 1, dst FROM (SELECT DISTINCT dst FROM dag WHERE dst % 9 = 4)")
+def reparent(spark, sf_dir):
+    """Every ninth node gets the node one below as its only parent; forward edges leave no cycle to refuse."""
+    edges = dag(spark, sf_dir).withColumn("label", F.lit(""))
+    moves = edges.filter("dst % 9 = 4").select(F.col("dst").alias("node"), (F.col("dst") - 1).alias("parent")).distinct()
+    return G.reparent(edges, moves)[0].select("src", "dst").distinct()

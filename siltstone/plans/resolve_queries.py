@@ -127,3 +127,10 @@ def sibling_sources(spark, sf_dir):
     pairs = R.sibling_sources(named.filter("path LIKE '%.h'").select("path").distinct(), named.select("path").distinct())
     a, b = named.select(F.col("full").alias("h"), F.col("path").alias("header")), named.select(F.col("full").alias("s"), F.col("path").alias("source"))
     return pairs.join(a, "header").join(b, "source").select(F.col("h").alias("header"), F.col("s").alias("source"))
+
+
+@query(f"WITH {DEFS} SELECT DISTINCT a.path AS a, b.path AS b FROM defs a JOIN defs b ON a.name = b.name WHERE a.p_partkey < b.p_partkey AND split_part(a.path, '/', 1) = split_part(b.path, '/', 1) AND split_part(a.path, '/', 2) = split_part(b.path, '/', 2)")
+def in_subtree(spark, sf_dir):
+    d = defs(spark, sf_dir).withColumn("folder", F.regexp_replace("path", r"/[^/]*$", ""))
+    a, b = d.select("name", F.col("path").alias("a"), F.col("folder").alias("fa"), F.col("p_partkey").alias("ka")), d.select("name", F.col("path").alias("b"), F.col("folder").alias("fb"), F.col("p_partkey").alias("kb"))
+    return a.join(b, "name").filter("ka < kb").filter(R.in_subtree("fa", "fb")).select("a", "b").distinct()

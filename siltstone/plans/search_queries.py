@@ -111,15 +111,15 @@ def page_has_more(spark, sf_dir):
     return S.page(S.search(_lines(spark, sf_dir), "the").select("path", "line_no"), ["path", "line_no"], 10, 20)
 
 
-@query(with_lines("SELECT path, line_no, true AS truncated FROM lines WHERE contains(lower(text), 'version') ORDER BY path, line_no LIMIT 5"))
+@query(with_lines("SELECT path, line_no, (SELECT count(*) FROM lines WHERE contains(lower(text), 'version')) > 5 AS truncated FROM lines WHERE contains(lower(text), 'version') ORDER BY path, line_no LIMIT 5"))
 def cap_truncated(spark, sf_dir):
     return S.cap(S.search(_lines(spark, sf_dir), "version").select("path", "line_no"), ["path", "line_no"], 5)
 
 
-@query(with_lines("SELECT src AS path, lang AS func, count(*) AS n_hits, grouping(src, lang) AS level FROM (SELECT string_split(path, '/')[1] AS src, string_split(path, '/')[2] AS lang FROM lines WHERE contains(lower(text), 'work')) GROUP BY ROLLUP (src, lang)"))
+@query(with_lines("SELECT src AS path, lang AS func, count(*) AS n_hits, grouping(src, lang) AS level FROM (SELECT string_split(path, '/')[1] AS src, string_split(path, '/')[2] AS lang FROM lines WHERE contains(lower(text), 'the')) GROUP BY ROLLUP (src, lang)"))
 def hits_by_group(spark, sf_dir):
     parts = F.split("path", "/")
-    hits = S.search(_lines(spark, sf_dir), "work").select(F.get(parts, 0).alias("p"), F.get(parts, 1).alias("func")).withColumnRenamed("p", "path")
+    hits = S.search(_lines(spark, sf_dir), "the").select(F.get(parts, 0).alias("p"), F.get(parts, 1).alias("func")).withColumnRenamed("p", "path")
     return S.hits_by_function(hits)
 
 

@@ -141,3 +141,24 @@ def digest(spark, sf_dir):
     memo = F.when(F.col("quality") == 0, " TODO check").otherwise("fine")
     memos = docs.join(table(spark, sf_dir, "labels"), "doc_id").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), memo.alias("memo"))
     return A.digest(nodes, edges, memos, "SRC1/")
+
+
+@query("SELECT source AS path, CAST(doc_id AS INT) AS start_line, CAST(doc_id AS INT) AS end_line, lang AS memo, 'q' || quality AS category, 'line' AS source FROM documents JOIN labels USING (doc_id) WHERE quality = 0 UNION ALL SELECT source, CAST(doc_id AS INT), CAST(doc_id + 3 AS INT), lang, 'q0', 'range' FROM documents WHERE doc_id % 6 = 1")
+def list_annotations(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), F.col("doc_id").cast("int").alias("line_no"), F.col("lang").alias("memo"))
+    points = docs.join(table(spark, sf_dir, "labels"), "doc_id").withColumn("category", F.concat(F.lit("q"), F.col("quality").cast("string")))
+    ranges = docs.filter("doc_id % 6 = 1").withColumn("start_line", F.col("line_no")).withColumn("end_line", F.col("line_no") + 3).withColumn("category", F.lit("q0"))
+    return A.list_annotations(points, ranges, category="q0")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE starts_with(lower(trim(text)), 'todo') OR starts_with(lower(trim(text)), '?') OR starts_with(lower(trim(text)), 'un')")
+def unverified_memos(spark, sf_dir):
+    return A.unverified(table(spark, sf_dir, "conversations").withColumn("memo", F.col("text")), ("todo", "?", "un")).select("conv_id", "turn")
+
+
+@query("SELECT o_orderkey AS key, CAST(o_custkey AS INT) AS line_no, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderstatus END AS memo, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 8 = 0 THEN o_orderpriority WHEN o_orderkey % 4 = 0 THEN 'old' ELSE 'old' END AS pinned FROM orders WHERE o_orderkey % 8 <> 0 OR o_orderkey % 4 = 0")
+def upsert_annotations(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").cast("int").alias("line_no"), F.col("o_orderstatus").alias("memo"), F.col("o_orderpriority").alias("text"))
+    old = orders.filter("key % 8 <> 0").withColumn("pinned", F.lit("old"))
+    new = orders.filter("key % 4 = 0").withColumn("memo", F.lit("new"))
+    return A.upsert_annotations(old, new, orders).select("key", "line_no", "memo", "pinned")
