@@ -19,7 +19,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+
+
+class _Kept(dict):
+    """Tables that each process makes for itself: functions travel to tasks without them."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_powers: dict[int, np.ndarray] = _Kept()
 
 
 def powers(base: int, n: int) -> np.ndarray:
