@@ -8,6 +8,8 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,11 @@ from siltstone.llm.bytetext import Hasher, blocks
 from siltstone.llm.stored import stored
 
 #: Distinct pre-tokens that a task gathers before it passes their counts on.
-GATHER = 400_000
+GATHER = 150_000
+#: Bytes of text at a time, small enough for the caches.
+BLOCK = 1 << 18
 #: The most common words, whose ids each task holds; the bound is the same for any corpus.
-COMMON = 200_000
+COMMON = 400_000
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: The code points with the Unicode property White_Space.
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -67,7 +71,7 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
 
 def classes() -> np.ndarray:
     """The class of every code point: letter, number, white space or other."""
-    kinds = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)], np.uint8)
+    kinds = np.fromiter(({"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)), np.uint8, 0x110000)
     kinds[list(WHITE)] = SPACE
     return kinds
 
@@ -102,6 +106,10 @@ def pre_tokens(points: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> np
     return np.flatnonzero(start)
 
 
+#: A fixed value: the pattern that pre_tokens follows.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Pieces:
     """The pre-tokens of one block of texts: start, end, hash, and the first piece of each text."""
 
@@ -134,7 +142,7 @@ def distinct_words(docs: DataFrame, kinds) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(m[2], pa.string()), pa.array(m[1])], names=["word", "n"])
 
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
+            for _, _, data, offsets in blocks(batch.column(0), BLOCK):
                 p = Pieces(data, offsets, table)
                 h, at, c = np.unique(p.hash, return_index=True, return_counts=True)
                 hashes.append(h), counts.append(c), words.append([p.word(i) for i in at])
@@ -151,17 +159,79 @@ def distinct_words(docs: DataFrame, kinds) -> DataFrame:
 
 
 def encode_words(words: DataFrame, ranks) -> DataFrame:
-    """words with ids: each distinct word is merged once. ranks: a broadcast rank table."""
+    """words with ids: each distinct word is merged once. ranks: a broadcast rank table.
+
+    A pre-token is one match of the pattern when it stands alone too, so encoding it as a text gives its merges.
+    """
 
     def run(batches):
-        table = ranks.value
+        merges = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
         for batch in batches:
-            ids = [np.array(merge(w.as_py().encode(), table), np.uint32).tobytes() for w in batch.column("word")]
+            ids = [np.array(merges.encode_ordinary(w), np.uint32).tobytes() for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "ids"])
 
     return words.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + ", ids binary")
 
 
+class Known:
+    """Common words by rank: hashes of the words, and their ids one after another in `flat`."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        hashes = [np.zeros(0, np.uint64)]
+        for _, _, data, offsets in blocks(words):
+            points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+            offsets = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+            hashes.append(Hasher(points)(offsets[:-1], offsets[1:]))
+        hashes = np.concatenate(hashes)
+        self.order = np.argsort(hashes).astype(np.int32)
+        self.keys = hashes[self.order]
+        ids = ids.to_pylist()
+        self.lengths = np.array([len(x) // 4 for x in ids], np.int32)
+        self.flat = np.frombuffer(b"".join(ids), np.uint32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The rank of each hash; the number of words where it is not known."""
+        n = len(self.keys)
+        if not n:
+            return np.zeros(len(h), np.int64)
+        at = np.searchsorted(self.keys, h)
+        at[at == n] = 0
+        return np.where(self.keys[at] == h, self.order[at], n)
+
+    def ids(self, ranks: np.ndarray, rare: list[np.ndarray]) -> np.ndarray:
+        """The ids of a text's pre-tokens, the rare ones' given in their order."""
+        gaps = ranks == len(self.keys)
+        size = np.append(self.lengths, 0)[ranks].astype(np.int64)
+        size[gaps] = [len(x) for x in rare]
+        begin = np.append(np.cumsum(self.lengths) - self.lengths, 0)[ranks]
+        ends, total = np.cumsum(size), int(size.sum())
+        inside = np.repeat(gaps, size)
+        at = np.repeat(begin - ends + size, size) + np.arange(total)
+        out = np.empty(total, np.uint32)
+        out[~inside] = self.flat[at[~inside]]
+        if rare:
+            out[inside] = np.concatenate(rare)
+        return out
+
+
+def rank_planes(ranks: np.ndarray) -> bytes:
+    """Ranks by byte planes, low bytes first: the mostly zero high ones pack to little."""
+    return ranks.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def plane_ranks(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def most_common(words: DataFrame, most: int) -> DataFrame:
+    """The words of at least some count, chosen on a scale of eight steps to a doubling so that at most `most` have it."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    bins = sorted(((r.step, r.c) for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("c")).collect()), reverse=True)  # 512 at most
+    total = np.cumsum([c for _, c in bins])
+    fit = int((total <= most).sum())
+    return words.filter(step >= (bins[fit - 1][0] if fit else 1 << 30))
+
+
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
     """(id, ids) of every row: the token ids of the whole text as little-endian unsigned 32-bit integers.
 
@@ -177,59 +247,60 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     ranks, kinds = read_ranks(ranks_path), spark.sparkContext.broadcast(classes())
-    slim = np.dtype(np.uint16 if max(ranks.values(), default=0) < 0xFFFF else np.uint32)
-    hole = np.iinfo(slim).max
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    # rows that agree in id and text are alike, so these two hashes name a row well enough and the same in every scan
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k1", F.xxhash64("id", "text")).withColumn("k2", F.xxhash64("text", "id", F.lit(1)))
     words = stored(encode_words(distinct_words(docs.select("text"), kinds), spark.sparkContext.broadcast(ranks)), "words")
-    top = words.orderBy(F.desc("n"), "word").limit(common).select("word", "ids").toPandas()
-    points = [np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in top["word"]]
-    ends = np.cumsum([0, *map(len, points)])
-    hashes = Hasher(np.concatenate([*points, np.zeros(0, np.uint32)]))(ends[:-1], ends[1:])
-    order = np.argsort(hashes)
-    ids = [np.frombuffer(top["ids"].iat[i], np.uint32) for i in order]
-    known = spark.sparkContext.broadcast((hashes[order], np.array([len(x) for x in ids], np.int64), np.concatenate([*ids, np.full(1, hole, np.uint32)]).astype(slim)))
+    top = most_common(words, common).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    known = spark.sparkContext.broadcast(Known(top["word"].combine_chunks(), top["ids"].combine_chunks()))
+    del top
 
-    def run(batches):
-        table, (keys, lengths, flat) = kinds.value, known.value
-        begins = np.append(np.cumsum(lengths) - lengths, len(flat) - 1)  # the last one is the hole
-        lengths = np.append(lengths, 1)
+    def pieces(column):
+        for a, b, data, offsets in blocks(column, BLOCK):
+            p = Pieces(data, offsets, kinds.value)
+            yield a, b, p, known.value.find(p.hash)
+
+    def frame(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for a, b, data, offsets in blocks(batch.column(1)):
-                p = Pieces(data, offsets, table)
-                at = np.searchsorted(keys, p.hash)
-                at[at < len(keys)] = np.where(keys[at[at < len(keys)]] == p.hash[at < len(keys)], at[at < len(keys)], len(keys))
-                size = lengths[at]
-                ends = np.cumsum(size)
-                out = flat[np.repeat(begins[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-                ends = np.append(0, ends)[p.first]
-                rare = np.flatnonzero(at == len(keys))
-                cuts = np.searchsorted(rare, p.first)
-                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array([p.word(i) for i in rare], pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([out[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)], pa.binary()), lists], names=["id", "frame", "rare"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    frames = stored(docs.mapInArrow(run, f"id {kind}, frame binary, rare array<string>").withColumn("row", F.monotonically_increasing_id()), "frames")
-    places = frames.select("row", F.posexplode("rare").alias("place", "word"))
-    filled = places.join(words.select("word", "ids"), "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("found"))
-    joined = frames.select("id", "row", "frame").join(filled, "row", "left").select("id", "frame", F.col("found.ids").alias("found"))
+            for a, b, p, at in pieces(batch.column(3)):
+                gone = np.flatnonzero(at == len(known.value.keys))
+                cuts = np.searchsorted(gone, p.first)
+                blobs = []
+                for x, y, u, v in zip(p.first, p.first[1:], cuts, cuts[1:], strict=False):
+                    ranks = pack(rank_planes(at[x:y]))
+                    # the ranks and the rare words go as one value, so that both readers share one shuffle
+                    blobs.append(len(ranks).to_bytes(8, "little") + ranks + "\0".join(p.word(i).replace("\1", "\1b").replace("\0", "\1a") for i in gone[u:v]).encode() if v > u else len(ranks).to_bytes(8, "little") + ranks)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(blobs, pa.binary())], names=["id", "k1", "k2", "blob"])
+
+    def rare(batches):
+        for batch in batches:
+            row, place, words = [], [], []
+            for i, blob in enumerate(batch.column(3).to_pylist()):
+                text = blob[8 + int.from_bytes(blob[:8], "little") :]
+                if text:
+                    found = [w.replace("\1a", "\0").replace("\1b", "\1") for w in text.decode().split("\0")]
+                    row += [i] * len(found)
+                    place += range(len(found))
+                    words += found
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(row), batch.column(2).take(row), pa.array(place, pa.int32()), pa.array(words, pa.string())], names=["k1", "k2", "place", "word"])
+
+    frames = docs.select("id", "k1", "k2", "text").mapInArrow(frame, f"id {kind}, k1 long, k2 long, blob binary").repartition("k1", "k2")
+    places = frames.mapInArrow(rare, "k1 long, k2 long, place int, word string")
+    filled = places.join(words.select("word", "ids"), "word").groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("found"))
+    joined = frames.join(filled, ["k1", "k2"], "left").select("id", "blob", F.col("found.ids").alias("found"))
 
     def fill(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
-            for frame, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                x = np.frombuffer(frame.as_py(), slim).astype(np.uint32)
-                if found:
-                    parts = [np.frombuffer(f, np.uint32) for f in found]
-                    gaps = x == hole
-                    size = np.ones(len(x), np.int64)
-                    size[gaps] = [len(f) for f in parts]
-                    inside = np.repeat(gaps, size)
-                    x = np.repeat(x, size)
-                    x[inside] = np.concatenate(parts)
-                out.append(x.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "ids"])
-
-    return joined.mapInArrow(fill, f"`{id_col}` {kind}, ids binary")
+            for a in range(0, len(batch), 1000):
+                part = batch.slice(a, 1000)
+                rows = zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)
+                out = [known.value.ids(plane_ranks(unpack(f[8 : 8 + int.from_bytes(f[:8], "little")])), [np.frombuffer(x, np.uint32) for x in found or []]).astype("<u4").tobytes() for f, found in rows]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["id", "ids"])
+
+    return joined.mapInArrow(fill, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -243,7 +314,9 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFram
     def run(batches):
         for batch in batches:
             get = table.value.__getitem__
-            out = [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+            for a in range(0, len(batch), 1000):
+                part = batch.slice(a, 1000)
+                out = [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in part.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + ", decoded binary")

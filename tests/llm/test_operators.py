@@ -153,7 +153,7 @@ def test_bpe_round_trip_matches_tiktoken(spark):
     ranks = bpe.read_ranks(path)
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = np.random.default_rng(3)
-    parts = ["a", "'s", "'re", "'", "'ll", " ", "  ", "\n", "\t", "1", "²", "é", "漢", "!", "don't", "'S", "　", "_", "🎉", "’s", "the", " of", "\x85"]
+    parts = ["a", "'s", "'re", "'", "'ll", " ", "  ", "\n", "\t", "1", "²", "é", "漢", "!", "don't", "'S", "　", "_", "🎉", "’s", "the", " of", "\x85", "\0", "\1", "\0\1", "\1a"]
     texts = [None, "", "<|endoftext|>", "x" * 3000] + ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(80)]
     docs = _docs(spark, texts).unionByName(_docs(spark, texts[:3]))
     rows = bpe.decode(bpe.encode(docs, path, common=20), path).collect()
