@@ -27,7 +27,8 @@ from siltstone.llm.bytetext import Words, blocks, mix, shingle_sets
 from siltstone.llm.stored import connected_components, stored
 
 LEAST_GROUPS, MOST_GROUPS = 128, 4096
-REGION = 0.25
+#: The lowest hashes that are counted, in shares of a signature: enough for texts that share a quarter of their shingles.
+REGION = 1.45
 LEAF = 16
 TILE_ROWS, TILE_SHINGLES = 1024, 1 << 20
 
@@ -66,7 +67,7 @@ def signature_length(n: int, num: int, den: int) -> int:
 def signatures(docs: DataFrame, k: int, num: int, den: int, region: float = REGION) -> DataFrame:
     """(sig, key, id, n, rc, inside): each set's rc shingles of the region, and more in hash order where these are too few."""
     kind = docs.schema["id"].dataType.simpleString()
-    edge = np.uint64(int(region * 2**64))
+    edge = np.uint64(min(2**64 - 1, int(region * (den - num) / den * 2**64)))
 
     def run(batches):
         for batch in batches:
