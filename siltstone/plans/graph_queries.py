@@ -7,6 +7,7 @@ from siltstone.functions import columns as C
 from siltstone.operators import graphs as G
 from siltstone.plans.registry import query
 from siltstone.sources import table
+from siltstone.sources.scratch import cut
 
 STEPS = "steps AS (SELECT DISTINCT l_partkey AS src, nxt AS dst FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nxt FROM lineitem) WHERE nxt IS NOT NULL)"
 DAG = STEPS + ", dag AS (SELECT src, dst FROM steps WHERE src < dst AND dst - src < 40)"
@@ -136,3 +137,79 @@ def reparent(spark, sf_dir):
     edges = dag(spark, sf_dir).withColumn("label", F.lit(""))
     moves = edges.filter("dst % 9 = 4").select(F.col("dst").alias("node"), (F.col("dst") - 1).alias("parent")).distinct()
     return G.reparent(edges, moves)[0].select("src", "dst").distinct()
+
+
+# The queries above run on the part of the successions that their SQL names; those below do the same jobs over all of them.
+FORWARD = STEPS + ", dag AS (SELECT src, dst FROM steps WHERE src < dst)"
+ENDLESS = 1 << 31
+
+
+def forward(spark, sf_dir):
+    """All forward successions: src < dst alone leaves no cycles."""
+    return steps(spark, sf_dir).filter("src < dst")
+
+
+@query(f"WITH RECURSIVE {FORWARD}, walk AS (SELECT CAST(500 AS BIGINT) AS node, 0 AS depth UNION SELECT s.src, w.depth + 1 FROM walk w JOIN dag s ON s.dst = w.node WHERE w.depth < 6) SELECT node, min(depth) AS depth FROM walk GROUP BY node")
+def upstream_all(spark, sf_dir):
+    edges = forward(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return G.closure(edges, spark.createDataFrame([(500,)], "node long"), 6)
+
+
+@query(f"WITH {FORWARD}{TREE}")
+def callers_tree_all(spark, sf_dir):
+    return G.callers_tree(forward(spark, sf_dir), "300", 3)
+
+
+@query(f"WITH {FORWARD}, nodes AS (SELECT src AS node FROM dag UNION SELECT dst FROM dag) SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM dag)")
+def roots_all(spark, sf_dir):
+    edges = forward(spark, sf_dir)
+    return G.roots(_nodes(edges), edges)
+
+
+@query(f"WITH RECURSIVE {FORWARD}, nodes AS (SELECT src AS node FROM dag UNION SELECT dst FROM dag), walk AS (SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT dst FROM dag) UNION SELECT l.dst, w.level + 1 FROM walk w JOIN dag l ON l.src = w.node) SELECT node, max(level) AS level FROM walk GROUP BY node")
+def topo_levels_all(spark, sf_dir):
+    edges = cut(forward(spark, sf_dir))
+    return G.topological_levels(_nodes(edges), edges, ENDLESS)
+
+
+@query(f"WITH RECURSIVE {FORWARD}, nodes AS (SELECT src AS node FROM dag UNION SELECT dst FROM dag), walk AS (SELECT node, 0 AS depth FROM nodes WHERE node NOT IN (SELECT dst FROM dag) UNION SELECT l.dst, w.depth + 1 FROM walk w JOIN dag l ON l.src = w.node) SELECT node, min(depth) AS depth FROM walk GROUP BY node")
+def depths_all(spark, sf_dir):
+    edges = cut(forward(spark, sf_dir)).withColumn("label", F.lit(""))
+    return G.tree_depths(_nodes(edges), edges, ENDLESS)
+
+
+@query(f"WITH RECURSIVE {FORWARD}, walk AS (SELECT CAST(20 AS BIGINT) AS node UNION SELECT l.dst FROM walk w JOIN dag l ON l.src = w.node) SELECT src, dst FROM dag WHERE src IN (SELECT node FROM walk) AND dst IN (SELECT node FROM walk)")
+def subtree_all(spark, sf_dir):
+    edges = cut(forward(spark, sf_dir))
+    return G.extract_subtree(_nodes(edges), edges, 20, ENDLESS)[1]
+
+
+@query(f"WITH {FORWARD} SELECT src AS parent, dst AS node, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) AS BIGINT) AS place FROM dag")
+def siblings_all(spark, sf_dir):
+    found = G.siblings(forward(spark, sf_dir).withColumn("label", F.lit("")))
+    return found.withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {FORWARD} SELECT src, dst FROM dag WHERE src % 5 <> 0 AND dst % 5 <> 0")
+def delete_nodes_all(spark, sf_dir):
+    edges = forward(spark, sf_dir)
+    nodes = _nodes(edges)
+    return G.delete_nodes(nodes, edges, nodes.filter("node % 5 = 0"))[1]
+
+
+@query()
+def is_descendant_all(spark, sf_dir):
+    """Every pair of parts two lines apart in an order. DuckDB's walk from every part takes too long for SQL."""
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.row_number().over(by).alias("k"))
+    later = items.select("l_orderkey", F.col("l_partkey").alias("node"), (F.col("k") - 2).alias("k"))
+    pairs = items.withColumnRenamed("l_partkey", "ancestor").join(later, ["l_orderkey", "k"]).select("ancestor", "node").distinct()
+    return G.is_descendant(cut(forward(spark, sf_dir)), pairs, ENDLESS)
+
+
+@query(f"WITH {FORWARD} SELECT src, dst FROM dag WHERE dst % 9 <> 4 UNION SELECT dst - 1, dst FROM (SELECT DISTINCT dst FROM dag WHERE dst % 9 = 4)")
+def reparent_all(spark, sf_dir):
+    """As reparent, over all forward successions."""
+    edges = cut(forward(spark, sf_dir)).withColumn("label", F.lit(""))
+    moves = edges.filter("dst % 9 = 4").select(F.col("dst").alias("node"), (F.col("dst") - 1).alias("parent")).distinct()
+    return G.reparent(edges, moves)[0].select("src", "dst").distinct()

@@ -134,3 +134,29 @@ def in_subtree(spark, sf_dir):
     d = defs(spark, sf_dir).withColumn("folder", F.regexp_replace("path", r"/[^/]*$", ""))
     a, b = d.select("name", F.col("path").alias("a"), F.col("folder").alias("fa"), F.col("p_partkey").alias("ka")), d.select("name", F.col("path").alias("b"), F.col("folder").alias("fb"), F.col("p_partkey").alias("kb"))
     return a.join(b, "name").filter("ka < kb").filter(R.in_subtree("fa", "fb")).select("a", "b").distinct()
+
+
+# definitions, nearest_level and rank_definition run on the words that their SQL names; those below on all words and calls.
+@query(f"WITH {DEFS} SELECT name, kind, path FROM defs WHERE name IN (SELECT name FROM defs)")
+def definitions_all(spark, sf_dir):
+    d = defs(spark, sf_dir)
+    return R.definitions(d, d).select("name", "kind", "path")
+
+
+@query(f"""WITH {DEFS}, words AS (SELECT name, path AS current FROM defs), j AS (SELECT w.name, w.current, d.path, CASE WHEN d.is_def THEN CASE
+  WHEN split_part(w.current, '/', 1) <> split_part(d.path, '/', 1) THEN 2 WHEN split_part(w.current, '/', 2) <> split_part(d.path, '/', 2) THEN 1 ELSE 0 END ELSE 2 END AS level FROM words w JOIN defs d ON d.name = w.name)
+SELECT name, current, path, level FROM j x WHERE level = (SELECT min(level) FROM j y WHERE y.name = x.name AND y.current = x.current)""")
+def nearest_level_all(spark, sf_dir):
+    d = defs(spark, sf_dir)
+    return R.nearest_definition(d.select("name", F.col("path").alias("current")), d.select("name", "path", "is_def")).select("name", "current", "path", "level")
+
+
+SCORED_ALL = SCORED.replace("FROM defs WHERE p_partkey % 20 = 9 UNION", "FROM defs UNION").replace("'unknown' FROM defs WHERE p_partkey % 100 = 9", "'unknown' FROM defs")
+
+
+@query(f"WITH {SCORED_ALL} SELECT caller_path, callee, path, score, candidates, CASE WHEN candidates = 0 THEN 'none' WHEN gap IS NULL OR gap >= 500 THEN 'high' WHEN gap >= 100 THEN 'medium' ELSE 'low' END AS confidence FROM ranked WHERE k = 1")
+def rank_definition_all(spark, sf_dir):
+    d = defs(spark, sf_dir)
+    calls = d.select(F.col("path").alias("caller_path"), F.col("name").alias("callee"))
+    calls = calls.union(d.select("path", F.lit("unknown"))).distinct()
+    return R.rank_callee_definition(calls, d.select("name", "path", "kind")).select("caller_path", "callee", "path", "score", "candidates", "confidence")
