@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without lines that stand earlier; a document of nothing else goes."""
-    left = lines.dedup_lines(docs.select(COLUMNS)).filter("n_removed < n_lines OR n_lines = 0")
+    left = lines.dedup_lines(docs.select(COLUMNS), whole=True).filter("n_removed < n_lines OR n_lines = 0")
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 

@@ -9,9 +9,13 @@ from siltstone.llm.stored import stored
 
 #: Longer lines put out their neighbourhood as rows and running windows, so that work stays in proportion to their length.
 LONG = 1024
+#: Letters of scripts written without blanks, and marks on them: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\\x{20000}-\\x{323af}]"
 
 
-def _words(line):
+def _words(line, apart: bool = False):
+    if apart:
+        line = F.when(F.octet_length(line) > F.char_length(line), F.regexp_replace(line, UNSPACED, " $0 ")).otherwise(line)
     for c in ("\t", "\x0b", "\x0c", "\r"):
         line = F.replace(line, F.lit(c), F.lit(" "))
     return F.array_remove(F.split(line, " "), "")
@@ -63,12 +67,13 @@ def _within_one_edit():
     return F.expr(f"abs(size(a) - size(b)) <= 1 and {head} + {tail} >= greatest(size(a), size(b)) - 1")
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6) -> DataFrame:
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6, whole: bool = False) -> DataFrame:
     """(doc, no) of the lines that stay; see dedup_lines."""
     split = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-    words = split.withColumn("words", _words(F.col("line"))).withColumn("w", F.size("words"))
+    words = split.withColumn("words", _words(F.col("line"), whole)).withColumn("w", F.size("words"))
     long_enough = F.col("w") >= min_words
-    hashed = stored(words.select("doc", "no", F.when(long_enough, F.col("w")).alias("w"), F.when(long_enough, F.xxhash64("words")).alias("self"), F.when(long_enough, F.xxhash64(F.lit(1), "words")).alias("self2"), F.when(long_enough, _half_keys()).alias("halves")), "lines")
+    judged = F.col("w") >= 1 if whole else long_enough
+    hashed = stored(words.select("doc", "no", F.when(judged, F.col("w")).alias("w"), F.when(judged, F.xxhash64("words")).alias("self"), F.when(judged, F.xxhash64(F.lit(1), "words")).alias("self2"), F.when(long_enough, _half_keys()).alias("halves")), "lines")
 
     at = F.struct("doc", "no")
     copies = hashed.filter("w IS NOT NULL").groupBy("self", "self2").agg(F.min(F.struct("doc", "no", "w", "halves")).alias("f"))
@@ -82,7 +87,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.pmod(F.xxhash64("doc", "no"), F.lit(1 << 22))
     bitmap = active.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_bits"))
     near = split.withColumn("_p", place).join(F.broadcast(bitmap), F.shiftright("_p", 6).cast("int") == F.col("_word")).filter("shiftrightunsigned(_bits, cast(_p & 63 as int)) & 1 = 1")
-    near = near.select("doc", "no", _words(F.col("line")).alias("words")).join(active, ["doc", "no"], "left_semi").dropDuplicates(["doc", "no"])
+    near = near.select("doc", "no", _words(F.col("line"), whole).alias("words")).join(active, ["doc", "no"], "left_semi").dropDuplicates(["doc", "no"])
     near = stored(near.withColumn("w", F.size("words")), "near")
 
     keys = _neighbourhood(near).repartition("k")
@@ -95,7 +100,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return first.select("doc", "no").join(edited, ["doc", "no"], "left_anti").unionByName(hashed.filter("w IS NULL").select("doc", "no"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6, whole: bool = False) -> DataFrame:
     """docs with text_col rewritten and the columns n_lines, n_removed: each line that has an earlier twin is removed.
 
     Lines are compared as sequences of words (runs other than 0x20, 0x09-0x0D). A line of min_words
@@ -109,11 +114,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     loses nothing: one edit leaves the half before or behind it as it was. Lines longer than LONG
     words make their keys by windows over their words.
 
+    With whole, no line stays for its size: every line that holds a word falls to an earlier line of
+    equal words, and every letter of a script written without blanks counts as a word of its own, so
+    that such lines reach min_words and take part in the search. Lines without a word stay.
+
     Null text stays null, with 0 lines; empty text is one short line. Rows with a null id stay as they
     are and remove nothing. Rows that share an id count as one document. Extra columns stay, but for
     n_lines and n_removed, which are replaced. An empty table gives an empty one.
     """
-    stay = kept_lines(docs, id_col, text_col, min_words).groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("_stay"))
+    stay = kept_lines(docs, id_col, text_col, min_words, whole).groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("_stay"))
     a = docs.drop("n_lines", "n_removed").alias("a")
     joined = a.join(stay.alias("b"), F.col(f"a.`{id_col}`") == F.col("b.doc"), "left")
     n = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines"))

@@ -126,6 +126,18 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == expect
 
 
+def test_line_dedup_whole_takes_short_and_unspaced_lines(spark):
+    han, thai = "今天天气很好我们去公园", "วันนี้อากาศดีมาก"
+    texts = ["Read more\n\n}", "Read  more\n\n}\nRead less", f"{han}\n{thai}\n短句", f"{han}\n{thai}\n短句\n长句", "今天天气真好我们去公园", f"{han} {han[::-1]}", "𠀀𠀁𠀂𠀃𠀄𠀅𠀆", "𠀀𠀁𠀂𠀃𠀄𠀅𠀇", "naïve café only here", None, ""]
+    expect = ["Read more\n\n}", "\nRead less", f"{han}\n{thai}\n短句", "长句", "", f"{han} {han[::-1]}", "𠀀𠀁𠀂𠀃𠀄𠀅𠀆", "", "naïve café only here", None, ""]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(_docs(spark, texts), whole=True).collect()}
+    assert [got[i] for i in range(len(texts))] == expect
+    import corpus_pipeline
+
+    staged = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, _docs(spark, texts), "").collect()}
+    assert staged == {i: t for i, t in enumerate(expect) if i not in (4, 7)}
+
+
 def test_mixing_targets_and_edges(spark):
     texts = ["a " * n for n in (5, 50, 500, 40, 1, 0)] * 30 + [None]
     docs = _docs(spark, texts).withColumn("source", F.when(F.col("doc_id") % 7 < 6, F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string"))))
