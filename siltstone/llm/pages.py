@@ -20,10 +20,14 @@ RAW = frozenset("script style textarea title noscript iframe template svg select
 APART = frozenset("nav footer aside form script style noscript iframe svg template button select textarea dialog menu head title".split())
 APART_NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent gdpr notice popup modal newsletter subscribe subscription share sharing social comment comments disqus respond reply replies related recommended widget toolbar pagination pager login signup search form alert contentinfo complementary dialog copyright skip".split())
 MAIN_NAMES = frozenset("article articlebody post entry content story main".split())
+#: First parts of class names that tell of something else than the element: no-sidebar, has-comments, category-social.
+MODIFIERS = frozenset("no not has have with without category cat tag topic".split())
 ARTICLE, MAIN, NAMED = 1, 2, 4
+#: How a block is apart: by the names of its elements, which the tree can overrule, or by the elements themselves.
+BY_NAME, BY_ELEMENT = 1, 2
 CLOSES_P = frozenset("p div section article main ul ol dl table form h1 h2 h3 h4 h5 h6 header footer nav aside pre blockquote hr figure address fieldset details".split())
 
-MIN_PAGES = 8
+MIN_PAGES = 2
 
 
 def _close(stack: list, tag: str, stop: frozenset) -> bool:
@@ -36,14 +40,14 @@ def _close(stack: list, tag: str, stop: frozenset) -> bool:
     return False
 
 
-def blocks_of(html: str) -> list[tuple[str, int, bool, str]]:
+def blocks_of(html: str) -> list[tuple[str, int, int, str]]:
     """(path, kinds of main element around, apart, text) of every block with text, in page order.
 
     The path names the block elements from the root with their classes, digits left out: pages of a
     site that are built alike give equal paths.
     """
-    stack = [("", "", 0, False)]
-    out: list[tuple[str, int, bool, str]] = []
+    stack = [("", "", 0, 0)]
+    out: list[tuple[str, int, int, str]] = []
     parts: list[str] = []
 
     def flush():
@@ -66,7 +70,7 @@ def blocks_of(html: str) -> list[tuple[str, int, bool, str]]:
             parts.append(" ")
             continue
         if tag in INLINE:
-            if m[3] and not m[1] and (kind := _kind(tag, m[3], stack[-1]))[3] and not stack[-1][3]:
+            if m[3] and not m[1] and (kind := _kind(tag, m[3], stack[-1]))[3] > stack[-1][3]:
                 flush()
                 stack.append((tag, *kind[1:]))
             elif m[1] and stack[-1][0] == tag:
@@ -93,10 +97,11 @@ def blocks_of(html: str) -> list[tuple[str, int, bool, str]]:
     return out
 
 
-def _kind(tag: str, attributes: str, above: tuple) -> tuple[str, str, int, bool]:
+def _kind(tag: str, attributes: str, above: tuple) -> tuple[str, str, int, int]:
     """tag, path, main kinds and apartness of an element below another."""
     _, path, main, apart = above
     names: set[str] = set()
+    said: set[str] = set()
     hidden = False
     if attributes and "=" in attributes or "hidden" in attributes:
         for name, a, b, c, bare in ATTRIBUTE.findall(attributes):
@@ -105,10 +110,17 @@ def _kind(tag: str, attributes: str, above: tuple) -> tuple[str, str, int, bool]
             if bare or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                 hidden = True
             elif name in ("class", "id", "role", "itemprop"):
-                names.update(TOKENS.findall(value))
+                for one in value.split():
+                    parts = TOKENS.findall(one)
+                    names.update(parts)
+                    if len(parts) == 1 or parts and parts[0] not in MODIFIERS:
+                        said.update(parts)
     page_level = tag in ("html", "body")
     here = 0 if page_level else (ARTICLE if tag == "article" or "articlebody" in names else 0) | (MAIN if tag == "main" else 0) | (NAMED if names & MAIN_NAMES else 0)
-    apart = apart or hidden or tag in APART or (not page_level and bool(names & APART_NAMES)) or (not main and (tag == "header" or (not page_level and "header" in names and not here)))
+    if hidden or tag in APART or (not main and tag == "header"):
+        apart = BY_ELEMENT
+    elif not page_level and (said & APART_NAMES or (not main and "header" in said and not here)):
+        apart = max(apart, BY_NAME)
     return tag, f"{path}/{tag}" + "".join(f".{n}" for n in sorted(names)), main | here, apart
 
 
@@ -120,14 +132,15 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, importance, pages) of the nodes of every site's style tree; pages(host, html).
+def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of every site's style tree, (host, node, importance, pages), and the texts that stand on more than one
+    page of a node, (host, node, text, importance, pages); pages(host, html).
 
-    A node is a path that pages of one host share. With m different pages that hold it, its content
-    importance is 1 minus the mean, over the texts it holds, of log(pages that hold the text) / log m:
-    0 for what every page repeats, 1 for what each page has alone. Its presentation importance is the
-    same over the sequence of nodes around it. The composite weighs content nine to one. Pages
-    with equal html count once. Nodes known to be apart need no statistics.
+    A node is a path that pages of one host share. With m different pages that hold it, the importance
+    of a text that c of them hold is 1 - log c / log m: 0 for what every page repeats, 1 for what one
+    page has alone. The content importance of a node is the mean over its texts; its presentation
+    importance is the same over the sequence of nodes around it. The composite weighs content nine to
+    one. Pages with equal html count once. Nodes known to be apart by their elements need no statistics.
     """
 
     def run(batches):
@@ -137,14 +150,14 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 texts: dict[str, set[str]] = {}
                 around: dict[str, list[str]] = {}
                 for path, _, apart, text in blocks_of(html):
-                    if not apart:
+                    if apart != BY_ELEMENT:
                         texts.setdefault(path, set()).add(text)
                         row = around.setdefault(path.rpartition("/")[0], [])
                         if not row or row[-1] != path:
                             row.append(path)
                 before = len(nodes)
                 for path, seen in texts.items():
-                    found = {_hash(t) for t in seen}
+                    found = {_hash(f"{path}\n{t}") for t in seen}
                     nodes += [_hash(path)] * (len(found) + 1)
                     kinds += [1] * len(found) + [0]
                     features += [*found, _hash("|".join(around[path.rpartition("/")[0]]))]
@@ -152,43 +165,56 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 digests += [_hash(html)] * (len(nodes) - before)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(features, pa.int64()), pa.array(digests, pa.int64())], names=["host", "node", "kind", "feature", "page"])
 
-    seen = pages.select("host", "html").mapInArrow(run, "host long, node long, kind int, feature long, page long").groupBy("host", "node", "kind", "feature").agg(F.count_distinct("page").alias("c"))
+    seen = pages.select("host", "html").mapInArrow(run, "host long, node long, kind int, feature long, page long")
+    # no key is null; said here, all three uses below share one plan up to the exchange
+    seen = seen.filter("host IS NOT NULL AND node IS NOT NULL").groupBy("host", "node", "kind", "feature").agg(F.count_distinct("page").alias("c"))
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     spread = lambda kind: of(kind, F.col("c") * F.ln("c")) / of(kind, F.col("c"))
     tree = seen.groupBy("host", "node").agg(of(0, F.col("c")).alias("pages"), spread(1).alias("content"), spread(0).alias("style"))
     own = lambda c: F.when(F.col("pages") > 1, 1 - F.col(c) / F.ln("pages")).otherwise(1.0)
-    return tree.select("host", "node", (0.9 * own("content") + 0.1 * own("style")).alias("importance"), "pages")
+    # kind is asked for behind the count, for the same end
+    repeated = seen.filter(F.when(F.col("c") > 1, F.col("kind") == 1)).select("host", "node", F.col("feature").alias("text"), "c").join(tree.select("host", "node", "pages"), ["host", "node"])
+    return tree.select("host", "node", (0.9 * own("content") + 0.1 * own("style")).alias("importance"), "pages"), repeated.select("host", "node", "text", (1 - F.ln("c") / F.ln("pages")).alias("importance"), "pages")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.1, min_pages: int = MIN_PAGES) -> DataFrame:
     """(id, url, text, n_chars, n_noise) of every page: the blocks of the article, one a line.
 
-    All pages of a host are merged in a style tree; a block stays if its node's composite importance is
-    `least` or more (nodes on fewer than min_pages different pages have no evidence against them) and
-    it belongs to the article: of the blocks not apart (in nav, footer, aside, form and such elements
-    or names, in comments of readers, in a header outside the article, hidden), those in article
-    elements, else in main, else in an element named as content, else all. n_noise counts the blocks
-    that the tree took away. Character references are decoded and white space in a block is one blank.
+    All pages of a host are merged in a style tree. A block is noise if its node's composite importance
+    or its text's own importance in that node is below `least` (nodes on fewer than min_pages different
+    pages have no evidence against them; one page has nothing to repeat). The article is, of the blocks
+    not apart (in nav, footer, aside, form and such elements or names, in comments of readers, in a
+    header outside the article, hidden), those in article elements, else in main, else in an element
+    named as content, else all, without noise. Where that leaves nothing, the tree overrules the names:
+    the blocks that only a name sets apart are taken in the same way, if they are no noise. A page of
+    nothing but repeated blocks keeps those not apart. n_noise counts the blocks that the tree took away.
 
     Null and empty html give empty text. Pages without a host form one site. Repeated rows and rows
     with null ids each get theirs. Extra columns are ignored. An empty table gives an empty one.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.xxhash64(_host(F.col(url_col))).alias("host"))
-    noise = style_tree(rows).filter((F.col("pages") >= min_pages) & (F.col("importance") < least)).groupBy("host").agg(F.collect_set("node").alias("noise"))
+    weak = (F.col("pages") >= min_pages) & (F.col("importance") < least)
+    nodes, texts = style_tree(rows)
+    noise = nodes.filter(weak).select("host", "node").unionByName(texts.filter(weak).select("host", F.col("text").alias("node"))).groupBy("host").agg(F.collect_set("node").alias("noise"))
+
+    def inside(found):
+        for kind in (ARTICLE, MAIN, NAMED):
+            if any(b[1] & kind for b in found):
+                return [b for b in found if b[1] & kind]
+        return found
 
     def run(batches):
         for batch in batches:
             texts, dropped = [], []
             for html, noise in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found = [(p, main, text) for p, main, apart, text in blocks_of(html) if not apart]
-                for kind in (ARTICLE, MAIN, NAMED):
-                    inside = [b for b in found if b[1] & kind]
-                    if inside:
-                        found = inside
-                        break
-                low = set(noise or ())
-                kept = [text for p, _, text in found if not low or _hash(p) not in low]
-                texts.append("\n".join(kept)), dropped.append(len(found) - len(kept))
+                blocks, low = blocks_of(html), set(noise or ())
+                strong = lambda found: [b for b in found if not low or _hash(b[0]) not in low and _hash(f"{b[0]}\n{b[3]}") not in low]  # noqa: B023, E731
+                found = inside([b for b in blocks if not b[2]])
+                kept = strong(found)
+                taken = len(found) - len(kept)
+                if not kept:
+                    kept = inside(strong([b for b in blocks if b[2] == BY_NAME])) or found
+                texts.append("\n".join(b[3] for b in kept)), dropped.append(0 if kept is found else taken)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(dropped, pa.int64())], names=["id", "url", "text", "n_noise"])
 
     kind = rows.schema["id"].dataType.simpleString()

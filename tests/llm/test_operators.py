@@ -270,6 +270,20 @@ def test_main_text(spark):
     assert all(got[10 + i].text.startswith(f"story {i}") for i in range(12))
 
 
+def test_main_text_tree_on_few_pages_and_over_names(spark):
+    few = [(i, f"http://few/{i}", f"<body><div><p>story {i} own</p><p>Notice on each page</p><p>more of {i}</p></div><ul><li>Menu</ul></body>") for i in range(3)]
+    notice = [(10 + i, f"http://n/{i}", f"<article><p>lead {i}</p><p>Standing notice</p><p>body {i}</p><p>end {i}</p></article>") for i in range(9)]
+    modified = [(20, "http://m/1", '<body><div class="no-sidebar has-comments category-social"><p>kept</p></div><div class="left-sidebar">gone</div></body>')]
+    social = [(30 + i, f"http://s/{i}", f'<body><div class="social"><p>only text {i}</p><p>Follow us</p></div><p>Same line</p></body>') for i in range(2)]
+    twins = [(40 + i, f"http://t/{i}", f"<body><!-- {i} --><p>All the same</p></body>") for i in range(2)]
+    got = {r.page_id: r for r in pages.extract_main_text(spark.createDataFrame(few + notice + modified + social + twins, "page_id long, url string, html string")).collect()}
+    assert [(got[i].text, got[i].n_noise) for i in range(3)] == [(f"story {i} own\nmore of {i}", 2) for i in range(3)]
+    assert all(got[10 + i].text == f"lead {i}\nbody {i}\nend {i}" for i in range(9))
+    assert got[20].text == "kept"
+    assert [got[30 + i].text for i in range(2)] == ["only text 0", "only text 1"]
+    assert [got[40 + i].text for i in range(2)] == ["All the same"] * 2
+
+
 def test_weak_labels(spark):
     votes = np.array([[1, 1, 1], [0, 0, 1], [0, 0, 0], [1, 1, -1]])
     posterior, _, _ = weak.expectation_maximisation(votes, np.array([80.0, 10, 8, 20]))
