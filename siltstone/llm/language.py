@@ -82,14 +82,20 @@ class LetterWords:
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The labels of the best path through scores (words x languages) where each change costs `switch`.
 
-    If no run of words prefers another language to the overall best by more than one change costs, the
-    best path never changes, and the walk word by word is left out.
+    The walk word by word is left out where no path beats the overall best language. A path of k runs
+    in other languages pays k changes if it uses the best one too: no run may gain more than one change
+    costs. Without it, it pays k - 1: then no run may gain more than half of that (k / 2 <= k - 1), or
+    the sum of every word's best other language may not gain more than one change.
     """
     best = int(np.argmax(scores.sum(0)))
-    gain = np.cumsum(scores - scores[:, best : best + 1], 0)
+    more = scores - scores[:, best : best + 1]
+    gain = np.cumsum(more, 0)
     low = np.minimum.accumulate(np.concatenate([np.zeros((1, scores.shape[1])), gain[:-1]]), 0)
-    if (gain - low).max() <= switch:
-        return np.full(len(scores), best)
+    most = (gain - low).max()
+    if most <= switch:
+        more[:, best] = -np.inf
+        if most <= switch / 2 or more.max(1).sum() <= switch:
+            return np.full(len(scores), best)
     n, k = scores.shape
     back = np.empty((n, k), np.int32)
     now, same = np.zeros(k), np.arange(k)

@@ -258,6 +258,18 @@ def test_viterbi_shortcut_is_exact():
         assert best is None or value(labels) == pytest.approx(best)
 
 
+def test_viterbi_third_language_second_best_throughout():
+    s = np.array([[0.0, -8, -1]] * 10 + [[-8.0, 0, -1]] * 10)
+    assert language.viterbi(s, 12.0).tolist() == [0] * 10 + [1] * 10
+    assert language.viterbi(s[:, 2:], 12.0).tolist() == [0] * 20
+    rng = np.random.default_rng(9)
+    for _ in range(200):  # two halves of two languages, a third one just behind both
+        n = rng.integers(1, 4)
+        s = np.concatenate([[[0.0, -8, -1]] * n, [[-8.0, 0, -1]] * n]) + rng.normal(0, 1, (2 * n, 3))
+        value = lambda p: s[np.arange(len(s)), p].sum() - 4.0 * (np.diff(p) != 0).sum()
+        assert value(language.viterbi(s, 4.0)) == pytest.approx(max(value(np.array(p)) for p in np.ndindex(*[3] * len(s))))
+
+
 def test_main_text(spark):
     page = """<html><body class="post"><header><h1>Site</h1></header><nav><a href="/">menu</a></nav><div id="cookie-notice">cookies</div>
     <article><header><h1>T &amp; x</h1></header><p>One<br>two <b>bold</b><p>Three<ul><li>a<li>b</ul><form>f</form><div class="ad">buy</div><section class="comments"><article class="comment"><p>hi</p></article></section></article>
