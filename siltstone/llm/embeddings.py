@@ -39,7 +39,7 @@ def bucket_links(x: np.ndarray, group: np.ndarray, side: np.ndarray, least: floa
     for d in range(1, 24):
         i = np.flatnonzero(small[:-d] & (group[d:] == group[:-d]) & ((side[:-d] == 0) | (side[:-d] != side[d:]))) if d < len(group) else np.zeros(0, np.int64)
         if not len(i):
-            break
+            continue
         for part in np.array_split(i, len(i) // 50_000 + 1):
             ok = part[_close(x, least, part, part + d)]
             left.append(ok), right.append(ok + d)

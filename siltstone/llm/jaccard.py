@@ -218,7 +218,7 @@ def surviving(p: Points, group: np.ndarray, side: np.ndarray, num: int, den: int
     for d in range(1, min(LEAF, len(group))):
         i = np.flatnonzero(small[:-d] & (group[d:] == group[:-d]) & ((side[:-d] == 0) | (side[:-d] != side[d:])))
         if not len(i):
-            break
+            continue  # sides 1, 2, 1, 2 meet at 1 and 3, not at 2
         i = i[den * np.minimum(n[i], n[i + d]) >= num * np.maximum(n[i], n[i + d])]
         for g, h, a, b in p.kinds():
             for u, v in [(i, i + d)] if g == h else [(i, i + d), (i + d, i)]:

@@ -90,6 +90,18 @@ def test_tree_pairs_keep_all_links():
     assert links and links <= found
 
 
+def test_small_groups_of_two_tiles_keep_their_last_link():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64)) for _ in range(3)]
+    sets.append(sets[0])
+    g = jaccard.groups_of(300)
+    p = jaccard.Points(np.array([len(s) for s in sets]), [np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(np.uint8).tobytes() for s in sets])
+    alive = jaccard.surviving(p, np.zeros(4, int), np.array([1, 2, 1, 2]), 85, 100)
+    assert alive[0] and alive[3]
+    a, b = embeddings.bucket_links(np.eye(3)[[0, 1, 2, 0]], np.zeros(4, int), np.array([1, 2, 1, 2]), 0.93)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 3)]
+
+
 def _edit_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
