@@ -1,27 +1,28 @@
-"""Byte-level BPE over a global shuffle of distinct words."""
+"""Byte-level BPE over a global shuffle of distinct words, gathered by chunks of texts."""
 
 from __future__ import annotations
 
 import base64
-import heapq
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.bytetext import Hasher, blocks
-from siltstone.llm.stored import stored
+from siltstone.llm.bytetext import Hasher, blocks, mix
 
-#: Distinct pre-tokens that a task gathers before it passes their counts on.
-GATHER = 150_000
+#: A chunk of a task's texts ends with so many letters or different pre-tokens.
+CHUNK, GATHER = 1 << 24, 400_000
 #: Bytes of text at a time, small enough for the caches.
 BLOCK = 1 << 18
-#: The most common words, whose ids each task holds; the bound is the same for any corpus.
-COMMON = 400_000
+#: Words of a bucket whose ids are held at a time.
+KEPT = 1_000_000
+#: What a row of a chunk holds.
+WORDS, PLAN, TEXTS = range(3)
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: The code points with the Unicode property White_Space.
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -33,42 +34,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: the adjacent pair of least rank merges first, leftmost of equals."""
-    if piece in ranks:
-        return [ranks[piece]]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    if len(parts) > 64:
-        return _merge_long(parts, ranks)
-    while len(parts) > 1:
-        pairs = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:], strict=False)]
-        low = min(pairs)
-        if low == 1 << 60:
-            break
-        i = pairs.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
-
-
-def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
-    """The same by a heap over a linked list, for pieces of any length."""
-    after, before = [*range(1, len(parts) + 1)], [*range(-1, len(parts) - 1)]
-    heap = [(r, i, parts[i], parts[i + 1]) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i] if parts[i] is not None else len(parts)
-        if j >= len(parts) or parts[i] is not a or parts[j] is not b:
-            continue
-        parts[i], parts[j], after[i] = a + b, None, after[j]
-        if after[i] < len(parts):
-            before[after[i]] = i
-        for x in (before[i], i):
-            if x >= 0 and (y := after[x]) < len(parts) and (r := ranks.get(parts[x] + parts[y])) is not None:
-                heapq.heappush(heap, (r, x, parts[x], parts[y]))
-    return [ranks[p] for p in parts if p is not None]
-
-
 def classes() -> np.ndarray:
     """The class of every code point: letter, number, white space or other."""
     kinds = np.fromiter(({"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)), np.uint8, 0x110000)
@@ -119,204 +84,245 @@ class Pieces:
         offsets = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
         self.start = pre_tokens(points, offsets, kinds)
         self.end = np.append(self.start[1:], len(points)) if len(points) else self.start
-        self.hash = Hasher(points)(self.start, self.end)
+        self.hasher = Hasher(points)
+        self.hash = self.hasher(self.start, self.end)
         self.first = np.searchsorted(self.start, offsets)
 
     def word(self, i: int) -> str:
         return self.text[self.start[i] : self.end[i]]
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(a place of each different piece, which of these each piece is): equal hashes are held against the letters."""
+        _, at, which = np.unique(self.hash, return_index=True, return_inverse=True)
+        if not self.hasher.same(self.start[at][which], self.start, self.end - self.start):
+            seen: dict[str, int] = {}
+            which = np.array([seen.setdefault(self.word(i), len(seen)) for i in range(len(self.start))])
+            at = np.unique(which, return_index=True)[1]
+        return at, which
 
-def distinct_words(docs: DataFrame, kinds) -> DataFrame:
-    """(word, n): every different pre-token and how often it stands in all texts. kinds: a broadcast of classes()."""
 
-    def run(batches):
-        table = kinds.value
-        hashes, counts, words = [], [], []
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers by byte planes, low bytes first: the mostly zero high ones pack to little."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
-        def merged():
-            h, at, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-            every = [w for part in words for w in part]
-            return h, np.bincount(inverse, np.concatenate(counts)).astype(np.int64), [every[i] for i in at]
 
-        def batch_of(m):
-            return pa.RecordBatch.from_arrays([pa.array(m[2], pa.string()), pa.array(m[1])], names=["word", "n"])
+class Packer:
+    """Packs counts and bytes into one value and back."""
+
+    def __init__(self):
+        self.press, self.open = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+
+    def dump(self, counts: np.ndarray, data: bytes) -> bytes:
+        return len(counts).to_bytes(4, "little") + self.press(planes(counts) + data)
+
+    def load(self, blob: bytes) -> tuple[np.ndarray, bytes]:
+        n, data = 4 * int.from_bytes(blob[:4], "little"), self.open(blob[4:])
+        return from_planes(data[:n]), data[n:]
+
+
+class Chunk:
+    """A run of whole texts of one task: a dictionary of its different words, and the texts as places in it."""
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+        self.hashes: list[np.ndarray] = []
+        self.texts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, ids: pa.Array, p: Pieces) -> None:
+        at, which = p.distinct()
+        known = len(self.codes)
+        code = np.array([self.codes.setdefault(p.word(i), len(self.codes)) for i in at], np.int64)
+        fresh = np.unique(code, return_index=True)
+        self.hashes.append(p.hash[at[fresh[1][fresh[0] >= known]]])
+        self.texts.append((ids, np.diff(p.first), code[which] if len(at) else which))
+        self.size += len(p.text)
+
+    def rows(self, name: int, buckets: int, packer: Packer):
+        """(key, kind, at, ids, blob): the words of each bucket, by the bucket; the plan of the dictionary and the texts, by the chunk.
+
+        Words are numbered by how often the chunk has them, and stand in this order within their bucket.
+        """
+        words = list(self.codes)
+        often = np.bincount(np.concatenate([t[2] for t in self.texts]), minlength=len(words)) if words else np.zeros(0, np.int64)
+        order = np.argsort(-often, kind="stable")
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(len(words))
+        hashes = np.concatenate([*self.hashes, np.zeros(0, np.uint64)])[order]
+        bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        column = pa.array([words[i] for i in order[by]], pa.large_string())
+        offsets = np.frombuffer(column.buffers()[1], np.int64, len(words) + 1) if words else np.zeros(1, np.int64)
+        data = column.buffers()[2].to_pybytes() if words else b""
+        found, cuts = np.unique(bucket[by], return_index=True)
+        for b, x, y in zip(found.tolist(), cuts, [*cuts[1:], len(words)], strict=False):
+            yield b, WORDS, name, None, packer.dump(np.diff(offsets[x : y + 1]), data[offsets[x] : offsets[y]])
+        yield name, PLAN, 0, None, packer.dump(bucket, np.add.reduceat(hashes[by], cuts).tobytes() if words else b"")
+        for i, (ids, counts, code) in enumerate(self.texts):
+            yield name, TEXTS, i, ids, packer.dump(counts, planes(number[code]))
+
+
+def chunk_rows(docs: DataFrame, kinds, buckets: int) -> DataFrame:
+    """(key, kind, at, ids, blob): every task's texts in chunks of about CHUNK letters; docs(id, text)."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        packer, n, chunk, id_type = Packer(), 0, Chunk(), None
+
+        def batch_of(chunk):
+            name = (1 << 62) + (TaskContext.get().partitionId() << 24) + n
+            rows = list(chunk.rows(name, buckets, packer))
+            sizes = np.array([0 if r[3] is None else len(r[3]) for r in rows])
+            every = pa.concat_arrays([pa.array([], id_type), *(r[3] for r in rows if r[3] is not None)])
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), every)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), ids, pa.array([r[4] for r in rows], pa.binary())], names=["key", "kind", "at", "ids", "blob"])
 
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0), BLOCK):
-                p = Pieces(data, offsets, table)
-                h, at, c = np.unique(p.hash, return_index=True, return_counts=True)
-                hashes.append(h), counts.append(c), words.append([p.word(i) for i in at])
-                if sum(map(len, words)) > 2 * GATHER:
-                    m = merged()
-                    hashes, counts, words = [m[0]], [m[1]], [m[2]]
-                    if len(m[0]) > GATHER:
-                        yield batch_of(m)
-                        hashes, counts, words = [], [], []
-        if hashes:
-            yield batch_of(merged())
+            id_type = batch.schema.field(0).type
+            for a, b, data, offsets in blocks(batch.column(1), BLOCK):
+                chunk.add(batch.column(0).slice(a, b - a), Pieces(data, offsets, kinds.value))
+                if chunk.size > CHUNK or len(chunk.codes) > GATHER:
+                    yield batch_of(chunk)
+                    chunk, n = Chunk(), n + 1
+        if chunk.texts:
+            yield batch_of(chunk)
 
-    return docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("id", "text").mapInArrow(run, f"key long, kind int, at long, ids array<{kind}>, blob binary")
 
 
-def encode_words(words: DataFrame, ranks) -> DataFrame:
-    """words with ids: each distinct word is merged once. ranks: a broadcast rank table.
+def encode_words(rows: DataFrame, ranks) -> DataFrame:
+    """(key, at, check, blob) for each chunk and bucket: the ids of the bucket's words in the chunk's order. rows: chunk_rows, buckets together.
 
+    A word is merged once for all chunks; the table of words is of one bucket only, and is begun anew if it outgrows KEPT.
     A pre-token is one match of the pattern when it stands alone too, so encoding it as a text gives its merges.
     """
 
     def run(batches):
         merges = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
-        for batch in batches:
-            ids = [np.array(merges.encode_ordinary(w), np.uint32).tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "ids"])
-
-    return words.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + ", ids binary")
-
-
-class Known:
-    """Common words by rank: hashes of the words, and their ids one after another in `flat`."""
-
-    def __init__(self, words: pa.Array, ids: pa.Array):
-        hashes = [np.zeros(0, np.uint64)]
-        for _, _, data, offsets in blocks(words):
-            points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-            offsets = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-            hashes.append(Hasher(points)(offsets[:-1], offsets[1:]))
-        hashes = np.concatenate(hashes)
-        self.order = np.argsort(hashes).astype(np.int32)
-        self.keys = hashes[self.order]
-        ids = ids.to_pylist()
-        self.lengths = np.array([len(x) // 4 for x in ids], np.int32)
-        self.flat = np.frombuffer(b"".join(ids), np.uint32)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The rank of each hash; the number of words where it is not known."""
-        n = len(self.keys)
-        if not n:
-            return np.zeros(len(h), np.int64)
-        at = np.searchsorted(self.keys, h)
-        at[at == n] = 0
-        return np.where(self.keys[at] == h, self.order[at], n)
-
-    def ids(self, ranks: np.ndarray, rare: list[np.ndarray]) -> np.ndarray:
-        """The ids of a text's pre-tokens, the rare ones' given in their order."""
-        gaps = ranks == len(self.keys)
-        size = np.append(self.lengths, 0)[ranks].astype(np.int64)
-        size[gaps] = [len(x) for x in rare]
-        begin = np.append(np.cumsum(self.lengths) - self.lengths, 0)[ranks]
-        ends, total = np.cumsum(size), int(size.sum())
-        inside = np.repeat(gaps, size)
-        at = np.repeat(begin - ends + size, size) + np.arange(total)
-        out = np.empty(total, np.uint32)
-        out[~inside] = self.flat[at[~inside]]
-        if rare:
-            out[inside] = np.concatenate(rare)
-        return out
-
-
-def rank_planes(ranks: np.ndarray) -> bytes:
-    """Ranks by byte planes, low bytes first: the mostly zero high ones pack to little."""
-    return ranks.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def plane_ranks(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
+        packer, now, known = Packer(), None, {}
 
-def most_common(words: DataFrame, most: int) -> DataFrame:
-    """The words of at least some count, chosen on a scale of eight steps to a doubling so that at most `most` have it."""
-    step = F.floor(F.log2("n") * 8).cast("int")
-    bins = sorted(((r.step, r.c) for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("c")).collect()), reverse=True)  # 512 at most
-    total = np.cumsum([c for _, c in bins])
-    fit = int((total <= most).sum())
-    return words.filter(step >= (bins[fit - 1][0] if fit else 1 << 30))
+        def ids_of(word: bytes) -> np.ndarray:
+            found = known.get(word)
+            if found is None:
+                if len(known) >= KEPT:
+                    known.clear()
+                found = known[word] = np.array(merges.encode_ordinary(word.decode()), np.uint32)
+            return found
 
-
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
+        for batch in batches:
+            out = []
+            for key, kind, chunk, blob in zip(*(batch.column(c).to_pylist() for c in ("key", "kind", "at", "blob")), strict=True):
+                if kind != WORDS:
+                    continue
+                if key != now:
+                    now, known = key, {}
+                sizes, data = packer.load(blob)
+                ends = np.cumsum(sizes)
+                ids = [ids_of(data[e - n : e]) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+                points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+                cuts = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])[np.concatenate([[0], ends])]
+                check = Hasher(points)(cuts[:-1], cuts[1:]).sum(dtype=np.uint64).astype(np.int64)
+                out.append((chunk, key, int(check), packer.dump(np.array([len(x) for x in ids]), planes(np.concatenate(ids)))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)] + [pa.array([r[3] for r in out], pa.binary())], names=["key", "at", "check", "blob"])
+
+    return rows.sortWithinPartitions("key", "at").mapInArrow(run, "key long, at long, check long, blob binary")
+
+
+def _filled(texts: pa.Table, words: pa.Table, schema: pa.Schema, packer: Packer) -> pa.Table:
+    """(id, ids) of a chunk's texts, from its plan and its words' ids."""
+    rows = {(k, a): (i, blob) for i, (k, a, blob) in enumerate(zip(*(texts.column(c).to_pylist() for c in ("kind", "at", "blob")), strict=True))}
+    if (PLAN, 0) not in rows:
+        return schema.empty_table()
+    bucket, checks = packer.load(rows[PLAN, 0][1])
+    made = sorted(zip(*(words.column(c).to_pylist() for c in ("at", "check", "blob")), strict=True))
+    if [r[1] for r in made] != np.frombuffer(checks, np.int64).tolist():
+        raise RuntimeError("a chunk was made twice from different rows: give encode() a table that reads the same each time")
+    loaded = [packer.load(r[2]) for r in made]
+    flat = np.concatenate([np.zeros(0, np.int64), *(from_planes(x[1]) for x in loaded)]).astype("<u4")
+    sizes = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in loaded)])
+    by = np.argsort(bucket, kind="stable")
+    size, begin = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+    size[by], begin[by] = sizes, np.cumsum(sizes) - sizes
+    out = []
+    for i, blob in (rows[r] for r in sorted(rows) if r[0] == TEXTS):
+        counts, data = packer.load(blob)
+        code = from_planes(data)
+        n = size[code]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(begin[code] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = 4 * ends[np.concatenate([[0], np.cumsum(counts)])]
+        column = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+        out.append(pa.Table.from_arrays([texts.column("ids").slice(i, 1).combine_chunks().flatten(), column], schema=schema))
+    return pa.concat_tables(out)
+
+
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(id, ids) of every row: the token ids of the whole text as little-endian unsigned 32-bit integers.
 
-    All texts are cut into pre-tokens; the distinct ones meet in one shuffle with their counts and are
-    merged once each. The ids of the `common` most frequent are broadcast, a bound for any corpus, and
-    put in place where the text is read, so that no frequent word gathers in a task; every other
-    pre-token is a row with its place, is joined with the distinct words, and goes back to its place.
-    A text's places travel with it, so its own length bounds the memory.
+    Every task cuts its texts into pre-tokens and gathers the different ones of each chunk of texts; a
+    text becomes the places of its words in the chunk's dictionary. The dictionaries meet by word, in
+    buckets of a word's hash, where each distinct word is merged once for all chunks; its ids go back
+    to every chunk that has it and are put into its texts by position. A word travels once for a chunk,
+    however often it stands there, so no frequent word gathers in a task; a chunk holds CHUNK letters or
+    one longer text, which bounds the memory. The plan is the same at every size. buckets: four to a
+    shuffle partition unless given.
+
+    docs is read as a table: it must give the same rows in the same order if a lost task runs again;
+    otherwise an error is raised, never a wrong result.
 
     Null and empty texts have no ids. Repeated rows and null ids each get their row. No special
     tokens. Extra columns are ignored. An empty table gives an empty one. ranks_path is read by the
     driver; tasks get the table by broadcast.
     """
     spark = docs.sparkSession
-    ranks, kinds = read_ranks(ranks_path), spark.sparkContext.broadcast(classes())
-    kind = docs.schema[id_col].dataType.simpleString()
-    # rows that agree in id and text are alike, so these two hashes name a row well enough and the same in every scan
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k1", F.xxhash64("id", "text")).withColumn("k2", F.xxhash64("text", "id", F.lit(1)))
-    words = stored(encode_words(distinct_words(docs.select("text"), kinds), spark.sparkContext.broadcast(ranks)), "words")
-    top = most_common(words, common).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    known = spark.sparkContext.broadcast(Known(top["word"].combine_chunks(), top["ids"].combine_chunks()))
-    del top
-
-    def pieces(column):
-        for a, b, data, offsets in blocks(column, BLOCK):
-            p = Pieces(data, offsets, kinds.value)
-            yield a, b, p, known.value.find(p.hash)
-
-    def frame(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for a, b, p, at in pieces(batch.column(3)):
-                gone = np.flatnonzero(at == len(known.value.keys))
-                cuts = np.searchsorted(gone, p.first)
-                blobs = []
-                for x, y, u, v in zip(p.first, p.first[1:], cuts, cuts[1:], strict=False):
-                    ranks = pack(rank_planes(at[x:y]))
-                    # the ranks and the rare words go as one value, so that both readers share one shuffle
-                    blobs.append(len(ranks).to_bytes(8, "little") + ranks + "\0".join(p.word(i).replace("\1", "\1b").replace("\0", "\1a") for i in gone[u:v]).encode() if v > u else len(ranks).to_bytes(8, "little") + ranks)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(blobs, pa.binary())], names=["id", "k1", "k2", "blob"])
-
-    def rare(batches):
-        for batch in batches:
-            row, place, words = [], [], []
-            for i, blob in enumerate(batch.column(3).to_pylist()):
-                text = blob[8 + int.from_bytes(blob[:8], "little") :]
-                if text:
-                    found = [w.replace("\1a", "\0").replace("\1b", "\1") for w in text.decode().split("\0")]
-                    row += [i] * len(found)
-                    place += range(len(found))
-                    words += found
-            row = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(row), batch.column(2).take(row), pa.array(place, pa.int32()), pa.array(words, pa.string())], names=["k1", "k2", "place", "word"])
-
-    frames = docs.select("id", "k1", "k2", "text").mapInArrow(frame, f"id {kind}, k1 long, k2 long, blob binary").repartition("k1", "k2")
-    places = frames.mapInArrow(rare, "k1 long, k2 long, place int, word string")
-    filled = places.join(words.select("word", "ids"), "word").groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("found"))
-    joined = frames.join(filled, ["k1", "k2"], "left").select("id", "blob", F.col("found.ids").alias("found"))
-
-    def fill(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for a in range(0, len(batch), 1000):
-                part = batch.slice(a, 1000)
-                rows = zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)
-                out = [known.value.ids(plane_ranks(unpack(f[8 : 8 + int.from_bytes(f[:8], "little")])), [np.frombuffer(x, np.uint32) for x in found or []]).astype("<u4").tobytes() for f, found in rows]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["id", "ids"])
+    ranks, kinds = spark.sparkContext.broadcast(read_ranks(ranks_path)), spark.sparkContext.broadcast(classes())
+    buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = chunk_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), kinds, buckets).repartition("key")
+
+    def fill(texts: pa.Table, words: pa.Table) -> pa.Table:
+        return _filled(texts, words, pa.schema([("id", texts.schema.field("ids").type.value_type), ("ids", pa.binary())]), Packer())
 
-    return joined.mapInArrow(fill, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    filled = rows.groupBy("key").cogroup(encode_words(rows, ranks).groupBy("key")).applyInArrow(fill, f"id {kind}, ids binary")
+    return filled.withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """tokens with the column decoded: the bytes of its ids, by the token-byte table, a broadcast of the vocabulary's size."""
     ranks = read_ranks(ranks_path)
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    count = max(ranks.values(), default=-1) + 1
+    tokens_of = [b""] * count
     for token, rank in ranks.items():
-        table[rank] = token
-    table = tokens.sparkSession.sparkContext.broadcast(table)
+        tokens_of[rank] = token
+    sizes = np.array([len(t) for t in tokens_of], np.int64)
+    table = tokens.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(tokens_of), np.uint8), sizes, np.cumsum(sizes) - sizes))
 
     def run(batches):
+        flat, size, begin = table.value
         for batch in batches:
-            get = table.value.__getitem__
-            for a in range(0, len(batch), 1000):
-                part = batch.slice(a, 1000)
-                out = [None if x is None else b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in part.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
+            for a, b, part in _runs(batch.column(ids_col)):
+                ids = np.frombuffer(b"".join(x or b"" for x in part), "<u4")
+                n = size[ids]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                data = flat[np.repeat(begin[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+                bounds = ends[np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in part])])].tolist()
+                out = [None if x is None else data[u:v] for x, u, v in zip(part, bounds, bounds[1:], strict=False)]
+                rows = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.binary())], names=[*rows.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + ", decoded binary")
+
+
+def _runs(column: pa.Array):
+    """(first row, row after the last, values) of runs of values of about BLOCK ids."""
+    values = column.to_pylist()
+    a, held = 0, 0
+    for b, x in enumerate(values, 1):
+        held += len(x or b"")
+        if held > 4 * BLOCK or b == len(values):
+            yield a, b, values[a:b]
+            a, held = b, 0

@@ -2,7 +2,7 @@
 
 A block is a run of whole texts of about BLOCK bytes (one text alone where it is longer), so memory
 follows the longest text and not the table. Words are runs of bytes other than 0x20 and 0x09-0x0D.
-Hashes are 64-bit; equality of words, lines and shingles is equality of hashes.
+Within a text, words, lines and shingles count as equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -11,36 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-class _Kept(dict):
-    """Tables that each process makes for itself: functions travel to tasks without them."""
-
-    def __reduce__(self):
-        return _Kept, ()
-
-
-_powers: dict[int, np.ndarray] = _Kept()
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0..n modulo 2**64."""
-    kept = _powers.get(base)
-    if kept is None or len(kept) <= n:
-        kept = np.full(max(n, 2 * BLOCK) + 1, base, np.uint64)
-        kept[0] = 1
-        np.multiply.accumulate(kept, out=kept)
-        if len(kept) <= 16 * BLOCK:
-            _powers[base] = kept
-    return kept
+ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Longer ranges are hashed by xxh64, one at a time.
+MOST_LANES = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,15 +50,50 @@ def blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.n
 
 
 class Hasher:
-    """Hashes of byte ranges of one block, by prefix sums of byte * base**position."""
+    """64-bit hashes of ranges of one block of bytes or code points, eight bytes at a time.
+
+    Every step scrambles what came before, so no pattern of letters brings two ranges together, as it
+    would in a polynomial modulo a power of two. Ranges of up to eight bytes without a zero at the end
+    differ in their hash for sure. Ranges over MOST_LANES steps are hashed by xxh64.
+    """
 
     def __init__(self, data: np.ndarray):
-        self.n = len(data)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, self.n)[: self.n], out=self.sums[1:])
+        self.item = data.itemsize
+        self.step = 8 // self.item
+        self.bytes = np.concatenate([data.view(np.uint8), np.zeros(8, np.uint8)])
+        self.lanes = np.ndarray((len(data) + 1,), "<u8", self.bytes, strides=(self.item,))
+        self.masks = np.array([(1 << 8 * self.item * i) - 1 for i in range(self.step + 1)], np.uint64)
+
+    def lane(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The first eight bytes from each start, zero from size on."""
+        return self.lanes[start] & self.masks[np.minimum(size, self.step)]
+
+    def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+        """Whether the ranges of these sizes from a and from b are equal, each to each."""
+        left, done = np.flatnonzero(a != b), 0
+        view = memoryview(self.bytes)
+        while len(left) and done < self.step * MOST_LANES:
+            x, y, n = a[left] + done, b[left] + done, size[left] - done
+            if (self.lane(x, n) != self.lane(y, n)).any():
+                return False
+            done += self.step
+            left = left[size[left] > done]
+        part = lambda at, n: view[int(at) * self.item : int(at + n) * self.item]
+        return all(part(a[i], size[i]) == part(b[i], size[i]) for i in left)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * powers(INVERSE, self.n)[start] + (end - start).astype(np.uint64))
+        size = end - start
+        h = mix((size.astype(np.uint64) + np.uint64(1)) * ODD ^ mix(self.lane(start, size)))
+        done, most = self.step, self.step * MOST_LANES
+        left = np.flatnonzero((size > done) & (size <= most))
+        while len(left):
+            h[left] = mix(h[left] * ODD ^ mix(self.lane(start[left] + done, size[left] - done)))
+            done += self.step
+            left = left[size[left] > done]
+        view = memoryview(self.bytes)
+        for i in np.flatnonzero(size > most):
+            h[i] = xxhash.xxh64_intdigest(view[int(start[i]) * self.item : int(end[i]) * self.item])
+        return h
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +134,7 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     chain = h.copy()
     for i in range(1, k):
         chain = chain[:-1] if len(chain) else chain
-        chain = mix(chain * np.uint64(BASE) + h[i : i + len(chain)])
+        chain = mix(chain * ODD + h[i : i + len(chain)])
     out = []
     for t in range(words.n):
         a, m = int(words.first[t]), int(words.count[t])
@@ -128,7 +143,7 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
         elif m:
             one = h[a : a + 1]
             for i in range(1, m):
-                one = mix(one * np.uint64(BASE) + h[a + i : a + i + 1])
+                one = mix(one * ODD + h[a + i : a + i + 1])
             out.append(mix(one + np.uint64(m)))
         else:
             out.append(np.zeros(0, np.uint64))
