@@ -76,6 +76,11 @@ def hit_id(path, line, column) -> Column:
     return F.substring(F.sha1(F.concat_ws(":", col(path), col(line).cast("string"), col(column).cast("string"))), 1, 16)
 
 
+def trimmed(text) -> Column:
+    """Without white space at both ends: blanks, tabs and line ends."""
+    return F.regexp_replace(col(text), r"^\s+|\s+$", "")
+
+
 def anchor_key(text) -> Column:
     return F.trim(F.regexp_replace(col(text), r"\s+", " "))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltstone.functions.columns import col, path_base, quoted
+from siltstone.functions.columns import col, path_base, path_prefixes, quoted
 
 
 def glob_to_regex(glob: str) -> str:
@@ -100,28 +101,79 @@ def name_condition(query: str, name="name", path="path") -> Column:
     return by_name & all_of([path_condition(p, path) for p in paths])
 
 
-def exclusion_rules(text: str) -> list[tuple[int, str, bool, bool]]:
-    """(number, pattern, negated, folders only) of gitignore lines."""
+def segment_regex(glob: str) -> str | None:
+    """A pattern for one segment: `*`, `?`, classes `[a-z]` and `[^a-z]`, and `\\` before a literal; None where it can't be read, which matches nothing."""
+    out, i = "", 0
+    while i < len(glob):
+        c = glob[i]
+        if c == "*":
+            out += "[^/]*"
+        elif c == "?":
+            out += "[^/]"
+        elif c == "\\":
+            i += 1
+            if i == len(glob):
+                return None
+            out += quoted(glob[i])
+        elif c == "[":
+            found = re.match(r"\[(\^?)((?:\\.|[^\\\]])+)\]", glob[i:])
+            if not found:
+                return None
+            body = re.sub(r"\\(.)|(.)", lambda m: "-" if m[2] == "-" else "\\" + (m[1] or m[2]) if not (m[1] or m[2]).isalnum() else m[1] or m[2], found[2])
+            out += f"(?!/)[{found[1]}{body}]"
+            i += len(found[0]) - 1
+        else:
+            out += quoted(c)
+        i += 1
+    return out
+
+
+def ignore_regex(pattern: str, rooted: bool) -> str | None:
+    """A path pattern of gitignore: `**` is any number of segments where it is one by itself; without a slash it fits the last segment at any depth."""
+    segments = pattern.split("/")
+    parts = [None if s == "**" else segment_regex(s) for s in segments]
+    if any(p is None and s != "**" for p, s in zip(parts, segments, strict=True)):
+        return None
+    if not rooted:
+        return f"^(?:.*/)?{parts[0] if parts[0] is not None else '[^/]*'}$"
+    out = ""
+    for i, part in enumerate(parts):
+        last = i == len(parts) - 1
+        if part is None:
+            out += ".+" if last else "(?:[^/]+/)*"
+        else:
+            out += part + ("" if last else "/")
+    return f"^{out}$"
+
+
+def exclusion_rules(text: str) -> list[tuple[str, bool, bool]]:
+    """(pattern, negated, folders only) of gitignore lines."""
     rules = []
     for line in text.splitlines():
         line = line.rstrip()
-        if not line or line.startswith("#"):
+        if line.startswith("#"):
             continue
-        negated, line = line.startswith("!"), line.removeprefix("!").removeprefix("\\")
-        folders, line = line.endswith("/"), line.rstrip("/")
-        rooted = "/" in line
-        body = glob_to_regex(line.removeprefix("/"))[1:-1]
-        rules.append((len(rules), f"^{body}$" if rooted else f"^(.*/)?{body}$", negated, folders))
+        negated = line.startswith("!")
+        line = line[1:] if negated or line.startswith("\\") else line
+        folders, line = line.endswith("/"), line.removesuffix("/")
+        rooted, line = line.startswith("/"), line.removeprefix("/")
+        if line and (pattern := ignore_regex(line, rooted or "/" in line)):
+            rules.append((pattern, negated, folders))
     return rules
 
 
-def excluded_prefix(prefix, is_dir, rules: list[tuple[int, str, bool, bool]]) -> Column:
-    """The verdict on one path by the last rule that matches it."""
-    out = F.lit(False)
-    for _, pattern, negated, folders in rules:  # later rules wrap earlier ones
-        hit = col(prefix).rlike(pattern) & (col(is_dir) if folders else F.lit(True))
-        out = F.when(hit, F.lit(not negated)).otherwise(out)
-    return out
+def excluded(path, text: str) -> Column:
+    """Whether gitignore rules exclude a file: the last rule that fits a path decides on it, and a folder that is out takes all below it along."""
+    rules, whole = exclusion_rules(text), col(path)
+
+    def out(prefix):
+        verdict = F.lit(False)
+        for pattern, negated, folders in rules:  # later rules wrap earlier ones
+            hit = prefix.rlike(pattern) & (prefix != whole) if folders else prefix.rlike(pattern)
+            verdict = F.when(hit, F.lit(not negated)).otherwise(verdict)
+        return verdict
+
+    return F.exists(path_prefixes(whole), out) if rules else F.lit(False)
 
 
 def zero_hit_looks_like_regex(pattern: str) -> bool:

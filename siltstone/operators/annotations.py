@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.columns import anchor_key, usable_anchor
+from siltstone.functions.columns import anchor_key, trimmed, usable_anchor
 
-UNVERIFIED = ("unverified", "todo", "?", "unsure")
+#: The marks that a memo begins with where what it says has not been checked.
+UNVERIFIED = ("[未確認]", "[未読]", "[推測]", "[unverified]", "[inferred]")
 
 
 def drifted(notes: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def drifted(notes: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
     held = files.select("path").distinct().withColumn("_file", F.lit(True))
     joined = notes.join(now, ["path", "line_no"], "left").join(held, "path", "left")
     status = F.when(F.col("pinned").isNull(), "skipped").when(F.col("_file").isNull(), "file_gone").when(F.col("now").isNull(), "line_missing")
-    status = status.when(F.trim("now") == F.trim("pinned"), "kept").otherwise("drifted")
+    status = status.when(trimmed("now") == trimmed("pinned"), "kept").otherwise("drifted")
     return joined.withColumn("status", status).drop("_file", "now")
 
 
@@ -45,9 +46,9 @@ def unique_heal(notes: DataFrame, lines: DataFrame, files: DataFrame) -> DataFra
 
 
 def _apply(at: Column, edit: Column) -> Column:
-    """A line number after one edit (insert: delta > 0 rows from from_line; delete: -delta rows from from_line); null where it is deleted."""
+    """A line number after one edit: lines from from_line on move by delta; a delta below 0 takes away the lines just before from_line, and what stood there is null."""
     f, d = edit["from_line"], edit["delta"]
-    inside = (d < 0) & (at >= f) & (at < f - d)
+    inside = (d < 0) & (at >= f + d) & (at < f)
     return F.when(at.isNull() | inside, None).when(at >= f, at + d).otherwise(at)
 
 
@@ -55,25 +56,39 @@ def _edit_lists(edits: DataFrame) -> DataFrame:
     return edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "from_line", "delta"))).alias("edits"))
 
 
+def _edits_or_none() -> Column:
+    return F.coalesce("edits", F.array().cast("array<struct<seq:int,from_line:int,delta:int>>"))
+
+
 def shift_points(notes: DataFrame, edits: DataFrame) -> DataFrame:
-    """notes with new_line and fate (moved, same, dropped) after all edits of their file in order."""
+    """notes with new_line and fate (moved, same, dropped) after all edits(path, seq, from_line, delta) of their file in order."""
     joined = notes.join(_edit_lists(edits), "path", "left")
-    new = F.aggregate(F.coalesce("edits", F.array().cast("array<struct<seq:int,from_line:int,delta:int>>")), F.col("line_no"), _apply)
+    new = F.aggregate(_edits_or_none(), F.col("line_no"), _apply)
     fate = F.when(F.col("new_line").isNull(), "dropped").when(F.col("new_line") != F.col("line_no"), "moved").otherwise("same")
     return joined.withColumn("new_line", new).withColumn("fate", fate).drop("edits")
 
 
-def shift_ranges(ranges: DataFrame, from_line: int, delta: int) -> DataFrame:
-    """ranges(start_line, end_line) after one edit: both ends deleted: dropped; a deleted start begins at the region, a deleted end ends before it; an insert inside moves the end only."""
-    s, e = F.col("start_line"), F.col("end_line")
-    if delta >= 0:
-        new_s, new_e = F.when(s >= from_line, s + delta).otherwise(s), F.when(e >= from_line, e + delta).otherwise(e)
-    else:
-        past = from_line - delta
-        s_in, e_in = (s >= from_line) & (s < past), (e >= from_line) & (e < past)
-        new_s = F.when(s_in & e_in, None).when(s_in, from_line).when(s >= past, s + delta).otherwise(s)
-        new_e = F.when(s_in & e_in, None).when(e_in, from_line - 1).when(e >= past, e + delta).otherwise(e)
-    return ranges.withColumn("new_start", new_s).withColumn("new_end", new_e)
+def _apply_range(at: Column, edit: Column) -> Column:
+    """A range after one edit. Both ends taken away: none is left; the start alone: it begins where the rest moves to; the end alone: it ends before that; an edit inside moves the end."""
+    s, e, f, d = at["s"], at["e"], edit["from_line"], edit["delta"]
+    gone = lambda x: (d < 0) & (x >= f + d) & (x < f)
+    pair = lambda x, y: F.struct(x.alias("s"), y.alias("e"))
+    return (
+        F.when(at.isNull() | (gone(s) & gone(e)), None)
+        .when(gone(s), pair(f + d, e + d))
+        .when(gone(e), pair(s, f + d - 1))
+        .when(s >= f, pair(s + d, e + d))
+        .when(e >= f, pair(s, F.greatest(s, e + d)))
+        .otherwise(at)
+    )
+
+
+def shift_ranges(ranges: DataFrame, edits: DataFrame) -> DataFrame:
+    """ranges(path, start_line, end_line) with new_start and new_end after all edits of their file in order; null where the range is dropped."""
+    joined = ranges.join(_edit_lists(edits), "path", "left")
+    start = F.struct(F.col("start_line").cast("int").alias("s"), F.col("end_line").cast("int").alias("e"))
+    joined = joined.withColumn("_at", F.aggregate(_edits_or_none(), start, _apply_range))
+    return joined.withColumn("new_start", F.col("_at.s")).withColumn("new_end", F.col("_at.e")).drop("_at", "edits")
 
 
 def list_annotations(points: DataFrame, ranges: DataFrame, path: str | None = None, category: str | None = None) -> DataFrame:
@@ -103,10 +118,11 @@ def memo_join(lines: DataFrame, categories: DataFrame, sources: DataFrame, pins:
 
 
 def unverified(notes: DataFrame, tags: tuple = UNVERIFIED) -> DataFrame:
-    memo = F.lower(F.trim("memo"))
+    """The notes whose memo begins, behind white space and whatever its case, with a mark of what is not checked."""
+    memo = F.lower(F.regexp_replace("memo", r"^\s+", ""))
     hit = F.lit(False)
     for t in tags:
-        hit = hit | memo.startswith(t)
+        hit = hit | memo.startswith(t.lower())
     return notes.filter(hit)
 
 

@@ -25,16 +25,20 @@ def part_refs(lineitem: DataFrame, symbols: DataFrame) -> DataFrame:
     return steps.join(symbols.select("p_partkey", "path", "is_header"), "p_partkey").join(target, "next").select("path", "is_header", "name")
 
 
+def _facts(symbols: DataFrame) -> DataFrame:
+    """(name, n, file, static) over implementation files: what headers hold is no definition."""
+    return symbols.filter("NOT is_header").groupBy("name").agg(F.count_distinct("path").alias("n"), F.min("path").alias("file"), F.bool_and("is_static").alias("static"))
+
+
 def resolve_refs(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(src, name, def, verdict) for distinct (source file, symbol) pairs; unknown names are ignored.
+    """(src, name, def, verdict) for distinct (source file, symbol) pairs; names that no implementation file defines are ignored outside headers.
 
-    header: the source is a header. edge or self: the symbol has one defining file, or the source
-    defines it. static: all its definitions are static and elsewhere. ambiguous: several files define
-    it; none is picked.
+    header: the source is a header, whatever the name. self: the source defines the symbol. static: all
+    its definitions are static and elsewhere. edge: the symbol has one defining file. ambiguous: several
+    files define it; none is picked. Only implementation files define.
     """
-    facts = symbols.groupBy("name").agg(F.count_distinct("path").alias("n"), F.min("path").alias("file"), F.bool_and("is_static").alias("static"))
-    own = symbols.select("name", F.col("path").alias("src")).distinct().withColumn("own", F.lit(True))
-    pairs = refs.select(F.col("path").alias("src"), "is_header", "name").distinct().join(facts, "name").join(own, ["name", "src"], "left")
+    own = symbols.filter("NOT is_header").select("name", F.col("path").alias("src")).distinct().withColumn("own", F.lit(True))
+    pairs = refs.select(F.col("path").alias("src"), "is_header", "name").distinct().join(_facts(symbols), "name", "left").filter("is_header OR n IS NOT NULL").join(own, ["name", "src"], "left")
     mine = F.col("own").isNotNull()
     verdict = F.when(F.col("is_header"), "header").when(mine, "self").when(F.col("static"), "static").when(F.col("n") == 1, "edge").otherwise("ambiguous")
     target = F.when(verdict == "edge", F.col("file")).when(verdict == "self", F.col("src"))
@@ -46,20 +50,22 @@ def file_edges(resolved: DataFrame) -> DataFrame:
     return resolved.filter("verdict = 'edge'").groupBy("src", "def").agg(F.count_distinct("name").alias("count"), F.array_sort(F.collect_set("name")).alias("syms"))
 
 
-def omitted(resolved: DataFrame) -> DataFrame:
-    """One row: what the map leaves out."""
-    of = lambda v: F.col("verdict") == v
-    return resolved.agg(F.count_distinct(F.when(of("ambiguous"), F.col("name"))).alias("same_name_symbols"), F.count_if(of("ambiguous")).alias("same_name_refs"), F.count_if(of("static")).alias("static_refs"), F.count_if(of("header")).alias("header_refs"))
+def omitted(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One row: what the map leaves out: names with several implementations, referred to or not, and the references that were ambiguous, static or from headers."""
+    of = lambda v: F.count_if(F.col("verdict") == v)
+    left_out = resolved.agg(of("ambiguous").alias("same_name_refs"), of("static").alias("static_refs"), of("header").alias("header_refs"))
+    return _facts(symbols).agg(F.count_if(F.col("n") > 1).alias("same_name_symbols")).crossJoin(left_out)  # one row each
 
 
 def _fold(edges: DataFrame, src: Column, dst: Column, *more: str) -> DataFrame:
-    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.slice("syms", 1, SAMPLE)))))
+    """Edges between groups with the first SAMPLE symbols by name; capped where there are more: each edge gives one over, so that it shows."""
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.slice("syms", 1, SAMPLE + 1)))))
     folded = edges.withColumn("from", src).withColumn("to", dst).filter("from <> to")
     return folded.groupBy(*more, "from", "to").agg(F.sum("count").alias("count"), F.slice(names, 1, SAMPLE).alias("syms"), (F.size(names) > SAMPLE).alias("capped"))
 
 
 def overview(edges: DataFrame, depth: int) -> DataFrame:
-    """Edges between folders of a depth with the first SAMPLE symbols by name; each edge gives its own first ones."""
+    """Edges between folders of a depth."""
     return _fold(edges, group_prefix("src", depth), group_prefix("def", depth))
 
 

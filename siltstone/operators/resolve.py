@@ -93,22 +93,32 @@ def included_by(resolved: DataFrame, basename: str) -> DataFrame:
     return resolved.filter(path_base("dst") == basename).select("dst", "src")
 
 
+#: Kinds that can't be called.
+NON_CALLABLE = ("struct", "union", "enum", "enumerator", "enum_member", "typedef", "member", "field")
+
+
 def rank_callee_definition(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """edges(caller_path, callee) with the best definition, how many there are, and the confidence in it.
 
-    Score: func 100, define 50, .c 10, .h 5, same folder 1000, else 100 for each leading segment shared.
-    confidence: high for one candidate or a lead of 500, medium for a lead of 100, else low.
+    Score: func 100, define 50, an implementation file 10, a header 5, the same folder 1000, else 100
+    for each leading segment shared. confidence: low without a definition; high for one candidate, a
+    score of 1000, or a lead of 100; medium for a score of 100; else low. likely_macro: no definition
+    or defines only; likely_non_callable: definitions of kinds only that can't be called.
     """
     joined = edges.join(symbols.withColumnRenamed("name", "callee"), "callee", "left")
     kind = F.when(F.col("kind") == "func", 100).when(F.col("kind") == "define", 50).otherwise(0)
-    ext = F.when(path_ext("path") == ".c", 10).when(path_ext("path") == ".h", 5).otherwise(0)
+    ext = F.when(path_ext("path").isin(*IMPLEMENTATION), 10).when(path_ext("path").isin(*HEADERS), 5).otherwise(0)
     near = F.when(path_dir("path") == path_dir("caller_path"), 1000).otherwise(100 * common_segments(path_dir("caller_path"), path_dir("path")))
     joined = joined.withColumn("score", F.when(F.col("path").isNotNull(), kind + ext + near))
     by = Window.partitionBy("caller_path", "callee").orderBy(F.desc_nulls_last("score"), "path")
     every = Window.partitionBy("caller_path", "callee")
     joined = joined.withColumn("_k", F.row_number().over(by)).withColumn("gap", F.col("score") - F.lead("score").over(by)).withColumn("candidates", F.count("path").over(every))
+    only = lambda c: F.bool_and(F.coalesce(c, F.lit(False))).over(every)
+    joined = joined.withColumn("likely_macro", (F.col("candidates") == 0) | only(F.col("kind") == "define"))
+    joined = joined.withColumn("likely_non_callable", (F.col("candidates") > 0) & only(F.col("kind").isin(*NON_CALLABLE)))
     best = joined.filter("_k = 1").drop("_k")
-    confidence = F.when(F.col("candidates") == 0, "none").when(F.col("gap").isNull() | (F.col("gap") >= 500), "high").when(F.col("gap") >= 100, "medium").otherwise("low")
+    sure = (F.col("candidates") == 1) | (F.col("score") >= 1000) | (F.col("gap") >= 100)
+    confidence = F.when(F.col("candidates") == 0, "low").when(sure, "high").when(F.col("score") >= 100, "medium").otherwise("low")
     return best.withColumn("confidence", confidence).drop("gap")
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import patterns as P
-from siltstone.functions.columns import hit_id, path_base, path_dir, path_ext, path_prefixes, quoted
+from siltstone.functions.columns import hit_id, path_dir, path_ext, path_prefixes, quoted, trimmed
 
 SITE_LENGTH = 200
+#: Extensions of source files.
+SOURCE_FILES = (".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hh", ".java")
 
 
 def files_from_table(df: DataFrame, path: Column, text: str) -> DataFrame:
@@ -63,17 +65,9 @@ def refine_refs(refs: DataFrame, expr: str, func: str | None = None) -> DataFram
     return refs.filter(P.refine_refs_condition(expr, func=func))
 
 
-def exclusion_verdicts(df: DataFrame, rules: str) -> DataFrame:
-    """(path) of the files that gitignore rules exclude; a file in an excluded folder can't be taken back."""
-    compiled = P.exclusion_rules(rules)
-    prefixes = df.select("path").distinct().select("path", F.explode(path_prefixes("path")).alias("prefix"))
-    prefixes = prefixes.withColumn("is_dir", F.col("prefix") != F.col("path"))
-    return prefixes.filter(P.excluded_prefix("prefix", "is_dir", compiled)).select("path").distinct()
-
-
 def exclude(df: DataFrame, rules: str) -> DataFrame:
-    """df without the rows of excluded files: a left anti join on path."""
-    return df.join(exclusion_verdicts(df, rules), "path", "left_anti")
+    """df without the rows of excluded files: one condition on the path, no join; a file in an excluded folder can't be taken back."""
+    return df.filter(~P.excluded("path", rules))
 
 
 def code_hits(hits: DataFrame, code_lines: DataFrame, word: str) -> DataFrame:
@@ -82,13 +76,14 @@ def code_hits(hits: DataFrame, code_lines: DataFrame, word: str) -> DataFrame:
 
 
 def classify_line(text) -> Column:
-    t = F.trim(text)
+    """The kind of symbol that one line of source defines; the order of the tests matters."""
+    t = trimmed(text)
     brace, paren = F.instr(t, "{"), F.instr(t, "(")
     call = (paren > 0) & ((brace == 0) | (paren < brace))
     return (
-        F.when(t.rlike(r"^#\s*define\b"), "define").when(t.startswith("}"), "typedef_close").when(call, "func")
-        .when(t.rlike(r"\bstruct\b"), "struct").when(t.rlike(r"\benum\b"), "enum").when(t.rlike(r"\bunion\b"), "union")
-        .when(text.rlike(r"^[ \t]"), "enum_member").when(t.rlike(r"^[A-Za-z_][A-Za-z0-9_]*,?$"), "enum_member").otherwise("func")
+        F.when(t.rlike(r"^#\s*define\s+\w"), "define").when(t.startswith("}"), "typedef_close").when(call, "func")
+        .when(t.contains("struct"), "struct").when(t.contains("enum"), "enum").when(t.contains("union"), "union")
+        .when(text.rlike(r"^[ \t]"), "enum_member").when(t.rlike(r"^[A-Za-z_]\w*(\s*=\s*[^,{}();]+)?\s*,?\s*$"), "enum_member").otherwise("func")
     )
 
 
@@ -142,11 +137,13 @@ def zero_hit_reason(files: DataFrame, pattern: str, globs: str) -> DataFrame:
 
 
 def snippets(hits: DataFrame, lines: DataFrame, n: int = 6) -> DataFrame:
-    """hits with snippet: up to n lines on both sides, clipped at the file's ends, each marked is_match or not."""
-    run = Window.partitionBy("path").orderBy("line_no").rowsBetween(-n, n)
-    marked = lines.join(hits.select("path", "line_no").distinct().withColumn("_hit", F.lit(True)), ["path", "line_no"], "left")
-    lists = F.collect_list(F.struct(F.col("line_no").alias("line"), "text")).over(run)
-    near = marked.withColumn("_near", lists).filter("_hit").select("path", "line_no", F.transform("_near", lambda s: F.struct(s["line"].alias("line"), s["text"].alias("text"), (s["line"] == F.col("line_no")).alias("is_match"))).alias("snippet"))
+    """hits with snippet: up to n lines on both sides, clipped at the file's ends, each marked is_match or not.
+
+    Each hit asks for its 2 n + 1 line numbers and these are joined by file and line, so the work follows the hits.
+    """
+    asked = hits.select("path", "line_no").distinct().select("path", "line_no", F.explode(F.sequence(F.col("line_no") - n, F.col("line_no") + n)).alias("line"))
+    row = F.struct("line", "text", (F.col("line") == F.col("line_no")).alias("is_match"))
+    near = asked.join(lines.select("path", F.col("line_no").alias("line"), "text"), ["path", "line"]).groupBy("path", "line_no").agg(F.array_sort(F.collect_list(row)).alias("snippet"))
     return hits.join(near, ["path", "line_no"])
 
 
@@ -208,7 +205,7 @@ def rank_by_tag(defs: DataFrame, tag: str) -> DataFrame:
     return defs.withColumn("new_pos", F.row_number().over(Window.partitionBy("name").orderBy((F.col("kind") != tag), "pos")))
 
 
-def demote_non_source(defs: DataFrame, extensions: tuple = (".c", ".h", ".cc", ".cpp", ".hpp", ".txt")) -> DataFrame:
+def demote_non_source(defs: DataFrame, extensions: tuple = SOURCE_FILES) -> DataFrame:
     return defs.withColumn("new_pos", F.row_number().over(Window.partitionBy("name").orderBy(~path_ext("path").isin(*extensions), "pos")))
 
 
@@ -244,7 +241,3 @@ def foreign_rows(df: DataFrame, root: str) -> DataFrame:
 def decl_pattern_filter(sites: DataFrame, word: str) -> DataFrame:
     """sites(path, line_no, text, func) without rows at file scope that look like a prototype."""
     return sites.filter(F.col("func").isNotNull() | ~F.col("text").rlike(rf"\b{quoted(word)}\s*\("))
-
-
-def basename_hits(df: DataFrame, name: str) -> DataFrame:
-    return df.filter(path_base("path") == name)

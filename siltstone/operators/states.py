@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.columns import common_prefix
+from siltstone.functions.columns import common_prefix, trimmed
 
 MOST_STATES = 48
 
@@ -17,9 +17,10 @@ def event_transitions(events: DataFrame, key: str, order: list[str], state: str)
 
 
 def classify_rhs(rhs) -> Column:
-    """(kind, value): one capitalised name, without outer brackets, is a state; anything else an expression."""
-    bare = F.regexp_replace(F.trim(rhs), r"^\(+\s*|\s*\)+$", "")
-    return F.when(bare.rlike(r"^[A-Z][A-Za-z0-9_]*$"), F.struct(F.lit("state").alias("kind"), bare.alias("value"))).otherwise(F.struct(F.lit("expr").alias("kind"), F.trim(rhs).alias("value")))
+    """(kind, value): one capitalised name is a state, also in one pair of brackets that holds no other; anything else an expression."""
+    t = trimmed(rhs)
+    bare = F.when(t.rlike(r"^\([^()]*\)$"), trimmed(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+    return F.struct(F.when(bare.rlike(r"^[A-Z][A-Za-z0-9_]*$"), "state").otherwise("expr").alias("kind"), bare.alias("value"))
 
 
 def state_summary(transitions: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.columns import parse_int_literal
 from siltstone.functions.evaluate import eval_condition, eval_const
 from siltstone.operators.resolve import enclosing_function
 
@@ -227,5 +226,3 @@ def callers(edges: DataFrame, mentions: DataFrame, word: str) -> DataFrame:
     return both.withColumn("_k", F.row_number().over(Window.partitionBy("path", key).orderBy("indirect", "line_no"))).filter("_k = 1").drop("_k")
 
 
-def literal_value(text) -> Column:
-    return parse_int_literal(text)

@@ -8,15 +8,15 @@ from siltstone.sources import table
 
 SYMS = """syms AS (SELECT p_partkey, p_brand || '|' || p_type || '|' || p_size AS name, p_brand || '/' || p_type || '/part_' || p_partkey AS path, p_size % 10 = 0 AS is_static, p_size < 3 AS is_header FROM part),
 refs AS (SELECT DISTINCT a.path AS src, a.is_header, b.name FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nxt FROM lineitem) l JOIN syms a ON a.p_partkey = l.l_partkey JOIN syms b ON b.p_partkey = l.nxt),
-facts AS (SELECT name, count(DISTINCT path) AS n, min(path) AS file, bool_and(is_static) AS static FROM syms GROUP BY name),
+impl AS (SELECT * FROM syms WHERE NOT is_header), facts AS (SELECT name, count(DISTINCT path) AS n, min(path) AS file, bool_and(is_static) AS static FROM impl GROUP BY name),
 resolved AS (SELECT src, name, CASE verdict WHEN 'edge' THEN file WHEN 'self' THEN src END AS def, verdict FROM (
-  SELECT r.src, r.name, f.file, CASE WHEN r.is_header THEN 'header' WHEN EXISTS (SELECT 1 FROM syms s WHERE s.name = r.name AND s.path = r.src) THEN 'self' WHEN f.static THEN 'static' WHEN f.n = 1 THEN 'edge' ELSE 'ambiguous' END AS verdict
-  FROM refs r JOIN facts f ON f.name = r.name))"""
+  SELECT r.src, r.name, f.file, CASE WHEN r.is_header THEN 'header' WHEN EXISTS (SELECT 1 FROM impl s WHERE s.name = r.name AND s.path = r.src) THEN 'self' WHEN f.static THEN 'static' WHEN f.n = 1 THEN 'edge' ELSE 'ambiguous' END AS verdict
+  FROM refs r LEFT JOIN facts f ON f.name = r.name WHERE r.is_header OR f.name IS NOT NULL))"""
 EDGES = SYMS + ", edges AS (SELECT src, def, count(DISTINCT name) AS count, list_sort(list(DISTINCT name)) AS syms FROM resolved WHERE verdict = 'edge' GROUP BY src, def)"
 
 
 def _fold(src: str, dst: str, more: str = "", source: str = "edges") -> str:
-    return f"""SELECT {more}"from", "to", CAST(sum(count) AS BIGINT) AS count, array_to_string(list_slice(list_sort(list_distinct(flatten(list(syms[1:8])))), 1, 8), ',') AS syms, len(list_distinct(flatten(list(syms[1:8])))) > 8 AS capped
+    return f"""SELECT {more}"from", "to", CAST(sum(count) AS BIGINT) AS count, array_to_string(list_slice(list_sort(list_distinct(flatten(list(syms)))), 1, 8), ',') AS syms, len(list_distinct(flatten(list(syms)))) > 8 AS capped
 FROM (SELECT *, {src} AS "from", {dst} AS "to" FROM {source}) WHERE "from" <> "to" GROUP BY {more}"from", "to\""""
 
 
@@ -46,9 +46,9 @@ def resolve_refs(spark, sf_dir):
     return resolved(spark, sf_dir)
 
 
-@query(f"WITH {SYMS} SELECT count(DISTINCT name) FILTER (verdict = 'ambiguous') AS same_name_symbols, count(*) FILTER (verdict = 'ambiguous') AS same_name_refs, count(*) FILTER (verdict = 'static') AS static_refs, count(*) FILTER (verdict = 'header') AS header_refs FROM resolved")
+@query(f"WITH {SYMS} SELECT (SELECT count(*) FROM facts WHERE n > 1) AS same_name_symbols, count(*) FILTER (verdict = 'ambiguous') AS same_name_refs, count(*) FILTER (verdict = 'static') AS static_refs, count(*) FILTER (verdict = 'header') AS header_refs FROM resolved")
 def omitted_refs(spark, sf_dir):
-    return R.omitted(resolved(spark, sf_dir))
+    return R.omitted(resolved(spark, sf_dir), _symbols(spark, sf_dir))
 
 
 @query(f"WITH {EDGES} SELECT src, def, count, array_to_string(syms, ',') AS syms FROM edges")

@@ -49,17 +49,17 @@ def nearest_level(spark, sf_dir):
 
 
 SCORED = f"""{DEFS}, calls AS (SELECT path AS caller_path, name AS callee FROM defs WHERE p_partkey % 20 = 9 UNION SELECT path, 'unknown' FROM defs WHERE p_partkey % 100 = 9),
-scored AS (SELECT c.*, d.path, d.kind, CASE WHEN d.path IS NOT NULL THEN CASE d.kind WHEN 'func' THEN 100 WHEN 'define' THEN 50 ELSE 0 END + CASE WHEN d.path LIKE '%.c' THEN 10 WHEN d.path LIKE '%.h' THEN 5 ELSE 0 END
+scored AS (SELECT c.*, d.path, d.kind, CASE WHEN d.path IS NOT NULL THEN CASE d.kind WHEN 'func' THEN 100 WHEN 'define' THEN 50 ELSE 0 END + CASE WHEN d.path LIKE '%.c' OR d.path LIKE '%.cpp' THEN 10 WHEN d.path LIKE '%.h' THEN 5 ELSE 0 END
   + CASE WHEN split_part(c.caller_path, '/', 1) <> split_part(d.path, '/', 1) THEN 0 WHEN split_part(c.caller_path, '/', 2) <> split_part(d.path, '/', 2) THEN 100 ELSE 1000 END END AS score FROM calls c LEFT JOIN defs d ON d.name = c.callee),
-ranked AS (SELECT *, row_number() OVER w AS k, score - lead(score) OVER w AS gap, count(path) OVER (PARTITION BY caller_path, callee) AS candidates FROM scored WINDOW w AS (PARTITION BY caller_path, callee ORDER BY score DESC NULLS LAST, path))"""
+ranked AS (SELECT *, row_number() OVER w AS k, score - lead(score) OVER w AS gap, count(path) OVER (PARTITION BY caller_path, callee) AS candidates, count(path) FILTER (kind = 'define') OVER (PARTITION BY caller_path, callee) AS defines, count(path) FILTER (kind = 'struct') OVER (PARTITION BY caller_path, callee) AS structs FROM scored WINDOW w AS (PARTITION BY caller_path, callee ORDER BY score DESC NULLS LAST, path))"""
 
 
-@query(f"WITH {SCORED} SELECT caller_path, callee, path, score, candidates, CASE WHEN candidates = 0 THEN 'none' WHEN gap IS NULL OR gap >= 500 THEN 'high' WHEN gap >= 100 THEN 'medium' ELSE 'low' END AS confidence FROM ranked WHERE k = 1")
+@query(f"WITH {SCORED} SELECT caller_path, callee, path, score, candidates, CASE WHEN candidates = 0 THEN 'low' WHEN candidates = 1 OR score >= 1000 OR gap >= 100 THEN 'high' WHEN score >= 100 THEN 'medium' ELSE 'low' END AS confidence, defines = candidates AS likely_macro, candidates > 0 AND structs = candidates AS likely_non_callable FROM ranked WHERE k = 1")
 def rank_definition(spark, sf_dir):
     d = defs(spark, sf_dir)
     calls = d.filter("p_partkey % 20 = 9").select(F.col("path").alias("caller_path"), F.col("name").alias("callee"))
     calls = calls.union(d.filter("p_partkey % 100 = 9").select("path", F.lit("unknown"))).distinct()
-    return R.rank_callee_definition(calls, d.select("name", "path", "kind")).select("caller_path", "callee", "path", "score", "candidates", "confidence")
+    return R.rank_callee_definition(calls, d.select("name", "path", "kind")).select("caller_path", "callee", "path", "score", "candidates", "confidence", "likely_macro", "likely_non_callable")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 3 <> 0 THEN p_type END AS kind FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
@@ -154,9 +154,9 @@ def nearest_level_all(spark, sf_dir):
 SCORED_ALL = SCORED.replace("FROM defs WHERE p_partkey % 20 = 9 UNION", "FROM defs UNION").replace("'unknown' FROM defs WHERE p_partkey % 100 = 9", "'unknown' FROM defs")
 
 
-@query(f"WITH {SCORED_ALL} SELECT caller_path, callee, path, score, candidates, CASE WHEN candidates = 0 THEN 'none' WHEN gap IS NULL OR gap >= 500 THEN 'high' WHEN gap >= 100 THEN 'medium' ELSE 'low' END AS confidence FROM ranked WHERE k = 1")
+@query(f"WITH {SCORED_ALL} SELECT caller_path, callee, path, score, candidates, CASE WHEN candidates = 0 THEN 'low' WHEN candidates = 1 OR score >= 1000 OR gap >= 100 THEN 'high' WHEN score >= 100 THEN 'medium' ELSE 'low' END AS confidence, defines = candidates AS likely_macro, candidates > 0 AND structs = candidates AS likely_non_callable FROM ranked WHERE k = 1")
 def rank_definition_all(spark, sf_dir):
     d = defs(spark, sf_dir)
     calls = d.select(F.col("path").alias("caller_path"), F.col("name").alias("callee"))
     calls = calls.union(d.select("path", F.lit("unknown"))).distinct()
-    return R.rank_callee_definition(calls, d.select("name", "path", "kind")).select("caller_path", "callee", "path", "score", "candidates", "confidence")
+    return R.rank_callee_definition(calls, d.select("name", "path", "kind")).select("caller_path", "callee", "path", "score", "candidates", "confidence", "likely_macro", "likely_non_callable")

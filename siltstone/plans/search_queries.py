@@ -83,12 +83,13 @@ def scope_dir(spark, sf_dir):
     return _files(spark, sf_dir).filter(C.under("path", "SRC5/fr/")).select("path")
 
 
-RULES = "# comment\n/src1/\n*7.txt\n!src2/**/*7.txt\nde/\n!src3/de/3.txt\nsrc4/en/*\n!src4/en/24*.txt\n"
+RULES = "# comment\n/src1/\n*7.txt\n!src2/**/*7.txt\nde/\n!src3/de/3.txt\nsrc4/en/*\n!src4/en/24*.txt\n*[2-3]?.t[xy]t\n!fr/**\nsrc5/*/\\1[^01]*\nsrc*/it/**/x\n[.txt\n"
 
 
 @query(f"""WITH {FILES}, parts AS (SELECT path, string_split(path, '/') AS p FROM files)
 SELECT path FROM parts WHERE NOT (p[1] = 'src1' OR p[2] = 'de'
-  OR (CASE WHEN p[1] = 'src4' AND p[2] = 'en' AND starts_with(p[3], '24') THEN false WHEN p[1] = 'src4' AND p[2] = 'en' THEN true
+  OR (CASE WHEN p[1] = 'src5' AND regexp_matches(p[3], '^1[2-9.]') THEN true WHEN regexp_matches(p[3], '[23].\\.txt$') THEN true
+      WHEN p[1] = 'src4' AND p[2] = 'en' AND starts_with(p[3], '24') THEN false WHEN p[1] = 'src4' AND p[2] = 'en' THEN true
       WHEN p[1] = 'src2' AND ends_with(p[3], '7.txt') THEN false WHEN ends_with(p[3], '7.txt') THEN true ELSE false END))""")
 def gitignore_exclude(spark, sf_dir):
     return S.exclude(_files(spark, sf_dir), RULES).select("path")
@@ -146,12 +147,18 @@ def macro_style_names(spark, sf_dir):
     return S.macro_names(part.select(F.col("p_type").alias("name"), F.when(F.col("p_size") % 2 == 0, "define").otherwise("func").alias("kind")))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(t, '^#\\s*define\\b') THEN 'define' WHEN starts_with(t, '}') THEN 'typedef_close'
-  WHEN strpos(t, '(') > 0 AND (strpos(t, '{') = 0 OR strpos(t, '(') < strpos(t, '{')) THEN 'func' WHEN regexp_matches(t, '\\bstruct\\b') THEN 'struct' WHEN regexp_matches(t, '\\benum\\b') THEN 'enum'
-  WHEN regexp_matches(t, '\\bunion\\b') THEN 'union' WHEN regexp_matches(text, '^[ \\t]') THEN 'enum_member' WHEN regexp_matches(t, '^[A-Za-z_][A-Za-z0-9_]*,?$') THEN 'enum_member' ELSE 'func' END AS kind
-FROM (SELECT *, trim(text) AS t FROM conversations)""")
+#: Lines of source made of a part's name, and the kind that each defines.
+KINDS = [
+    ("#define N 100", "define"), ("# define N(x) ((x) + 1)", "define"), ("\t#define N(a)", "define"), ("#defineN(a)", "func"), ("} N;", "typedef_close"), ("} my_enum_N;", "typedef_close"),
+    ("static struct s *N(int a)", "func"), ("int N(struct s *p) {", "func"), ("struct N { int (*f)(void); };", "struct"), ("mystruct_t N;", "struct"), ("typedef enum N", "enum"), ("union N {", "union"),
+    ("    N,", "enum_member"), ("\tN = 3,", "enum_member"), ("N", "enum_member"), ("N = 3,", "enum_member"), ("N = a + 1 ,", "enum_member"), ("N = {1},", "func"), ("int N;", "func"), ("int N", "func"),
+]
+
+
+@query("SELECT p_partkey, v.kind FROM part JOIN (VALUES " + ", ".join(f"({i}, '{kind}')" for i, (_, kind) in enumerate(KINDS)) + f") v(form, kind) ON v.form = p_partkey % {len(KINDS)}")
 def classify_line(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.classify_line(F.col("text")).alias("kind"))
+    line = F.replace(F.get(F.array(*[F.lit(text) for text, _ in KINDS]), (F.col("p_partkey") % len(KINDS)).cast("int")), F.lit("N"), F.concat(F.lit("N"), F.col("p_partkey").cast("string")))
+    return table(spark, sf_dir, "part").select("p_partkey", S.classify_line(line).alias("kind"))
 
 
 @query(r"""SELECT event_id, regexp_matches(line, '\bk\b\s*(?:=(?:[^=]|$)|[-+*/%&|^]=|<<=|>>=|\+\+|--)') AS is_assign,
@@ -194,9 +201,9 @@ def rank_by_tag(spark, sf_dir):
     return S.rank_by_tag(defs, "func").select("name", "path", F.col("new_pos").cast("long").alias("new_pos"))
 
 
-@query("""SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY NOT ends_with(path, '.c'), path) AS new_pos FROM (SELECT p_type AS name, p_partkey || CASE WHEN p_size % 2 = 0 THEN '.c' ELSE '.html' END AS path FROM part)""")
+@query("""SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY p_size % 6 >= 3, path) AS new_pos FROM (SELECT p_type AS name, p_size, p_partkey || ['.c', '.cxx', '.java', '.txt', '.html', '.go'][p_size % 6 + 1] AS path FROM part)""")
 def demote_non_source(spark, sf_dir):
-    path = F.concat(F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 2 == 0, ".c").otherwise(".html"))
+    path = F.concat(F.col("p_partkey").cast("string"), F.get(F.array(*map(F.lit, (".c", ".cxx", ".java", ".txt", ".html", ".go"))), F.col("p_size") % 6))
     defs = table(spark, sf_dir, "part").select(F.col("p_type").alias("name"), path.alias("path")).withColumn("pos", F.col("path"))
     return S.demote_non_source(defs).select("name", "path", F.col("new_pos").cast("long").alias("new_pos"))
 

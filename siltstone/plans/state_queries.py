@@ -1,5 +1,6 @@
 """State queries over events; annotation queries over pinned lines of documents."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import annotations as A
@@ -32,10 +33,10 @@ def successors(spark, sf_dir):
     return X.successors(_moves(spark, sf_dir)).withColumn("to_states", F.array_join("to_states", ","))
 
 
-@query(f"WITH {STEPS} SELECT name, name IN (SELECT \"to\" FROM moves WHERE user_id = 1) AS assigned, name IN (SELECT \"to\" FROM moves WHERE user_id = 1 UNION SELECT \"from\" FROM moves WHERE user_id = 1) AS observed FROM (SELECT DISTINCT event_type AS name FROM events UNION SELECT 'never')")
+@query(f"WITH {STEPS} SELECT name, name IN (SELECT \"to\" FROM moves) AS assigned, name IN (SELECT \"to\" FROM moves UNION SELECT \"from\" FROM moves) AS observed FROM (SELECT DISTINCT event_type AS name FROM events UNION SELECT 'never')")
 def dead_states(spark, sf_dir):
     universe = table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).union(spark.createDataFrame([("never",)], "name string"))
-    return X.dead_states(universe, _moves(spark, sf_dir).filter("user_id = 1"))
+    return X.dead_states(universe, _moves(spark, sf_dir))
 
 
 @query(f"WITH {STEPS} SELECT coalesce(CASE WHEN event_id % 7 <> 0 THEN \"from\" END, '') AS \"from\", \"to\", user_id % 3 AS func, '' AS via, count(*) AS n, count(DISTINCT event_id % 50) AS n_lines, bool_or(event_id % 5 = 0 AND event_id % 7 <> 0) AS fell_through FROM moves GROUP BY 1, 2, 3")
@@ -45,11 +46,19 @@ def state_summary(spark, sf_dir):
     return X.state_summary(rows).withColumn("n_lines", F.size("lines").cast("long")).drop("lines")
 
 
-@query("SELECT DISTINCT event_type AS rhs, CASE WHEN event_type = 'error' THEN 'expr' ELSE 'state' END AS kind, CASE WHEN event_type = 'error' THEN 'error + 1' ELSE upper(event_type) END AS value FROM events")
+#: Right sides made of an event type, and what each is: one balanced pair of brackets comes off, no more.
+RHS = [("T", "state", "T"), ("( T )", "state", "T"), ("((T))", "expr", "((T))"), ("T)", "expr", "T)"), ("(T", "expr", "(T"), ("(T + 1)", "expr", "T + 1"), ("(a ? T : B)", "expr", "a ? T : B"), ("f(T)", "expr", "f(T)"), ("(f(T))", "expr", "(f(T))"), ("\tT ", "state", "T"), ("2", "expr", "2")]
+
+
+def _sql_text(text):
+    return "'" + text.replace("\t", "' || chr(9) || '") + "'"
+
+
+@query("SELECT event_id, CAST(event_id % 11 AS INT) AS form, v.kind, replace(v.value, 'T', upper(event_type)) AS value FROM events JOIN (VALUES " + ", ".join(f"({i}, '{kind}', {_sql_text(value)})" for i, (_, kind, value) in enumerate(RHS)) + ") v(form, kind, value) ON v.form = event_id % 11")
 def classify_rhs(spark, sf_dir):
-    rhs = F.when(F.col("event_type") == "error", F.lit(" error + 1")).otherwise(F.concat(F.lit("(("), F.upper("event_type"), F.lit("))")))
-    got = table(spark, sf_dir, "events").select("event_type").distinct().select(F.col("event_type").alias("rhs"), X.classify_rhs(rhs).alias("c"))
-    return got.select("rhs", "c.kind", "c.value")
+    form = (F.col("event_id") % len(RHS)).cast("int")
+    rhs = F.replace(F.get(F.array(*[F.lit(text) for text, _, _ in RHS]), form), F.lit("T"), F.upper("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", form.alias("form"), X.classify_rhs(rhs).alias("c")).select("event_id", "form", "c.kind", "c.value")
 
 
 @query("SELECT name, value, row_number() OVER (ORDER BY TRY_CAST(value AS BIGINT) NULLS LAST, name) AS place FROM (SELECT p_type || p_size AS name, CASE WHEN p_size % 2 = 0 THEN 'x' ELSE CAST(p_size AS VARCHAR) END AS value FROM part GROUP BY 1, 2)")
@@ -105,20 +114,30 @@ def unique_heal(spark, sf_dir):
     return A.unique_heal(pinned, lines, lines.select("path"))
 
 
-@query(f"WITH {NOTES}, one AS (SELECT key, path, line_no, CASE WHEN line_no >= 8 AND line_no < 12 THEN NULL WHEN line_no >= 12 THEN line_no - 4 ELSE line_no END AS mid FROM notes), two AS (SELECT *, CASE WHEN mid >= 3 THEN mid + 2 ELSE mid END AS new_line FROM one) SELECT key, path, line_no, new_line, CASE WHEN new_line IS NULL THEN 'dropped' WHEN new_line <> line_no THEN 'moved' ELSE 'same' END AS fate FROM two")
+def _edits(pinned):
+    """Lines 4 to 7 of every file go, then two lines come in before line 3; given out of order."""
+    edit = lambda seq, line, delta: F.struct(F.lit(seq).alias("seq"), F.lit(line).alias("from_line"), F.lit(delta).alias("delta"))
+    return pinned.select("path").distinct().select("path", F.explode(F.array(edit(2, 3, 2), edit(1, 8, -4))).alias("e")).select("path", "e.*")
+
+
+@query(f"""WITH {NOTES}, one AS (SELECT key, path, line_no, CASE WHEN line_no BETWEEN 4 AND 7 THEN NULL WHEN line_no > 7 THEN line_no - 4 ELSE line_no END AS mid FROM notes),
+two AS (SELECT *, CASE WHEN mid > 2 THEN mid + 2 ELSE mid END AS new_line FROM one)
+SELECT key, path, line_no, new_line, CASE WHEN new_line IS NULL THEN 'dropped' WHEN new_line <> line_no THEN 'moved' ELSE 'same' END AS fate FROM two""")
 def shift_points(spark, sf_dir):
     pinned, _ = notes(spark, sf_dir)
-    edits = pinned.select("path").distinct().select("path", F.explode(F.array(F.struct(F.lit(2).alias("seq"), F.lit(3).alias("from_line"), F.lit(2).alias("delta")), F.struct(F.lit(1).alias("seq"), F.lit(8).alias("from_line"), F.lit(-4).alias("delta")))).alias("e")).select("path", "e.*")
-    return A.shift_points(pinned.drop("pinned"), edits)
+    return A.shift_points(pinned.drop("pinned"), _edits(pinned))
 
 
-@query(f"""WITH {NOTES}, r AS (SELECT key, line_no AS s, line_no + 6 AS e FROM notes)
-SELECT key, CASE WHEN s >= 8 AND s < 12 AND e >= 8 AND e < 12 THEN NULL WHEN s >= 8 AND s < 12 THEN 8 WHEN s >= 12 THEN s - 4 ELSE s END AS new_start,
-  CASE WHEN s >= 8 AND s < 12 AND e >= 8 AND e < 12 THEN NULL WHEN e >= 8 AND e < 12 THEN 7 WHEN e >= 12 THEN e - 4 ELSE e END AS new_end FROM r""")
+#: A range of lines is followed line by line: what is left of it after the deletion, one line or more, moves with its first and last line.
+@query(f"""WITH {NOTES}, r AS (SELECT key, line_no AS s, line_no + n % 9 AS e FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY key) - 1 AS n FROM notes)),
+left_over AS (SELECT key, s, e, list_filter(range(s, e + 1), lambda i: NOT (i BETWEEN 4 AND 7)) AS held FROM r),
+mid AS (SELECT key, CASE WHEN len(held) > 0 THEN CASE WHEN s BETWEEN 4 AND 7 THEN 4 WHEN held[1] > 7 THEN held[1] - 4 ELSE held[1] END END AS s, CASE WHEN len(held) > 0 THEN CASE WHEN held[-1] > 7 THEN held[-1] - 4 ELSE held[-1] END END AS e FROM left_over)
+SELECT key, CAST(CASE WHEN s > 2 THEN s + 2 ELSE s END AS INT) AS new_start, CAST(CASE WHEN e > 2 THEN e + 2 ELSE e END AS INT) AS new_end FROM mid""")
 def shift_ranges(spark, sf_dir):
     pinned, _ = notes(spark, sf_dir)
-    ranges = pinned.select("key", F.col("line_no").alias("start_line"), (F.col("line_no") + 6).alias("end_line"))
-    return A.shift_ranges(ranges, 8, -4).select("key", "new_start", "new_end")
+    n = F.row_number().over(Window.partitionBy("path").orderBy("key")) - 1
+    ranges = pinned.withColumn("n", n).select("key", "path", F.col("line_no").alias("start_line"), (F.col("line_no") + F.col("n") % 9).alias("end_line"))
+    return A.shift_ranges(ranges, _edits(pinned)).select("key", "new_start", "new_end")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'insert' WHEN o_orderkey % 10 = 1 THEN 'delete' ELSE 'update' END AS change FROM orders WHERE o_orderkey % 10 < 3")
@@ -128,17 +147,17 @@ def change_feed(spark, sf_dir):
     return A.change_feed(orders.filter("o_orderkey % 10 <> 0"), after, ["o_orderkey"])
 
 
-@query(f"""WITH {FILES}, n AS (SELECT doc_id AS node, substr(text, 1, 200) AS memo FROM documents), e AS (SELECT doc_id % 50 AS src, doc_id AS dst FROM documents WHERE doc_id >= 50),
-m AS (SELECT source || '/' || doc_id AS path, CASE WHEN quality = 0 THEN ' TODO check' ELSE 'fine' END AS memo FROM documents JOIN labels USING (doc_id)),
+@query(f"""WITH {FILES}, n AS (SELECT doc_id AS node, text AS memo FROM documents), e AS (SELECT doc_id % 50 AS src, doc_id AS dst FROM documents WHERE doc_id >= 50),
+m AS (SELECT source || '/' || doc_id AS path, CASE WHEN quality = 0 THEN ' [Unverified] check' ELSE 'fine' END AS memo FROM documents JOIN labels USING (doc_id)),
 f AS (SELECT * FROM n WHERE node NOT IN (SELECT dst FROM e))
-SELECT 'nodes' AS item, '' AS label, count(*) AS n FROM n UNION ALL SELECT 'line_memos', '', count(*) FROM m UNION ALL SELECT 'unverified', '', count(*) FROM m WHERE starts_with(lower(trim(memo)), 'todo')
+SELECT 'nodes' AS item, '' AS label, count(*) AS n FROM n UNION ALL SELECT 'line_memos', '', count(*) FROM m UNION ALL SELECT 'unverified', '', count(*) FROM m WHERE starts_with(trim(memo), '[Unverified]')
 UNION ALL SELECT 'outside_root', '', count(*) FROM m WHERE NOT starts_with(path, 'src1/') UNION ALL SELECT 'roots_total', '', count(*) FROM f
 UNION ALL (SELECT 'root:' || node, substr(memo, 1, 120), (SELECT count(DISTINCT dst) FROM e WHERE src = node) FROM f ORDER BY node LIMIT 10)""")
 def digest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    nodes = docs.select(F.col("doc_id").alias("node"), F.substring("text", 1, 200).alias("memo"))
+    nodes = docs.select(F.col("doc_id").alias("node"), F.col("text").alias("memo"))
     edges = docs.filter("doc_id >= 50").select((F.col("doc_id") % 50).alias("src"), F.col("doc_id").alias("dst"))
-    memo = F.when(F.col("quality") == 0, " TODO check").otherwise("fine")
+    memo = F.when(F.col("quality") == 0, " [Unverified] check").otherwise("fine")
     memos = docs.join(table(spark, sf_dir, "labels"), "doc_id").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), memo.alias("memo"))
     return A.digest(nodes, edges, memos, "SRC1/")
 
@@ -151,9 +170,13 @@ def list_annotations(spark, sf_dir):
     return A.list_annotations(points, ranges, category="q0")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE starts_with(lower(trim(text)), 'todo') OR starts_with(lower(trim(text)), '?') OR starts_with(lower(trim(text)), 'un')")
+@query("SELECT conv_id, turn, mark FROM (SELECT conv_id, turn, CAST((conv_id + turn) % 7 AS INT) AS mark FROM conversations) WHERE mark IN (0, 1, 2, 3)")
 def unverified_memos(spark, sf_dir):
-    return A.unverified(table(spark, sf_dir, "conversations").withColumn("memo", F.col("text")), ("todo", "?", "un")).select("conv_id", "turn")
+    """Turns as memos behind one of seven beginnings; the first four say that nobody has checked."""
+    mark = ((F.col("conv_id") + F.col("turn")) % 7).cast("int")
+    start = F.get(F.array(*map(F.lit, ("[未確認]", " [Unverified] ", "\t[INFERRED]", "[推測] ", "todo ", "see [unverified] ", "? "))), mark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", mark.alias("mark"), F.concat(start, F.coalesce("text", F.lit(""))).alias("memo"))
+    return A.unverified(turns).select("conv_id", "turn", "mark")
 
 
 @query("SELECT o_orderkey AS key, CAST(o_custkey AS INT) AS line_no, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderstatus END AS memo, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 8 = 0 THEN o_orderpriority WHEN o_orderkey % 4 = 0 THEN 'old' ELSE 'old' END AS pinned FROM orders WHERE o_orderkey % 8 <> 0 OR o_orderkey % 4 = 0")

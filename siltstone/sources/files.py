@@ -13,8 +13,8 @@ from siltstone.operators.search import exclude
 
 BINARY = (".o", ".a", ".so", ".exe", ".dll", ".png", ".jpg", ".gif", ".pdf", ".zip", ".gz", ".jar", ".class", ".bin")
 MOST_BYTES = 10 << 20
-#: The one-letter kinds of tag files.
-TAG_KINDS = {"d": "define", "f": "func", "p": "prototype", "s": "struct", "u": "union", "g": "enum", "e": "enum_member", "t": "typedef", "m": "member", "v": "variable", "x": "extern", "c": "class", "n": "namespace", "l": "local"}
+#: The one-letter kinds of tag files; other letters stay as they are.
+TAG_KINDS = {"f": "func", "s": "struct", "u": "union", "e": "enum_member", "g": "enum", "d": "define", "t": "typedef", "m": "member", "v": "var"}
 MAP_VERSION = 1
 
 PROJECT = ("trees array<struct<id:string,name:string>>, nodes array<struct<id:string,path:string,line_no:int,label:string,memo:string,tree_id:string>>, edges array<struct<src:string,dst:string,label:string>>, line_memos map<string,string>, line_categories map<string,string>, line_sources map<string,string>, line_pins map<string,string>, range_memos array<struct<id:string,path:string,start_line:int,end_line:int,memo:string,category:string,source:string>>")

@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. Where it is unset, a folder of our own in local mode, as in tests; on a cluster an error, for executors share no local folder."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="siltstone-")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint; a folder of our own only where none is set, as in tests."""
+    """df behind a reliable checkpoint."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
