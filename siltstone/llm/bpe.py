@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.bytetext import Hasher, blocks, mix
 
 #: A chunk of a task's texts ends with so many letters or different pre-tokens.
-CHUNK, GATHER = 1 << 24, 400_000
+CHUNK, GATHER = 1 << 23, 400_000
 #: Bytes of text at a time, small enough for the caches.
 BLOCK = 1 << 18
 #: Words of a bucket whose ids are held at a time.
@@ -139,7 +139,7 @@ class Chunk:
         code = np.array([self.codes.setdefault(p.word(i), len(self.codes)) for i in at], np.int64)
         fresh = np.unique(code, return_index=True)
         self.hashes.append(p.hash[at[fresh[1][fresh[0] >= known]]])
-        self.texts.append((ids, np.diff(p.first), code[which] if len(at) else which))
+        self.texts.append((ids, np.diff(p.first), (code[which] if len(at) else which).astype(np.int32)))
         self.size += len(p.text)
 
     def rows(self, name: int, buckets: int, packer: Packer):
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     buckets of a word's hash, where each distinct word is merged once for all chunks; its ids go back
     to every chunk that has it and are put into its texts by position. A word travels once for a chunk,
     however often it stands there, so no frequent word gathers in a task; a chunk holds CHUNK letters or
-    one longer text, which bounds the memory. The plan is the same at every size. buckets: four to a
+    one longer text, which bounds the memory. The plan is the same at every size. buckets: two to a
     shuffle partition unless given.
 
     docs is read as a table: it must give the same rows in the same order if a lost task runs again;
@@ -280,7 +280,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     ranks, kinds = spark.sparkContext.broadcast(read_ranks(ranks_path)), spark.sparkContext.broadcast(classes())
-    buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = chunk_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), kinds, buckets).repartition("key")
 
     def fill(texts: pa.Table, words: pa.Table) -> pa.Table:

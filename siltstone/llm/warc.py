@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.stored import shared_folder, stored
+from siltstone.llm.stored import stored
+from siltstone.sources.scratch import shared_folder
 
 END = "\r\n\r\n"
 TEXT, NUMBER = pa.string(), pa.int64()
