@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -305,12 +306,60 @@ def test_main_text_tree_on_few_pages_and_over_names(spark):
     modified = [(20, "http://m/1", '<body><div class="no-sidebar has-comments category-social"><p>kept</p></div><div class="left-sidebar">gone</div></body>')]
     social = [(30 + i, f"http://s/{i}", f'<body><div class="social"><p>only text {i}</p><p>Follow us</p></div><p>Same line</p></body>') for i in range(2)]
     twins = [(40 + i, f"http://t/{i}", f"<body><!-- {i} --><p>All the same</p></body>") for i in range(2)]
-    got = {r.page_id: r for r in pages.extract_main_text(spark.createDataFrame(few + notice + modified + social + twins, "page_id long, url string, html string")).collect()}
+    copies = [(50 + i, f"http://c/{i}", f"<article><h1>Title {i}</h1><p>A long paragraph of a copied article</p><p>and one more of it</p></article><div>Menu</div>") for i in range(4)]
+    got = {r.page_id: r for r in pages.extract_main_text(spark.createDataFrame(few + notice + modified + social + twins + copies, "page_id long, url string, html string")).collect()}
     assert [(got[i].text, got[i].n_noise) for i in range(3)] == [(f"story {i} own\nmore of {i}", 2) for i in range(3)]
     assert all(got[10 + i].text == f"lead {i}\nbody {i}\nend {i}" for i in range(9))
     assert got[20].text == "kept"
     assert [got[30 + i].text for i in range(2)] == ["only text 0", "only text 1"]
     assert [got[40 + i].text for i in range(2)] == ["All the same"] * 2
+    assert [got[50 + i].text for i in range(4)] == [f"Title {i}\nA long paragraph of a copied article\nand one more of it" for i in range(4)]
+
+
+def test_style_tree_matches_brute_force(spark):
+    rng = np.random.default_rng(12)
+    made = []
+    for i in range(30):
+        items = "".join(f"<li>m{x}</li>" for x in rng.integers(0, 4, rng.integers(1, 4)))
+        made.append((i, f"http://h{i % 2}/", f"<body><ul class='menu{i % 3}'>{items}</ul><div><p>own {i}</p><p>note {rng.integers(3)}</p></div></body>"))
+    df = spark.createDataFrame(made, "page_id long, url string, html string")
+    branches, _ = pages.style_tree(df.select(F.col("url").alias("host"), "html").withColumn("host", F.xxhash64("host")))
+    got = collections.defaultdict(list)
+    for r in branches.collect():
+        got[r.host].append((r.pages, round(r.importance, 9)))
+    expect = []
+    for h in range(2):
+        own = {}
+        for i, url, html in made:
+            if i % 2 == h:
+                own.setdefault(tuple(b[3] for b in pages.blocks_of(html)), pages.blocks_of(html))
+        held, texts, shown, below = (collections.defaultdict(set) for _ in range(4))
+        for key, blocks in own.items():
+            rows = collections.defaultdict(list)
+            for branch, _, _, text in blocks:
+                texts[branch[-1], text].add(key)
+                for node, child in zip(branch, (*branch[1:], 0), strict=True):
+                    held[node].add(key), below[node].add(branch[-1])
+                    if rows[node][-1:] != [child]:
+                        rows[node].append(child)
+            for node, row in rows.items():
+                shown[node, tuple(row)].add(key)
+        alone = lambda c, m: 1.0 if m == 1 else max(0.0, 1 - np.log(c) / np.log(m))
+        mean = lambda sets, m: sum(len(c) * alone(len(c), k) for c, k in zip(sets, m, strict=True)) / sum(map(len, sets))
+        found = []
+        for node, keys in held.items():
+            under = [(c, len(held[leaf])) for (leaf, _), c in texts.items() if leaf in below[node]]
+            styles = [c for (n, _), c in shown.items() if n == node]
+            found.append((len(keys), round(0.9 * mean(*zip(*under, strict=True)) + 0.1 * mean(styles, [len(keys)] * len(styles)), 9)))
+        expect.append(sorted(found))
+    assert sorted(map(sorted, got.values())) == sorted(expect)
+
+
+def test_page_is_read_in_linear_time():
+    for text in ("<a " * 200_000, "<a x=\"'>" * 100_000, "<div>" * 50_000 + "</li>" * 50_000, "<p" * 200_000 + ">"):
+        began = time.process_time()
+        pages.blocks_of(text)
+        assert time.process_time() - began < 10
 
 
 def test_weak_labels(spark):
