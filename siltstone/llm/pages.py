@@ -55,7 +55,8 @@ class _Stack:
 
     def push(self, tag: str, label: str, main: int, apart: int) -> None:
         node = _hash(f"{self.top[1]}/{label}")
-        self.items.append((tag, node, main, apart, (*self.top[4][1 - LEVELS :], node)))
+        above = () if self.top[0] in ("", "html", "body") else self.top[4]  # what holds a whole page is no branch of it
+        self.items.append((tag, node, main, apart, (*above[1 - LEVELS :], node)))
         self.open[tag] += 1
 
     def close(self, tag: str, stop: frozenset) -> None:
@@ -75,7 +76,7 @@ class _Stack:
 def blocks_of(html: str) -> list[tuple[tuple[int, ...], int, int, str]]:
     """(branch, kinds of main element around, apart, text) of every block with text, in page order.
 
-    A branch is the nodes from the root to the block's element. A node is a hash of the block elements
+    A branch is the nodes from below the body to the block's element. A node is a hash of the block elements
     above with their classes, digits left out: pages of a site that are built alike have equal nodes.
     """
     stack = _Stack()
@@ -241,7 +242,8 @@ def _inside(found: list) -> list:
 
 def article(blocks: list, low: set[int]) -> tuple[list[str], int]:
     """The texts of a page's article, and how many blocks the tree took away; low: its site's nodes and texts of low importance."""
-    weak = [bool(low and b[0]) and (not low.isdisjoint(b[0]) or _hash(f"{b[0][-1]}\n{b[3]}") in low) for b in blocks]
+    said = [bool(low and b[0]) and _hash(f"{b[0][-1]}\n{b[3]}") in low for b in blocks]
+    weak = [x or not low.isdisjoint(b[0]) for x, b in zip(said, blocks, strict=True)]
     place = {id(b): i for i, b in enumerate(blocks)}
     strong = lambda found: [b for b in found if not weak[place[id(b)]]]
     main = _inside([b for b in blocks if not b[2]])
@@ -249,7 +251,7 @@ def article(blocks: list, low: set[int]) -> tuple[list[str], int]:
     if main and main[0][1] and 2 * size(kept) < size(main):
         kept = main  # over half of an article repeats: a copy, and no notice
     if not kept:
-        kept = _inside(strong([b for b in blocks if b[2] == BY_NAME])) or main
+        kept = _inside([b for x, b in zip(said, blocks, strict=True) if b[2] == BY_NAME and not x]) or main
     held = {id(b) for b in kept}
     return [b[3] for b in kept], sum(w and id(b) not in held for w, b in zip(weak, blocks, strict=True))
 
@@ -265,7 +267,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     names, in comments of readers, in a header outside the article, hidden), those in article elements,
     else in main, else in an element named as content, else all, without noise. Where over half of
     such an element is noise, it is the copy of an article and stays whole. Where nothing is left, the tree overrules
-    the names: the blocks that only a name sets apart are taken in the same way, if they are no noise. A
+    the names: the blocks that only a name sets apart are taken in the same way, if their own texts are no noise. A
     page of nothing but repeated blocks keeps those not apart. n_noise counts the blocks that the tree
     took away.
 
