@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.stored import stored
+from siltstone.llm.stored import maybe_in, stored
 
 #: Longer lines put out their neighbourhood as rows and running windows, so that work stays in proportion to their length.
 LONG = 1024
@@ -79,22 +79,25 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = hashed.filter("w IS NOT NULL").groupBy("self", "self2").agg(F.min(F.struct("doc", "no", "w", "halves")).alias("f"))
     first = stored(copies.select("self", "f.doc", "f.no", "f.w", "f.halves"), "firsts")
 
-    by = Window.partitionBy("half")
+    # lines that share a half with another: halves are counted before they meet, so that a common one is one row a task
     halves = first.select("doc", "no", "self", F.explode("halves").alias("half"))
-    active = stored(halves.withColumn("lo", F.min("self").over(by)).withColumn("hi", F.max("self").over(by)).filter("lo < hi").select("doc", "no").distinct(), "active")
-
-    # the words of the active lines: a bitmap of fixed size passes over the other lines before they are split
-    place = F.pmod(F.xxhash64("doc", "no"), F.lit(1 << 22))
-    bitmap = active.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_bits"))
-    near = split.withColumn("_p", place).join(F.broadcast(bitmap), F.shiftright("_p", 6).cast("int") == F.col("_word")).filter("shiftrightunsigned(_bits, cast(_p & 63 as int)) & 1 = 1")
-    near = near.select("doc", "no", _words(F.col("line"), whole).alias("words")).join(active, ["doc", "no"], "left_semi").dropDuplicates(["doc", "no"])
-    near = stored(near.withColumn("w", F.size("words")), "near")
-
-    keys = _neighbourhood(near).repartition("k")
-    exact, key = Window.partitionBy("k", "w", "i"), Window.partitionBy("k")
-    keys = keys.withColumn("replaced", F.min(at).over(exact)).withColumn("shorter", F.min(F.when(F.col("i") == -1, at)).over(key)).withColumn("longer", F.min(F.when(F.col("i") >= 0, at)).over(key))
-    found = keys.withColumn("m", F.when(F.col("i") == -1, F.col("longer")).otherwise(F.least("replaced", "shorter"))).filter(F.col("m") < at)
-    found = found.groupBy("doc", "no").agg(F.min("m").alias("m")).select("doc", "no", F.col("m.doc").alias("mdoc"), F.col("m.no").alias("mno"))
+    shared = stored(halves.groupBy("half").agg(F.min("self").alias("lo"), F.max("self").alias("hi")).filter("lo < hi").select("half"), "halves")
+    active = stored(maybe_in(halves, ["half"], shared).join(shared, "half", "left_semi").select("doc", "no").distinct(), "active")
+
+    # the words of the active lines: a bitmap passes over the other lines before they are split
+    near = maybe_in(split, ["doc", "no"], active).select("doc", "no", _words(F.col("line"), whole).alias("words"))
+    near = stored(near.join(active, ["doc", "no"], "left_semi").dropDuplicates(["doc", "no"]).withColumn("w", F.size("words")), "near")
+
+    # the earliest line of each key, as it stands and without a word, and those keys alone that several lines have
+    keys = _neighbourhood(near)
+    least = lambda c: F.min(F.when(c, at))
+    common = keys.groupBy("k").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), least(F.col("i") == -1).alias("shorter"), least(F.col("i") >= 0).alias("longer"))
+    common = stored(common.filter("lo < hi").drop("lo", "hi"), "keys")
+    keys = stored(maybe_in(keys, ["k"], common), "held")
+    one_more = keys.join(common, "k").select("doc", "no", F.when(F.col("i") == -1, F.col("longer")).otherwise(F.col("shorter")).alias("m"))
+    same = stored(keys.filter("i >= 0").groupBy("k", "w", "i").agg(F.min(at).alias("m"), F.max(at).alias("hi")).filter("m < hi").drop("hi"), "replaced")
+    replaced = keys.join(same, ["k", "w", "i"]).select("doc", "no", "m")
+    found = one_more.unionByName(replaced).filter(F.col("m") < at).groupBy("doc", "no").agg(F.min("m").alias("m")).select("doc", "no", F.col("m.doc").alias("mdoc"), F.col("m.no").alias("mno"))
     pairs = found.join(near.select("doc", "no", F.col("words").alias("a")), ["doc", "no"]).join(near.select(F.col("doc").alias("mdoc"), F.col("no").alias("mno"), F.col("words").alias("b")), ["mdoc", "mno"])
     edited = pairs.filter(_within_one_edit()).select("doc", "no")
     return first.select("doc", "no").join(edited, ["doc", "no"], "left_anti").unionByName(hashed.filter("w IS NULL").select("doc", "no"))
@@ -122,12 +125,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are and remove nothing. Rows that share an id count as one document. Extra columns stay, but for
     n_lines and n_removed, which are replaced. An empty table gives an empty one.
     """
-    stay = kept_lines(docs, id_col, text_col, min_words, whole).groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("_stay"))
-    a = docs.drop("n_lines", "n_removed").alias("a")
-    joined = a.join(stay.alias("b"), F.col(f"a.`{id_col}`") == F.col("b.doc"), "left")
-    n = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines"))
-    joined = joined.withColumn("_text", F.col(f"a.`{text_col}`")).withColumn("_lines", F.split("_text", "\n")).withColumn("_named", F.col(f"a.`{id_col}`").isNotNull())
-    kept = F.when(F.col("_named") & F.col("_text").isNotNull(), F.coalesce(F.col("_stay"), F.array().cast("array<int>")))
-    text = F.when(kept.isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    cols = [text.alias(c) if c == text_col else F.col(f"a.`{c}`") for c in a.columns]
-    return joined.select(*cols, n.cast("long").alias("n_lines"), (n - F.coalesce(F.size(kept), n)).cast("long").alias("n_removed"))
+    stay = kept_lines(docs, id_col, text_col, min_words, whole).groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("stay"))
+    # the caller's row travels as one struct, so that no name of its can clash
+    rows = docs.drop("n_lines", "n_removed").select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.split(text_col, "\n").alias("lines"))
+    text = F.col("row").getField(text_col)
+    n = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
+    kept = F.when(F.col("id").isNotNull() & F.col("lines").isNotNull(), F.coalesce(F.col("stay"), F.array().cast("array<int>")))
+    left = F.when(kept.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    cols = [left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return rows.join(stay, F.col("id") == F.col("doc"), "left").select(*cols, n.cast("long").alias("n_lines"), (n - F.coalesce(F.size(kept), n)).cast("long").alias("n_removed"))

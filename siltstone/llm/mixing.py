@@ -49,34 +49,34 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no copies. A null source is a source. Repeated rows count each. Extra columns stay, but for one
     named mix. An empty table gives an empty one.
     """
-    log = F.floor(F.log2(F.greatest(F.col("_size"), F.lit(1)).cast("double"))).cast("int")
-    sized = docs.drop("mix").withColumn("_size", size_in_words(F.col(text_col)))
+    # the caller's row travels as one struct, so that no name of its can clash
+    sized = docs.drop("mix").select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_in_words(F.col(text_col)).alias("size"))
+    log = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double"))).cast("int")
     # four bits below the leading one split each power of two in sixteen classes
-    sized = sized.withColumn("_class", log * 16 + F.least(F.lit(15), F.floor((F.col("_size") / F.pow(F.lit(2.0), log) - 1) * 16)).cast("int"))
-    sized = sized.withColumn("_bucket", F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(buckets)).cast("int")).withColumn("_source", F.col(source_col))
-    cells = sized.groupBy("_source", "_class", "_bucket").agg(F.count("*").alias("n"), F.sum("_size").alias("s"))
-    targets = source_targets(cells.select(F.col("_source").alias("source"), F.col("s").alias("size")), weights, share_percent, most)
-    run = Window.partitionBy("_source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("n").over(run), F.lit(0))).drop("n", "s")
+    sized = sized.withColumn("class", log * 16 + F.least(F.lit(15), F.floor((F.col("size") / F.pow(F.lit(2.0), log) - 1) * 16)).cast("int"))
+    sized = sized.withColumn("bucket", F.pmod(F.coalesce(F.col("id").cast("long"), F.lit(0)), F.lit(buckets)).cast("int"))
+    cells = sized.groupBy("source", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    targets = source_targets(cells.select("source", F.col("s").alias("size")), weights, share_percent, most)
+    run = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).drop("n", "s")
     cells = _with_targets(cells, targets)
-    cell = Window.partitionBy("_source", "_class", "_bucket").orderBy("_size", id_col)
-    placed = sized.withColumn("_rank", F.row_number().over(cell))
-    a, b = placed.alias("a"), cells.alias("b")
-    same = F.col("a._source").eqNullSafe(F.col("b._source")) & (F.col("a._class") == F.col("b._class")) & (F.col("a._bucket") == F.col("b._bucket"))
-    joined = a.join(b, same, "left")
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("a._source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    cell = Window.partitionBy("source", "class", "bucket").orderBy("size", "id")
+    a, b = sized.withColumn("rank", F.row_number().over(cell)).alias("a"), cells.alias("b")
+    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.bucket") == F.col("b.bucket"))
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("a.source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("b.source_size") > 0, F.col("b.target") / F.col("b.source_size")).otherwise(F.lit(0.0))
-    place = F.col("b._before") + F.col("a._rank")
+    place = F.col("b.before") + F.col("a.rank")
     copies = F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)
-    out = [F.col(f"a.`{c}`") for c in docs.columns if c != "mix"]
-    return joined.select(*out, F.struct(F.col("a._size").alias("size"), F.col("b.source_size").alias("source_size"), F.col("b.target").alias("target"), F.least(copies, F.lit(most)).cast("long").alias("copies")).alias("mix"))
+    mix = F.struct(F.col("a.size").alias("size"), F.col("b.source_size").alias("source_size"), F.col("b.target").alias("target"), F.least(copies, F.lit(most)).cast("long").alias("copies"))
+    return a.join(b, same, "left").select(F.col("a.row").alias("row"), mix.alias("mix")).select("row.*", "mix")
 
 
 def _with_targets(cells: DataFrame, targets: DataFrame) -> DataFrame:
     a, b = cells.alias("a"), targets.alias("b")
-    return a.join(b, F.col("a._source").eqNullSafe(F.col("b.source")), "left").select("a.*", "b.source_size", "b.target")
+    return a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", "b.source_size", "b.target")
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it is taken."""
-    return mixed.filter("mix.copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int")))).drop("_copy", "mix")
+    copies = F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int")))
+    return mixed.filter("mix.copies > 0").select(F.struct("*").alias("row"), copies).select("row.*").drop("mix")

@@ -18,6 +18,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def maybe_in(df: DataFrame, columns: list[str], keys: DataFrame, bits: int = 23) -> DataFrame:
+    """The rows of df whose columns a bitmap of 2**bits bits over the rows of keys doesn't rule out; the bitmap is broadcast and as large for any table."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(1 << bits))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("set"))
+    row = df.select(F.struct("*").alias("row"), place.alias("p"))
+    near = row.join(F.broadcast(words), F.shiftright("p", 6).cast("int") == F.col("word"))
+    return near.filter("shiftrightunsigned(set, cast(p & 63 as int)) & 1 = 1").select("row.*")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(src long, dst long) -> (node, component), component being the smallest node reachable.
 

@@ -16,7 +16,7 @@ from siltstone.sources.scratch import shared_folder
 END = "\r\n\r\n"
 TEXT, NUMBER = pa.string(), pa.int64()
 INDEX = pa.schema([("file", TEXT), ("offset", NUMBER), ("length", NUMBER), ("id", TEXT), ("url", TEXT), ("digest", TEXT), ("type", TEXT), ("refers_to", TEXT)])
-RECORD = pa.schema([("id", TEXT), ("url", TEXT), ("type", TEXT), ("refers_to", TEXT), ("bytes", NUMBER), ("digest", TEXT), ("payload", pa.binary())])
+RECORD = pa.schema([("id", TEXT), ("url", TEXT), ("type", TEXT), ("refers_to", TEXT), ("named", TEXT), ("bytes", NUMBER), ("digest", TEXT), ("payload", pa.binary())])
 DATE = "1970-01-01T00:00:00Z"
 BITS = 23
 HEADER_READ = 64 << 10
@@ -137,15 +137,19 @@ def _name(x: str | None) -> str | None:
     return x and x.removeprefix("<urn:page:").removesuffix(">")
 
 
-def parse_record(record: bytes) -> tuple[str, str | None, str, str | None, bytes]:
-    """(id, target, type, refers to, payload) of one record; a wrong length raises."""
+def parse_record(record: bytes) -> dict:
+    """The columns of one record; a wrong length, or a payload of another digest than its header names, raises."""
     head, _, rest = record.partition(b"\r\n\r\n")
     fields = _fields(head)
     n = int(fields["Content-Length"])
     block, end = rest[:n], rest[n:]
     if len(block) != n or end != END.encode():
         raise ValueError("a record ends elsewhere")
-    return _name(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], _name(fields.get("WARC-Refers-To")), block.partition(b"\r\n\r\n")[2]
+    kind, named, payload = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), block.partition(b"\r\n\r\n")[2]
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    if kind == "response" and digest != named:
+        raise ValueError("a payload isn't what its header says")
+    return {"id": _name(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "type": kind, "refers_to": _name(fields.get("WARC-Refers-To")), "named": named, "bytes": len(payload), "digest": digest, "payload": payload}
 
 
 def coalesced(offsets, lengths, most: int = READ_BYTES, gap: int = GAP_BYTES) -> list[tuple[int, int, list[int]]]:
@@ -162,10 +166,10 @@ def coalesced(offsets, lengths, most: int = READ_BYTES, gap: int = GAP_BYTES) ->
 
 
 def read_warc(index: DataFrame, folder: str) -> DataFrame:
-    """(id string, url, type, refers_to string, bytes, digest, payload) of the records in index, which may be any selection of write_warc's.
+    """(id string, url, type, refers_to string, named, bytes, digest, payload) of the records in index, which may be any selection of write_warc's.
 
     The selected ranges are sorted by file and offset, near ones are read together, and bytes and
-    digest are computed from what is read. Executors open the archives by their path in the shared
+    digest are computed from what is read; named is the digest that the header gives. Executors open the archives by their path in the shared
     store (local, hdfs, s3 or gcs, by pyarrow). Revisits have an empty payload; resolve_revisits finds theirs.
     """
 
@@ -181,18 +185,18 @@ def read_warc(index: DataFrame, folder: str) -> DataFrame:
                         f.seek(a)
                         data = f.read(b - a)
                         got = [parse_record(data[offsets[p] - a : offsets[p] - a + lengths[p]]) for p in places]
-                        yield pa.RecordBatch.from_pylist([{"id": g[0], "url": g[1], "type": g[2], "refers_to": g[3], "bytes": len(g[4]), "digest": base64.b32encode(hashlib.sha1(g[4]).digest()).decode(), "payload": g[4]} for g in got], RECORD)
+                        yield pa.RecordBatch.from_pylist(got, RECORD)
 
     wanted = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return wanted.mapInArrow(run, "id string, url string, type string, refers_to string, bytes long, digest string, payload binary")
+    return wanted.mapInArrow(run, "id string, url string, type string, refers_to string, named string, bytes long, digest string, payload binary")
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """(id, type, refers_to, bytes, digest) with the revisits' bytes and digest taken from the response they refer to."""
-    held = records.select("id", "type", "refers_to", "bytes", "digest")
-    origin = held.filter("type = 'response'").select(F.col("id").alias("to"), F.col("bytes").alias("b"), F.col("digest").alias("d")).dropDuplicates(["to"])
-    revisits = held.filter("type = 'revisit'").join(origin, F.col("refers_to") == F.col("to")).select("id", "type", "refers_to", F.col("b").alias("bytes"), F.col("d").alias("digest"))
-    return held.filter("type = 'response'").unionByName(revisits)
+    """(id, type, refers_to, bytes, digest) with the revisits' bytes and digest taken from the response of the id that they refer to and the digest that they name: rows that share an id may have different payloads."""
+    held = records.select("id", "type", "refers_to", "named", "bytes", "digest")
+    origin = held.filter("type = 'response'").select(F.col("id").alias("to"), F.col("bytes").alias("b"), F.col("digest").alias("d")).dropDuplicates(["to", "d"])
+    revisits = held.filter("type = 'revisit'").join(origin, (F.col("refers_to") == F.col("to")) & (F.col("named") == F.col("d"))).select("id", "type", "refers_to", F.col("b").alias("bytes"), F.col("d").alias("digest"))
+    return held.filter("type = 'response'").drop("named").unionByName(revisits)
 
 
 def archive_folder(spark) -> str:

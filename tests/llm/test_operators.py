@@ -28,7 +28,7 @@ def _docs(spark, texts, lang="en", source="s", **more):
     rows = [(i, t, lang, source, len(t or "")) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, DOCS)
     # names that operators use inside must not clash
-    return df.withColumns({c: F.lit(7) for c in ("key", "n", "id", "no", "w", "mix_", "size", "score", "sig", "page", "words", "doc", "line")})
+    return df.withColumns({c: F.lit(7) for c in ("key", "n", "id", "no", "w", "mix_", "size", "score", "sig", "page", "words", "doc", "line", "row", "_text", "_lines", "_stay", "_named", "_size", "_class", "_bucket", "_rank", "_source", "_copy", "_before", "stay", "class", "bucket", "rank", "source_", "p", "set", "word")})
 
 
 def test_components(spark):
@@ -138,8 +138,12 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch):
             if len(w) >= 6:
                 seen.append(w)
         expect.append(None if t is None else "\n".join(kept))
-    got = {r.doc_id: r.text for r in lines.dedup_lines(_docs(spark, texts)).collect()}
+    docs = _docs(spark, texts)
+    rows = lines.dedup_lines(docs).collect()
+    got = {r.doc_id: r.text for r in rows}
     assert [got[i] for i in range(len(texts))] == expect
+    assert list(rows[0].asDict()) == [*docs.columns, "n_lines", "n_removed"] and {(r["_text"], r["_lines"], r["stay"], r["row"]) for r in rows} == {(7, 7, 7, 7)}
+    assert lines.dedup_lines(docs.filter("doc_id < 0")).count() == 0
 
 
 def test_line_dedup_whole_takes_short_and_unspaced_lines(spark):
@@ -171,6 +175,8 @@ def test_mixing_targets_and_edges(spark):
     assert {(r.doc_id, r["copies"]) for r in again} == {(r.doc_id, r["copies"]) for r in rows}
     assert mixing.emit_copies(mixing.mix_sources(docs)).count() == sum(r["copies"] for r in rows)
     assert mixing.mix_sources(docs.filter("doc_id < 0")).count() == 0
+    kept = mixing.emit_copies(mixing.mix_sources(docs))
+    assert kept.columns == docs.columns and {(r["_size"], r["_rank"], r["_copy"], r["row"]) for r in kept.collect()} == {(7, 7, 7, 7)}
 
 
 def test_bpe_round_trip_matches_tiktoken(spark, monkeypatch):
@@ -227,6 +233,10 @@ def test_warc_round_trip(spark, tmp_path):
     one = warc.read_warc(index.filter("id = '7'"), folder).collect()
     assert len(one) == 1 and one[0].url == "http://d"
     assert warc.coalesced([0, 10, 5000, 90000], [10, 10, 5, 5], most=10000, gap=6000) == [(0, 5005, [0, 1, 2]), (90000, 90005, [3])]
+    twice = spark.createDataFrame([(5, "http://a", "AAA"), (5, "http://b", "BBBB"), (2, "http://c", "BBBB"), (1, "http://d", "AAA")], "page_id long, url string, html string")
+    two = f"{tmp_path}/twice"
+    got = sorted((r.id, r.type, r.bytes, r.digest) for r in warc.resolve_revisits(warc.read_warc(warc.write_warc(twice, two), two)).collect())
+    assert got == sorted([("5", "response", 3, sha("AAA")), ("5", "response", 4, sha("BBBB")), ("2", "revisit", 4, sha("BBBB")), ("1", "revisit", 3, sha("AAA"))])
     empty = f"{tmp_path}/none"
     assert warc.read_warc(warc.write_warc(df.filter("page_id < 0"), empty), empty).count() == 0
 
