@@ -202,21 +202,45 @@ def test_bpe_round_trip_matches_tiktoken(spark, monkeypatch):
     assert bpe.encode(docs.filter("doc_id < 0"), path).count() == 0
 
 
-def test_embeddings_match_brute_force(spark):
+def test_embeddings_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 40)  # large buckets are searched as pairs of tiles
     rng = np.random.default_rng(6)
     base = rng.standard_normal((40, 16))
     near = base[rng.integers(0, 40, 160)] + 0.12 * rng.standard_normal((160, 16))
-    v = np.concatenate([base, near, base[:5], base[:5]]).astype(np.float32)
+    v = np.concatenate([base, near, base[:1] + 0.01 * rng.standard_normal((150, 16)), base[:5], base[:5]])
     rows = [(i, [float(x) for x in v[i]], int(i % 3 == 0)) for i in range(len(v))]
     odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0, None] + [0.0] * 14, 1), (904, [float(x) for x in v[0]], None), (905, [], 1), (906, [float("inf")] * 16, 1)]
-    got = {r.vec_id: r for r in embeddings.embedding_near_dedup(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int"), tables=80).collect()}
-    x = v.astype(np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    scaled = [(910, [1e200, 1e199], 5), (911, [1e-200, 1e-201], 5), (912, [1.0, 0.1], 5), (913, [-1e300, 1e300], 5)]
+    made = spark.createDataFrame(rows + odd + scaled, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(7) for c in ("v", "m", "node", "tab", "tile")})
+    got = {r.vec_id: r for r in embeddings.embedding_near_dedup(made).collect()}
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
     links = (x @ x.T >= 0.93) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])[None])
     np.fill_diagonal(links, False)
-    assert sum(r.n_links for r in got.values()) >= 0.99 * links.sum()
+    assert sum(got[i].n_links for i in range(len(v))) >= 0.99 * links.sum()
     assert all(got[i].n_links <= links[i].sum() for i in range(len(v)))
+    group = {i: i for i in range(len(v))}
+    for _ in range(len(v)):
+        new = {i: min([group[i], *(group[j] for j in np.flatnonzero(links[i]))]) for i in group}
+        if new == group:
+            break
+        group = new
+    assert sum(got[i].component_id == group[i] for i in group) >= 0.98 * len(group)
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(900, 907))
+    assert [(got[i].n_links, got[i].component_id) for i in range(910, 914)] == [(2, 910)] * 3 + [(0, 913)]
+    assert embeddings.embedding_near_dedup(made.filter("vec_id < 0")).count() == 0
+
+
+def test_planned_tables_keep_recall_at_any_size():
+    rng = np.random.default_rng(2)
+    for n in (10, 20_000, 10_000_000):
+        bits, tables = embeddings.plan_tables(n, 0.93)
+        u = rng.standard_normal((300, 32))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        w = rng.standard_normal((300, 32))
+        w -= (w * u).sum(1, keepdims=True) * u
+        near = 0.93 * u + np.sqrt(1 - 0.93**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+        met = (embeddings.sign_hashes(u, bits, tables) == embeddings.sign_hashes(near, bits, tables)).any(1)
+        assert met.mean() >= 0.97
 
 
 def test_warc_round_trip(spark, tmp_path):
