@@ -1,15 +1,15 @@
 """N-gram Jaccard join over count vectors in a distributed R-tree.
 
 Shingles are hashed into groups, about as many as a text has shingles; a text's group counts are a
-point, and the overlap of two texts is at most the sum of the coordinate minima of their points. One tree over all points can't
-prune: hashed counts of unrelated texts lie close together in every coordinate but the size, so the
+point, and the overlap of two texts is at most the sum of the coordinate minima of their points. One
+tree over all points can't prune: hashed counts of unrelated texts lie close together in every coordinate but the size, so the
 boxes of a global tree overlap and nearly every pair of leaves survives. The points are therefore
 first dealt to forests of trees by shared signature shingles, which loses no link: of two linked
 texts each has one of the other's first n - ceil(t n) + 1 shingles among its own, in any order that
 is the same for all texts. The order here: shingles whose hash is in the lowest REGION of all hashes
 and that one text alone holds, then those of the region that more hold, rare first, then the rest by
 hash. A text that has enough shingles of its own in the region links with nothing and takes no part,
-so passages that many texts share make no forests of unrelated texts. Each forest is cut in tiles by
+so passages that many texts share make no forests of unrelated texts. A large forest is cut in tiles by
 size, tiles are paired by their sizes, and each pair of tiles is searched as a tree: box against box,
 point against point. The true sets are read only for texts with a surviving pair.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.bytetext import Words, blocks, mix, shingle_sets
-from siltstone.llm.stored import connected_components, stored
+from siltstone.llm.stored import connected_components, maybe_in, stored
 
 LEAST_GROUPS, MOST_GROUPS = 128, 4096
 #: The lowest hashes that are counted, in shares of a signature: enough for texts that share a quarter of their shingles.
@@ -64,8 +64,8 @@ def signature_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1 if n else 0
 
 
-def signatures(docs: DataFrame, k: int, num: int, den: int, region: float = REGION) -> DataFrame:
-    """(sig, key, id, n, rc, inside): each set's rc shingles of the region, and more in hash order where these are too few."""
+def signatures(docs: DataFrame, k: int, num: int, den: int, region: float = REGION, bare: bool = False) -> DataFrame:
+    """(sig, key, id, n, rc, inside): each set's rc shingles of the region, and more in hash order where these are too few; bare: (sig, key) alone."""
     kind = docs.schema["id"].dataType.simpleString()
     edge = np.uint64(min(2**64 - 1, int(region * (den - num) / den * 2**64)))
 
@@ -75,13 +75,17 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, region: float = REGI
             for a, sets in _sets(batch, k):
                 rc = [int(np.searchsorted(s, edge)) for s in sets]
                 take = [s[: max(c, signature_length(len(s), num, den))] for s, c in zip(sets, rc, strict=True)]
-                sizes = np.array([len(x) for x in take])
-                row = np.repeat(np.arange(len(sets)), sizes)
+                row = np.repeat(np.arange(len(sets)), [len(x) for x in take])
                 sig = np.concatenate(take)
                 of = lambda values: pa.array(np.array(values, np.int64)[row])  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([_long(sig), of([_set_key(s) for s in sets]), ids.take(pa.array(row + a)), of([len(s) for s in sets]), of(rc), pa.array(sig < edge)], names=["sig", "key", "id", "n", "rc", "inside"])
+                first = [_long(sig), of([_set_key(s) for s in sets])]
+                if bare:
+                    yield pa.RecordBatch.from_arrays(first, names=["sig", "key"])
+                else:
+                    more = [ids.take(pa.array(row + a)), of([len(s) for s in sets]), of(rc), pa.array(sig < edge)]
+                    yield pa.RecordBatch.from_arrays([*first, *more], names=["sig", "key", "id", "n", "rc", "inside"])
 
-    return docs.mapInArrow(run, f"sig long, key long, id {kind}, n long, rc long, inside boolean")
+    return docs.mapInArrow(run, "sig long, key long" if bare else f"sig long, key long, id {kind}, n long, rc long, inside boolean")
 
 
 def groups_of(n: int) -> int:
@@ -116,15 +120,6 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long, shingles binary")
 
 
-def near_ids(docs: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
-    """The rows of docs(id, ...) that a broadcast bitmap of 2**bits bits, whatever the table's size, doesn't rule out to be in ids."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    words = ids.select(place("id").alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_bits"))
-    docs = docs.withColumn("_p", place("id"))
-    near = docs.join(F.broadcast(words), F.shiftright("_p", 6).cast("int") == F.col("_word"))
-    return near.filter("shiftrightunsigned(_bits, cast(_p & 63 as int)) & 1 = 1").drop("_word", "_bits", "_p")
-
-
 def _linked(num: int, den: int):
     @F.pandas_udf(T.BooleanType())
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -258,17 +253,27 @@ def tile_links(pdf: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
     return found
 
 
-def _tile_rows(forests: DataFrame, num: int, den: int) -> DataFrame:
-    """(sig, t1, t2, side, key, n): the members of every pair of tiles of about one size; a tile pairs with itself too."""
-    run = Window.partitionBy("sig").orderBy("n", "key").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(run), F.lit(0)), F.coalesce(F.count("*").over(run), F.lit(0))
-    forests = forests.withColumn("tile", F.floor(before[0] / TILE_SHINGLES) + F.floor(before[1] / TILE_ROWS))
-    tiles = forests.groupBy("sig", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+def _tile_rows(trees: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, t1, t2, side, key, n): the members of every pair of tiles of about one size; a tile pairs with itself too.
+
+    trees(sig, key, n, c, s): c rows and s shingles in the row's tree. A tree over the bounds of a tile is cut
+    by size classes of an eighth of an octave, and a class over them by a hash of the key, so that no tree is
+    put in order in one task.
+    """
+    over = (F.col("c") > TILE_ROWS) | (F.col("s") > TILE_SHINGLES)
+    trees = trees.withColumn("class", F.when(over, F.floor(F.log2(F.col("n").cast("double")) * 8).cast("long") + 1).otherwise(0))
+    cells = trees.filter("class > 0").groupBy("sig", "class").agg(F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("n") / TILE_SHINGLES)).alias("parts"))
+    cells = stored(cells, "cells")
+    part = F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0))
+    trees = trees.join(cells, ["sig", "class"], "left").select("sig", "key", "n", (F.shiftleft("class", 32) + part).alias("tile"))
+    tiles = stored(trees.filter("tile > 0").groupBy("sig", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most")), "tiles")
     x, y = tiles.alias("x"), tiles.alias("y")
-    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.tile") < F.col("y.tile")) & (den * F.col("x.most") >= num * F.col("y.least"))).select("x.sig", F.col("x.tile").alias("t1"), F.col("y.tile").alias("t2"))
-    sides = pairs.select("sig", "t1", "t2", F.explode(F.array(F.struct(F.col("t1").alias("tile"), F.lit(1).alias("side")), F.struct(F.col("t2").alias("tile"), F.lit(2).alias("side")))).alias("s")).select("sig", "t1", "t2", "s.tile", "s.side")
-    own = forests.select("sig", F.col("tile").alias("t1"), F.col("tile").alias("t2"), F.lit(0).alias("side"), "key", "n")
-    return own.unionByName(forests.join(sides, ["sig", "tile"]).select(own.columns))
+    near = (den * F.col("x.most") >= num * F.col("y.least")) & (den * F.col("y.most") >= num * F.col("x.least"))
+    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.tile") < F.col("y.tile")) & near).select("x.sig", F.col("x.tile").alias("t1"), F.col("y.tile").alias("t2"))
+    ends = F.array(F.struct(F.col("t1").alias("tile"), F.lit(1).alias("side")), F.struct(F.col("t2").alias("tile"), F.lit(2).alias("side")))
+    sides = pairs.select("sig", "t1", "t2", F.explode(ends).alias("s")).select("sig", "t1", "t2", "s.tile", "s.side")
+    own = trees.select("sig", F.col("tile").alias("t1"), F.col("tile").alias("t2"), F.lit(0).alias("side"), "key", "n")
+    return own.unionByName(trees.filter("tile > 0").join(sides, ["sig", "tile"]).select(own.columns))
 
 
 def _surviving_rows(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -320,30 +325,31 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     profile = stored(profiles(docs, k), "profiles")
     once = profile.filter("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"))
 
-    # the shingles that several sets share, and of each set the first ones as far as its signature reaches
-    by = Window.partitionBy("sig")
-    sigs = signatures(named, k, num, den).withColumn("df", F.count("*").over(by)).withColumn("lo", F.min("key").over(by)).withColumn("hi", F.max("key").over(by)).filter("lo < hi")
+    # the shingles that several sets share: counted before they meet, so that a common one is one row a task
+    counted = signatures(named, k, num, den, bare=True).groupBy("sig").agg(F.count("*").alias("df"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    common = stored(counted.filter("lo < hi").select("sig", "df"), "common")
+    sigs = maybe_in(signatures(named, k, num, den), ["sig"], common, 26).join(common, "sig")
+    # and of each set the first ones as far as its signature reaches
     own = Window.partitionBy("id", "key", "inside")
     sigs = sigs.withColumn("c", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "sig")))
     sigs = sigs.filter(f"NOT inside OR place <= n - cast(ceil({num} * n / {den}) as long) + 1 - (rc - c)")
-    forests = sigs.groupBy("sig", "key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    forests = stored(forests.withColumn("lo", F.min("key").over(by)).withColumn("hi", F.max("key").over(by)).filter("lo < hi").drop("lo", "hi"), "forests")
+    forests = stored(sigs.groupBy("sig", "key").agg(F.min("id").alias("id"), F.max("n").alias("n")), "forests")
     # forests of the same sets are one
-    members = forests.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
-    one = members.groupBy("c", "x", "y").agg(F.min("sig").alias("sig"))
-    forests = stored(forests.join(one.select("sig"), "sig"), "trees")
+    members = forests.groupBy("sig").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    one = stored(members.filter("c > 1").groupBy("c", "s", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "c", "s"), "one")
+    forests = stored(forests.join(one, "sig"), "trees")
 
     # the points of their sets, and the tile rows that these leave
     active = forests.groupBy("key").agg(F.min("id").alias("id"))
-    points = stored(count_points(near_ids(named, active), k).join(active.select("key"), "key", "left_semi").dropDuplicates(["key"]), "points")
-    rows = _tile_rows(forests.select("sig", "key", "n"), num, den).join(points.select("key", "point"), "key")
+    points = stored(count_points(maybe_in(named, ["id"], active.select("id")), k).join(active.select("key"), "key", "left_semi").dropDuplicates(["key"]), "points")
+    rows = _tile_rows(forests.select("sig", "key", "n", "c", "s"), num, den).join(points.select("key", "point"), "key")
     # what survives of forests is often the same few sets, which need one search
     alive = stored(_different_groups(stored(_surviving_rows(rows, num, den), "surviving")), "alive")
     found = active.join(alive.select("key").distinct(), "key")
-    sets = stored(full_sets(near_ids(named, found), k).join(found.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sets = stored(full_sets(maybe_in(named, ["id"], found.select("id")), k).join(found.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
 
     # each forest's first set against the others: connects most copies before any search
-    firsts = alive.select("sig", "key").join(active, "key").groupBy("sig").agg(F.min_by("key", F.struct("id", "key")).alias("first"))
+    firsts = stored(alive.select("sig", "key").join(active, "key").groupBy("sig").agg(F.min_by("key", F.struct("id", "key")).alias("first")), "firsts")
     a, b = sets.select(F.col("key").alias("first"), F.col("n").alias("an"), F.col("shingles").alias("as")), sets.select("key", F.col("n").alias("bn"), F.col("shingles").alias("bs"))
     spokes = alive.select("sig", "key").join(firsts, "sig").filter("first <> key").select("first", "key").distinct()
     spokes = spokes.join(a, "first").join(b, "key").filter(f"{den} * least(an, bn) >= {num} * greatest(an, bn)")

@@ -59,13 +59,16 @@ def _brute_classes(texts, k, num, den):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-def test_jaccard_matches_brute_force(spark):
+@pytest.mark.parametrize("tile", [1024, 8])
+def test_jaccard_matches_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE_ROWS", tile)
     base, rng, texts = _words(1, 90), np.random.default_rng(2), [None, "", " \t", "one two", "One TWO", "one two three"]
     for i in range(70):  # a group of near copies around the bound
         w = list(base)
         for at in rng.integers(0, len(w), rng.integers(0, 5)):
             w[at] = f"x{i}.{at}"
         texts.append(" ".join(w))
+    texts += [f"{w} {w}" for w in THUE_MORSE] + [" ".join([w, *_words(77, 30)]) for w in THUE_MORSE[2:]]
     texts += [" ".join(_words(s, 60) + base[:40]) for s in range(10, 25)] + [" ".join(base), " ".join(_words(99, 3000)), " ".join(_words(99, 3000)[:-40])]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard_join(_docs(spark, texts), k=4, num=85, den=100).collect()}
     assert [got[i] for i in range(len(texts))] == _brute_classes(texts, 4, 85, 100)
@@ -268,7 +271,7 @@ def test_warc_round_trip(spark, tmp_path):
 def test_rules_statistics_and_forest(spark):
     good = [" ".join(_words(i, 80)) + ".\nnext line " + str(i) for i in range(120)]
     bad = [" ".join(w + "***" for w in _words(500 + i, 80)) for i in range(12)]
-    texts = good + bad + [None, "", "few words", "a b c " * 30, "x\nx\n\ny"]
+    texts = good + bad + [None, "", "few words", "a b c " * 30, "x\nx\n\ny", "\n".join(THUE_MORSE[2:] * 2), " ".join(w for x in THUE_MORSE for w in (x, "b", "c"))]
     labels = spark.createDataFrame([(i, 1) for i in range(0, 120, 2)] + [(120 + i, 0) for i in range(0, 12, 2)], "doc_id long, quality int")
     docs = _docs(spark, texts)
     got = {r.doc_id: r for r in rules.quality_rules(docs, labels).collect()}
