@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.columns import common_prefix, trimmed
+from siltstone.functions.columns import common_prefix, quoted, trimmed
+from siltstone.functions.flow import Scan
+from siltstone.operators.resolve import enclosing_function
+from siltstone.operators.structure import code_lines, code_text, function_spans
+from siltstone.sources.scratch import cut
 
 MOST_STATES = 48
 
@@ -82,3 +89,77 @@ def latest_state(events: DataFrame, key: str, order: Column, value: str, at: str
     now, at_time = now.cast("timestamp"), F.col("at").cast("timestamp")
     age = now.cast("double") - at_time.cast("double")
     return last.select(key, "value", age.alias("age_s"), (at_time >= now - F.expr(f"INTERVAL {fresh}")).alias("fresh"))
+
+
+CHANGE = "path string, line_no int, rhs string, via string, from_states array<string>, from_kind string, fell array<struct<name: string, set_line: int>>"
+#: A directive with its continuation lines.
+DIRECTIVE = r"(?m)^[ \t]*#(?:[^\n]*\\[ \t]*\n)*[^\n]*"
+
+
+def code_transitions(files: DataFrame, var: str, helpers: DataFrame | None = None) -> DataFrame:
+    """(path, func, line_no, from_states, from_kind, to, to_expr, via, fell): assignments to a variable or member, with the states it can come from.
+
+    from_states is null where nothing can be told. to is a state, to_expr any other right side. fell: the
+    states that come from the case above, with the line that set them. helpers(name, arg_index): calls
+    that assign a capitalised argument, as transitions `via` them. Only files that match a pattern are
+    scanned, each by one pass over its code in an Arrow batch; the calls of helpers in a file are found by a join.
+    """
+    hit = F.col("content").rlike(rf"\b{quoted(var)}\b\s*=(?:[^=]|$)")
+    if helpers is None:
+        asked = files.filter(hit).withColumn("helpers", F.create_map().cast("map<string,int>"))
+    else:
+        called = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))))
+        known = files.select("path", called.alias("name")).join(helpers.select("name", "arg_index").dropDuplicates(["name"]), "name")
+        found = known.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", F.col("arg_index").cast("int")))).alias("helpers"))
+        asked = files.join(found, "path", "left").filter(hit | F.col("helpers").isNotNull())
+    code = asked.select("path", code_text(F.col("content")).alias("code"), "helpers")
+
+    def scan(batches):
+        for pdf in batches:
+            out = []
+            for path, text, calls in zip(pdf["path"], pdf["code"], pdf["helpers"], strict=True):
+                text = re.sub(DIRECTIVE, lambda m: "\n" * m[0].count("\n"), text)
+                for c in Scan(text, var, dict(calls) if calls is not None else {}).run():
+                    names = None if c.before.names is None else list(c.before.names)
+                    out.append((path, c.line, c.rhs, c.via, names, c.before.kind, [{"name": n, "set_line": at} for n, at in c.fell]))
+            yield pd.DataFrame(out, columns=["path", "line_no", "rhs", "via", "from_states", "from_kind", "fell"])
+
+    rows = cut(code.mapInPandas(scan, CHANGE).withColumn("c", classify_rhs(F.col("rhs"))))
+    lines = code_lines(files.join(rows.select("path").distinct(), "path", "left_semi"))
+    rows = enclosing_function(rows, function_spans(lines))
+    to = lambda kind: F.when(F.col("c.kind") == kind, F.col("c.value"))
+    return rows.select("path", "func", "line_no", "from_states", "from_kind", to("state").alias("to"), to("expr").alias("to_expr"), F.nullif("via", F.lit("")).alias("via"), "fell")
+
+
+def fell_through(transitions: DataFrame) -> DataFrame:
+    """(path, line_no, name, set_line): the states that reach an assignment from the case above, and where each was set; 0 where it was a label."""
+    return transitions.select("path", "line_no", F.explode("fell").alias("f")).select("path", "line_no", "f.name", "f.set_line")
+
+
+def parameters(files: DataFrame) -> DataFrame:
+    """(path, func, name, arg_index) of every function's parameters, by the last name of each declaration."""
+    lines = code_lines(files)
+    spans = function_spans(lines)
+    asked = spans.select("path", F.col("name").alias("func"), "start_line", F.explode(F.sequence("start_line", F.least("end_line", F.col("start_line") + 9))).alias("line_no"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda s: s["code"])
+    heads = asked.join(lines.select("path", "line_no", "code"), ["path", "line_no"]).groupBy("path", "func", "start_line").agg(F.array_join(rows, " ").alias("head"))
+    plain = F.regexp_replace("head", r"\(\s*\*\s*(\w+)\s*\)\s*\([^()]*\)", "$1")  # pointers to functions by their names
+    inside = F.regexp_extract(plain, r"\(([^()]*)\)", 1)
+    parts = F.transform(F.split(inside, ","), lambda p: F.regexp_extract(p, r"([A-Za-z_]\w*)\W*$", 1))
+    return heads.select("path", "func", F.posexplode(parts).alias("arg_index", "name")).filter("name <> ''").select("path", "func", "name", "arg_index")
+
+
+def helper_functions(transitions: DataFrame, params: DataFrame) -> DataFrame:
+    """(name, arg_index): functions that assign one of their own parameters, joined by the parameter's name."""
+    own = transitions.filter("to IS NULL AND func IS NOT NULL").select("path", "func", F.col("to_expr").alias("name"))
+    return own.join(params, ["path", "func", "name"]).groupBy(F.col("func").alias("name")).agg(F.min("arg_index").alias("arg_index"))
+
+
+def helper_transitions(files: DataFrame, var: str, transitions: DataFrame | None = None) -> DataFrame:
+    """Transitions of constant arguments to functions that assign their parameter, one level only; not inside such functions, and not where an assignment stands."""
+    direct = cut(code_transitions(files, var) if transitions is None else transitions)
+    named = files.join(direct.filter("to IS NULL").select("path").distinct(), "path", "left_semi")
+    helpers = cut(helper_functions(direct, parameters(named)))
+    found = code_transitions(files, var, helpers).filter("via IS NOT NULL")
+    found = found.join(helpers.select(F.col("name").alias("func")), "func", "left_anti")
+    return found.join(direct.select("path", "line_no").distinct(), ["path", "line_no"], "left_anti")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.columns import trimmed
 from siltstone.functions.evaluate import eval_condition, eval_const
 from siltstone.operators.resolve import enclosing_function
+from siltstone.sources.scratch import cut
 
 LEXEME = r"""(//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|[^/"']+|/)"""
 KEYWORDS = ("if", "for", "while", "switch", "return", "sizeof", "do", "else", "case", "defined", "goto", "typeof", "_Alignof", "alignof")
 NAME = r"[A-Za-z_]\w*"
+BLOCK_LINES = 64
 
 
 def code_text(content) -> Column:
@@ -52,8 +55,13 @@ def region_condition() -> Column:
 
 
 def _inside(rows: DataFrame, regions: DataFrame) -> DataFrame:
-    r = regions.withColumnRenamed("line_no", "directive_line")
-    return rows.join(r, "path").filter((F.col("line_no") >= F.col("start_line")) & (F.col("line_no") <= F.col("end_line")))
+    """rows(path, line_no, ...) with the regions(path, start_line, end_line, ...) around each: both are dealt in blocks of BLOCK_LINES lines and joined by block, so that a long file is no product."""
+    last = rows.groupBy("path").agg(F.max("line_no").alias("_last"))
+    r = regions.withColumnRenamed("line_no", "directive_line").join(last, "path").withColumn("end_line", F.least("end_line", "_last")).filter("start_line <= end_line").drop("_last")
+    block = lambda c: F.expr(f"{c} div {BLOCK_LINES}")
+    r = r.withColumn("_block", F.explode(F.sequence(block("start_line"), block("end_line"))))
+    joined = rows.withColumn("_block", block("line_no")).join(r, ["path", "_block"])
+    return joined.filter((F.col("line_no") >= F.col("start_line")) & (F.col("line_no") <= F.col("end_line"))).drop("_block")
 
 
 def inactive_lines(lines: DataFrame, configs: DataFrame) -> DataFrame:
@@ -95,8 +103,8 @@ def overcounted_branches(lines: DataFrame) -> DataFrame:
     return inside.join(again, ["path", "depth", "group", "branch"]).select("path", "line_no").distinct()
 
 
-def function_spans(lines: DataFrame) -> DataFrame:
-    """(path, name, start_line, end_line) of functions: top-level braces behind a name with brackets.
+def top_spans(lines: DataFrame) -> DataFrame:
+    """(path, head, start_line, end_line) of the outermost braces of each file, with what stands before them since the last statement.
 
     Directives with their continuations and over-counted branches hold no braces; lines(path, line_no, text, code).
     """
@@ -105,36 +113,84 @@ def function_spans(lines: DataFrame) -> DataFrame:
     skip = overcounted_branches(lines).withColumn("_skip", F.lit(True))
     live = live.join(firsts, ["path", "first"]).join(skip, ["path", "line_no"], "left")
     code = F.when(F.col("is_directive") | F.col("_skip"), "").otherwise(F.col("code"))
-    whole = live.withColumn("c", code).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "c"))), lambda s: s["c"]), "\n").alias("code"))
-    pairs = F.arrays_zip(F.regexp_extract_all("code", F.lit(r"([^{};]*)([{};])"), F.lit(1)).alias("before"), F.regexp_extract_all("code", F.lit(r"([^{};]*)([{};])"), F.lit(2)).alias("mark"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "c"))), lambda s: s["c"])
+    whole = live.withColumn("c", code).groupBy("path").agg(F.array_join(rows, "\n").alias("code"))
+    part = F.lit(r"([^{};]*)([{};])")
+    pairs = F.arrays_zip(F.regexp_extract_all("code", part, F.lit(1)).alias("before"), F.regexp_extract_all("code", part, F.lit(2)).alias("mark"))
     events = whole.select("path", F.posexplode(pairs).alias("k", "e")).select("path", "k", "e.before", "e.mark")
     by = Window.partitionBy("path").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    breaks = F.length("before") - F.length(F.replace("before", F.lit("\n"), F.lit("")))
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     depth = F.sum(F.when(F.col("mark") == "{", 1).when(F.col("mark") == "}", -1).otherwise(0)).over(by)
-    events = events.withColumn("line", F.sum(breaks).over(by) + 1).withColumn("depth", depth).withColumn("breaks", breaks)
+    events = events.withColumn("breaks", breaks(F.col("before"))).withColumn("line", F.sum("breaks").over(by) + 1).withColumn("depth", depth)
     head = F.regexp_replace("before", r"^\s+", "")
-    lead = F.length("before") - F.length(head)
-    skipped = F.length(F.substring("before", F.lit(1), lead)) - F.length(F.replace(F.substring("before", F.lit(1), lead), F.lit("\n"), F.lit("")))
-    name = F.regexp_extract(head, rf"({NAME})\s*\([^()]*(?:\([^()]*\)[^()]*)*\)[\w\s]*$", 1)
+    skipped = breaks(F.substring("before", F.lit(1), F.length("before") - F.length(head)))
     edge = ((F.col("mark") == "{") & (F.col("depth") == 1)) | ((F.col("mark") == "}") & (F.col("depth") == 0))
-    tops = events.filter(edge).withColumn("name", name).withColumn("start_line", F.col("line") - F.col("breaks") + skipped)
-    tops = tops.withColumn("end_line", F.lead("line").over(Window.partitionBy("path").orderBy("k")))
-    return tops.filter((F.col("mark") == "{") & (F.col("name") != "") & ~F.col("name").isin(*KEYWORDS) & F.col("end_line").isNotNull()).select("path", "name", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
+    tops = events.filter(edge).withColumn("head", head).withColumn("start_line", F.col("line") - F.col("breaks") + skipped)
+    tops = tops.withColumn("end_line", F.lead("line").over(Window.partitionBy("path").orderBy("k"))).filter("mark = '{' AND end_line IS NOT NULL")
+    return tops.select("path", "head", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
+
+
+def function_spans(lines: DataFrame) -> DataFrame:
+    """(path, name, start_line, end_line) of functions: outermost braces behind a name with brackets; lines(path, line_no, text, code)."""
+    name = F.regexp_extract("head", rf"({NAME})\s*\([^()]*(?:\([^()]*\)[^()]*)*\)[\w\s]*$", 1)
+    return top_spans(lines).withColumn("name", name).filter((F.col("name") != "") & ~F.col("name").isin(*KEYWORDS)).select("path", "name", "start_line", "end_line")
+
+
+def outline(lines: DataFrame, indent: int = 2) -> DataFrame:
+    """(path, name, detail, start_line, end_line): the functions that begin at most `indent` columns in, with their first line."""
+    first = lines.select("path", F.col("line_no").alias("start_line"), "text")
+    found = function_spans(lines).join(first, ["path", "start_line"])
+    return found.filter(F.length(F.regexp_extract("text", r"^([ \t]*)", 1)) <= indent).select("path", "name", trimmed("text").alias("detail"), "start_line", "end_line")
+
+
+def _text_of(ranges: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
+    """(path, key..., body): the lines from start_line to end_line of each range, joined by line number."""
+    asked = ranges.select("path", *key, F.explode(F.sequence("start_line", "end_line")).alias("_at"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda s: s["_text"])
+    texts = lines.select("path", F.col("line_no").alias("_at"), F.col("text").alias("_text"))
+    return asked.join(texts, ["path", "_at"]).groupBy("path", *key).agg(F.array_join(rows, "\n").alias("body"))
+
+
+def leading_comment(symbols: DataFrame, lines: DataFrame, most: int = 50) -> DataFrame:
+    """(path, line_no, comment) of symbols(path, line_no) with a comment right above, one blank line between them at most.
+
+    It is the lines of comments in a row, or one block of several lines, or both, the block first; a
+    block or a row of more than `most` lines is none.
+    """
+    t = trimmed("text")
+    one = t.startswith("//") | (t.startswith("/*") & t.endswith("*/"))
+    opens, closes = t.startswith("/*") & ~t.contains("*/"), t.endswith("*/") & (F.instr(t, "/*") == 0)
+    by = Window.partitionBy("path").orderBy("line_no")
+    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.select("path", "line_no", (t == "").alias("blank"), one.alias("one"), closes.alias("closes"), F.last(F.when(opens, F.col("line_no")), ignorenulls=True).over(so_far).alias("opened"), F.last(F.when(~one, F.col("line_no")), ignorenulls=True).over(so_far).alias("other"))
+    block = F.when(F.col("closes") & (F.col("line_no") - F.col("opened") < most), F.col("opened"))
+    rows = rows.withColumn("block", block)
+    # where the comment begins that ends here
+    row_top = F.coalesce("other", F.lit(0)) + 1
+    singles = rows.filter("one AND line_no - coalesce(other, 0) <= " + str(most)).select("path", F.col("line_no").alias("end_line"), row_top.cast("int").alias("top"))
+    above = rows.filter("block IS NOT NULL").select("path", (F.col("line_no") + 1).alias("top"), "block")
+    singles = singles.join(above, ["path", "top"], "left").select("path", "end_line", F.coalesce("block", "top").alias("start_line"))
+    comments = singles.unionByName(rows.filter("block IS NOT NULL").select("path", F.col("line_no").alias("end_line"), F.col("block").alias("start_line")))
+    blank = rows.filter("blank").select("path", (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("gap"))
+    at = symbols.select("path", "line_no").distinct().join(blank, ["path", "line_no"], "left").withColumn("end_line", F.col("line_no") - F.when(F.col("gap"), 2).otherwise(1))
+    return _text_of(at.join(comments, ["path", "end_line"]), lines, ["line_no"]).withColumnRenamed("body", "comment")
 
 
 def function_body(spans: DataFrame, lines: DataFrame) -> DataFrame:
-    """spans with body: the lines of each."""
-    inside = lines.select("path", "line_no", "text").join(spans, "path").filter("line_no BETWEEN start_line AND end_line")
-    return inside.groupBy("path", "name", "start_line", "end_line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("body"))
+    """spans(path, name, start_line, end_line) with body: the comment right above, if any, and the lines of each."""
+    body = _text_of(spans, lines, ["name", "start_line", "end_line"])
+    comment = leading_comment(spans.select("path", F.col("start_line").alias("line_no")), lines).withColumnRenamed("line_no", "start_line")
+    return body.join(comment, ["path", "start_line"], "left").withColumn("body", F.concat_ws("\n", "comment", "body")).drop("comment")
 
 
 def define_blocks(lines: DataFrame, most: int = 30) -> DataFrame:
-    """(path, line_no, name, params, body) of #define with its continuation lines, `most` at most."""
+    """(path, line_no, name, params, body, truncated) of #define with its continuation lines, `most` at most."""
     at = rf"^\s*#\s*define\s+({NAME})(\([^)]*\))?\s*(.*)$"
-    runs = logical_lines(lines).filter(F.col("line_no") - F.col("first") < most)
-    joined = runs.groupBy("path", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: F.regexp_replace(s["text"], r"\\\s*$", "")), " ").alias("t"))
+    runs = logical_lines(lines)
+    kept = F.when(F.col("line_no") - F.col("first") < most, F.struct("line_no", "text"))
+    joined = runs.groupBy("path", "first").agg((F.max(F.col("line_no") - F.col("first")) >= most).alias("truncated"), F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda s: F.regexp_replace(s["text"], r"\\\s*$", "")), " ").alias("t"))
     clean = F.regexp_replace(F.regexp_replace("t", r"/\*.*?\*/", " "), r"//.*$", "")
-    return joined.withColumn("t", clean).filter(F.col("t").rlike(at)).select("path", F.col("first").alias("line_no"), F.regexp_extract("t", at, 1).alias("name"), F.nullif(F.regexp_extract("t", at, 2), F.lit("")).alias("params"), F.trim(F.regexp_extract("t", at, 3)).alias("body"))
+    return joined.withColumn("t", clean).filter(F.col("t").rlike(at)).select("path", F.col("first").alias("line_no"), F.regexp_extract("t", at, 1).alias("name"), F.nullif(F.regexp_extract("t", at, 2), F.lit("")).alias("params"), F.trim(F.regexp_extract("t", at, 3)).alias("body"), "truncated")
 
 
 def macro_values(macros: DataFrame, rounds: int = 6) -> DataFrame:
@@ -143,6 +199,7 @@ def macro_values(macros: DataFrame, rounds: int = 6) -> DataFrame:
     Conflicting bodies, macros with parameters and names that never settle have no value.
     """
     facts = macros.groupBy("name").agg(F.count_distinct("body").alias("bodies"), F.max(F.col("params").isNotNull()).alias("called"), F.min("body").alias("body"))
+    facts = cut(facts)  # each round reads it
     good = facts.filter("bodies = 1 AND NOT called").select("name", "body")
     now = good.withColumn("expr", F.col("body"))
     table = good.select(F.col("name").alias("used"), F.col("body").alias("by"))
@@ -156,11 +213,15 @@ def macro_values(macros: DataFrame, rounds: int = 6) -> DataFrame:
 
 def enum_members(lines: DataFrame) -> DataFrame:
     """(path, enum, name, value, line_no): members of enum blocks; a literal sets the count, an unreadable value makes the rest unknown."""
-    whole = lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda s: F.concat(F.regexp_replace(s["code"], r"^\s*#.*$", "#,"), F.lit("\u0001"), s["line_no"].cast("string"), F.lit("\u0002"))), "").alias("t"))
-    at = rf"\benum\b\s*({NAME})?[^{{;]*\{{([^}}]*)\}}"
-    blocks = F.arrays_zip(F.regexp_extract_all("t", F.lit(at), F.lit(1)).alias("enum"), F.regexp_extract_all("t", F.lit(at), F.lit(2)).alias("body"))
-    rows = whole.select("path", F.posexplode(blocks).alias("b", "e")).select("path", "b", "e.enum", F.posexplode(F.split("e.body", ",")).alias("i", "item"))
-    rows = rows.withColumn("line_no", F.regexp_extract("item", "\u0001(\\d+)\u0002[^\u0001]*$", 1)).withColumn("item", F.trim(F.regexp_replace("item", "\u0001\\d+\u0002", " "))).filter("item <> ''")
+    marked = lambda s: F.concat(F.lit("\u0001"), s["line_no"].cast("string"), F.lit("\u0002"), F.regexp_replace(s["code"], r"^\s*#.*$", "#,"))
+    whole = lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), marked), "").alias("t"))
+    at = F.lit(rf"(\u0001\d+\u0002[^\u0001]*\benum\b\s*({NAME})?[^{{;]*)\{{([^}}]*)\}}")
+    blocks = F.arrays_zip(F.regexp_extract_all("t", at, F.lit(1)).alias("head"), F.regexp_extract_all("t", at, F.lit(2)).alias("enum"), F.regexp_extract_all("t", at, F.lit(3)).alias("body"))
+    rows = whole.select("path", F.posexplode(blocks).alias("b", "e")).select("path", "b", "e.head", "e.enum", F.posexplode(F.split("e.body", ",")).alias("i", "item"))
+    last = lambda c: F.nullif(F.regexp_extract(c, "\u0001(\\d+)\u0002[^\u0001]*$", 1), F.lit(""))
+    before = F.last(last("item"), ignorenulls=True).over(Window.partitionBy("path", "b").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.nullif(F.regexp_extract("item", "^(?:\\s*\u0001(\\d+)\u0002)+", 1), F.lit(""))
+    rows = rows.withColumn("line_no", F.coalesce(own, before, last("head"))).withColumn("item", F.trim(F.regexp_replace("item", "\u0001\\d+\u0002", " "))).filter("item <> ''")
     rows = rows.withColumn("name", F.regexp_extract("item", rf"^({NAME})\s*(?:=|$)", 1)).withColumn("set", F.nullif(F.trim(F.regexp_extract("item", r"=(.*)$", 1)), F.lit("")))
     value = eval_const("set")
     rows = rows.withColumn("literal", value).withColumn("bad", (F.col("name") == "") | (F.col("set").isNotNull() & F.col("literal").isNull()))
@@ -169,7 +230,7 @@ def enum_members(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("poison", F.bool_or("bad").over(run)).withColumn("k", F.row_number().over(by))
     rows = rows.withColumn("base", F.last(F.when(F.col("literal").isNotNull(), F.struct("literal", "k")), ignorenulls=True).over(run))
     counted = F.when(F.col("poison"), None).otherwise(F.coalesce(F.col("base.literal") + F.col("k") - F.col("base.k"), F.col("k") - 1))
-    return rows.filter("name <> ''").select("path", F.concat_ws("#", "enum", F.col("b").cast("string")).alias("enum"), "name", counted.cast("long").alias("value"))
+    return rows.filter("name <> ''").select("path", F.concat_ws("#", "enum", F.col("b").cast("string")).alias("enum"), "name", counted.cast("long").alias("value"), F.col("line_no").try_cast("int").alias("line_no"))
 
 
 def case_blocks(lines: DataFrame, hits: DataFrame) -> DataFrame:
@@ -214,7 +275,7 @@ def call_edges(lines: DataFrame, spans: DataFrame) -> DataFrame:
     declared = F.regexp_extract_all("code", F.lit(rf"\b({NAME})\s*\(\s*\*\s*{NAME}\s*\)\s*\("), F.lit(1))
     names = F.array_except(F.array_distinct(F.regexp_extract_all("code", F.lit(at), F.lit(1))), F.concat(pointers, declared))
     rows = inside.select("path", "func", "func_line", "line_no", "code", F.explode(names).alias("callee")).filter(~F.col("callee").isin(*KEYWORDS))
-    header = (F.col("callee") == F.col("func")) & F.regexp_like("code", F.concat(F.lit(r"^\w[\w\s*]*\b"), "callee", F.lit(r"\s*\([^;{]*(\{|$)")))
+    header = (F.col("callee") == F.col("func")) & (F.col("line_no") == F.col("func_line")) | (F.col("callee") == F.col("func")) & F.regexp_like("code", F.concat(F.lit(r"^\w[\w\s*]*\b"), "callee", F.lit(r"\s*\([^;{]*(\{|$)")))
     return rows.filter(~header).groupBy("path", F.col("func").alias("caller"), "callee").agg(F.min("line_no").alias("line_no"))
 
 
@@ -226,3 +287,61 @@ def callers(edges: DataFrame, mentions: DataFrame, word: str) -> DataFrame:
     return both.withColumn("_k", F.row_number().over(Window.partitionBy("path", key).orderBy("indirect", "line_no"))).filter("_k = 1").drop("_k")
 
 
+def alias_chain(macros: DataFrame, most: int = 4) -> DataFrame:
+    """(root, place, name): the macros that each macro's body leads to, breadth first, each once, `most` at most; macros(name, body)."""
+    once = macros.groupBy("name").agg(F.min("body").alias("body"))
+    used = once.select("name", F.posexplode(F.array_distinct(F.regexp_extract_all("body", F.lit(rf"({NAME})"), F.lit(1)))).alias("k", "used"))
+    edges = used.join(once.select(F.col("name").alias("used")), "used").filter("used <> name")
+    front = edges.select(F.col("name").alias("root"), F.col("used").alias("name"), F.array("k").alias("way"))
+    every = front
+    for _ in range(most - 1):
+        step = front.join(edges.select("name", "used", "k"), "name").filter("used <> root")
+        front = step.select("root", F.col("used").alias("name"), F.array_append("way", F.col("k")).alias("way"))
+        front = front.groupBy("root", "name").agg(F.min("way").alias("way"))
+        every = every.unionByName(front)
+    first = every.groupBy("root", "name").agg(F.min(F.struct(F.size("way").alias("n"), "way")).alias("at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("at"))).filter(F.col("place") <= most).select("root", "place", "name")
+
+
+def static_names(lines: DataFrame) -> DataFrame:
+    """(path, name, line_no): where the static variables of a file stand in its code, not as members and not as names of types; lines(path, line_no, code)."""
+    at = rf"\bstatic\b(?:\s+(?:const|volatile|unsigned|signed|long|short|inline))*\s+(?:(?:struct|enum|union)\s+)?\w+\s*\**\s*({NAME})\s*(?=[=;\[])"
+    names = lines.filter(F.col("code").contains("static")).select("path", F.regexp_extract("code", at, 1).alias("name")).filter("name <> ''").distinct()
+    words = F.array_distinct(F.regexp_extract_all("code", F.lit(rf"(?<![>.\w])(?<!\b(?:struct|enum|union)\s{{1,9}})({NAME})"), F.lit(1)))
+    return lines.select("path", "line_no", F.explode(words).alias("name")).join(names, ["path", "name"]).select("path", "name", "line_no")
+
+
+def typedef_targets(typedefs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(name, target, kind, path, line_no): the struct, union or enum that an alias without a body stands for; typedefs(name, text), symbols(name, kind, path, line_no)."""
+    alias = typedefs.filter(~F.col("text").contains("{")).select("name", F.regexp_extract("text", rf"typedef\s+(?:struct|union|enum)\s+({NAME})", 1).alias("target")).filter("target <> ''").distinct()
+    held = symbols.filter(F.col("kind").isin("struct", "union", "enum")).select(F.col("name").alias("target"), "kind", "path", "line_no")
+    return alias.join(held, "target").select("name", "target", "kind", "path", "line_no")
+
+
+def symbol_cards(words: DataFrame, lines: DataFrame, most: int = 2) -> DataFrame:
+    """(name, kind, path, line_no, body, value, decl) of each definition of words(name): what to show for a name.
+
+    The body is the comment right above and the function, the outermost block of a struct, union or enum, the
+    define with its continuation, or else the line. value: of macros and enum members that are constants.
+    Of functions `most` implementations are shown, and declarations, `most` at most, only where there is none.
+    """
+    lines = cut(lines)  # read many times below
+    defs = extract_definitions(lines).withColumn("decl", F.lit(False))
+    proto = rf"^(?!\s)(?!typedef\b)(?:[\w*]+[\s*]+)+({NAME})\s*\([^;{{]*\)\s*;"
+    said = lines.withColumn("name", F.regexp_extract("code", proto, 1)).filter("name <> ''").select("name", F.lit("func").alias("kind"), "path", "line_no", "text", F.lit(True).alias("decl"))
+    members = enum_members(lines).select("name", F.lit("enum_member").alias("kind"), "path", "line_no", F.lit(False).alias("decl"), F.col("value"))
+    values = cut(macro_values(cut(define_blocks(lines))).filter("value IS NOT NULL")).select("name", F.lit("define").alias("kind"), "value")
+    every = defs.unionByName(said).join(values, ["name", "kind"], "left").unionByName(members.join(lines.select("path", "line_no", "text"), ["path", "line_no"]), allowMissingColumns=True)
+    wanted = every.join(words.select("name").distinct(), "name", "left_semi").dropDuplicates(["name", "kind", "path", "line_no"])
+    k = F.row_number().over(Window.partitionBy("name", "decl", F.col("kind") == "func").orderBy("path", "line_no"))
+    real = F.max(((F.col("kind") == "func") & ~F.col("decl")).cast("int")).over(Window.partitionBy("name"))
+    func = F.col("kind") == "func"
+    shown = cut(wanted.withColumn("_k", k).withColumn("_real", real).filter(~func | ((F.col("_k") <= most) & (~F.col("decl") | (F.col("_real") == 0)))).drop("_k", "_real"))
+    spans = top_spans(lines).select("path", F.col("start_line").alias("line_no"), "end_line")
+    runs = logical_lines(lines).groupBy("path", F.col("first").alias("line_no")).agg(F.max("line_no").alias("run_end"))
+    ends = shown.join(spans, ["path", "line_no"], "left").join(runs, ["path", "line_no"], "left")
+    block = F.col("kind").isin("func", "struct", "union", "enum") & ~F.col("decl")
+    ends = ends.withColumn("start_line", F.col("line_no")).withColumn("end_line", F.when(F.col("kind") == "define", F.col("run_end")).when(block, F.coalesce("end_line", "line_no")).otherwise(F.col("line_no")))
+    body = _text_of(ends.select("path", "line_no", "start_line", "end_line").distinct(), lines, ["line_no"])
+    comment = leading_comment(shown, lines)
+    return shown.join(body, ["path", "line_no"]).join(comment, ["path", "line_no"], "left").select("name", "kind", "path", "line_no", F.concat_ws("\n", "comment", "body").alias("body"), "value", "decl")

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from siltstone.functions.evaluate import evaluate
+from siltstone.functions.flow import Scan
+from siltstone.operators import states
 from siltstone.operators import structure as T
 
 SOURCE = r"""/* helper( */
@@ -120,3 +122,56 @@ def test_function_body(spark):
 def test_evaluate():
     cases = {"1 + 2 * 3": 7, "(1 | 6) ^ 2": 5, "-8 / 3": -2, "1 << 4 >> 2": 4, "defined(A) && !defined(B)": 1, "X": 0, "1 ? 2 : 3": 2, "0x10 == 16": 1, "010": 8, "1 / 0": None, "f(1)": None, "": None, "~0": -1, "3U + 1L": 4}
     assert {e: evaluate(e, {"A": 1}) for e in cases} == cases
+
+
+BODY = "void f(struct s *s) {{ switch (s->st) {{ {} }} }}"
+FLOWS = [
+    (BODY.format("case A: s->st = B; break; case C: s->st = D; break;"), "A->B C->D"),
+    (BODY.format("case A: case B: s->st = C; break;"), "A|B->C"),
+    (BODY.format("case A: prep(s); case B: s->st = C; break;"), "A|B->C"),
+    (BODY.format("case A: s->st = B; return; case C: s->st = D;"), "A->B C->D"),
+    (BODY.format("case A: default: s->st = B; break;"), "?->B"),
+    (BODY.format("case A: switch (s->o) { case X: s->st = B; break; } break;"), "A->B"),
+    (BODY.format("case P: switch (r) { case X: s->st = M; default: s->st = E; break; } break;"), "P->M M|P->E"),
+    (BODY.format("case P: switch (r) { case X: s->st = M; break; default: s->st = E; } break;"), "P->M P->E"),
+    (BODY.format("case A: if (flush(s) != 1) return; s->st = B; return; case C: s->st = D;"), "A->B C->D"),
+    (BODY.format("case R: if (ok(s)) { s->st = E; if (again(s)) { s->st = R; return; } } else { s->st = D; } return;"), "R->E E->R R->D"),
+    (BODY.format("case N: if (bad(s)) return; case K: s->st = C; if (r <= 0) { s->st = K; return; } case W: s->st = V; break;"), "N|K->C C->K C|W->V"),
+    (BODY.format("case A: s->st = compute(s); s->st = B; break;"), "A->compute(s) ?->B"),
+    ("void f() { if (s->st == A || s->st == B) { s->st = C; } }", "A|B->C"),
+    ("void f() { if (s->st == A) s->st = B; s->st = C; }", "A->B ?->C"),
+    ("void f() { if (s->st == A) log(s); s->st = B; }", "?->B"),
+    ("void f() { if (s->st != A) { s->st = B; } if (!(s->st == C)) { s->st = D; } }", "?->B ?->D"),
+    ("void f() { if (s->st == A) s->st = B; else s->st = C; }", "A->B ?->C"),
+    ("void f() { if (s->st == A) s->st = B; else if (s->st == C) s->st = D; }", "A->B C->D"),
+    ("void f() { int st = I; if (st == I) st = R; }", "?->I I->R"),
+    ("void f() { s->other_st = X; st_extra = Y; s->st =\n  LONG_NAME; }", "?->LONG_NAME"),
+    ("void f() { if (s->st >= B) use(s); }", ""),
+    ("void f() { int st; st = s->st; s->st = B; s->st = st; }", "?->B B->st"),
+    ("void f() { while (x) { s->st = A; } s->st = B; do { s->st = C; } while (y); }", "?->A ?->B B->C"),
+    ("struct s x = { .st = A }; void f() { s->st = Tcp_Open; }", "?->Tcp_Open"),
+    ("} ) if ( { case", ""),
+]
+
+
+def test_flow_of_states():
+    for source, want in FLOWS:
+        got = [("|".join(c.before.names or ()) or "?") + "->" + c.rhs for c in Scan(source, "st").run()]
+        assert got == want.split(), source
+    last = Scan(BODY.format("case R: s->st = BUSY;\nif (fail(s)) return; case N:\ns->st = D; break;"), "st").run()[-1]
+    assert (last.line, last.fell) == (3, [("BUSY", 1)])
+    deep = Scan("void f() { " + "{" * 5000 + "s->st = A;" + "}" * 5000 + " s->st = B; }", "st").run()
+    assert [c.rhs for c in deep] == ["B"]
+
+
+def test_transitions_ignore_directives_and_noise(spark):
+    source = "#define SET(s) ((s)->st = MACRO)\n#if defined(st) && st == COND\n#endif\nvoid f(struct s *s) {\n  /* s->st = OLD; */ log(\"s->st = FAKE\");\n  s->st = B;\n}"
+    rows = states.code_transitions(spark.createDataFrame([("a.c", source), ("b.c", "int x;")], "path string, content string"), "st").collect()
+    assert [(r.path, r.func, r.line_no, r.from_states, r["to"]) for r in rows] == [("a.c", "f", 6, None, "B")]
+
+
+def test_comments_above(spark):
+    source = "/* one */\n// two\n\nint a;\n\n\n// far\n\n\nint b;\n/* long\n   block */\n// and\nint c;\nint d; /* tail */\nint e;\n" + "// x\n" * 51 + "int f;"
+    lines = _lines(spark, source)
+    got = {r.line_no: r.comment for r in T.leading_comment(lines.filter("code LIKE 'int%'"), lines).collect()}
+    assert got == {4: "/* one */\n// two", 14: "/* long\n   block */\n// and"}
