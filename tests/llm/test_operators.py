@@ -407,3 +407,118 @@ def test_weak_labels(spark):
     got = {r.doc_id: r for r in weak.quality_classifier(_docs(spark, texts)).collect()}
     assert sum(got[i].kept for i in range(150)) >= 147 and not any(got[i].kept for i in range(150, 172))
     assert weak.quality_classifier(_docs(spark, texts).filter("doc_id < 0")).count() == 0
+
+
+def test_labellers_and_scorer_against_labels(spark):
+    """Weak labels agree with what is planted: accuracies by brute force over the votes, the scorer on texts it wasn't fitted on."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.8
+    right = np.array([0.9, 0.8, 0.7, 0.85])
+    votes = np.where(rng.random((4000, 4)) < right, truth[:, None], ~truth[:, None]).astype(int)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    posterior, table, prior = weak.expectation_maximisation(patterns, counts.astype(float))
+    assert abs(prior - truth.mean()) < 0.05
+    assert all(abs(table[j, 1, 2] - right[j]) < 0.06 for j in range(4))
+    known = {tuple(v): p for v, p in zip(patterns.tolist(), posterior, strict=True)}
+    assert np.mean([(known[tuple(v)] > 0.5) == y for v, y in zip(votes.tolist(), truth, strict=True)]) > 0.88
+    good = [" ".join(_words(i, 120)) + "." for i in range(300)]
+    bad = [" ".join(w + "###" for w in _words(900 + i, 120)) for i in range(60)]
+    got = {r.doc_id: r for r in weak.quality_classifier(_docs(spark, good + bad), fit_rows=100).collect()}
+    assert np.mean([got[i].kept for i in range(300)]) > 0.97 and not any(got[i].kept for i in range(300, 360))
+
+
+def test_forest_isolates_the_odd():
+    rng = np.random.default_rng(4)
+    rows = np.concatenate([rng.normal(0, 1, (500, 3)), [[9, 9, 9], [-8, 0, 9]]])
+    forest = rules.Forest(rows, trees=60, sample=128)
+    score = forest.score(rows)
+    assert score[500:].min() > np.quantile(score[:500], 0.98)
+    # a path's length by walking each tree, row by row
+    for row, got in zip(rows[:5], score[:5], strict=True):
+        total = 0.0
+        for feature, at, left, length in forest.trees:
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] + (row[feature[node]] >= at[node])
+            total += length[node]
+        assert got == pytest.approx(2 ** (-total / len(forest.trees) / rules.mean_path(forest.size)))
+
+
+def _corpus():
+    rng = np.random.default_rng(21)
+    lines = lambda seed, n: "\n".join(" ".join(_words(seed * 100 + i, 14)) for i in range(n))
+    rows = [(i, lines(i, int(rng.integers(5, 9))), "en", f"s{i % 3}") for i in range(60)]
+    rows += [(100 + i, rows[i][1], "en", "s1") for i in range(5)]  # exact copies: every line falls
+    near = [r[1].split(" ") for r in rows[5:9]]
+    rows += [(110 + i, " ".join([*w[:3], "edit", *w[4:]]), "de", "s2") for i, w in enumerate(near)]
+    rows += [(120, None, "en", "s0"), (121, "", "en", "s0"), (122, "too short", "en", "s0"), (123, "a b c " * 40, "en", None)]
+    rows += [(130 + i, "\n".join(" ".join(w + "***" for w in _words(7000 + 10 * i + j, 12)) for j in range(6)), "en", "s0") for i in range(6)]
+    rows += [(200 + i, lines(500 + i, 10).replace("\n", " "), "fr", "s1") for i in range(3)]
+    long = rows[-1][1].split(" ")
+    rows += [(210, " ".join([*long[:20], "x", *long[20:80], "y", *long[80:]]), "fr", "s1")]
+    return rows
+
+
+def test_pipeline_matches_a_brute_force_chain(spark, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    import corpus_pipeline
+
+    rows = _corpus()
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(0, 60, 2)] + [(130 + i, 0, 0) for i in range(0, 6, 2)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, held = spark.read.parquet(f"{tmp_path}/documents.parquet"), {r[0]: r for r in rows}
+    stages = dict(corpus_pipeline.STAGES)
+
+    # quality: short, repetitive and marked texts go
+    kept = stages["quality"](spark, docs, str(tmp_path)).cache()
+    left = {r.doc_id: r.text for r in kept.collect()}
+    clean = {i for i, r in held.items() if r[1] and len(WORD.findall(r[1])) >= 50 and not 130 <= i < 136 and i != 123}
+    assert set(left) <= clean and len(clean - set(left)) <= 0.03 * len(clean)  # the forest may take an odd one
+
+    # lines: in order of id and line, a line within one word of an earlier one goes
+    seen, text = [], {}
+    for i in sorted(left):
+        out = []
+        for line in left[i].split("\n"):
+            w = WORD.findall(line)
+            if not w or not (w in seen or len(w) >= 6 and any(len(s) >= 6 and _edit_one(w, s) for s in seen)):
+                out.append(line)
+            seen.append(w)
+        if out:
+            text[i] = "\n".join(out)
+    lined = stages["line_dedup"](spark, kept, str(tmp_path)).cache()
+    assert {r.doc_id: r.text for r in lined.collect()} == text
+    assert all(r.n_chars == len(r.text) for r in lined.collect())
+
+    # near copies: the least id of each class stays
+    ids = sorted(text)
+    classes = _brute_classes([text[i] for i in ids], 5, 80, 100)
+    alone = {ids[k] for k, (_, c) in enumerate(classes) if c == k}
+    assert len(alone) < len(ids)
+    unique = stages["near_duplicates"](spark, lined, str(tmp_path)).cache()
+    assert {r.doc_id: r.text for r in unique.collect()} == {i: text[i] for i in alone}
+
+    # mix: whole documents, twice at most, near the targets of each source
+    mixed = stages["mix"](spark, unique, str(tmp_path)).cache()
+    taken = collections.Counter(r.doc_id for r in mixed.collect())
+    size = {i: len(WORD.findall(text[i])) for i in alone}
+    by = collections.Counter()
+    for i in alone:
+        by[held[i][3]] += size[i]
+    assert set(taken.values()) <= {1, 2} and set(taken) <= alone
+    assert abs(sum(size[i] * n for i, n in taken.items()) - 1.5 * sum(size.values())) <= 3 * max(size.values())
+    for s in by:
+        assert sum(size[i] * n for i, n in taken.items() if held[i][3] == s) <= 2 * by[s]
+
+    # tokens, and run() in one piece
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter(r.doc_id for r in final) == taken
+    for r in final:
+        want = reference.encode_ordinary(text[r.doc_id])
+        assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n_tokens == len(want)
+        assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
