@@ -48,8 +48,22 @@ def callers_tree(edges: DataFrame, word: str, max_depth: int = 5, registration:
     return out.join(more, "node", "left").select("parent", "node", "depth", F.when(last, "depth_limit").otherwise(F.col("stop")).alias("stop"))
 
 
-def callees_tree(edges: DataFrame, word: str, max_depth: int = 5) -> DataFrame:
-    return callers_tree(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), word, max_depth)
+def callees_tree(edges: DataFrame, word: str, max_depth: int = 5, facts: DataFrame | None = None) -> DataFrame:
+    """callers_tree downwards. facts(node, candidates, likely_macro, likely_non_callable): macros and what can't be called are no branches (excluded_callees counts them), and a branch ends as no_definition where nothing defines the node."""
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    if facts is None:
+        return callers_tree(turned, word, max_depth)
+    out = facts.filter("candidates > 0 AND (likely_macro OR likely_non_callable)").select(F.col("node").alias("src"))
+    ends = facts.filter("candidates = 0").select("node")
+    tree = callers_tree(turned.join(out, "src", "left_anti").select("src", "dst"), word, max_depth, ends)
+    return tree.withColumn("stop", F.when(F.col("stop") == "registration_site", "no_definition").otherwise(F.col("stop")))
+
+
+def excluded_callees(edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """(node, macros, non_callables): how many callees of each node a tree leaves out."""
+    kinds = facts.filter("candidates > 0 AND (likely_macro OR likely_non_callable)").select(F.col("node").alias("dst"), "likely_macro")
+    joined = edges.select("src", "dst").distinct().join(kinds, "dst")
+    return joined.groupBy(F.col("src").alias("node")).agg(F.count_if("likely_macro").alias("macros"), F.count_if(~F.col("likely_macro")).alias("non_callables"))
 
 
 def call_path(edges: DataFrame, start: str, goal: str, max_depth: int = 6) -> DataFrame:

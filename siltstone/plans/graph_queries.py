@@ -213,3 +213,35 @@ def reparent_all(spark, sf_dir):
     edges = cut(forward(spark, sf_dir)).withColumn("label", F.lit(""))
     moves = edges.filter("dst % 9 = 4").select(F.col("dst").alias("node"), (F.col("dst") - 1).alias("parent")).distinct()
     return G.reparent(edges, moves)[0].select("src", "dst").distinct()
+
+
+FACTS = ", facts AS (SELECT node, node % 5 <> 2 AS found, node % 5 = 3 AS macro, node % 5 = 4 AS other FROM (SELECT src AS node FROM dag UNION SELECT dst FROM dag))"
+
+
+def _facts(edges):
+    n = F.col("node") % 5
+    return _nodes(edges).select("node", (n != 2).cast("int").alias("candidates"), (n == 3).alias("likely_macro"), (n == 4).alias("likely_non_callable"))
+
+
+@query(f"""WITH {FORWARD}{FACTS}, open AS (SELECT d.src, d.dst, f.found FROM dag d JOIN facts f ON f.node = d.dst WHERE NOT (f.found AND (f.macro OR f.other))),
+t1 AS (SELECT src AS parent, dst AS node, 1 AS depth, found FROM open WHERE src = 20), n1 AS (SELECT DISTINCT node FROM t1 WHERE found),
+t2 AS (SELECT src AS parent, dst AS node, 2 AS depth, found FROM open WHERE src IN (SELECT node FROM n1)),
+every AS (SELECT *, depth = 2 AND node IN (SELECT node FROM n1) AS old, row_number() OVER (PARTITION BY depth, node ORDER BY parent) AS k FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2))
+SELECT parent, node, depth, CASE WHEN old OR k > 1 THEN 'already_visited' WHEN NOT found THEN 'no_definition' WHEN depth = 2 AND node IN (SELECT src FROM open) THEN 'depth_limit' END AS stop FROM every""")
+def callees_tree(spark, sf_dir):
+    """What part 20 leads to, two steps down, without macros and what can't be called."""
+    edges = cut(forward(spark, sf_dir))
+    return G.callees_tree(edges, "20", 2, _facts(edges))
+
+
+@query(f"WITH {FORWARD}{FACTS} SELECT d.src AS node, count(*) FILTER (f.macro) AS macros, count(*) FILTER (f.other) AS non_callables FROM dag d JOIN facts f ON f.node = d.dst WHERE f.macro OR f.other GROUP BY d.src")
+def excluded_callees(spark, sf_dir):
+    edges = cut(forward(spark, sf_dir))
+    return G.excluded_callees(edges, _facts(edges))
+
+
+@query("SELECT 'o' || o_orderkey AS node, o_orderpriority || ':' || o_custkey AS label FROM orders UNION ALL SELECT 'edge:root>o' || o_orderkey, o_orderpriority || ':' || o_custkey FROM orders")
+def expand_nodes(spark, sf_dir):
+    hits = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("path"), F.col("o_custkey").alias("line_no"), F.col("o_orderstatus").alias("text"))
+    nodes, edges = G.expand_nodes("root", hits)
+    return nodes.select("node", "label").union(edges.select(F.concat(F.lit("edge:"), "src", F.lit(">"), "dst"), "label"))

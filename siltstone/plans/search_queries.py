@@ -7,6 +7,7 @@ from siltstone.functions import patterns as P
 from siltstone.operators import search as S
 from siltstone.plans.common import FILES, with_lines
 from siltstone.plans.registry import query
+from siltstone.sources import files as E
 from siltstone.sources import table
 
 
@@ -229,3 +230,42 @@ def license_slice(spark, sf_dir):
     kept = S.exclude(_files(spark, sf_dir), "/src1/\n")
     hits = S.max_per_file(S.search(S.explode_lines(kept), "license", regex=True), 5)
     return hits.groupBy(C.path_dir("path").alias("grp")).agg(F.count("*").alias("n_hits"), F.count_distinct("path").alias("n_files"))
+
+
+@query(with_lines("SELECT path, line_no, text FROM lines WHERE contains(lower(text), 'license')"))
+def search_encoded(spark, sf_dir):
+    """Documents kept as UTF-16 and read so."""
+    files = _files(spark, sf_dir).select("path", F.encode("content", "UTF-16LE").alias("content"))
+    return E.search_encoded(files, "utf-16le", "license")
+
+
+@query("SELECT p_partkey, CASE letter WHEN 'f' THEN 'func' WHEN 's' THEN 'struct' WHEN 'u' THEN 'union' WHEN 'e' THEN 'enum_member' WHEN 'g' THEN 'enum' WHEN 'd' THEN 'define' WHEN 't' THEN 'typedef' WHEN 'm' THEN 'member' WHEN 'v' THEN 'var' ELSE letter END AS kind FROM (SELECT p_partkey, chr(CAST(97 + p_partkey % 26 AS INT)) AS letter FROM part)")
+def tag_kinds(spark, sf_dir):
+    letter = F.chr(97 + F.col("p_partkey") % 26)
+    return table(spark, sf_dir, "part").select("p_partkey", E.tag_kind(letter).alias("kind"))
+
+
+@query("SELECT p_partkey, regexp_matches(p_name, '^a') OR contains(p_brand, '#1') AS trivial, p_size % 4 NOT IN (2, 3) AS callable FROM part")
+def flag_trivial(spark, sf_dir):
+    kinds = F.get(F.array(F.lit("func"), F.lit(None), F.lit("typedef"), F.lit("struct")), F.col("p_size") % 4)
+    symbols = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("path"), kinds.alias("kind"))
+    return S.flag_trivial(symbols, ["^a"], ["#1"]).select("p_partkey", "trivial", "callable")
+
+
+#: Every part's key written in C's ways, and its places.
+@query("""SELECT p_partkey, p_partkey AS dec, p_partkey AS hex, p_partkey AS oct, p_partkey AS bin, CAST(NULL AS BIGINT) AS bad, lower(to_hex(p_partkey)) AS as_hex, bin(p_partkey) AS as_bin,
+  list_reduce(list_transform(list_filter(range(0, 40), lambda i: (p_partkey >> i) & 1 = 1), lambda i: CAST(i AS VARCHAR)), lambda a, b: a || ',' || b) AS bits,
+  'g(1, [2, 3])' AS arg, 'part_' AS prefix, 'C:/a::b' AS key_path, CAST(p_partkey AS INT) AS key_line, 'x = ' || p_partkey || '; ' AS code, 1 AS balance, p_partkey % 2 = 0 AS has_word FROM part WHERE p_partkey > 0""")
+def scalar_functions(spark, sf_dir):
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").filter("p_partkey > 0").select("p_partkey", k.cast("string").alias("s"))
+    forms, text = C.radix_forms("p_partkey"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    low, high = text("part_a", F.col("s")), text("part_b", F.col("s"))
+    key = C.split_line_key(text("C:/a::b::", F.col("s")))
+    return part.select(
+        "p_partkey", C.parse_int_literal("s").alias("dec"), C.parse_int_literal(text("0x", F.hex(k), "UL")).alias("hex"), C.parse_int_literal(text("0", F.conv("s", 10, 8))).alias("oct"),
+        C.parse_int_literal(text("0b", F.bin(k))).alias("bin"), C.parse_int_literal(text(F.col("s"), "+1")).alias("bad"), forms["hex"].alias("as_hex"), forms["bin"].alias("as_bin"),
+        F.array_join(F.transform(C.set_bits(k), lambda i: i.cast("string")), ",").alias("bits"), C.nth_arg(text("f(a, b), g(1, [2, 3]), ", F.col("s")), 1).alias("arg"), C.common_prefix(low, high).alias("prefix"),
+        key["path"].alias("key_path"), key["line_no"].alias("key_line"), C.strip_line_comment(text("x = ", F.col("s"), "; // y")).alias("code"), C.brace_balance(F.lit("{ { }")).alias("balance"),
+        C.contains_word(F.when(k % 2 == 0, "a word_b word;").otherwise("a word_b words;"), "word").alias("has_word"),
+    )

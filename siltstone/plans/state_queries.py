@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import annotations as A
+from siltstone.operators import resolve as R
 from siltstone.operators import search as S
 from siltstone.operators import states as X
 from siltstone.plans.common import FILES, LINES
@@ -185,3 +186,31 @@ def upsert_annotations(spark, sf_dir):
     old = orders.filter("key % 8 <> 0").withColumn("pinned", F.lit("old"))
     new = orders.filter("key % 4 = 0").withColumn("memo", F.lit("new"))
     return A.upsert_annotations(old, new, orders).select("key", "line_no", "memo", "pinned")
+
+
+@query("SELECT 'd' || doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN lang END AS memo, CASE WHEN doc_id % 3 = 0 THEN source END AS category, CASE WHEN doc_id % 5 = 0 THEN lang || source END AS source, CASE WHEN doc_id % 7 = 0 THEN 'pin' END AS pinned FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0")
+def memo_join(spark, sf_dir):
+    """Four maps that hold every second, third, fifth and seventh document."""
+    docs = table(spark, sf_dir, "documents").withColumn("key", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    of = lambda n, value: docs.filter(F.col("doc_id") % n == 0).select("key", value.alias("value"))
+    return A.memo_join(of(2, F.col("lang")), of(3, F.col("source")), of(5, F.concat("lang", "source")), of(7, F.lit("pin")))
+
+
+@query("SELECT p_type AS name, CAST(min(length(p_type)) AS VARCHAR) AS value, 'enum' AS family FROM part WHERE p_type IN ('PROMO', 'SMALL') OR EXISTS (SELECT 1 FROM part q WHERE q.p_type IN ('PROMO', 'SMALL')) GROUP BY p_type")
+def state_universe(spark, sf_dir):
+    """All types, for two of them are seen and they stand in one enum."""
+    part = table(spark, sf_dir, "part")
+    enums = part.select(F.lit("t").alias("enum"), F.col("p_type").alias("name"), F.length("p_type").alias("value")).distinct()
+    observed = part.filter("p_type IN ('PROMO', 'SMALL')").select(F.col("p_type").alias("name"))
+    return X.state_universe(observed, enums, spark.createDataFrame([("PRO_X", 1)], "name string, value int"))
+
+
+@query(f"""WITH {LINES}, refs AS (SELECT 'license' AS name, path, line_no FROM lines WHERE line_no % 2 = 0), stale AS (SELECT path FROM files WHERE path LIKE '%/en/%'),
+fresh AS (SELECT DISTINCT w AS name, path, line_no FROM (SELECT path, line_no, unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '[A-Za-z_][A-Za-z0-9_]*')) AS w FROM lines WHERE path LIKE '%/en/%') WHERE w IN ('license', 'version'))
+SELECT name, path, line_no FROM refs WHERE path NOT IN (SELECT path FROM stale) UNION ALL SELECT name, path, line_no FROM fresh""")
+def regather(spark, sf_dir):
+    """References of stale files taken anew from their lines."""
+    lines = S.explode_lines(S.document_files(table(spark, sf_dir, "documents"))).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", " "))
+    refs = lines.filter("line_no % 2 = 0").select(F.lit("license").alias("name"), "path", "line_no")
+    names = spark.createDataFrame([("license",), ("version",)], "name string")
+    return R.regather(refs, lines.filter("path LIKE '%/en/%'").select("path"), lines, names)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.columns import path_ext
 from siltstone.functions.patterns import include_condition
-from siltstone.operators.search import exclude
+from siltstone.operators.search import exclude, explode_lines, search
 
 BINARY = (".o", ".a", ".so", ".exe", ".dll", ".png", ".jpg", ".gif", ".pdf", ".zip", ".gz", ".jar", ".class", ".bin")
 MOST_BYTES = 10 << 20
@@ -61,6 +61,33 @@ def decode_text(files: DataFrame) -> DataFrame:
     return known.unionByName(rest).withColumn("non_utf8", ~F.col("encoding").isin("UTF8", "UTF8_BOM"))
 
 
+def decode_as(files: DataFrame, encoding: str) -> DataFrame:
+    """files(path, content binary) as (path, content string) under a given encoding, whatever the bytes look like: utf-8, utf-16le, utf-16be, sjis or euc-jp."""
+    name = encoding.lower().replace("_", "-")
+    if name in ("utf-8", "utf-16le", "utf-16be"):
+        text = F.decode("content", name.upper())
+    else:
+        codec = {"sjis": "cp932", "shift-jis": "cp932", "euc-jp": "euc_jp"}[name]
+
+        @F.pandas_udf(T.StringType())
+        def text_of(data: pd.Series) -> pd.Series:
+            return pd.Series([None if d is None else bytes(d).decode(codec, "replace") for d in data], dtype=object)
+
+        text = text_of("content")
+    return files.select("path", text.alias("content"))
+
+
+def search_encoded(files: DataFrame, encoding: str, pattern: str, **options) -> DataFrame:
+    """(path, line_no, text): lines of files(path, content binary) that match, read under a given encoding."""
+    return search(explode_lines(decode_as(files, encoding)), pattern, **options)
+
+
+def tag_kind(letter) -> Column:
+    """The kind that a tag file's letter stands for; null for none."""
+    kinds = F.create_map(*[F.lit(x) for pair in TAG_KINDS.items() for x in pair])
+    return F.when(letter != "", F.coalesce(F.try_element_at(kinds, letter), letter))
+
+
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
     """(name, path, line_no, kind, text) of a tag file; rows that start with `!` are skipped."""
     rows = spark.read.text(path).filter(~F.col("value").startswith("!") & F.col("value").contains("\t"))
@@ -68,9 +95,8 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
     name, file = F.regexp_extract(front, r"^([^\t]*)\t([^\t]*)\t", 1), F.regexp_extract(front, r"^([^\t]*)\t([^\t]*)\t", 2)
     address = F.regexp_replace(front, r"^[^\t]*\t[^\t]*\t", "")
     letter = F.regexp_extract(ext, r"(?:^|\t)(?:kind:)?([A-Za-z])(?:\t|$)", 1)
-    kinds = F.create_map(*[F.lit(x) for pair in TAG_KINDS.items() for x in pair])
     line = F.coalesce(F.regexp_extract(ext, r"line:(\d+)", 1).try_cast("int"), F.regexp_extract(address, r"^(\d+)", 1).try_cast("int"))
-    return rows.select(name.alias("name"), file.alias("path"), line.alias("line_no"), F.when(letter != "", F.coalesce(F.try_element_at(kinds, letter), letter)).alias("kind"), F.nullif(F.regexp_extract(address, r"^/\^?(.*?)\$?/$", 1), F.lit("")).alias("text"))
+    return rows.select(name.alias("name"), file.alias("path"), line.alias("line_no"), tag_kind(letter).alias("kind"), F.nullif(F.regexp_extract(address, r"^/\^?(.*?)\$?/$", 1), F.lit("")).alias("text"))
 
 
 def read_xref(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -92,6 +118,23 @@ def read_project(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"trees": rows("trees"), "nodes": rows("nodes"), "edges": rows("edges"), "line_notes": notes, "range_notes": rows("range_memos")}
 
 
+def write_project(tables: dict[str, DataFrame], path: str) -> None:
+    """The tables of read_project as one project file: a JSON object, which one person's notes fit in. Absent tables are empty."""
+    spark = next(iter(tables.values())).sparkSession
+    kinds = T._parse_datatype_string(PROJECT)
+    row = spark.range(1)
+    for name in ("trees", "nodes", "edges", "range_notes"):
+        kind = kinds["range_memos" if name == "range_notes" else name].dataType
+        held = tables.get(name, spark.createDataFrame([], kind.elementType))
+        fields = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kind.elementType])
+        row = row.crossJoin(held.agg(F.array_sort(F.collect_list(fields)).alias("range_memos" if name == "range_notes" else name)))  # one row each
+    notes = tables.get("line_notes", spark.createDataFrame([], "key string, memo string, category string, source string, pinned string"))
+    for column, name in (("memo", "line_memos"), ("category", "line_categories"), ("source", "line_sources"), ("pinned", "line_pins")):
+        pairs = F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct("key", column))))
+        row = row.crossJoin(notes.agg(F.map_from_entries(pairs).alias(name)))
+    row.drop("id").coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_ndjson(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
