@@ -42,15 +42,20 @@ def prefer_definitions(defs: DataFrame) -> DataFrame:
     return kept.withColumn("_i", has_impl).filter((F.col("_i") == 0) | impl).drop("_d", "_i")
 
 
-def nearest_definition(words: DataFrame, symbols: DataFrame) -> DataFrame:
+def nearest_definition(words: DataFrame, symbols: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     """words(name, current) with the definitions at the first level that holds one: the own folder, then each folder above, the root last.
 
-    symbols(name, path, is_def). Levels before the root count only definitions; the root takes declarations too.
+    symbols(name, path, is_def). Levels before the root count only definitions; the root takes declarations
+    too. closure(current, path): the files that each file includes, directly or not, and its sibling sources;
+    definitions there come before all levels, as level -1.
     """
     joined = words.join(symbols, "name")
     own = F.size(F.split(path_dir("current"), "/"))
     level = F.greatest(own - common_segments(path_dir("current"), path_dir("path")), F.lit(0))
     joined = joined.withColumn("level", F.when(F.col("is_def"), level).otherwise(own))
+    if closure is not None:
+        joined = joined.join(closure.select("current", "path").distinct().withColumn("_c", F.lit(True)), ["current", "path"], "left")
+        joined = joined.withColumn("level", F.when(F.col("_c") & F.col("is_def"), -1).otherwise(F.col("level"))).drop("_c")
     best = F.min("level").over(Window.partitionBy("name", "current"))
     return joined.withColumn("_best", best).filter("level = _best").drop("_best")
 
@@ -145,12 +150,11 @@ def stale_files(files: DataFrame, indexed_at: Column) -> DataFrame:
     return files.filter(F.col("mtime") > indexed_at).agg(F.count("*").alias("n_stale"), F.max("mtime").alias("newest"))
 
 
-def regather(refs: DataFrame, stale: DataFrame, lines: DataFrame, names: DataFrame, most: int = 500) -> DataFrame:
-    """refs(name, path, line_no) with those of stale files replaced by what their lines hold now, at most `most` a file and name; #define lines of the name don't count."""
+def regather(refs: DataFrame, stale: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame:
+    """refs(name, path, line_no) with those of stale files replaced by what their lines hold now, all of it; #define lines of the name don't count."""
     fresh = lines.join(stale.select("path").distinct(), "path", "left_semi").select("path", "line_no", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*)"), F.lit(1)))).alias("name"))
     fresh = fresh.join(names.select("name").distinct(), "name", "left_semi").filter(F.regexp_extract("text", r"^\s*#\s*define\s+(\w+)", 1) != F.col("name"))
-    k = F.row_number().over(Window.partitionBy("path", "name").orderBy("line_no"))
-    fresh = fresh.withColumn("_k", k).filter(F.col("_k") <= most).select("name", "path", "line_no")
+    fresh = fresh.select("name", "path", "line_no")
     return refs.join(stale.select("path").distinct(), "path", "left_anti").select("name", "path", "line_no").unionByName(fresh)
 
 
@@ -171,11 +175,11 @@ def group_refs(sites: DataFrame, key: str, sample: int = 2) -> DataFrame:
 
 
 def group_refs2(sites: DataFrame, outer: str, inner: str, most: int = 40) -> DataFrame:
-    """(outer, inner, file, n, lines): all lines up to `most` under each inner key; file is empty where it is mixed."""
+    """(outer, inner, file, n, lines, truncated): all lines up to `most` under each inner key; file is empty where it is mixed."""
     by = Window.partitionBy(outer, inner).orderBy("line_no", "path")
     rows = sites.withColumn("_k", F.row_number().over(by))
     one = F.when(F.min("path") == F.max("path"), F.min("path")).otherwise(F.lit(""))
-    return rows.groupBy(F.col(outer).alias("outer"), F.col(inner).alias("inner")).agg(one.alias("file"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_k") <= most, F.col("line_no")))).alias("lines"))
+    return rows.groupBy(F.col(outer).alias("outer"), F.col(inner).alias("inner")).agg(one.alias("file"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_k") <= most, F.col("line_no")))).alias("lines"), (F.count("*") > most).alias("truncated"))
 
 
 def callers_dedup(sites: DataFrame, word: str | None = None) -> DataFrame:

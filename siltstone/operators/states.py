@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.columns import common_prefix, quoted, trimmed
 from siltstone.functions.flow import Scan
 from siltstone.operators.resolve import enclosing_function
+from siltstone.operators.search import cap
 from siltstone.operators.structure import code_lines, code_text, function_spans
 from siltstone.sources.scratch import cut
 
@@ -64,11 +65,18 @@ def dead_states(universe: DataFrame, transitions: DataFrame) -> DataFrame:
 def order_states(states: DataFrame) -> DataFrame:
     """states(name, value) with place: by number, those without one last by name."""
     number = F.col("value").try_cast("long")
-    return states.withColumn("place", F.row_number().over(Window.orderBy(number.asc_nulls_last(), "name")))
+    # places within ranges of values, and behind them those of the ranges before: no task holds all
+    keyed = states.withColumn("_none", number.isNull()).withColumn("_n", number).repartitionByRange("_none", "_n", "name").withColumn("_part", F.spark_partition_id())
+    keyed = cut(keyed)
+    sizes = keyed.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    offsets = sizes.withColumn("_before", before).drop("_size")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_none", "_n", "name"))
+    return keyed.withColumn("_own", own).join(offsets, "_part").withColumn("place", F.col("_own") + F.col("_before")).select(*states.columns, "place")
 
 
 def state_universe(observed: DataFrame, enums: DataFrame, defines: DataFrame) -> DataFrame:
-    """(name, value, family): the enum of two members or more that holds an observed name; else the defines of the observed names' common prefix; else the observed names.
+    """(name, value, family, truncated): the enum of two members or more that holds an observed name; else the defines of the observed names' common prefix; else the observed names.
 
     enums(enum, name, value), defines(name, value). A prefix ends with an underscore and has 3 characters or more.
     """
@@ -80,7 +88,7 @@ def state_universe(observed: DataFrame, enums: DataFrame, defines: DataFrame) ->
     own = observed.select("name").distinct().select("name", F.lit(None).cast("string").alias("value"), F.lit("observed").alias("family"), F.lit(2).alias("p"))
     every = from_enum.unionByName(from_define).unionByName(own)
     best = every.agg(F.min("p").alias("p"))
-    return every.join(F.broadcast(best), "p").dropDuplicates(["name"]).orderBy("name").limit(MOST_STATES).drop("p")
+    return cap(every.join(F.broadcast(best), "p").dropDuplicates(["name"]).drop("p"), ["name"], MOST_STATES)  # best is one row
 
 
 def latest_state(events: DataFrame, key: str, order: Column, value: str, at: str, now: Column, fresh: str = "20 seconds") -> DataFrame:

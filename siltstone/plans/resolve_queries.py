@@ -97,7 +97,7 @@ def group_refs(spark, sf_dir):
     return R.group_refs(sites(spark, sf_dir), "value").withColumn("samples", F.array_join("samples", ","))
 
 
-@query(f"WITH {ORDERS} SELECT value AS \"outer\", func AS \"inner\", CASE WHEN count(DISTINCT path) = 1 THEN min(path) ELSE '' END AS file, count(*) AS n, array_to_string(list_slice(list(line_no ORDER BY line_no), 1, 40), ',') AS lines FROM sites GROUP BY 1, 2")
+@query(f"WITH {ORDERS} SELECT value AS \"outer\", func AS \"inner\", CASE WHEN count(DISTINCT path) = 1 THEN min(path) ELSE '' END AS file, count(*) AS n, array_to_string(list_slice(list(line_no ORDER BY line_no), 1, 40), ',') AS lines, count(*) > 40 AS truncated FROM sites GROUP BY 1, 2")
 def group_refs_two_level(spark, sf_dir):
     return R.group_refs2(sites(spark, sf_dir), "value", "func").withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
 

@@ -196,7 +196,7 @@ def memo_join(spark, sf_dir):
     return A.memo_join(of(2, F.col("lang")), of(3, F.col("source")), of(5, F.concat("lang", "source")), of(7, F.lit("pin")))
 
 
-@query("SELECT p_type AS name, CAST(min(length(p_type)) AS VARCHAR) AS value, 'enum' AS family FROM part WHERE p_type IN ('PROMO', 'SMALL') OR EXISTS (SELECT 1 FROM part q WHERE q.p_type IN ('PROMO', 'SMALL')) GROUP BY p_type")
+@query("SELECT p_type AS name, CAST(min(length(p_type)) AS VARCHAR) AS value, 'enum' AS family, false AS truncated FROM part WHERE p_type IN ('PROMO', 'SMALL') OR EXISTS (SELECT 1 FROM part q WHERE q.p_type IN ('PROMO', 'SMALL')) GROUP BY p_type")
 def state_universe(spark, sf_dir):
     """All types, for two of them are seen and they stand in one enum."""
     part = table(spark, sf_dir, "part")

@@ -30,6 +30,12 @@ def scan_files(spark: SparkSession, root: str, globs: str = "", rules: str = "")
     return exclude(files, rules) if rules else files
 
 
+def oversized_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of the files that scan_files passes over for their size."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return found.filter(F.col("length") > MOST_BYTES).select("path", "length")
+
+
 def drop_binary(files: DataFrame) -> DataFrame:
     """Without files of a binary extension or with a NUL in the first 512 bytes, unless a UTF-16 mark leads."""
     head = F.hex(F.substring("content", 1, 512))
@@ -38,7 +44,10 @@ def drop_binary(files: DataFrame) -> DataFrame:
 
 
 def _legacy(data: bytes) -> tuple[str, str | None]:
-    """Shift-JIS or EUC-JP, whichever reads with fewer marks of error; unknown where both are mostly errors."""
+    """UTF-16 where its mark leads, else Shift-JIS or EUC-JP, whichever reads with fewer marks of error; unknown where both are mostly errors."""
+    for mark, codec, name in ((b"\xff\xfe", "utf-16-le", "UTF16LE"), (b"\xfe\xff", "utf-16-be", "UTF16BE")):
+        if data.startswith(mark):
+            return name, data[2:].decode(codec, "replace")
     tried = [(data.decode(codec, "replace"), name) for codec, name in (("cp932", "SJIS"), ("euc_jp", "EUCJP"))]
     text, name = min(tried, key=lambda t: t[0].count("�"))
     return ("UNKNOWN", None) if 2 * text.count("�") > max(len(text), 1) else (name, text)
@@ -52,10 +61,9 @@ def decode_text(files: DataFrame) -> DataFrame:
         return pd.DataFrame([_legacy(bytes(d)) if d is not None else ("UNKNOWN", None) for d in data], columns=["encoding", "text"])
 
     head = F.hex(F.substring("content", 1, 3))
-    kind = F.when(head == "EFBBBF", "UTF8_BOM").when(head.startswith("FFFE"), "UTF16LE").when(head.startswith("FEFF"), "UTF16BE").when(F.length("content") == 0, "UNKNOWN").when(F.is_valid_utf8(F.col("content").cast("string")), "UTF8")
+    kind = F.when(head == "EFBBBF", "UTF8_BOM").when(head.startswith("FFFE") | head.startswith("FEFF"), None).when(F.length("content") == 0, "UNKNOWN").when(F.is_valid_utf8(F.col("content").cast("string")), "UTF8")
     marked = files.withColumn("encoding", kind)
-    body = F.expr("substring(content, 3, length(content))")
-    text = F.when(F.col("encoding") == "UTF8", F.col("content").cast("string")).when(F.col("encoding") == "UTF8_BOM", F.expr("cast(substring(content, 4, length(content)) as string)")).when(F.col("encoding") == "UTF16LE", F.decode(body, "UTF-16LE")).when(F.col("encoding") == "UTF16BE", F.decode(body, "UTF-16BE"))
+    text = F.when(F.col("encoding") == "UTF8", F.col("content").cast("string")).when(F.col("encoding") == "UTF8_BOM", F.expr("cast(substring(content, 4, length(content)) as string)"))
     known = marked.filter("encoding IS NOT NULL").withColumn("text", text)
     rest = marked.filter("encoding IS NULL").withColumn("d", legacy("content")).withColumn("encoding", F.col("d.encoding")).withColumn("text", F.col("d.text")).drop("d")
     return known.unionByName(rest).withColumn("non_utf8", ~F.col("encoding").isin("UTF8", "UTF8_BOM"))
@@ -64,10 +72,10 @@ def decode_text(files: DataFrame) -> DataFrame:
 def decode_as(files: DataFrame, encoding: str) -> DataFrame:
     """files(path, content binary) as (path, content string) under a given encoding, whatever the bytes look like: utf-8, utf-16le, utf-16be, sjis or euc-jp."""
     name = encoding.lower().replace("_", "-")
-    if name in ("utf-8", "utf-16le", "utf-16be"):
-        text = F.decode("content", name.upper())
+    if name == "utf-8":
+        text = F.col("content").cast("string")
     else:
-        codec = {"sjis": "cp932", "shift-jis": "cp932", "euc-jp": "euc_jp"}[name]
+        codec = {"utf-16le": "utf-16-le", "utf-16be": "utf-16-be", "sjis": "cp932", "shift-jis": "cp932", "euc-jp": "euc_jp"}[name]
 
         @F.pandas_udf(T.StringType())
         def text_of(data: pd.Series) -> pd.Series:

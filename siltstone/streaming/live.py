@@ -86,6 +86,46 @@ def stream_steps(events: DataFrame, key: str, order: list[str], item: str, chang
     return events.groupBy(key).applyInPandasWithState(step, out, f"last {kinds[item]}", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_transitions(events: DataFrame, key: str, at: str, item: str, delay: str = "10 minutes") -> DataFrame:
+    """(key, src, dst, at): each item of a key with the one before it by time, whatever order the rows come in.
+
+    Rows wait in the state until the watermark, `delay` behind the latest row, has passed them; then they are
+    put out in order of time. Rows older than that are dropped, which bounds the state.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    out = f"`{key}` {kinds[key]}, src {kinds[item]}, dst {kinds[item]}, `{at}` {kinds[at]}"
+    held = f"last {kinds[item]}, times array<bigint>, items array<{kinds[item]}>"
+
+    def step(k, batches, state):
+        last, times, items = state.get if state.exists else (None, [], [])
+        waiting = list(zip(times, items, strict=True))
+        for pdf in batches:
+            if pdf.empty:  # a timeout brings no rows
+                continue
+            waiting += zip((pdf[at].astype("int64") // _unit_of(pdf[at])).tolist(), pdf[item].tolist(), strict=True)
+        limit = state.getCurrentWatermarkMs()
+        waiting.sort()
+        ready = [w for w in waiting if w[0] // 1000 < limit]
+        waiting = waiting[len(ready) :]
+        steps = []
+        for time, value in ready:
+            if last is not None:
+                steps.append((k[0], last, value, pd.Timestamp(time, unit="us")))
+            last = value
+        state.update((last, [w[0] for w in waiting], [w[1] for w in waiting]))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, limit) + 1)
+        yield pd.DataFrame(steps, columns=[key, "src", "dst", at])
+
+    late = events.withWatermark(at, delay)
+    return late.groupBy(key).applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _unit_of(times: pd.Series) -> int:
+    """How many of the column's own units make a microsecond."""
+    return {"ns": 1000, "us": 1}[times.dt.unit]
+
+
 def stale_monitor(files: DataFrame, index: DataFrame) -> DataFrame:
     """Streaming files(path, mtime) joined with the index's (path, indexed_at): how many of a batch are newer, and the newest."""
     joined = files.join(index, "path", "left")

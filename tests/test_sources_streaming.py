@@ -78,3 +78,42 @@ def test_replace_by_path(spark, tmp_path):
     write(spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "path string, v int"), 0)
     write(spark.createDataFrame([("a", 9), ("c", 3)], "path string, v int"), 1)
     assert {(r.path, r.v) for r in spark.read.parquet(f"{tmp_path}/index").collect()} == {("a", 9), ("b", 1), ("c", 3)}
+
+
+def test_transitions_wait_for_late_rows(spark, tmp_path):
+    base = 1_700_000_000
+    rows = [("u", base + s, c) for s, c in ((0, "a"), (20, "c"), (10, "b"), (30, "d"), (500, "y"), (900, "z"))]
+    for i, part in enumerate((rows[:2], rows[2:4], rows[4:])):  # b comes a batch late, but within the delay
+        df = spark.createDataFrame(part, "user string, s long, kind string").select("user", F.timestamp_seconds("s").alias("ts"), "kind")
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    source = spark.readStream.schema("user string, ts timestamp, kind string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    _run(live.stream_transitions(source, "user", "ts", "kind", "2 minutes"), tmp_path)
+    got = sorted((r.src, r.dst) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", "b"), ("b", "c"), ("c", "d"), ("d", "y")]
+
+
+def test_project_round_trip(spark, tmp_path):
+    nodes = spark.createDataFrame([("1", "a.c", 3, "x", None, "t")], "id string, path string, line_no int, label string, memo string, tree_id string")
+    notes = spark.createDataFrame([("a.c::3", "m", None, None, None), ("a.c::4", None, "c", "s", "p")], "key string, memo string, category string, source string, pinned string")
+    S.write_project({"nodes": nodes, "line_notes": notes}, f"{tmp_path}/project")
+    back = S.read_project(spark, f"{tmp_path}/project")
+    assert [tuple(r) for r in back["nodes"].collect()] == [tuple(r) for r in nodes.collect()]
+    assert {tuple(r) for r in back["line_notes"].select("key", "memo", "category", "source", "pinned").collect()} == {tuple(r) for r in notes.collect()}
+    assert back["edges"].count() == back["range_notes"].count() == 0
+
+
+def test_forced_encoding(spark):
+    files = spark.createDataFrame([("a", bytearray("日本\n語 x".encode("euc_jp"))), ("b", bytearray("x".encode("cp932")))], "path string, content binary")
+    assert [(r.path, r.line_no) for r in S.search_encoded(files, "euc-jp", "語").collect()] == [("a", 2)]
+    assert S.search_encoded(files, "utf-16be", "語").count() == 0
+
+
+def test_stream_search_and_stale_monitor(spark, tmp_path, stream):
+    found = live.stream_search(spark, str(tmp_path / "in0"), EVENTS, "A", text="kind")
+    _run(found, tmp_path)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == spark.read.parquet(f"{tmp_path}/in0").filter("kind = 'a'").count()
+    files = spark.createDataFrame([("a", 5), ("b", 50), ("c", 7)], "path string, mtime long")
+    index = spark.createDataFrame([("a", 10), ("b", 10)], "path string, indexed_at long")
+    assert tuple(live.stale_monitor(files, index).first()) == (2, 50)
+    events = spark.createDataFrame([("k", 1, "x"), ("k", 3, "z"), ("k", 2, "y")], "key string, at int, value string")
+    assert tuple(live.latest_by_key(events, "key", "at", "value").first()) == ("k", "z", 3)

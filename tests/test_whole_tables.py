@@ -73,4 +73,51 @@ def test_resolve_queries_use_all_words(spark, tables):
     assert rows("nearest_level_all") == sorted(want)
     ranked = Q["rank_definition_all"](spark, folder).collect()
     assert {(r.caller_path, r.callee) for r in ranked} == {(d[2], c) for d in defs for c in (d[0], "unknown")}
-    assert all(r.candidates == sum(d[0] == r.callee for d in defs) and (r.confidence == "none") == (r.callee == "unknown") for r in ranked)
+    assert all(r.candidates == sum(d[0] == r.callee for d in defs) and (r.callee != "unknown" or (r.confidence, r.likely_macro) == ("low", True)) for r in ranked)
+
+
+def test_adaptive_overview_matches_brute_force(spark):
+    """The heaviest group is opened while it is too heavy, and the fold loses no reference."""
+    from siltstone.operators import refmap
+
+    rng = np.random.default_rng(8)
+    paths = [f"{'abc'[int(x)]}/{'pq'[int(y)]}/{'xyz'[int(z)]}.c" for x, y, z in zip(rng.choice(3, 60, p=[0.7, 0.2, 0.1]), rng.integers(0, 2, 60), rng.integers(0, 3, 60), strict=True)]
+    rows = collections.Counter((a, b) for a, b in zip(paths, paths[1:], strict=False) if a != b)
+    edges = spark.createDataFrame([(a, b, n, ["s"]) for (a, b), n in rows.items()], "src string, def string, count long, syms array<string>")
+    weight = collections.Counter()
+    for (a, b), n in rows.items():
+        for p in (a, b):
+            parts = p.split("/")
+            for i in range(len(parts)):
+                weight["/".join(parts[: i + 1])] += n
+    children = lambda g: sorted((p for p in weight if p.rpartition("/")[0] == g), key=lambda p: (-weight[p], p))
+    groups, whole, total = {p: weight[p] for p in children("")}, set(), sum(weight[p] for p in children(""))
+    while True:
+        heavy = [g for g in groups if g not in whole and groups[g] > 0.15 * total]
+        if not heavy or len(groups) >= 40:
+            break
+        top = min(heavy, key=lambda g: (-groups[g], g))
+        inside = [p for p in children(top) if p not in groups]
+        if not inside:
+            whole.add(top)
+            continue
+        groups[inside[0]] = weight[inside[0]]
+        groups[top] -= weight[inside[0]]
+    found = refmap.adaptive_groups(edges)
+    assert found == sorted(groups)
+    place = lambda p: max((g for g in groups if p == g or p.startswith(g + "/")), key=len)
+    folded = collections.Counter()
+    for (a, b), n in rows.items():
+        folded[place(a), place(b)] += n
+    got = {(r["from"], r["to"]): r["count"] for r in refmap.overview_auto(edges, found).collect()}
+    assert got == {k: n for k, n in folded.items() if k[0] != k[1]}
+
+
+def test_nearest_definition_looks_in_the_closure_first(spark):
+    from siltstone.operators import resolve
+
+    words = spark.createDataFrame([("f", "a/b/x.c")], "name string, current string")
+    symbols = spark.createDataFrame([("f", "a/b/y.c", True), ("f", "z/h.h", True), ("f", "z/d.h", False)], "name string, path string, is_def boolean")
+    closure = spark.createDataFrame([("a/b/x.c", "z/h.h"), ("a/b/x.c", "z/d.h")], "current string, path string")
+    assert [r.path for r in resolve.nearest_definition(words, symbols).collect()] == ["a/b/y.c"]
+    assert [(r.path, r.level) for r in resolve.nearest_definition(words, symbols, closure).collect()] == [("z/h.h", -1)]
