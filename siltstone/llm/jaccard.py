@@ -328,7 +328,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the shingles that several sets share: counted before they meet, so that a common one is one row a task
     counted = signatures(named, k, num, den, bare=True).groupBy("sig").agg(F.count("*").alias("df"), F.min("key").alias("lo"), F.max("key").alias("hi"))
     common = stored(counted.filter("lo < hi").select("sig", "df"), "common")
-    sigs = maybe_in(signatures(named, k, num, den), ["sig"], common, 26).join(common, "sig")
+    sigs = maybe_in(signatures(named, k, num, den), ["sig"], common, 24).join(common, "sig")
     # and of each set the first ones as far as its signature reaches
     own = Window.partitionBy("id", "key", "inside")
     sigs = sigs.withColumn("c", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "sig")))
