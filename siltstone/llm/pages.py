@@ -216,13 +216,16 @@ def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = stored(seen.groupBy("host", "node", "kind", "feature").agg(F.count_distinct("page").alias("c")), "tree")
     of = lambda kind: seen.filter(F.col("kind") == kind)
     held = of(PAGE).select("host", "node", F.col("c").alias("pages"))
-    alone = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.ln("c") / F.ln("pages"))).otherwise(1.0)
-    texts = of(TEXT).join(held, ["host", "node"]).select("host", "node", F.col("feature").alias("text"), "c", "pages", alone.alias("importance"))
-    leaves = texts.groupBy("host", "node").agg(F.sum(F.col("c") * F.col("importance")).alias("s"), F.sum("c").alias("n"))
+    # sums of c and c log c before anything meets by node, so that a common node is one row a task
+    spread = lambda kind: of(kind).groupBy("host", "node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.ln("c")).alias("l")).join(held, ["host", "node"])
+    s = F.when(F.col("pages") > 1, F.col("n") - F.col("l") / F.ln("pages")).otherwise(F.col("n"))
+    leaves = spread(TEXT).select("host", "node", s.alias("s"), "n")
     content = of(BRANCH).select("host", "node", F.col("feature").alias("branch")).join(leaves, ["host", "node"]).groupBy("host", F.col("branch").alias("node")).agg((F.sum("s") / F.sum("n")).alias("content"))
-    shown = of(STYLE).join(held, ["host", "node"]).groupBy("host", "node").agg(F.sum(F.col("c") * alone).alias("s"), F.sum("c").alias("n")).select("host", "node", (F.col("s") / F.col("n")).alias("style"))
+    shown = spread(STYLE).select("host", "node", (s / F.col("n")).alias("style"))
+    repeated = of(TEXT).filter("c > 1").join(held, ["host", "node"])
+    texts = repeated.select("host", "node", F.col("feature").alias("text"), "c", "pages", F.greatest(F.lit(0.0), 1 - F.ln("c") / F.ln("pages")).alias("importance"))
     branches = content.join(shown, ["host", "node"]).join(held, ["host", "node"]).select("host", "node", "pages", (0.9 * F.col("content") + 0.1 * F.col("style")).alias("importance"))
-    return branches, texts.filter("c > 1").select("host", "node", "text", "c", "pages", "importance")
+    return branches, texts
 
 
 def _salted(rows: DataFrame) -> DataFrame:
