@@ -7,6 +7,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import zstandard
 from pyspark import TaskContext
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.bytetext import Hasher, blocks, mix
 
 #: A chunk of a task's texts ends with so many letters or different pre-tokens.
-CHUNK, GATHER = 1 << 23, 400_000
+CHUNK, GATHER = 1 << 22, 200_000
 #: Bytes of text at a time, small enough for the caches.
 BLOCK = 1 << 18
 #: Words of a bucket whose ids are held at a time.
@@ -318,11 +319,10 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFram
 
 
 def _runs(column: pa.Array):
-    """(first row, row after the last, values) of runs of values of about BLOCK ids."""
-    values = column.to_pylist()
-    a, held = 0, 0
-    for b, x in enumerate(values, 1):
-        held += len(x or b"")
-        if held > 4 * BLOCK or b == len(values):
-            yield a, b, values[a:b]
-            a, held = b, 0
+    """(first row, row after the last, values) of runs of values of about BLOCK ids; no more of them are held at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 4 * BLOCK, "right")))
+        yield a, b, column.slice(a, b - a).to_pylist()
+        a = b
