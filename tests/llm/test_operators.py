@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import os
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -522,3 +524,39 @@ def test_pipeline_matches_a_brute_force_chain(spark, tmp_path):
         want = reference.encode_ordinary(text[r.doc_id])
         assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n_tokens == len(want)
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+CONTRACT = {
+    "op2_ngram_jaccard_join": ("documents", "doc_id bigint, n_shingles bigint, component_id bigint"),
+    "op4_warc": ("pages", "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"),
+    "op5_language_id": ("documents", "doc_id bigint, held_out boolean, lang_pred string, score double"),
+    "op6_quality_rules": ("documents", "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean"),
+    "op7_embedding_near_dedup": ("embeddings", "vec_id bigint, n_links bigint, component_id bigint, kept boolean"),
+    "op8_bpe": ("documents", "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"),
+    "op9_mix_sources": ("documents", "doc_id bigint, size bigint, source_size bigint, target double, taken bigint"),
+    "op10_extract_main_text": ("pages", "page_id bigint, url string, text string, n_chars bigint"),
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", CONTRACT)
+def test_query_gives_its_contract(spark, name):
+    pytest.importorskip("public_tokenizers")
+    from siltstone.llm import queries
+
+    source, columns = CONTRACT[name]
+    got = queries.QUERIES[name](spark, DATA)
+    kinds = dict(got.dtypes)
+    assert all(kinds.get(c.split()[0]) == c.split()[1] for c in columns.split(", ")), kinds
+    rows, table = got.collect(), spark.read.parquet(f"{DATA}/{source}.parquet").collect()
+    key = columns.split()[0]
+    assert sorted(r[key] for r in rows) == sorted(r[key] for r in table)
+    if name == "op5_language_id":  # held-out accuracy, by the language that the table names
+        lang = {r.doc_id: (r.lang, r.text) for r in table}
+        held = [r for r in rows if r.held_out and lang[r.doc_id][0] and r.lang_pred != "und"]
+        assert len(held) > 20 and sum(r.lang_pred == lang[r.doc_id][0] for r in held) >= 0.98 * len(held)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
+    if name == "op8_bpe":
+        text = {r.doc_id: (r.text or "").encode() for r in table}
+        assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id]).hexdigest() for r in rows)
