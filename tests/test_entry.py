@@ -20,6 +20,12 @@ def test_entry_imports_without_llm():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
 
 
+@pytest.mark.parametrize("gone", ["public_tokenizers", "tiktoken", "xxhash"])
+def test_entry_keeps_core_queries_without_a_package(gone):
+    code = f"import sys; sys.modules['{gone}'] = None; import __spark_entry__ as e; assert 'file_edges' in e.queries() and 'file_edges' in e.oracle_sql() and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
 def test_no_module_outside_imports_llm():
     for path in glob.glob(f"{ROOT}/siltstone/**/*.py", recursive=True):
         if "/llm/" not in path:
