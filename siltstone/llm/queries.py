@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, embeddings, jaccard, language, lines, mixing, pages, rules, warc, weak
+from siltstone.llm import audit, bpe, embeddings, jaccard, language, lines, mixing, pages, rules, warc, weak
 from siltstone.llm.stored import stored
 from siltstone.sources import table
 
@@ -91,3 +91,9 @@ def op5_language_id(spark, sf_dir):
 def op1_quality_classifier(spark, sf_dir):
     """Votes, posterior, score and verdict of every document."""
     return weak.quality_classifier(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    """Counts of every order and step of five filters, and each filter's Shapley value, by language."""
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

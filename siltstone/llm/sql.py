@@ -65,3 +65,35 @@ SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
   CASE WHEN keeper > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper > page_id THEN keeper END AS refers_to
 FROM payloads p JOIN keepers k ON p.html = k.html
 """
+
+#: Every order and step counted from the sets of failed filters, and the values summed over all orders.
+SQL["op12_filter_audit"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+least AS (
+  SELECT text, min(doc_id) AS first_id FROM docs GROUP BY text),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT d.part, (CASE WHEN len(words) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * len(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 10 * len(d.text) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN d.doc_id > l.first_id THEN 16 ELSE 0 END) AS mask, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic
+  FROM docs d JOIN least l ON l.text = d.text LEFT JOIN marks m ON m.doc_id = d.doc_id),
+sets AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, mask),
+f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e WHERE (a.b | b.b | c.b | d.b | e.b) = 31),
+steps AS (
+  SELECT filter_order, unnest(range(1, 6)) AS step, bits FROM orders),
+cuts AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0) AS before FROM steps),
+counted AS (
+  SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (CAST(before AS INT) | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & CAST(before AS INT) = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & CAST(before AS INT) <> 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & CAST(before AS INT) = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & CAST(before AS INT) = 0), 0) AS toxic_lost
+  FROM sets, cuts GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM counted
+"""
