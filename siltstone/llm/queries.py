@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import audit, bpe, embeddings, jaccard, language, lines, mixing, pages, rules, warc, weak
+from siltstone.llm import audit, bpe, convtrie, embeddings, jaccard, language, lines, mixing, pages, rules, warc, weak
 from siltstone.llm.stored import stored
 from siltstone.sources import table
 
@@ -97,3 +97,10 @@ def op1_quality_classifier(spark, sf_dir):
 def op12_filter_audit(spark, sf_dir):
     """Counts of every order and step of five filters, and each filter's Shapley value, by language."""
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_conversation_trie(spark, sf_dir):
+    """Every distinct prefix of the conversations, which share the first turns of their hundred's first one."""
+    convs, turns = convtrie.with_shared_heads(convtrie.number_turns(table(spark, sf_dir, "conversations")))
+    return convtrie.prefix_trie(convs, stored(turns, "rebuilt")).drop("node_id", "parent_id")

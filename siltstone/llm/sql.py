@@ -97,3 +97,31 @@ counted AS (
 SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM counted
 """
+
+#: Every prefix as a list of its turns.
+SQL["op13_conversation_trie"] = r"""
+WITH numbered AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list(t ORDER BY k) AS ts FROM numbered GROUP BY conv_id),
+bits AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s FROM own),
+crc AS (
+  SELECT conv_id, (~list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(s) + 1), lambda i: CAST(ascii(substr(s, i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) & 4294967295 AS crc FROM bits),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.ts[1:c.crc % 6], []), o.ts[c.crc % 6 + 1:]) AS ts FROM own o JOIN crc c ON c.conv_id = o.conv_id LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+paths AS (
+  SELECT conv_id, unnest(range(0, len(ts) + 1)) AS depth, ts FROM rebuilt),
+nodes AS (
+  SELECT ts[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN len(ts) = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM paths GROUP BY path, depth),
+kids AS (
+  SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+own_sums AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * len(n.path[-1].text) ELSE 0 END AS own FROM nodes n LEFT JOIN kids k ON k.path = n.path),
+above AS (
+  SELECT path[1:d] AS path, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT path, own, n_children, unnest(range(0, depth + 1)) AS d FROM own_sums) GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, a.n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM own_sums n JOIN above a ON a.path = n.path LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
+"""
