@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 import unicodedata
 
 import numpy as np
@@ -13,6 +14,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from siltstone.llm.bytetext import Hasher, blocks, mix
 
@@ -22,6 +24,8 @@ CHUNK, GATHER = 1 << 22, 200_000
 BLOCK = 1 << 18
 #: Words of a bucket whose ids are held at a time.
 KEPT = 1_000_000
+#: Words that are merged in one call.
+AT_ONCE = 4096
 #: What a row of a chunk holds.
 WORDS, PLAN, TEXTS = range(3)
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -195,7 +199,29 @@ def chunk_rows(docs: DataFrame, kinds, buckets: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"key long, kind int, at long, ids array<{kind}>, blob binary")
 
 
-def encode_words(rows: DataFrame, ranks) -> DataFrame:
+def rank_encoder(ranks):
+    """Words to ids by a table of ranks (broadcast)."""
+
+    def start():
+        merges = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+        return lambda words: map(merges.encode_ordinary, words)
+
+    return start
+
+
+def json_encoder(model):
+    """Words to ids by a tokenizer file of the tokenizers library (broadcast as text); special tokens' strings are ordinary text."""
+
+    def start():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        merges = Tokenizer.from_str(model.value)
+        merges.encode_special_tokens = True
+        return lambda words: (x.ids for x in merges.encode_batch_fast(words, add_special_tokens=False))
+
+    return start
+
+
+def encode_words(rows: DataFrame, encoder) -> DataFrame:
     """(key, at, check, blob) for each chunk and bucket: the ids of the bucket's words in the chunk's order. rows: chunk_rows, buckets together.
 
     A word is merged once for all chunks; the table of words is of one bucket only, and is begun anew if it outgrows KEPT.
@@ -203,16 +229,18 @@ def encode_words(rows: DataFrame, ranks) -> DataFrame:
     """
 
     def run(batches):
-        merges = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+        merge = encoder()
         packer, now, known = Packer(), None, {}
 
-        def ids_of(word: bytes) -> np.ndarray:
-            found = known.get(word)
-            if found is None:
-                if len(known) >= KEPT:
-                    known.clear()
-                found = known[word] = np.array(merges.encode_ordinary(word.decode()), np.uint32)
-            return found
+        def ids_of(words: list[bytes]) -> list[np.ndarray]:
+            fresh = list({w for w in words if w not in known})
+            if len(known) + len(fresh) > KEPT:
+                known.clear()
+                fresh = list(set(words))
+            for a in range(0, len(fresh), AT_ONCE):
+                part = fresh[a : a + AT_ONCE]
+                known.update(zip(part, (np.array(x, np.uint32) for x in merge([w.decode() for w in part])), strict=True))
+            return [known[w] for w in words]
 
         for batch in batches:
             out = []
@@ -223,7 +251,7 @@ def encode_words(rows: DataFrame, ranks) -> DataFrame:
                     now, known = key, {}
                 sizes, data = packer.load(blob)
                 ends = np.cumsum(sizes)
-                ids = [ids_of(data[e - n : e]) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+                ids = ids_of([data[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)])
                 points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
                 cuts = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])[np.concatenate([[0], ends])]
                 check = Hasher(points)(cuts[:-1], cuts[1:]).sum(dtype=np.uint64).astype(np.int64)
@@ -277,10 +305,16 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
 
     Null and empty texts have no ids. Repeated rows and null ids each get their row. No special
     tokens. Extra columns are ignored. An empty table gives an empty one. ranks_path is read by the
-    driver; tasks get the table by broadcast.
+    driver; tasks get the table by broadcast. A path that ends in .json is a file of the tokenizers library,
+    whose pre-tokens must be those of PATTERN.
     """
     spark = docs.sparkSession
-    ranks, kinds = spark.sparkContext.broadcast(read_ranks(ranks_path)), spark.sparkContext.broadcast(classes())
+    kinds = spark.sparkContext.broadcast(classes())
+    if ranks_path.endswith(".json"):
+        with open(ranks_path, encoding="utf-8") as f:
+            encoder = json_encoder(spark.sparkContext.broadcast(f.read()))
+    else:
+        encoder = rank_encoder(spark.sparkContext.broadcast(read_ranks(ranks_path)))
     buckets = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = chunk_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), kinds, buckets).repartition("key")
 
@@ -288,7 +322,9 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         return _filled(texts, words, pa.schema([("id", texts.schema.field("ids").type.value_type), ("ids", pa.binary())]), Packer())
 
     kind = docs.schema[id_col].dataType.simpleString()
-    filled = rows.groupBy("key").cogroup(encode_words(rows, ranks).groupBy("key")).applyInArrow(fill, f"id {kind}, ids binary")
+    # A filter that isn't deterministic stays behind the shuffle, so both sides share it; a plain one would cut the texts twice.
+    chunks = rows.filter(F.when(F.rand() < 0, F.lit(False)).otherwise(F.col("kind") != WORDS))
+    filled = chunks.groupBy("key").cogroup(encode_words(rows, encoder).groupBy("key")).applyInArrow(fill, f"id {kind}, ids binary")
     return filled.withColumnRenamed("id", id_col)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import audit, bpe, convtrie, embeddings, jaccard, language, lines, mixing, pages, rules, warc, weak
+from siltstone.llm import audit, bpe, convtrie, embeddings, jaccard, language, lines, mixing, packing, pages, rules, warc, weak
 from siltstone.llm.stored import stored
 from siltstone.sources import table
 
@@ -104,3 +104,10 @@ def op13_conversation_trie(spark, sf_dir):
     """Every distinct prefix of the conversations, which share the first turns of their hundred's first one."""
     convs, turns = convtrie.with_shared_heads(convtrie.number_turns(table(spark, sf_dir, "conversations")))
     return convtrie.prefix_trie(convs, stored(turns, "rebuilt")).drop("node_id", "parent_id")
+
+
+@query
+def op11_pack_sequences(spark, sf_dir):
+    """All documents in sequences of at most 2048 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json")))
