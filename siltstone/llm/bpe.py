@@ -171,7 +171,7 @@ class Chunk:
             yield name, TEXTS, i, ids, packer.dump(counts, planes(number[code]))
 
 
-def chunk_rows(docs: DataFrame, kinds, buckets: int) -> DataFrame:
+def chunk_rows(docs: DataFrame, kinds, buckets: int, block: int = BLOCK) -> DataFrame:
     """(key, kind, at, ids, blob): every task's texts in chunks of about CHUNK letters; docs(id, text)."""
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -188,7 +188,7 @@ def chunk_rows(docs: DataFrame, kinds, buckets: int) -> DataFrame:
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for a, b, data, offsets in blocks(batch.column(1), BLOCK):
+            for a, b, data, offsets in blocks(batch.column(1), block):
                 chunk.add(batch.column(0).slice(a, b - a), Pieces(data, offsets, kinds.value))
                 if chunk.size > CHUNK or len(chunk.codes) > GATHER:
                     yield batch_of(chunk)
@@ -289,7 +289,7 @@ def _filled(texts: pa.Table, words: pa.Table, schema: pa.Schema, packer: Packer)
     return pa.concat_tables(out)
 
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block: int = BLOCK) -> DataFrame:
     """(id, ids) of every row: the token ids of the whole text as little-endian unsigned 32-bit integers.
 
     Every task cuts its texts into pre-tokens and gathers the different ones of each chunk of texts; a
@@ -298,7 +298,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     to every chunk that has it and are put into its texts by position. A word travels once for a chunk,
     however often it stands there, so no frequent word gathers in a task; a chunk holds CHUNK letters or
     one longer text, which bounds the memory. The plan is the same at every size. buckets: two to a
-    shuffle partition unless given.
+    shuffle partition unless given. block: bytes of text that are cut at a time.
 
     docs is read as a table: it must give the same rows in the same order if a lost task runs again;
     otherwise an error is raised, never a wrong result.
@@ -316,14 +316,14 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     else:
         encoder = rank_encoder(spark.sparkContext.broadcast(read_ranks(ranks_path)))
     buckets = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = chunk_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), kinds, buckets).repartition("key")
+    rows = chunk_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), kinds, buckets, block).repartition("key")
 
     def fill(texts: pa.Table, words: pa.Table) -> pa.Table:
         return _filled(texts, words, pa.schema([("id", texts.schema.field("ids").type.value_type), ("ids", pa.binary())]), Packer())
 
     kind = docs.schema[id_col].dataType.simpleString()
     # A filter that isn't deterministic stays behind the shuffle, so both sides share it; a plain one would cut the texts twice.
-    chunks = rows.filter(F.when(F.rand() < 0, F.lit(False)).otherwise(F.col("kind") != WORDS))
+    chunks = rows.filter(F.col("kind") + F.floor(F.rand()) != WORDS)
     filled = chunks.groupBy("key").cogroup(encode_words(rows, encoder).groupBy("key")).applyInArrow(fill, f"id {kind}, ids binary")
     return filled.withColumnRenamed("id", id_col)
 

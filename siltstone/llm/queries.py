@@ -110,4 +110,4 @@ def op13_conversation_trie(spark, sf_dir):
 def op11_pack_sequences(spark, sf_dir):
     """All documents in sequences of at most 2048 tokens."""
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), block=1 << 20))
