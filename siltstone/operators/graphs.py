@@ -1,25 +1,29 @@
-"""Graph jobs as iterative joins. Edges are (src, dst); every loop has a depth bound or ends when nothing is new."""
+"""Graph jobs as iterative joins. Edges are (src, dst); every loop has a depth that the caller names or ends when nothing is new."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.sources.scratch import cut
+from siltstone.operators.reach import peel, reachable
+from siltstone.operators.walks import apply_moves
+from siltstone.sources.scratch import cut, fresh_folder, written
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """(node, depth): nodes reachable from seeds(node) within max_depth steps, each at its least depth."""
-    edges = edges.select("src", "dst").distinct()
-    seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for depth in range(1, max_depth + 1):
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, depth): nodes reachable from seeds(node), each at its least depth; within max_depth steps if given. Rounds are partitions of one folder."""
+    spark, folder = edges.sparkSession, fresh_folder(edges.sparkSession, "closure")
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    front, depth = seeds.select("node").distinct().withColumn("depth", F.lit(0)), 0
+    schema = front.schema
+    while True:
+        front.write.parquet(f"{folder}/round={depth}")
+        front, seen = (spark.read.schema(schema).parquet(f"{folder}{at}") for at in (f"/round={depth}", ""))
+        if front.isEmpty() or depth == max_depth:
+            return seen.select("node", "depth")
+        depth += 1
         step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+        front = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
 
 
 def callers_tree(edges: DataFrame, word: str, max_depth: int = 5, registration: DataFrame | None = None) -> DataFrame:
@@ -100,20 +104,11 @@ def call_path(edges: DataFrame, start: str, goal: str, max_depth: int = 6) -> Da
     return spark.createDataFrame([(bool(meet), len(chain) - 1 if meet else None, ">".join(map(str, chain)) if meet else None, visited)], "found boolean, hops int, path string, visited long")
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, level): level 0 without parents, else one above the highest parent; null for nodes on or behind a cycle."""
-    left = cut(nodes.select("node").distinct())
-    edges = edges.select("src", "dst").distinct().join(left.withColumnRenamed("node", "src"), "src", "left_semi")
-    placed = None
-    for level in range(max_rounds):
-        waits = edges.join(left.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        ready = cut(left.join(waits, "node", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            break
-        placed = ready if placed is None else placed.unionByName(ready)
-        left = cut(left.join(ready, "node", "left_anti"))
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if placed is None else placed.unionByName(stuck)
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level): level 0 without parents, else one above the highest parent; null for nodes on or behind a cycle, which reach.cycle_report tells apart."""
+    known = nodes.select(F.col("node").alias("src")).distinct()
+    placed, stuck = peel(nodes, edges.join(known, "src", "left_semi"))
+    return placed.unionByName(stuck.select("node", F.lit(None).cast("int").alias("level")))
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -121,7 +116,7 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
-def tree_depths(nodes: DataFrame, edges: DataFrame, max_depth: int = 1000) -> DataFrame:
+def tree_depths(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth): least depth below a root; edges labelled seq make no parent."""
     own = edges.filter(F.coalesce(F.col("label") != "seq", F.lit(True)))
     return closure(own, roots(nodes, own), max_depth)
@@ -137,24 +132,16 @@ def siblings(edges: DataFrame) -> DataFrame:
     return own.select("parent", "node", F.row_number().over(Window.partitionBy("parent").orderBy("node")).alias("place"))
 
 
-def is_descendant(edges: DataFrame, pairs: DataFrame, max_depth: int = 64) -> DataFrame:
-    """pairs(ancestor, node) with descendant: whether node can be reached from ancestor in one step or more."""
-    edges = edges.select("src", "dst").distinct()
-    seen = cut(pairs.select("ancestor").distinct().join(edges, F.col("ancestor") == F.col("src")).select("ancestor", F.col("dst").alias("node")).distinct())
-    front = seen
-    for _ in range(max_depth):
-        front = cut(front.join(edges, F.col("node") == F.col("src")).select("ancestor", F.col("dst").alias("node")).distinct().join(seen, ["ancestor", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return pairs.join(seen.withColumn("_d", F.lit(True)), ["ancestor", "node"], "left").withColumn("descendant", F.coalesce("_d", F.lit(False))).drop("_d")
+def is_descendant(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(ancestor, node) with descendant: whether node can be reached from ancestor in one step or more, however many."""
+    return reachable(edges, pairs)
 
 
-def extract_subtree(nodes: DataFrame, edges: DataFrame, node, max_depth: int = 64) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def extract_subtree(nodes: DataFrame, edges: DataFrame, node) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(moved nodes, moved edges, nodes left, edges left): crossing edges are dropped."""
     kind = nodes.schema["node"].dataType
     seed = nodes.filter(F.col("node") == F.lit(node).cast(kind)).select("node")
-    inside = closure(edges, seed, max_depth).select("node")
+    inside = closure(edges, seed).select("node")
     s, d = inside.withColumnRenamed("node", "src"), inside.withColumnRenamed("node", "dst")
     inner = edges.join(s, "src", "left_semi").join(d, "dst", "left_semi").select(edges.columns)
     outer = edges.join(s, "src", "left_anti").join(d, "dst", "left_anti").select(edges.columns)
@@ -177,11 +164,14 @@ def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def reparent(edges: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, refused): moves(node, parent) replace a node's incoming edges; moves under an own descendant are refused."""
-    checked = cut(is_descendant(edges, moves.select(F.col("node").alias("ancestor"), F.col("parent").alias("node"))).select(F.col("ancestor").alias("node"), F.col("node").alias("parent"), (F.col("descendant") | (F.col("ancestor") == F.col("node"))).alias("bad")))
-    good = checked.filter("NOT bad")
-    kept = edges.join(good.select(F.col("node").alias("dst")), "dst", "left_anti").select(edges.columns)
-    return add_edges(kept, good.select(F.col("parent").alias("src"), F.col("node").alias("dst"), F.lit("").alias("label"))), checked.filter("bad").select("node", "parent")
+    """(edges, refused(node, parent)): moves(node, parent) replace a node's incoming edges, one after another by seq, or by node and parent where they have none.
+
+    A move that would close a cycle with the edges and moves before it is refused, so a batch makes none.
+    """
+    if "seq" not in moves.columns:
+        moves = moves.select(F.struct("node", "parent").alias("seq"), "node", "parent").distinct()
+    moved, verdicts = apply_moves(edges, moves)
+    return moved.select(edges.columns), verdicts.filter("NOT accepted").select("node", "parent")
 
 
 def expand_nodes(parent: str, hits: DataFrame) -> tuple[DataFrame, DataFrame]:

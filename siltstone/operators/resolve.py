@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.columns import common_segments, normalize_path, path_base, path_dir, path_ext, path_stem, path_suffixes
+from siltstone.operators.walks import closures
 
 IMPLEMENTATION = (".c", ".cc", ".cpp", ".cxx")
 HEADERS = (".h", ".hh", ".hpp", ".hxx")
@@ -60,6 +61,21 @@ def nearest_definition(words: DataFrame, symbols: DataFrame, closure: DataFrame
     return joined.withColumn("_best", best).filter("level = _best").drop("_best")
 
 
+def include_closure(includes: DataFrame, currents: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(current, path): the files that each file of currents(current) includes, directly or not; of includes(src, dst).
+
+    With files(path), the sources beside the headers among them, and beside the file itself if it is a
+    header, are of the closure too.
+    """
+    near = closures(includes, currents.select(F.col("current").alias("start"))).select(F.col("start").alias("current"), F.col("node").alias("path"))
+    if files is None:
+        return near
+    headers = near.unionByName(currents.select("current", F.col("current").alias("path"))).distinct().filter(path_ext("path").isin(*HEADERS))
+    beside = sibling_sources(headers.select("path").distinct(), files)
+    sources = headers.join(beside.withColumnRenamed("header", "path"), "path").select("current", F.col("source").alias("path"))
+    return near.unionByName(sources).distinct()
+
+
 def enclosing_function(hits: DataFrame, spans: DataFrame) -> DataFrame:
     """hits(path, line_no, ...) with func and func_line: the innermost span around each line; null outside.
 

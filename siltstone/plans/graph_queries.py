@@ -10,7 +10,6 @@ from siltstone.sources import table
 from siltstone.sources.scratch import cut
 
 STEPS = "steps AS (SELECT DISTINCT l_partkey AS src, nxt AS dst FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nxt FROM lineitem) WHERE nxt IS NOT NULL)"
-DAG = STEPS + ", dag AS (SELECT src, dst FROM steps WHERE src < dst AND dst - src < 40)"
 
 
 def steps(spark, sf_dir):
@@ -19,11 +18,6 @@ def steps(spark, sf_dir):
     return items.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(by).alias("dst")).filter("dst IS NOT NULL").distinct()
 
 
-def dag(spark, sf_dir):
-    """Short forward successions only: no cycles."""
-    return steps(spark, sf_dir).filter("src < dst AND dst - src < 40")
-
-
 def _nodes(edges):
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
@@ -33,12 +27,6 @@ def reach_depth_n(spark, sf_dir):
     return G.closure(steps(spark, sf_dir), spark.createDataFrame([(1,)], "node long"), 2)
 
 
-@query(f"WITH RECURSIVE {DAG}, walk AS (SELECT CAST(500 AS BIGINT) AS node, 0 AS depth UNION SELECT s.src, w.depth + 1 FROM walk w JOIN dag s ON s.dst = w.node WHERE w.depth < 6) SELECT node, min(depth) AS depth FROM walk GROUP BY node")
-def upstream(spark, sf_dir):
-    edges = dag(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return G.closure(edges, spark.createDataFrame([(500,)], "node long"), 6)
-
-
 TREE = """, r0 AS (SELECT CAST(300 AS BIGINT) AS node), t1 AS (SELECT 300 AS parent, src AS node, 1 AS depth FROM dag WHERE dst = 300),
 n1 AS (SELECT DISTINCT node FROM t1 WHERE node <> 300), t2 AS (SELECT dst AS parent, src AS node, 2 AS depth FROM dag WHERE dst IN (SELECT node FROM n1)),
 n2 AS (SELECT DISTINCT node FROM t2 WHERE node <> 300 AND node NOT IN (SELECT node FROM n1)), t3 AS (SELECT dst AS parent, src AS node, 3 AS depth FROM dag WHERE dst IN (SELECT node FROM n2)),
@@ -46,56 +34,11 @@ every AS (SELECT *, CASE depth WHEN 1 THEN node = 300 WHEN 2 THEN node = 300 OR
 SELECT CAST(parent AS BIGINT) AS parent, node, depth, CASE WHEN old OR k > 1 THEN 'already_visited' WHEN depth = 3 AND node IN (SELECT dst FROM dag) THEN 'depth_limit' END AS stop FROM every"""
 
 
-@query(f"WITH {DAG}{TREE}")
-def callers_tree(spark, sf_dir):
-    return G.callers_tree(dag(spark, sf_dir), "300", 3)
-
-
 @query(f"WITH RECURSIVE {STEPS}, walk AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT s.dst, w.depth + 1 FROM walk w JOIN steps s ON s.src = w.node WHERE w.depth < 4) SELECT count(*) > 0 AS found, CAST(min(depth) AS INT) AS hops FROM walk WHERE node = 150")
 def shortest_path(spark, sf_dir):
     return G.call_path(steps(spark, sf_dir), 1, 150, 4).select("found", "hops")
 
 
-@query(f"WITH {DAG}, nodes AS (SELECT src AS node FROM dag UNION SELECT dst FROM dag) SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM dag)")
-def roots(spark, sf_dir):
-    edges = dag(spark, sf_dir)
-    return G.roots(_nodes(edges), edges)
-
-
-LONG = "long AS (SELECT src, dst FROM steps WHERE src < dst AND dst <= 160)"
-
-
-@query(f"WITH RECURSIVE {STEPS}, {LONG}, nodes AS (SELECT src AS node FROM long UNION SELECT dst FROM long), walk AS (SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT dst FROM long) UNION SELECT l.dst, w.level + 1 FROM walk w JOIN long l ON l.src = w.node) SELECT node, max(level) AS level FROM walk GROUP BY node")
-def topo_levels(spark, sf_dir):
-    edges = steps(spark, sf_dir).filter("src < dst AND dst <= 160")
-    return G.topological_levels(_nodes(edges), edges)
-
-
-@query(f"WITH RECURSIVE {STEPS}, {LONG}, nodes AS (SELECT src AS node FROM long UNION SELECT dst FROM long), walk AS (SELECT node, 0 AS depth FROM nodes WHERE node NOT IN (SELECT dst FROM long) UNION SELECT l.dst, w.depth + 1 FROM walk w JOIN long l ON l.src = w.node) SELECT node, min(depth) AS depth FROM walk GROUP BY node")
-def depths(spark, sf_dir):
-    edges = steps(spark, sf_dir).filter("src < dst AND dst <= 160").withColumn("label", F.lit(""))
-    return G.tree_depths(_nodes(edges), edges)
-
-
-@query(f"WITH RECURSIVE {STEPS}, {LONG}, walk AS (SELECT CAST(20 AS BIGINT) AS node UNION SELECT l.dst FROM walk w JOIN long l ON l.src = w.node) SELECT src, dst FROM long WHERE src IN (SELECT node FROM walk) AND dst IN (SELECT node FROM walk)")
-def subtree(spark, sf_dir):
-    edges = steps(spark, sf_dir).filter("src < dst AND dst <= 160")
-    return G.extract_subtree(_nodes(edges), edges, 20)[1]
-
-
-@query(f"WITH {DAG} SELECT src AS parent, dst AS node, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) AS BIGINT) AS place FROM dag")
-def siblings(spark, sf_dir):
-    found = G.siblings(dag(spark, sf_dir).withColumn("label", F.lit("")))
-    return found.withColumn("place", F.col("place").cast("long"))
-
-
-@query(f"WITH {DAG} SELECT src, dst FROM dag WHERE src % 5 <> 0 AND dst % 5 <> 0")
-def delete_nodes(spark, sf_dir):
-    edges = dag(spark, sf_dir)
-    nodes = _nodes(edges)
-    return G.delete_nodes(nodes, edges, nodes.filter("node % 5 = 0"))[1]
-
-
 @query("SELECT user_id AS session, src, event_type AS dst FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src FROM events) WHERE src <> event_type GROUP BY ALL")
 def trail_edges(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("seq"), F.col("event_type").alias("item"))
@@ -124,24 +67,7 @@ def linked_by(spark, sf_dir):
     return links(spark, sf_dir).groupBy("dst").agg(F.count("*").alias("n_sources"))
 
 
-@query(f"WITH RECURSIVE {DAG}, walk AS (SELECT src AS ancestor, dst AS node FROM dag WHERE src <= 60 UNION SELECT w.ancestor, d.dst FROM walk w JOIN dag d ON d.src = w.node) SELECT a AS ancestor, b AS node, EXISTS (SELECT 1 FROM walk w WHERE w.ancestor = a AND w.node = b) AS descendant FROM (SELECT DISTINCT src AS a FROM dag WHERE src <= 60) x, (SELECT DISTINCT dst AS b FROM dag WHERE dst BETWEEN 80 AND 90) y")
-def is_descendant(spark, sf_dir):
-    edges = dag(spark, sf_dir)
-    pairs = edges.filter("src <= 60").select(F.col("src").alias("ancestor")).distinct().crossJoin(F.broadcast(edges.filter("dst BETWEEN 80 AND 90").select(F.col("dst").alias("node")).distinct()))  # 11 ids at most
-    return G.is_descendant(edges, pairs)
-
-
-@query(f"WITH {DAG} SELECT src, dst FROM dag WHERE dst % 9 <> 4 UNION SELECT dst - 1, dst FROM (SELECT DISTINCT dst FROM dag WHERE dst % 9 = 4)")
-def reparent(spark, sf_dir):
-    """Every ninth node gets the node one below as its only parent; forward edges leave no cycle to refuse."""
-    edges = dag(spark, sf_dir).withColumn("label", F.lit(""))
-    moves = edges.filter("dst % 9 = 4").select(F.col("dst").alias("node"), (F.col("dst") - 1).alias("parent")).distinct()
-    return G.reparent(edges, moves)[0].select("src", "dst").distinct()
-
-
-# The queries above run on the part of the successions that their SQL names; those below do the same jobs over all of them.
 FORWARD = STEPS + ", dag AS (SELECT src, dst FROM steps WHERE src < dst)"
-ENDLESS = 1 << 31
 
 
 def forward(spark, sf_dir):
@@ -169,19 +95,19 @@ def roots_all(spark, sf_dir):
 @query(f"WITH RECURSIVE {FORWARD}, nodes AS (SELECT src AS node FROM dag UNION SELECT dst FROM dag), walk AS (SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT dst FROM dag) UNION SELECT l.dst, w.level + 1 FROM walk w JOIN dag l ON l.src = w.node) SELECT node, max(level) AS level FROM walk GROUP BY node")
 def topo_levels_all(spark, sf_dir):
     edges = cut(forward(spark, sf_dir))
-    return G.topological_levels(_nodes(edges), edges, ENDLESS)
+    return G.topological_levels(_nodes(edges), edges)
 
 
 @query(f"WITH RECURSIVE {FORWARD}, nodes AS (SELECT src AS node FROM dag UNION SELECT dst FROM dag), walk AS (SELECT node, 0 AS depth FROM nodes WHERE node NOT IN (SELECT dst FROM dag) UNION SELECT l.dst, w.depth + 1 FROM walk w JOIN dag l ON l.src = w.node) SELECT node, min(depth) AS depth FROM walk GROUP BY node")
 def depths_all(spark, sf_dir):
     edges = cut(forward(spark, sf_dir)).withColumn("label", F.lit(""))
-    return G.tree_depths(_nodes(edges), edges, ENDLESS)
+    return G.tree_depths(_nodes(edges), edges)
 
 
 @query(f"WITH RECURSIVE {FORWARD}, walk AS (SELECT CAST(20 AS BIGINT) AS node UNION SELECT l.dst FROM walk w JOIN dag l ON l.src = w.node) SELECT src, dst FROM dag WHERE src IN (SELECT node FROM walk) AND dst IN (SELECT node FROM walk)")
 def subtree_all(spark, sf_dir):
     edges = cut(forward(spark, sf_dir))
-    return G.extract_subtree(_nodes(edges), edges, 20, ENDLESS)[1]
+    return G.extract_subtree(_nodes(edges), edges, 20)[1]
 
 
 @query(f"WITH {FORWARD} SELECT src AS parent, dst AS node, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) AS BIGINT) AS place FROM dag")
@@ -204,7 +130,7 @@ def is_descendant_all(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.row_number().over(by).alias("k"))
     later = items.select("l_orderkey", F.col("l_partkey").alias("node"), (F.col("k") - 2).alias("k"))
     pairs = items.withColumnRenamed("l_partkey", "ancestor").join(later, ["l_orderkey", "k"]).select("ancestor", "node").distinct()
-    return G.is_descendant(cut(forward(spark, sf_dir)), pairs, ENDLESS)
+    return G.is_descendant(cut(forward(spark, sf_dir)), pairs)
 
 
 @query(f"WITH {FORWARD} SELECT src, dst FROM dag WHERE dst % 9 <> 4 UNION SELECT dst - 1, dst FROM (SELECT DISTINCT dst FROM dag WHERE dst % 9 = 4)")

@@ -18,4 +18,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the query modules, which register themselves."""
-    from siltstone.plans import code_queries, graph_queries, refmap_queries, resolve_queries, search_queries, state_queries  # noqa: F401
+    from siltstone.plans import code_queries, graph_queries, reach_queries, refmap_queries, resolve_queries, search_queries, state_queries  # noqa: F401

@@ -22,12 +22,6 @@ def defs(spark, sf_dir):
     return table(spark, sf_dir, "part").select(name.alias("name"), kind.alias("kind"), path.alias("path"), (size % 5 < 3).alias("is_def"), "p_partkey")
 
 
-@query(f"WITH {DEFS} SELECT name, kind, path FROM defs WHERE name IN (SELECT name FROM defs WHERE p_partkey % 10 = 3)")
-def definitions(spark, sf_dir):
-    d = defs(spark, sf_dir)
-    return R.definitions(d.filter("p_partkey % 10 = 3"), d).select("name", "kind", "path")
-
-
 @query(f"WITH {DEFS}, every AS (SELECT name, path, 'tags' AS engine, 0 AS p FROM defs WHERE p_partkey % 50 = 1 UNION ALL SELECT name, path, 'xref', 1 FROM defs WHERE p_partkey % 30 = 2 UNION ALL SELECT name, path, 'scan', 2 FROM defs) SELECT name, path, engine FROM every e WHERE p = (SELECT min(p) FROM every x WHERE x.name = e.name)")
 def first_engine(spark, sf_dir):
     d = defs(spark, sf_dir).select("name", "path", "p_partkey")
@@ -39,29 +33,12 @@ def prefer_definition(spark, sf_dir):
     return R.prefer_definitions(defs(spark, sf_dir)).select("name", "kind", "path")
 
 
-@query(f"""WITH {DEFS}, words AS (SELECT name, path AS current FROM defs WHERE p_partkey % 20 = 7), j AS (SELECT w.name, w.current, d.path, CASE WHEN d.is_def THEN CASE
-  WHEN split_part(w.current, '/', 1) <> split_part(d.path, '/', 1) THEN 2 WHEN split_part(w.current, '/', 2) <> split_part(d.path, '/', 2) THEN 1 ELSE 0 END ELSE 2 END AS level FROM words w JOIN defs d ON d.name = w.name)
-SELECT name, current, path, level FROM j x WHERE level = (SELECT min(level) FROM j y WHERE y.name = x.name AND y.current = x.current)""")
-def nearest_level(spark, sf_dir):
-    d = defs(spark, sf_dir)
-    words = d.filter("p_partkey % 20 = 7").select("name", F.col("path").alias("current"))
-    return R.nearest_definition(words, d.select("name", "path", "is_def")).select("name", "current", "path", "level")
-
-
-SCORED = f"""{DEFS}, calls AS (SELECT path AS caller_path, name AS callee FROM defs WHERE p_partkey % 20 = 9 UNION SELECT path, 'unknown' FROM defs WHERE p_partkey % 100 = 9),
+SCORED = f"""{DEFS}, calls AS (SELECT path AS caller_path, name AS callee FROM defs UNION SELECT path, 'unknown' FROM defs),
 scored AS (SELECT c.*, d.path, d.kind, CASE WHEN d.path IS NOT NULL THEN CASE d.kind WHEN 'func' THEN 100 WHEN 'define' THEN 50 ELSE 0 END + CASE WHEN d.path LIKE '%.c' OR d.path LIKE '%.cpp' THEN 10 WHEN d.path LIKE '%.h' THEN 5 ELSE 0 END
   + CASE WHEN split_part(c.caller_path, '/', 1) <> split_part(d.path, '/', 1) THEN 0 WHEN split_part(c.caller_path, '/', 2) <> split_part(d.path, '/', 2) THEN 100 ELSE 1000 END END AS score FROM calls c LEFT JOIN defs d ON d.name = c.callee),
 ranked AS (SELECT *, row_number() OVER w AS k, score - lead(score) OVER w AS gap, count(path) OVER (PARTITION BY caller_path, callee) AS candidates, count(path) FILTER (kind = 'define') OVER (PARTITION BY caller_path, callee) AS defines, count(path) FILTER (kind = 'struct') OVER (PARTITION BY caller_path, callee) AS structs FROM scored WINDOW w AS (PARTITION BY caller_path, callee ORDER BY score DESC NULLS LAST, path))"""
 
 
-@query(f"WITH {SCORED} SELECT caller_path, callee, path, score, candidates, CASE WHEN candidates = 0 THEN 'low' WHEN candidates = 1 OR score >= 1000 OR gap >= 100 THEN 'high' WHEN score >= 100 THEN 'medium' ELSE 'low' END AS confidence, defines = candidates AS likely_macro, candidates > 0 AND structs = candidates AS likely_non_callable FROM ranked WHERE k = 1")
-def rank_definition(spark, sf_dir):
-    d = defs(spark, sf_dir)
-    calls = d.filter("p_partkey % 20 = 9").select(F.col("path").alias("caller_path"), F.col("name").alias("callee"))
-    calls = calls.union(d.filter("p_partkey % 100 = 9").select("path", F.lit("unknown"))).distinct()
-    return R.rank_callee_definition(calls, d.select("name", "path", "kind")).select("caller_path", "callee", "path", "score", "candidates", "confidence", "likely_macro", "likely_non_callable")
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 3 <> 0 THEN p_type END AS kind FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
 def left_unknown_kept(spark, sf_dir):
     known = table(spark, sf_dir, "part").filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("name"), F.col("p_type").alias("kind"))
@@ -136,7 +113,6 @@ def in_subtree(spark, sf_dir):
     return a.join(b, "name").filter("ka < kb").filter(R.in_subtree("fa", "fb")).select("a", "b").distinct()
 
 
-# definitions, nearest_level and rank_definition run on the words that their SQL names; those below on all words and calls.
 @query(f"WITH {DEFS} SELECT name, kind, path FROM defs WHERE name IN (SELECT name FROM defs)")
 def definitions_all(spark, sf_dir):
     d = defs(spark, sf_dir)
@@ -151,10 +127,7 @@ def nearest_level_all(spark, sf_dir):
     return R.nearest_definition(d.select("name", F.col("path").alias("current")), d.select("name", "path", "is_def")).select("name", "current", "path", "level")
 
 
-SCORED_ALL = SCORED.replace("FROM defs WHERE p_partkey % 20 = 9 UNION", "FROM defs UNION").replace("'unknown' FROM defs WHERE p_partkey % 100 = 9", "'unknown' FROM defs")
-
-
-@query(f"WITH {SCORED_ALL} SELECT caller_path, callee, path, score, candidates, CASE WHEN candidates = 0 THEN 'low' WHEN candidates = 1 OR score >= 1000 OR gap >= 100 THEN 'high' WHEN score >= 100 THEN 'medium' ELSE 'low' END AS confidence, defines = candidates AS likely_macro, candidates > 0 AND structs = candidates AS likely_non_callable FROM ranked WHERE k = 1")
+@query(f"WITH {SCORED} SELECT caller_path, callee, path, score, candidates, CASE WHEN candidates = 0 THEN 'low' WHEN candidates = 1 OR score >= 1000 OR gap >= 100 THEN 'high' WHEN score >= 100 THEN 'medium' ELSE 'low' END AS confidence, defines = candidates AS likely_macro, candidates > 0 AND structs = candidates AS likely_non_callable FROM ranked WHERE k = 1")
 def rank_definition_all(spark, sf_dir):
     d = defs(spark, sf_dir)
     calls = d.select(F.col("path").alias("caller_path"), F.col("name").alias("callee"))
