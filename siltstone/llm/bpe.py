@@ -322,8 +322,8 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         return _filled(texts, words, pa.schema([("id", texts.schema.field("ids").type.value_type), ("ids", pa.binary())]), Packer())
 
     kind = docs.schema[id_col].dataType.simpleString()
-    # A filter that isn't deterministic stays behind the shuffle, so both sides share it; a plain one would cut the texts twice.
-    chunks = rows.filter(F.col("kind") + F.floor(F.rand()) != WORDS)
+    # A filter that isn't deterministic stays behind the shuffle, and one that takes nulls implies no other, so both sides share it; a plain one would cut the texts twice.
+    chunks = rows.filter(F.coalesce("kind", F.lit(-1)) + F.floor(F.rand()) != WORDS)
     filled = chunks.groupBy("key").cogroup(encode_words(rows, encoder).groupBy("key")).applyInArrow(fill, f"id {kind}, ids binary")
     return filled.withColumnRenamed("id", id_col)
 
