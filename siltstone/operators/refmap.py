@@ -57,11 +57,25 @@ def omitted(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     return _facts(symbols).agg(F.count_if(F.col("n") > 1).alias("same_name_symbols")).crossJoin(left_out)  # one row each
 
 
+def least_distinct(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
+    """(keys, least): the k least different values of each group, in order; groups without any are absent.
+
+    Equal values meet once by (group, value); then the rank is limited to k in every task before
+    the rows move to their group, so a group of any size brings k rows of each task and no longer array.
+    """
+    by = Window.partitionBy(*keys).orderBy(value)
+    ranked = df.filter(F.col(value).isNotNull()).select(*keys, value).distinct().withColumn("_k", F.row_number().over(by)).filter(F.col("_k") <= k)
+    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("least"))
+
+
 def _fold(edges: DataFrame, src: Column, dst: Column, *more: str) -> DataFrame:
-    """Edges between groups with the first SAMPLE symbols by name; capped where there are more: each edge gives one over, so that it shows."""
-    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.slice("syms", 1, SAMPLE + 1)))))
+    """Edges between groups with the first SAMPLE symbols by name; capped where there are more: one over is looked for, so that it shows."""
+    keys = [*more, "from", "to"]
     folded = edges.withColumn("from", src).withColumn("to", dst).filter("from <> to")
-    return folded.groupBy(*more, "from", "to").agg(F.sum("count").alias("count"), F.slice(names, 1, SAMPLE).alias("syms"), (F.size(names) > SAMPLE).alias("capped"))
+    counts = folded.groupBy(*keys).agg(F.sum("count").alias("count"))
+    names = least_distinct(folded.select(*keys, F.explode(F.slice("syms", 1, SAMPLE + 1)).alias("name")), keys, "name", SAMPLE + 1)
+    shown = counts.join(names, keys, "left").withColumn("least", F.coalesce("least", F.array().cast("array<string>")))
+    return shown.select(*keys, "count", F.slice("least", 1, SAMPLE).alias("syms"), (F.size("least") > SAMPLE).alias("capped"))
 
 
 def overview(edges: DataFrame, depth: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from siltstone.functions import patterns as P
 from siltstone.functions.columns import hit_id, path_dir, path_ext, path_prefixes, quoted, trimmed
 
 SITE_LENGTH = 200
+#: Letters of patterns to an automaton.
+MOST_LETTERS = 1 << 24
 #: Extensions of source files.
 SOURCE_FILES = (".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hh", ".java")
 
@@ -57,6 +61,65 @@ def search_many(lines: DataFrame, patterns: list[str]) -> DataFrame:
     return any_hit.select("path", "line_no", "text", F.explode(found).alias("pattern"))
 
 
+def search_table(lines: DataFrame, patterns: DataFrame, most: int = MOST_LETTERS) -> DataFrame:
+    """(path, line_no, text, pattern): every literal of patterns(pattern) that a line holds, regardless of case.
+
+    One automaton of all patterns reads each line once, however many there are. The patterns are measured
+    first: up to `most` letters go to the tasks as one broadcast; more are dealt by hash to as many
+    automata as it takes, each with a pass of its own. Null patterns match nothing, an empty one every
+    line with a text; a pattern that is listed twice counts once.
+    """
+    wanted = patterns.select("pattern").filter("pattern IS NOT NULL").distinct()
+    size = wanted.agg(F.coalesce(F.sum(F.char_length("pattern")), F.lit(0))).first()[0]
+    shards = -(-size // most) or 1
+    lowered = lines.select("path", "line_no", "text", F.lower("text").alias("_low"))
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    out = ", ".join(f"{c} {kinds[c]}" for c in ("path", "line_no", "text")) + ", pattern string"
+    found = None
+    for shard in range(shards):
+        rows = wanted.filter(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == shard).select("pattern", F.lower("pattern")).collect()  # about `most` letters
+        words = lines.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+
+        def run(batches, words=words):
+            machine, plain = Automaton(words.value), None
+            for batch in batches:
+                plain = plain or batch.schema.field("text").type
+                at, hits = machine.find(batch.column("_low").to_pylist())
+                kept = batch.select(["path", "line_no", "text"]).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(hits, pa.string())], names=[*kept.schema.names, "pattern"])
+
+        part = lowered.mapInArrow(run, out)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+class Automaton:
+    """Literals, lowered, as one Aho-Corasick automaton; patterns that are equal when lowered are found together."""
+
+    def __init__(self, patterns: list[tuple[str, str]]):
+        self.always, by = [], {}
+        for pattern, low in patterns:
+            (by.setdefault(low, []) if low else self.always).append(pattern)
+        self.machine = ahocorasick.Automaton()
+        for low, same in by.items():
+            self.machine.add_word(low, same)
+        if by:
+            self.machine.make_automaton()
+        self.any = bool(by)
+
+    def find(self, texts: list[str | None]) -> tuple[list[int], list[str]]:
+        """(places in texts, patterns found there), each pattern once for a text."""
+        at, hits = [], []
+        for i, text in enumerate(texts):
+            if text is not None:
+                found = dict.fromkeys(self.always)
+                for _, same in self.machine.iter(text) if self.any else ():
+                    found.update(dict.fromkeys(same))
+                at += [i] * len(found)
+                hits += found
+        return at, hits
+
+
 def refine(hits: DataFrame, expr: str) -> DataFrame:
     return hits.filter(P.refine_condition(expr))
 

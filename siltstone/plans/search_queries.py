@@ -44,6 +44,17 @@ def search_many(spark, sf_dir):
     return S.search_many(_lines(spark, sf_dir), ["license", "version", "idiot", "all rights"])
 
 
+PATTERNS = r"""words AS (SELECT item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark), patterns AS (SELECT DISTINCT array_to_string(w[i:i + 3], ' ') AS pattern FROM (SELECT w, unnest(range(1, len(w) - 2)) AS i FROM words) UNION SELECT w[1] FROM words WHERE len(w) > 0)"""
+
+
+@query(with_lines("SELECT path, line_no, text, pattern FROM lines JOIN patterns ON contains(lower(text), lower(pattern))", PATTERNS))
+def search_table(spark, sf_dir):
+    """Every four words in a row of the benchmark's items, and their first words, in all lines."""
+    words = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
+    runs = words.filter("size(w) > 3").select(F.explode(F.expr("transform(sequence(1, size(w) - 3), i -> array_join(slice(w, i, 4), ' '))")).alias("pattern"))
+    return S.search_table(_lines(spark, sf_dir), runs.union(words.filter("size(w) > 0").select(F.col("w")[0])))
+
+
 @query(f"WITH {FILES} SELECT path, length(regexp_extract(content, '^([^\\n]*\\n)', 1)) AS first_break, len(string_split(content, '.' || chr(10))) - 1 AS n_matches FROM files WHERE contains(content, '.' || chr(10))")
 def search_multiline_counts(spark, sf_dir):
     """Sentence ends at line ends, by file."""
