@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.functions.patterns import search_condition
@@ -130,3 +131,51 @@ def stale_monitor(files: DataFrame, index: DataFrame) -> DataFrame:
     """Streaming files(path, mtime) joined with the index's (path, indexed_at): how many of a batch are newer, and the newest."""
     joined = files.join(index, "path", "left")
     return joined.filter(F.col("indexed_at").isNull() | (F.col("mtime") > F.col("indexed_at"))).groupBy().agg(F.count("*").alias("n_stale"), F.max("mtime").alias("newest"))
+
+
+class _Fresh(StatefulProcessor):
+    """The last value of a key: fresh when it comes, stale by a timer, and gone by its time to live."""
+
+    def __init__(self, key: str, at: str, value: str, kinds: dict[str, str], fresh_ms: int, keep_ms: int):
+        self.key, self.at, self.value, self.kinds, self.fresh_ms, self.keep_ms = key, at, value, kinds, fresh_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", f"at {self.kinds[self.at]}, value {self.kinds[self.value]}", self.keep_ms)
+
+    def _row(self, key, at, value, fresh: bool) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]], "value": pd.Series([value], dtype=object), "at": [at], "fresh": [fresh]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows))
+        top = new.loc[new[self.at].idxmax()]
+        at, value = top[self.at], top[self.value]
+        if self.last.exists():
+            before = self.last.get()
+            if before[0] is not None and pd.Timestamp(before[0]) > at:
+                at, value = pd.Timestamp(before[0]), before[1]
+        self.last.update((at, value))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.fresh_ms)
+        yield self._row(key, at, value, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.last.exists():
+            at, value = self.last.get()
+            yield self._row(key, pd.Timestamp(at), value, False)
+
+    def close(self) -> None:
+        pass
+
+
+def latest_state(events: DataFrame, key: str, at: str, value: str, fresh_ms: int = 20_000, keep_ms: int = 3_600_000) -> DataFrame:
+    """(key, value, at, fresh): a row with fresh whenever a key gets events, its last one by time, and one without when fresh_ms pass and none comes.
+
+    The state is one row a key, which leaves the store keep_ms after the key's last event; keep_ms over
+    fresh_ms. An event older than the kept one renews the key but not its value. For update mode, on the RocksDB
+    state store; timers run by the clock, so a row turns stale without new input.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    out = f"`{key}` {kinds[key]}, value {kinds[value]}, at {kinds[at]}, fresh boolean"
+    return events.select(key, at, value).groupBy(key).transformWithStateInPandas(_Fresh(key, at, value, kinds, fresh_ms, keep_ms), out, "Update", "processingTime")
