@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.columns import common_segments, normalize_path, path_base, path_dir, path_ext, path_stem, path_suffixes
+from siltstone.functions.columns import common_segments, normalize_path, path_base, path_dir, path_ext, path_stem, path_suffixes, strip_line_comment
 from siltstone.operators.walks import closures
 
 IMPLEMENTATION = (".c", ".cc", ".cpp", ".cxx")
@@ -61,6 +61,56 @@ def nearest_definition(words: DataFrame, symbols: DataFrame, closure: DataFrame
     return joined.withColumn("_best", best).filter("level = _best").drop("_best")
 
 
+#: Words before a parenthesis that name no function.
+NOT_NAMES = ("if", "else", "while", "for", "switch", "return", "sizeof", "typeof", "alignof", "defined", "offsetof", "case", "do", "catch", "throw", "new", "delete")
+
+
+def judge_definitions(hits: DataFrame, lines: DataFrame, ahead: int = 20) -> DataFrame:
+    """hits(name, kind, path, line_no, ...) with is_def, wrong_name and annotation; lines(path, line_no, text) of their files.
+
+    All kinds but func define. A function's line that ends in `;` declares, one with `{` defines, and of up to
+    `ahead` lines after it the first of either kind decides; where none does, it defines. wrong_name: the
+    first name before a parenthesis of a defining line is another one. annotation: a defining line without
+    `{` behind which, within three lines, the first with a text is a name and a parenthesis. Only the lines
+    at and after hits are joined, by place.
+    """
+    body = lambda text: F.trim(strip_line_comment(text))
+    asked = hits.select("path", "line_no").filter("path IS NOT NULL AND line_no IS NOT NULL").distinct().select("path", F.col("line_no").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(ahead))).alias("k"))
+    near = asked.join(lines.select("path", F.col("line_no").alias("_n"), "text"), (F.col("_n") == F.col("at") + F.col("k")) & (asked["path"] == lines["path"])).select(asked["path"], "at", "k", F.trim("text").alias("full"), body("text").alias("code"))
+    first = lambda c, v: F.min(F.when(c, F.struct("k", v.alias("v"))))["v"]
+    ends = F.when(F.col("code").contains("{"), True).when(F.col("code").endswith(";"), False)
+    here = F.when(F.col("code").endswith(";"), False).when(F.col("code").contains("{"), True)
+    said = F.when(F.col("k") == 0, here).otherwise(ends)
+    facts = near.groupBy("path", F.col("at").alias("line_no")).agg(
+        first(said.isNotNull(), said).alias("_def"),
+        F.max(F.when(F.col("k") == 0, F.col("full"))).alias("_line"),
+        first(F.col("k").between(1, 3) & (F.col("full") != ""), F.col("full")).alias("_next"),
+    )
+    joined = hits.join(facts, ["path", "line_no"], "left")
+    func = F.col("kind") == "func"
+    is_def = F.coalesce(~func | F.coalesce("_def", F.lit(True)), F.lit(True))
+    called = F.filter(F.regexp_extract_all("_line", F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1)), lambda n: ~n.isin(*NOT_NAMES))
+    other = F.coalesce(func & is_def & (F.get(called, F.lit(0)) != F.col("name")), F.lit(False))
+    bare = ~F.col("_line").contains("{") & ~F.col("_line").endswith(";")
+    note = F.coalesce(func & is_def & bare & F.col("_next").rlike(r"^[A-Za-z_]\w*\s*\("), F.lit(False))
+    return joined.select(*hits.columns, is_def.alias("is_def"), other.alias("wrong_name"), note.alias("annotation"))
+
+
+def choose_definitions(hits: DataFrame, lines: DataFrame) -> DataFrame:
+    """prefer_definitions() of what judge_definitions() leaves: rows of a wrong name go, and a line of annotations counts as no definition."""
+    judged = judge_definitions(hits, lines).filter("NOT wrong_name")
+    return prefer_definitions(judged.withColumn("is_def", F.col("is_def") & ~F.col("annotation")).drop("wrong_name", "annotation"))
+
+
+def dependency_graph(edges: DataFrame, max_nodes: int = 100, max_edges: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes(id, label), edges(src, dst), one row (nodes, edges, truncated)): the graph to show, its least nodes and edges where there are more."""
+    every = edges.select("src", "dst").distinct()
+    ends = every.select(F.col("src").alias("id")).union(every.select("dst")).distinct()
+    sizes = ends.agg(F.count("*").alias("nodes")).crossJoin(every.agg(F.count("*").alias("edges")))  # one row each
+    sizes = sizes.withColumn("truncated", (F.col("nodes") > max_nodes) | (F.col("edges") > max_edges))
+    return ends.orderBy("id").limit(max_nodes).select("id", path_base("id").alias("label")), every.orderBy("src", "dst").limit(max_edges), sizes
+
+
 def include_closure(includes: DataFrame, currents: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(current, path): the files that each file of currents(current) includes, directly or not; of includes(src, dst).
 

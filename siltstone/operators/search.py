@@ -241,22 +241,24 @@ def symbol_search(symbols: DataFrame, regex: str, kind: str | None, path: str, l
     return cap(rank_symbol_names(found, regex), ["rank", "name", "path", "line_no"], limit)
 
 
+def _subsequence(chars: Column, part: str) -> Column:
+    """The score of one part: 1 and the current run for every character found in order; null if one is missing."""
+    letters = F.array(*map(F.lit, part))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("score"))
+
+    def step(acc, c):
+        hit = F.coalesce(F.get(letters, acc["at"]) == c, F.lit(False))
+        run = F.when(hit, acc["run"] + 1).otherwise(0)
+        return F.struct((acc["at"] + hit.cast("int")).alias("at"), run.alias("run"), (acc["score"] + F.when(hit, 1 + acc["run"]).otherwise(0)).alias("score"))
+
+    done = F.aggregate(chars, start, step)
+    return F.when(done["at"] == len(part), done["score"])
+
+
 def fuzzy_score(path, query: str) -> Column:
-    """Sum over the query's parts of the subsequence score (1 and the current run for every character); null if a part is missing."""
-    total = F.lit(0)
-    chars = F.filter(F.split(F.regexp_replace(F.lower(path), "", "\u0001"), "\u0001"), lambda c: c != "")
-    for part in query.lower().split():
-        letters = F.array(*map(F.lit, part))
-        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("score"))
-
-        def step(acc, c, letters=letters):
-            hit = F.coalesce(F.get(letters, acc["at"]) == c, F.lit(False))
-            run = F.when(hit, acc["run"] + 1).otherwise(0)
-            return F.struct((acc["at"] + hit.cast("int")).alias("at"), run.alias("run"), (acc["score"] + F.when(hit, 1 + acc["run"]).otherwise(0)).alias("score"))
-
-        done = F.aggregate(chars, start, step)
-        total = total + F.when(done["at"] == len(part), done["score"])
-    return total
+    """Sum of the scores of the query's parts; null if one is missing."""
+    chars = F.filter(F.split(F.lower(path), ""), lambda c: c != "")
+    return sum((_subsequence(chars, part) for part in query.lower().split()), F.lit(0))
 
 
 def fuzzy_rank(paths: DataFrame, query: str, k: int) -> DataFrame:

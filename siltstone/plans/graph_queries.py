@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import columns as C
 from siltstone.operators import graphs as G
+from siltstone.operators import resolve as R
 from siltstone.plans.registry import query
 from siltstone.sources import table
 from siltstone.sources.scratch import cut
@@ -62,6 +63,17 @@ def link_graph(spark, sf_dir):
     return links(spark, sf_dir)
 
 
+@query(f"""WITH {LINKS}, ends AS (SELECT src AS id FROM links UNION SELECT dst FROM links), sizes AS (SELECT (SELECT count(*) FROM ends) AS n, (SELECT count(*) FROM links) AS e)
+SELECT 'node' AS part, id AS a, regexp_extract(id, '[^/]*$') AS b, CAST(NULL AS BOOLEAN) AS truncated FROM (SELECT id FROM ends ORDER BY id LIMIT 100) UNION ALL SELECT 'edge', src, dst, NULL FROM (SELECT * FROM links ORDER BY src, dst LIMIT 200)
+UNION ALL SELECT 'sizes', CAST(n AS VARCHAR), CAST(e AS VARCHAR), n > 100 OR e > 200 FROM sizes""")
+def dependency_graph(spark, sf_dir):
+    """The graph of links to show: its first nodes and edges, and whether there are more."""
+    nodes, edges, sizes = R.dependency_graph(links(spark, sf_dir))
+    none = F.lit(None).cast("boolean").alias("truncated")
+    rows = nodes.select(F.lit("node").alias("part"), F.col("id").alias("a"), F.col("label").alias("b"), none).union(edges.select(F.lit("edge"), "src", "dst", none))
+    return rows.union(sizes.select(F.lit("sizes"), F.col("nodes").cast("string"), F.col("edges").cast("string"), "truncated"))
+
+
 @query(f"WITH {LINKS} SELECT dst, count(*) AS n_sources FROM links GROUP BY dst")
 def linked_by(spark, sf_dir):
     return links(spark, sf_dir).groupBy("dst").agg(F.count("*").alias("n_sources"))

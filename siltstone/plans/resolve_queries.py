@@ -133,3 +133,25 @@ def rank_definition_all(spark, sf_dir):
     calls = d.select(F.col("path").alias("caller_path"), F.col("name").alias("callee"))
     calls = calls.union(d.select("path", F.lit("unknown"))).distinct()
     return R.rank_callee_definition(calls, d.select("name", "path", "kind")).select("caller_path", "callee", "path", "score", "candidates", "confidence", "likely_macro", "likely_non_callable")
+
+
+RULED = """made AS (SELECT *, 'f' || p_partkey AS word, 'p/' || p_partkey || '.c' AS file, p_size % 25 AS gap FROM part), judged AS (SELECT word AS name, CASE p_size % 6 WHEN 4 THEN 'define' ELSE 'func' END AS kind, file AS path, 2 AS line_no,
+  CASE p_size % 6 WHEN 1 THEN false WHEN 5 THEN gap >= 20 OR p_size % 2 = 0 ELSE true END AS is_def, p_size % 6 = 2 AS wrong_name, p_size % 6 = 3 AS annotation FROM made)"""
+
+
+@query(f"WITH {RULED} SELECT * FROM judged")
+def definition_rules(spark, sf_dir):
+    """A file for each part, whose second line names its word: a function, a prototype, another function's annotation, a line of annotations, a macro, or a header of as many lines as the size says."""
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("p/"), F.col("p_partkey").cast("string"), F.lit(".c")).alias("path"), "p_size")
+    form, gap, word = F.col("p_size") % 6, F.col("p_size") % 25, F.col("name")
+    texts = (
+        F.when(form == 0, F.array(F.concat(F.lit("int "), word, F.lit("(int a) // ends;")), F.lit("{")))
+        .when(form == 1, F.array(F.concat(F.lit("int "), word, F.lit("(int a); // {")), F.lit("int next(void) {")))
+        .when(form == 2, F.array(F.concat(F.lit("int other(int a) "), word, F.lit("(lock)")), F.lit("{")))
+        .when(form == 3, F.array(F.concat(F.lit("void "), word, F.lit("(&x->lock)")), F.lit(""), F.lit("real_name(struct x *x)"), F.lit("{")))
+        .when(form == 4, F.array(F.concat(F.lit("#define "), word, F.lit("(a) a;"))))
+        .otherwise(F.concat(F.array(F.concat(F.lit("int "), word, F.lit("(int a,"))), F.array_repeat(F.lit("    int b,"), gap), F.array(F.when(F.col("p_size") % 2 == 0, F.lit("    int c) {")).otherwise(F.lit("    int c);")))))
+    )
+    lines = part.select("path", F.posexplode(F.concat(F.array(F.lit("#include <x.h>")), texts)).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
+    hits = part.select("name", F.when(form == 4, "define").otherwise("func").alias("kind"), "path", F.lit(2).alias("line_no"))
+    return R.judge_definitions(hits, lines)

@@ -280,3 +280,9 @@ def scalar_functions(spark, sf_dir):
         key["path"].alias("key_path"), key["line_no"].alias("key_line"), C.strip_line_comment(text("x = ", F.col("s"), "; // y")).alias("code"), C.brace_balance(F.lit("{ { }")).alias("balance"),
         C.contains_word(F.when(k % 2 == 0, "a word_b word;").otherwise("a word_b words;"), "word").alias("has_word"),
     )
+
+
+@query()
+def fuzzy_paths(spark, sf_dir):
+    """The 50 paths that fit two loose words best; tests hold the score against brute force."""
+    return S.fuzzy_rank(_files(spark, sf_dir).select("path"), "web 1", 50)

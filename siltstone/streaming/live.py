@@ -18,8 +18,8 @@ def stream_search(spark: SparkSession, folder: str, schema: str, pattern: str, t
     return spark.readStream.schema(schema).parquet(folder).filter(search_condition(text, pattern, **options))
 
 
-def capped_sink(limit: int, out: str):
-    """A foreachBatch function that appends to `out` until `limit` rows stand there; a batch done twice adds nothing."""
+def capped_sink(limit: int, out: str, order: tuple = ("path", "line_no")):
+    """A foreachBatch function that appends to `out` until `limit` rows stand there, the first of a batch by those columns of `order` that it has; a batch done twice adds nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -30,7 +30,8 @@ def capped_sink(limit: int, out: str):
                 raise
             before = 0
         if before < limit:
-            batch.limit(limit - before).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            by = [c for c in order if c in batch.columns]
+            (batch.orderBy(*by) if by else batch).limit(limit - before).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return write
 
