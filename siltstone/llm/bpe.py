@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import os
 import unicodedata
 
 import numpy as np
@@ -15,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from siltstone.llm.bytetext import Hasher, blocks, mix
 
@@ -204,19 +204,21 @@ def rank_encoder(ranks):
 
     def start():
         merges = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
-        return lambda words: map(merges.encode_ordinary, words)
+        return lambda words: (merges.encode_ordinary(w.decode()) for w in words)
 
     return start
 
 
 def json_encoder(model):
-    """Words to ids by a tokenizer file of the tokenizers library (broadcast as text); special tokens' strings are ordinary text."""
+    """Words to ids by a byte-level BPE file of the tokenizers library (broadcast as text). Its model takes the words as they are: no pattern is matched again, and special tokens' strings are ordinary text."""
 
     def start():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        merges = Tokenizer.from_str(model.value)
-        merges.encode_special_tokens = True
-        return lambda words: (x.ids for x in merges.encode_batch_fast(words, add_special_tokens=False))
+        merges = Tokenizer.from_str(model.value).model
+        # bytes that are printable stand for themselves, the others in order for the alphabet's further letters
+        alphabet = sorted(map(ord, ByteLevel.alphabet()))
+        own = {c for c in alphabet if c < 256}
+        letters = dict(zip((b for b in range(256) if b not in own), (c for c in alphabet if c >= 256), strict=True))
+        return lambda words: ([x.id for x in merges.tokenize(w.decode("latin-1").translate(letters))] for w in words)
 
     return start
 
@@ -239,7 +241,7 @@ def encode_words(rows: DataFrame, encoder) -> DataFrame:
                 fresh = list(set(words))
             for a in range(0, len(fresh), AT_ONCE):
                 part = fresh[a : a + AT_ONCE]
-                known.update(zip(part, (np.array(x, np.uint32) for x in merge([w.decode() for w in part])), strict=True))
+                known.update(zip(part, (np.array(x, np.uint32) for x in merge(part)), strict=True))
             return [known[w] for w in words]
 
         for batch in batches:
