@@ -19,7 +19,7 @@ UPPER[65:91] = True
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct", "n_punct", "n_odd_words")
 #: What the forest sees: how far each share exceeds what labelled good rows show.
 FEATURES = ("symbols", "dup_lines", "repeats", "word_length", "upper", "sameness")
-TREES, LEAF_SAMPLE, FIT_ROWS = 100, 256, 4096
+TREES, LEAF_SAMPLE = 100, 256
 BINS = 400
 
 
@@ -104,11 +104,13 @@ def excess(columns: dict[str, np.ndarray], usual: np.ndarray) -> np.ndarray:
 class Forest:
     """Random splits; a row's score is 2 ** -(mean path length / the mean over random data), high for the odd."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int = 7):
+    def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int = 7, tree: np.ndarray | None = None):
+        """tree: the tree that each row was drawn for; without it every tree draws from all rows."""
         rng = np.random.default_rng(seed)
-        self.size = min(sample, len(rows))
+        drawn = [rows[rng.permutation(len(rows))[:sample]] if tree is None else rows[tree == t][:sample] for t in range(trees)] if len(rows) else []
+        self.size = min((len(d) for d in drawn), default=0)
         self.depth = max(1, int(np.ceil(np.log2(max(self.size, 2)))))
-        self.trees = [self._grow(rows[rng.permutation(len(rows))[: self.size]], rng) for _ in range(trees)] if len(rows) else []
+        self.trees = [self._grow(d[: self.size], rng) for d in drawn]
 
     def _grow(self, rows: np.ndarray, rng) -> tuple[np.ndarray, ...]:
         feature, at, left, length = [], [], [], []
@@ -160,7 +162,7 @@ class Judge:
         return (F.col("n_words") < self.min_words) | (100 * F.col("n_repeat_words") > self.repeat_percent * F.col("n_words"))
 
 
-def fit_judge(stats: DataFrame, labels: DataFrame, id_col: str, min_words: int, repeat_percent: int, fit_rows: int = FIT_ROWS, trees: int = TREES, sample: int = LEAF_SAMPLE, usual_share: float = 0.999, good_kept: float = 0.99) -> Judge:
+def fit_judge(stats: DataFrame, labels: DataFrame, id_col: str, min_words: int, repeat_percent: int, trees: int = TREES, sample: int = LEAF_SAMPLE, usual_share: float = 0.999, good_kept: float = 0.99) -> Judge:
     """A judge from the stored statistics of all rows and the labelled rows; see quality_rules."""
     judge = Judge(np.zeros(len(FEATURES)), Forest(np.zeros((0, len(FEATURES)))), 2.0, min_words, repeat_percent)
     passed = stats.filter(~judge.base_failed() & F.col(id_col).isNotNull())
@@ -170,14 +172,30 @@ def fit_judge(stats: DataFrame, labels: DataFrame, id_col: str, min_words: int,
     if usual[0] is None:
         usual = levels(passed)
     judge.usual = np.array([x or 0.0 for x in usual])
-    fit = passed.select(id_col, *FEATURES).withColumn("_h", F.xxhash64(id_col)).orderBy("_h", id_col, *FEATURES).limit(fit_rows).toPandas()
-    judge.forest = Forest(excess({c: fit[c] for c in FEATURES}, judge.usual), trees, sample)
+    judge.forest = Forest(*drawn_rows(passed, judge.usual, id_col, trees, sample))
     scored = with_scores(passed, judge)
     bins = scored.join(marked, id_col).groupBy(F.floor(F.col("score") * BINS).cast("int").alias("bin")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     judge.cut = threshold({r.bin: (r.good, r.bad) for r in bins.collect()}, good_kept)  # BINS + 1 rows at most
     return judge
 
 
+def drawn_rows(passed: DataFrame, usual: np.ndarray, id_col: str, trees: int, sample: int) -> tuple:
+    """The arguments of a forest whose trees draw their own rows from all that passed.
+
+    A hash of each row says whether it is drawn and for which tree; the share is set so that a tree expects
+    twice the rows that it takes, the least by hash. At most about 2 * trees * sample rows are drawn. Where
+    there are no more than that in all, each tree draws from all of them.
+    """
+    n, most = passed.count(), 2 * trees * sample
+    h = F.xxhash64(F.lit("forest"), id_col, *FEATURES)
+    rows = passed.select(*FEATURES, h.alias("_h"))
+    if n > most:
+        rows = rows.filter(F.pmod(F.shiftrightunsigned("_h", 8), F.lit(1 << 40)) < int((1 << 40) * most / n))
+    fit = rows.toPandas().sort_values(["_h", *FEATURES], kind="stable")
+    points = excess({c: fit[c] for c in FEATURES}, usual)
+    return points, trees, sample, 7, (fit["_h"].to_numpy() % trees if n > most else None)
+
+
 def with_scores(stats: DataFrame, judge: Judge) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -193,8 +211,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     base_failed: under min_words words, or over repeat_percent of the words in repeated windows. What
     is usual in a feature is its usual_share quantile over labelled good rows (labels: id, quality;
     over all rows that pass the base where none is labelled good). An isolation forest is fitted on
-    the excess over it of at most fit_rows rows that pass the base (those of least hash of the id, the
-    same bound for any table); a row's score comes from its mean path length. The threshold is the
+    the excess over it; each of its trees draws `sample` rows from all that pass the base. A row's
+    score comes from its mean path length. The threshold is the
     score that best parts good from bad labelled rows among those that keep good_kept of the good;
     every labelled row counts, in a histogram of BINS bins. Without labels of both kinds nothing is
     rejected beyond the base. kept: not base_failed, and a score under the threshold.
