@@ -67,8 +67,10 @@ def _within_one_edit():
     return F.expr(f"abs(size(a) - size(b)) <= 1 and {head} + {tail} >= greatest(size(a), size(b)) - 1")
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6, whole: bool = False) -> DataFrame:
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6, whole: bool = True) -> DataFrame:
     """(doc, no) of the lines that stay; see dedup_lines."""
+    if min_words < 2:
+        raise ValueError("a line of one word has no neighbourhood: min_words is 2 at least")
     split = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
     words = split.withColumn("words", _words(F.col("line"), whole)).withColumn("w", F.size("words"))
     long_enough = F.col("w") >= min_words
@@ -103,12 +105,12 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return first.select("doc", "no").join(edited, ["doc", "no"], "left_anti").unionByName(hashed.filter("w IS NULL").select("doc", "no"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6, whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 6, whole: bool = True) -> DataFrame:
     """docs with text_col rewritten and the columns n_lines, n_removed: each line that has an earlier twin is removed.
 
     Lines are compared as sequences of words (runs other than 0x20, 0x09-0x0D). A line of min_words
     words or more is removed if an earlier line, by (id, line number), is at most one word inserted,
-    deleted or replaced away, whether that one stays or not; shorter lines stay. Equal lines fall to
+    deleted or replaced away, whether that one stays or not. Equal lines fall to
     their earliest. For the others, every line puts out its deletion neighbourhood as hashed keys: its
     words, and its words without each one. A key equal to another line's words is one insertion away,
     and equal keys with the same place left out are one replacement away; so lines under one key are
@@ -117,9 +119,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     loses nothing: one edit leaves the half before or behind it as it was. Lines longer than LONG
     words make their keys by windows over their words.
 
-    With whole, no line stays for its size: every line that holds a word falls to an earlier line of
-    equal words, and every letter of a script written without blanks counts as a word of its own, so
-    that such lines reach min_words and take part in the search. Lines without a word stay.
+    No line stays for its size: one under min_words that holds a word falls to an earlier line of equal
+    words, and every letter of a script written without blanks counts as a word of its own, so that
+    such lines reach min_words and take part in the search. Lines without a word stay. Without whole,
+    lines under min_words stay, and letters don't count apart. min_words is 2 at least.
 
     Null text stays null, with 0 lines; empty text is one short line. Rows with a null id stay as they
     are and remove nothing. Rows that share an id count as one document. Extra columns stay, but for

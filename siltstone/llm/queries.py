@@ -43,12 +43,6 @@ def op3_line_dedup(spark, sf_dir):
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
-@query
-def op3_line_dedup_whole(spark, sf_dir):
-    """As op3_line_dedup, with exact copies of short lines and with lines of texts without blanks, which its SQL leaves out."""
-    return lines.dedup_lines(table(spark, sf_dir, "documents"), whole=True).select("doc_id", "text", "n_lines", "n_removed")
-
-
 @query
 def op8_bpe(spark, sf_dir):
     """Token count and digests of ids and decoded bytes of every document."""

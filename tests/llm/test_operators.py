@@ -144,7 +144,7 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch):
                 seen.append(w)
         expect.append(None if t is None else "\n".join(kept))
     docs = _docs(spark, texts)
-    rows = lines.dedup_lines(docs).collect()
+    rows = lines.dedup_lines(docs, whole=False).collect()
     got = {r.doc_id: r.text for r in rows}
     assert [got[i] for i in range(len(texts))] == expect
     assert list(rows[0].asDict()) == [*docs.columns, "n_lines", "n_removed"] and {(r["_text"], r["_lines"], r["stay"], r["row"]) for r in rows} == {(7, 7, 7, 7)}
@@ -155,7 +155,7 @@ def test_line_dedup_whole_takes_short_and_unspaced_lines(spark):
     han, thai = "今天天气很好我们去公园", "วันนี้อากาศดีมาก"
     texts = ["Read more\n\n}", "Read  more\n\n}\nRead less", f"{han}\n{thai}\n短句", f"{han}\n{thai}\n短句\n长句", "今天天气真好我们去公园", f"{han} {han[::-1]}", "𠀀𠀁𠀂𠀃𠀄𠀅𠀆", "𠀀𠀁𠀂𠀃𠀄𠀅𠀇", "naïve café only here", None, ""]
     expect = ["Read more\n\n}", "\nRead less", f"{han}\n{thai}\n短句", "长句", "", f"{han} {han[::-1]}", "𠀀𠀁𠀂𠀃𠀄𠀅𠀆", "", "naïve café only here", None, ""]
-    got = {r.doc_id: r.text for r in lines.dedup_lines(_docs(spark, texts), whole=True).collect()}
+    got = {r.doc_id: r.text for r in lines.dedup_lines(_docs(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == expect
     import corpus_pipeline
 
