@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 WEIGHTS = (3, 1, 2)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,22 +46,25 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bucket) cell plus the rows of the cells before; only cell counts, at most 64 * 16 * buckets a
     source, meet in one window, so a hot source is not sorted in one task. Same input, same result.
 
-    Null text counts 0 words and may be taken 0 words at a time; a source of 0 words has target 0 and
+    Whole-number ids are dealt to buckets as they are, others by their hash and null ones by that of their
+    text, which also ends the order of rows of one size and id. Null text counts 0 words and may be taken 0 words at a time; a source of 0 words has target 0 and
     no copies. A null source is a source. Repeated rows count each. Extra columns stay, but for one
     named mix. An empty table gives an empty one.
     """
     # the caller's row travels as one struct, so that no name of its can clash
-    sized = docs.drop("mix").select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_in_words(F.col(text_col)).alias("size"))
+    sized = docs.drop("mix").select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_in_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
     log = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double"))).cast("int")
     # four bits below the leading one split each power of two in sixteen classes
     sized = sized.withColumn("class", log * 16 + F.least(F.lit(15), F.floor((F.col("size") / F.pow(F.lit(2.0), log) - 1) * 16)).cast("int"))
-    sized = sized.withColumn("bucket", F.pmod(F.coalesce(F.col("id").cast("long"), F.lit(0)), F.lit(buckets)).cast("int"))
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)
+    number = F.coalesce(F.col("id").cast("long") if whole else F.when(F.col("id").isNotNull(), F.xxhash64("id")), F.col("tie"))
+    sized = sized.withColumn("bucket", F.pmod(number, F.lit(buckets)).cast("int"))
     cells = sized.groupBy("source", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     targets = source_targets(cells.select("source", F.col("s").alias("size")), weights, share_percent, most)
     run = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).drop("n", "s")
     cells = _with_targets(cells, targets)
-    cell = Window.partitionBy("source", "class", "bucket").orderBy("size", "id")
+    cell = Window.partitionBy("source", "class", "bucket").orderBy("size", "id", "tie")
     a, b = sized.withColumn("rank", F.row_number().over(cell)).alias("a"), cells.alias("b")
     same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.bucket") == F.col("b.bucket"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("a.source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

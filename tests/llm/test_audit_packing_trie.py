@@ -200,3 +200,16 @@ def test_joined_ids_are_hashed_in_runs(spark, monkeypatch):
     for i in range(3000):
         want["hot" if i < 2500 else f"k{i % 7}"].append(str(i))
     assert got == {k: hashlib.sha256(",".join(v).encode()).hexdigest() for k, v in want.items()}
+
+
+def test_mixing_takes_ids_of_any_type(spark):
+    from siltstone.llm import mixing
+
+    rows = [(f"doc-{i}" if i % 9 else None, "w " * (1 + i % 40) + str(i), "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    takes = lambda df: sorted((r.doc_id or "", r.text, r.mix.copies) for r in mixing.mix_sources(df).collect())
+    first = takes(docs)
+    assert first == takes(docs.repartition(7)) and len(first) == 400
+    taken = {s: sum(c * len(t.split()) for d, t, c in first if "ab"[int(t.split()[-1]) % 2] == s) for s in "ab"}
+    targets = {r.source: r.mix.target for r in mixing.mix_sources(docs).select("source", "mix").distinct().collect()}
+    assert all(abs(taken[s] - targets[s]) < 0.05 * targets[s] for s in "ab")
