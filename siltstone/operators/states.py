@@ -111,6 +111,7 @@ def code_transitions(files: DataFrame, var: str, helpers: DataFrame | None = Non
     states that come from the case above, with the line that set them. helpers(name, arg_index): calls
     that assign a capitalised argument, as transitions `via` them. Only files that match a pattern are
     scanned, each by one pass over its code in an Arrow batch; the calls of helpers in a file are found by a join.
+    Code behind more than 120 open blocks (flow.DEEPEST) is not read: from_states is null there.
     """
     hit = F.col("content").rlike(rf"\b{quoted(var)}\b\s*=(?:[^=]|$)")
     if helpers is None:
