@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,6 @@ CHUNK, GATHER = 1 << 22, 200_000
 BLOCK = 1 << 18
 #: Words of a bucket whose ids are held at a time.
 KEPT = 1_000_000
-#: Words that are merged in one call.
-AT_ONCE = 4096
 #: What a row of a chunk holds.
 WORDS, PLAN, TEXTS = range(3)
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -234,14 +233,15 @@ def encode_words(rows: DataFrame, encoder) -> DataFrame:
         merge = encoder()
         packer, now, known = Packer(), None, {}
 
-        def ids_of(words: list[bytes]) -> list[np.ndarray]:
-            fresh = list({w for w in words if w not in known})
+        def ids_of(words: list[bytes]) -> list[bytes]:
+            found = list(map(known.get, words))
+            fresh = list({w for w, x in zip(words, found, strict=True) if x is None})
+            if not fresh:
+                return found
             if len(known) + len(fresh) > KEPT:
                 known.clear()
                 fresh = list(set(words))
-            for a in range(0, len(fresh), AT_ONCE):
-                part = fresh[a : a + AT_ONCE]
-                known.update(zip(part, (np.array(x, np.uint32) for x in merge(part)), strict=True))
+            known.update((w, array("I", x).tobytes()) for w, x in zip(fresh, merge(fresh), strict=True))
             return [known[w] for w in words]
 
         for batch in batches:
@@ -257,7 +257,7 @@ def encode_words(rows: DataFrame, encoder) -> DataFrame:
                 points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
                 cuts = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])[np.concatenate([[0], ends])]
                 check = Hasher(points)(cuts[:-1], cuts[1:]).sum(dtype=np.uint64).astype(np.int64)
-                out.append((chunk, key, int(check), packer.dump(np.array([len(x) for x in ids]), planes(np.concatenate(ids)))))
+                out.append((chunk, key, int(check), packer.dump(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, planes(np.frombuffer(b"".join(ids), "<u4")))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)] + [pa.array([r[3] for r in out], pa.binary())], names=["key", "at", "check", "blob"])
 
     return rows.sortWithinPartitions("key", "at").mapInArrow(run, "key long, at long, check long, blob binary")
