@@ -25,9 +25,12 @@ RAW = frozenset("script style textarea title noscript iframe template svg select
 #: Elements and name parts that never hold the article.
 APART = frozenset("nav footer aside form script style noscript iframe svg template button select textarea dialog menu head title".split())
 APART_NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent gdpr notice popup modal newsletter subscribe subscription share sharing social comment comments disqus respond reply replies related recommended widget toolbar pagination pager login signup search form alert contentinfo complementary dialog copyright skip".split())
+#: Parts that say where or how an element stands and not what it holds: side-nav, share-buttons, global-footer-wrap.
+LAYOUT_NAMES = frozenset("site page main global local top bottom left right upper lower side center inner outer primary secondary sub mini mobile desktop fixed sticky floating bar box block panel pane area zone slot unit section region wrap wrapper container holder inline row col column grid list lists item items link links button buttons btn icon icons label text title heading widget module group set card cards tabs tab content body post posts article articles entry story stories news reader readers user users blog media the and of to by in on our your more all js ui".split())
 MAIN_NAMES = frozenset("article articlebody post entry content story main".split())
 #: First parts of class names that tell of something else than the element: no-sidebar, has-comments, category-social.
 MODIFIERS = frozenset("no not has have with without category cat tag topic".split())
+KNOWN_NAMES = APART_NAMES | LAYOUT_NAMES | {"header"}
 ARTICLE, MAIN, NAMED = 1, 2, 4
 #: What a row of the tree holds: a page of a node, a row of children, a text, a branch that a leaf belongs to.
 PAGE, STYLE, TEXT, BRANCH = range(4)
@@ -135,7 +138,11 @@ def blocks_of(html: str) -> list[tuple[tuple[int, ...], int, int, str]]:
 
 
 def _kind(tag: str, attributes: str, above: tuple) -> tuple[str, int, int]:
-    """Label, main kinds and apartness of an element below another."""
+    """Label, main kinds and apartness of an element below another.
+
+    A name sets an element apart as a whole: share-buttons does, as its other part is one of layout; market-share,
+    related-work and notice-period don't, as they tell of something else.
+    """
     main, apart = above[2:4]
     names: set[str] = set()
     said: set[str] = set()
@@ -150,7 +157,7 @@ def _kind(tag: str, attributes: str, above: tuple) -> tuple[str, int, int]:
                 for one in value.split():
                     parts = TOKENS.findall(one)
                     names.update(parts)
-                    if len(parts) == 1 or parts and parts[0] not in MODIFIERS:
+                    if parts and (len(parts) == 1 or parts[0] not in MODIFIERS) and KNOWN_NAMES.issuperset(parts):
                         said.update(parts)
     page_level = tag in ("html", "body")
     here = 0 if page_level else (ARTICLE if tag == "article" or "articlebody" in names else 0) | (MAIN if tag == "main" else 0) | (NAMED if names & MAIN_NAMES else 0)
@@ -236,11 +243,19 @@ def _salted(rows: DataFrame) -> DataFrame:
 
 
 def _inside(found: list) -> list:
-    """The blocks in article elements, else in main, else in an element named as content, else all."""
-    for kind in (ARTICLE, MAIN, NAMED):
-        if any(b[1] & kind for b in found):
-            return [b for b in found if b[1] & kind]
-    return found
+    """The blocks in article elements, else in main, else in an element named as content, else all.
+
+    A later kind goes first where it holds more text outside the earlier one than that has in all: a teaser in an
+    article element beside the story isn't the article.
+    """
+    kinds = [k for k in (ARTICLE, MAIN, NAMED) if any(b[1] & k for b in found)]
+    size = lambda kind, no=0: sum(len(b[3]) for b in found if b[1] & kind and not b[1] & no)
+    while len(kinds) > 1:
+        bigger = next((k for k in kinds[1:] if size(k, kinds[0]) > size(kinds[0])), 0)
+        if not bigger:
+            break
+        kinds = kinds[kinds.index(bigger) :]
+    return [b for b in found if b[1] & kinds[0]] if kinds else found
 
 
 def article(blocks: list, low: set[int]) -> tuple[list[str], int]:
@@ -268,7 +283,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     priors on elements and names decide on what the tree leaves, as menus whose words differ on every
     page: the article is, of the blocks not apart (in nav, footer, aside, form and such elements or
     names, in comments of readers, in a header outside the article, hidden), those in article elements,
-    else in main, else in an element named as content, else all, without noise. Where over half of
+    else in main, else in an element named as content, else all, without noise; a later one of these kinds goes first
+    where it holds more text outside the earlier one than that has in all. A name counts as a whole: each of its parts
+    must be one of APART_NAMES or of layout. The tree weighs the innermost LEVELS branches of a block. Where over half of
     such an element is noise, it is the copy of an article and stays whole. Where nothing is left, the tree overrules
     the names: the blocks that only a name sets apart are taken in the same way, if their own texts are no noise. A
     page of nothing but repeated blocks keeps those not apart. n_noise counts the blocks that the tree

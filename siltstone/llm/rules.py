@@ -17,10 +17,12 @@ PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct", "n_punct", "n_odd_words")
-#: What the forest sees: how far each share exceeds what labelled good rows show.
+#: What the forest sees, each on the scale of `scaled`.
 FEATURES = ("symbols", "dup_lines", "repeats", "word_length", "upper", "sameness")
 TREES, LEAF_SAMPLE = 100, 256
 BINS = 400
+#: The least distance from a share's middle to its usual level that counts as one step beyond it.
+LEAST_STEP = 0.02
 
 
 def _repeat_words(words: Words) -> np.ndarray:
@@ -97,16 +99,32 @@ def shares() -> dict:
     }
 
 
-def excess(columns: dict[str, np.ndarray], usual: np.ndarray) -> np.ndarray:
-    return np.maximum(0.0, np.stack([np.asarray(columns[c], np.float64) for c in FEATURES], 1) - usual)
+class Scale:
+    """Each share from 0 to 2: what labelled good rows show, from their least to their usual level, fills 0 to 1 evenly;
+    beyond it a share nears 2, halfway there when it is as far from the usual level as that is from the middle."""
+
+    def __init__(self, least: np.ndarray, middle: np.ndarray, usual: np.ndarray):
+        self.least, self.usual = least, usual
+        self.step = np.maximum(usual - middle, LEAST_STEP)
+
+    def __call__(self, columns: dict[str, np.ndarray]) -> np.ndarray:
+        x = np.stack([np.asarray(columns[c], np.float64) for c in FEATURES], 1)
+        over = np.maximum(x - self.usual, 0.0)
+        return np.clip((x - self.least) / np.maximum(self.usual - self.least, 1e-9), 0.0, 1.0) + over / (over + self.step)
 
 
 class Forest:
-    """Random splits; a row's score is 2 ** -(mean path length / the mean over random data), high for the odd."""
+    """Random splits; a row's score is 2 ** -(mean path length / the mean over random data), high for the odd.
+
+    Splits fall anywhere in a node's box, in the parts that hold none of the rows too: what lies there is set apart
+    after few splits, however near to the outermost row.
+    """
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int = 7, tree: np.ndarray | None = None):
-        """tree: the tree that each row was drawn for; without it every tree draws from all rows."""
+    def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = LEAF_SAMPLE, seed: int = 7, tree: np.ndarray | None = None, box: tuple[float, float] | None = None):
+        """tree: the tree that each row was drawn for; without it every tree draws from all rows. box: the bounds
+        of every column, by default those of the rows."""
         rng = np.random.default_rng(seed)
+        self.box = tuple(np.full(rows.shape[1], x) for x in box) if box else (rows.min(0), rows.max(0)) if len(rows) else None
         drawn = [rows[rng.permutation(len(rows))[:sample]] if tree is None else rows[tree == t][:sample] for t in range(trees)] if len(rows) else []
         self.size = min((len(d) for d in drawn), default=0)
         self.depth = max(1, int(np.ceil(np.log2(max(self.size, 2)))))
@@ -114,12 +132,11 @@ class Forest:
 
     def _grow(self, rows: np.ndarray, rng) -> tuple[np.ndarray, ...]:
         feature, at, left, length = [], [], [], []
-        todo = [(rows, 0)]
+        todo = [(rows, 0, *self.box)]
         place = 0
         while place < len(todo):  # breadth first, children side by side
-            part, depth = todo[place]
+            part, depth, low, high = todo[place]
             place += 1
-            low, high = (part.min(0), part.max(0)) if len(part) else (np.zeros(rows.shape[1]),) * 2
             wide = np.flatnonzero(high > low)
             if depth >= self.depth or len(part) < 2 or not len(wide):
                 feature.append(-1), at.append(0.0), left.append(0), length.append(depth + mean_path(len(part)))
@@ -127,7 +144,9 @@ class Forest:
             k = rng.choice(wide)
             x = rng.uniform(low[k], high[k])
             feature.append(k), at.append(x), left.append(len(todo)), length.append(0.0)
-            todo += [(part[part[:, k] < x], depth + 1), (part[part[:, k] >= x], depth + 1)]
+            below, above = high.copy(), low.copy()
+            below[k] = above[k] = x
+            todo += [(part[part[:, k] < x], depth + 1, low, below), (part[part[:, k] >= x], depth + 1, above, high)]
         return np.array(feature), np.array(at), np.array(left), np.array(length)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
@@ -150,13 +169,13 @@ def mean_path(n: int) -> float:
 
 
 class Judge:
-    """What fitting leaves: the usual levels, the forest and the threshold, and the base rules' bounds."""
+    """What fitting leaves: the scale, the forest and the threshold, and the base rules' bounds."""
 
-    def __init__(self, usual: np.ndarray, forest: Forest, cut: float, min_words: int, repeat_percent: int):
-        self.usual, self.forest, self.cut, self.min_words, self.repeat_percent = usual, forest, cut, min_words, repeat_percent
+    def __init__(self, scale: Scale, forest: Forest, cut: float, min_words: int, repeat_percent: int):
+        self.scale, self.forest, self.cut, self.min_words, self.repeat_percent = scale, forest, cut, min_words, repeat_percent
 
     def score(self, columns: dict[str, np.ndarray]) -> np.ndarray:
-        return self.forest.score(excess(columns, self.usual))
+        return self.forest.score(self.scale(columns))
 
     def base_failed(self):
         return (F.col("n_words") < self.min_words) | (100 * F.col("n_repeat_words") > self.repeat_percent * F.col("n_words"))
@@ -164,35 +183,37 @@ class Judge:
 
 def fit_judge(stats: DataFrame, labels: DataFrame, id_col: str, min_words: int, repeat_percent: int, trees: int = TREES, sample: int = LEAF_SAMPLE, usual_share: float = 0.999, good_kept: float = 0.99) -> Judge:
     """A judge from the stored statistics of all rows and the labelled rows; see quality_rules."""
-    judge = Judge(np.zeros(len(FEATURES)), Forest(np.zeros((0, len(FEATURES)))), 2.0, min_words, repeat_percent)
+    none = np.zeros(len(FEATURES))
+    judge = Judge(Scale(none, none, none), Forest(np.zeros((0, len(FEATURES)))), 2.0, min_words, repeat_percent)
     passed = stats.filter(~judge.base_failed() & F.col(id_col).isNotNull())
     marked = labels.filter("quality IS NOT NULL").groupBy(id_col).agg(F.min("quality").alias("quality"))
-    levels = lambda df: df.agg(*[F.percentile_approx(c, usual_share, 100_000) for c in FEATURES]).first()
-    usual = levels(passed.join(marked.filter("quality = 1"), id_col))
-    if usual[0] is None:
-        usual = levels(passed)
-    judge.usual = np.array([x or 0.0 for x in usual])
-    judge.forest = Forest(*drawn_rows(passed, judge.usual, id_col, trees, sample))
+    levels = lambda df: df.agg(*[F.percentile_approx(c, [0.0, 0.5, usual_share], 100_000) for c in FEATURES]).first()
+    model = passed.join(marked.filter("quality = 1").select(id_col), id_col)
+    found = levels(model)
+    if found[0] is None:
+        model, found = passed, levels(passed)
+    judge.scale = Scale(*np.array([x or (0.0,) * 3 for x in found]).T)
+    judge.forest = Forest(*drawn_rows(model, judge.scale, id_col, trees, sample), box=(0.0, 2.0))
     scored = with_scores(passed, judge)
     bins = scored.join(marked, id_col).groupBy(F.floor(F.col("score") * BINS).cast("int").alias("bin")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     judge.cut = threshold({r.bin: (r.good, r.bad) for r in bins.collect()}, good_kept)  # BINS + 1 rows at most
     return judge
 
 
-def drawn_rows(passed: DataFrame, usual: np.ndarray, id_col: str, trees: int, sample: int) -> tuple:
-    """The arguments of a forest whose trees draw their own rows from all that passed.
+def drawn_rows(model: DataFrame, scale: Scale, id_col: str, trees: int, sample: int) -> tuple:
+    """The arguments of a forest whose trees draw their own rows from all of model.
 
     A hash of each row says whether it is drawn and for which tree; the share is set so that a tree expects
     twice the rows that it takes, the least by hash. At most about 2 * trees * sample rows are drawn. Where
     there are no more than that in all, each tree draws from all of them.
     """
-    n, most = passed.count(), 2 * trees * sample
+    n, most = model.count(), 2 * trees * sample
     h = F.xxhash64(F.lit("forest"), id_col, *FEATURES)
-    rows = passed.select(*FEATURES, h.alias("_h"))
+    rows = model.select(*FEATURES, h.alias("_h"))
     if n > most:
         rows = rows.filter(F.pmod(F.shiftrightunsigned("_h", 8), F.lit(1 << 40)) < int((1 << 40) * most / n))
     fit = rows.toPandas().sort_values(["_h", *FEATURES], kind="stable")
-    points = excess({c: fit[c] for c in FEATURES}, usual)
+    points = scale({c: fit[c] for c in FEATURES})
     return points, trees, sample, 7, (fit["_h"].to_numpy() % trees if n > most else None)
 
 
@@ -208,10 +229,12 @@ def with_scores(stats: DataFrame, judge: Judge) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, repeat_percent: int = 50, **fit) -> DataFrame:
     """(id, STATS..., FEATURES..., base_failed, score, kept) of every row of docs.
 
-    base_failed: under min_words words, or over repeat_percent of the words in repeated windows. What
-    is usual in a feature is its usual_share quantile over labelled good rows (labels: id, quality;
-    over all rows that pass the base where none is labelled good). An isolation forest is fitted on
-    the excess over it; each of its trees draws `sample` rows from all that pass the base. A row's
+    base_failed: under min_words words, or over repeat_percent of the words in repeated windows. An
+    isolation forest is grown on labelled good rows (labels: id, quality; on all rows that pass the base
+    where none is labelled good): each of its trees draws `sample` of them, so that at most about
+    2 * trees * sample labelled rows shape it. A share's scale runs from the least of these rows over its
+    usual_share quantile to beyond (Scale), and splits fall anywhere on it, so that a row leaves the good
+    ones sooner the farther beyond it lies, and the rarer its shares are together. A row's
     score comes from its mean path length. The threshold is the
     score that best parts good from bad labelled rows among those that keep good_kept of the good;
     every labelled row counts, in a histogram of BINS bins. Without labels of both kinds nothing is

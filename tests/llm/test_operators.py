@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import re
 import time
@@ -339,6 +340,19 @@ def test_main_text(spark):
     assert all(got[10 + i].text.startswith(f"story {i}") for i in range(12))
 
 
+def test_main_text_whole_names_and_teasers(spark):
+    kept = "<article><p>lead</p><div class='market-share'>in the market</div><section id='related-work'><p>by others</p></section><p class='notice-period'>of a month</p>{}</article>"
+    gone = "<div class='share-buttons'>f t</div><ul class='related-posts'><li>x</ul><div id='site-footer'>y</div><div class='cookie_banner'>z</div><div class='newsletterSignup subscribe'>w</div><div class='reader-comments'>v</div>"
+    teaser = "<body><nav>m</nav><div class='post'><p>The long story of this page in its own words.</p><p>And its end.</p></div><article><p>Read next</p></article></body>"
+    inside = "<main><p>A remark that is longer than the article</p><article class='post'><p>The article</p></article></main>"
+    rows = [(1, "http://a/1", kept.format(gone)), (2, "http://b/1", teaser), (3, "http://c/1", "<main><p>By line</p><article><p>The article itself</p></article></main>"), (4, "http://d/1", inside)]
+    got = {r.page_id: r.text for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "lead\nin the market\nby others\nof a month"
+    assert got[2] == "The long story of this page in its own words.\nAnd its end."
+    assert got[3] == "The article itself"
+    assert got[4] == "A remark that is longer than the article\nThe article"
+
+
 def test_main_text_tree_on_few_pages_and_over_names(spark):
     few = [(i, f"http://few/{i}", f"<body><div><p>story {i} own</p><p>Notice on each page</p><p>more of {i}</p></div><ul><li>Menu</ul></body>") for i in range(3)]
     notice = [(10 + i, f"http://n/{i}", f"<article><p>lead {i}</p><p>Standing notice</p><p>body {i}</p><p>end {i}</p></article>") for i in range(9)]
@@ -429,6 +443,48 @@ def test_labellers_and_scorer_against_labels(spark):
     assert np.mean([got[i].kept for i in range(300)]) > 0.97 and not any(got[i].kept for i in range(300, 360))
 
 
+def test_rules_verdict_matches_brute_force_and_is_the_forests(spark):
+    """Scale, paths, threshold and verdict of every row by plain loops; on the whole given table the forest keeps
+    rows with an unusual share and rejects rows without one."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    stats = rules.rule_stats(docs).withColumns(rules.shares()).cache()
+    judge = rules.fit_judge(stats, labels, "doc_id", 50, 50)
+    quality = {r.doc_id: r.quality for r in labels.filter("quality IS NOT NULL").collect()}
+    table = [r for r in stats.collect() if r.n_words >= 50 and 2 * r.n_repeat_words <= r.n_words]
+    good = [r for r in table if quality.get(r.doc_id) == 1]
+    level = {c: sorted(r[c] for r in good) for c in rules.FEATURES}
+    at = lambda v, q: v[max(0, math.ceil(q * len(v)) - 1)]
+    score, odd = {}, set()
+    for r in table:
+        point = []
+        for c in rules.FEATURES:
+            least, middle, usual = (at(level[c], q) for q in (0.0, 0.5, 0.999))
+            over = max(0.0, r[c] - usual)
+            if over:
+                odd.add(r.doc_id)
+            point.append(min(1.0, max(0.0, (r[c] - least) / max(usual - least, 1e-9))) + over / (over + max(usual - middle, 0.02)))
+        total = 0.0
+        for feature, split, left, length in judge.forest.trees:
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] + (point[feature[node]] >= split[node])
+            total += length[node]
+        score[r.doc_id] = 2 ** (-total / len(judge.forest.trees) / rules.mean_path(judge.forest.size))
+    marked = [(math.floor(score[r.doc_id] * rules.BINS), quality[r.doc_id]) for r in table if r.doc_id in quality]
+    n = collections.Counter(q for _, q in marked)
+    share = lambda cut: (sum(b >= cut and not q for b, q in marked) / n[0], sum(b >= cut and q for b, q in marked) / n[1])
+    cuts = [c for c in sorted({b for b, _ in marked}, reverse=True) if share(c)[1] * n[1] <= 0.01 * n[1] and share(c)[0] > share(c)[1]]
+    cut = max(cuts, key=lambda c: (share(c)[0] - share(c)[1], c))
+    below = max(b + 1 for b, q in marked if b < cut and q)
+    gone = {i for i, s in score.items() if s >= (cut + below) / 2 / rules.BINS}
+    got = {r.doc_id: r for r in rules.quality_rules(docs, labels).collect()}
+    assert {i for i in score if not got[i].kept} == gone
+    assert all(got[i].score == pytest.approx(s) for i, s in score.items())
+    bad = {r.doc_id for r in table if quality.get(r.doc_id) == 0}
+    assert len(bad - gone) <= 0.05 * len(bad)
+    assert odd - gone and gone & odd
+
+
 def test_forest_isolates_the_odd():
     rng = np.random.default_rng(4)
     rows = np.concatenate([rng.normal(0, 1, (500, 3)), [[9, 9, 9], [-8, 0, 9]]])
@@ -461,6 +517,16 @@ def _corpus():
     return rows
 
 
+def test_near_duplicates_stage_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(_words(1, 60)), " ".join(_words(2, 60))
+    near = a + " one"
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, near, "en", "s", 1), (2, "of its own", "en", "s", 1), (None, near, "en", "s", 1), (None, "without a name", "en", "s", 1), (3, None, "en", "s", 1), (1, a, "en", "s", 1)]
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "")
+    assert collections.Counter((r.doc_id, r.text) for r in left.collect()) == collections.Counter([(1, a), (1, b), (2, "of its own"), (None, "without a name"), (3, None)])
+
+
 def test_pipeline_matches_a_brute_force_chain(spark, tmp_path):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     import tiktoken
