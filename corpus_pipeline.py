@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a table; run() writes it as Parquet in the shared
 folder and reads it again for the next one. All but the last return the columns of documents. A stage
 works on every row that its predecessor kept. Null texts fail the quality rules; rows with a null id
-are judged and mixed, but copy nothing and count as no one's copy.
+are judged, deduplicated as documents and mixed, but their lines copy nothing and count as no one's copy.
 """
 
 from __future__ import annotations
@@ -31,11 +31,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group; of rows that share an id, one."""
-    classes = jaccard.ngram_jaccard_join(docs.select("doc_id", "text"))
-    others = classes.filter("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.select(COLUMNS).filter("doc_id IS NOT NULL").join(others, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.select(COLUMNS).filter("doc_id IS NULL"))
+    """The row of least id of each group; rows without an id come after all others. Different texts under one id are
+    rows of their own; of rows that are equal in every column one stays."""
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64(*COLUMNS[1:]).alias("rest"))
+    docs = docs.select(*COLUMNS, row.alias("row"))
+    others = jaccard.ngram_jaccard_join(docs, "row").filter("row <> component_id").select("row").distinct()
+    return docs.join(others, "row", "left_anti").dropDuplicates(["row"]).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
