@@ -291,8 +291,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     page of nothing but repeated blocks keeps those not apart. n_noise counts the blocks that the tree
     took away.
 
-    Pages meet the noise of their host by a join on the host; a host with more than one part in SHARES
-    of all pages is dealt over tasks in proportion.
+    Pages are dealt by host behind the noise of their host, which a task holds once and no page carries; a host with
+    more than one part in SHARES of all pages is dealt over tasks in proportion.
 
     Null and empty html give empty text. Pages without a host form one site. Repeated rows and rows
     with null ids each get theirs. Extra columns are ignored. An empty table gives an empty one.
@@ -300,20 +300,29 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.xxhash64(_host(F.col(url_col))).alias("host"))
     weak = lambda bound: (F.col("pages") >= min_pages) & (F.col("importance") < bound)
     branches, texts = style_tree(rows)
-    noise = branches.filter(weak(least_branch)).select("host", "node").unionByName(texts.filter(weak(least) & (4 * F.col("c") >= 3 * F.col("pages"))).select("host", F.col("text").alias("node"))).groupBy("host").agg(F.collect_set("node").alias("noise"))
+    noise = branches.filter(weak(least_branch)).select("host", "node").unionByName(texts.filter(weak(least) & (4 * F.col("c") >= 3 * F.col("pages"))).select("host", F.col("text").alias("node")))
     hot = F.broadcast(_salted(rows.select("host")))
     salts = F.coalesce("salts", F.lit(1))
-    noise = noise.join(hot, "host", "left").select("host", "noise", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    noise = noise.join(hot, "host", "left").select("host", "node", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     rows = rows.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("html"), salts).cast("int"))
 
     def run(batches):
+        here, low = None, set()  # a part's noise comes before its pages, and is held once for all of them
         for batch in batches:
-            texts, dropped = [], []
-            for html, noise in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                kept, taken = article(blocks_of(html), set(noise or ()))
-                texts.append("\n".join(kept)), dropped.append(taken)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(dropped, pa.int64())], names=["id", "url", "text", "n_noise"])
+            at, texts, dropped = [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("host", "salt", "node", "html"))
+            for i, (host, salt, node, html) in enumerate(zip(*columns, strict=True)):
+                if here != (host, salt):
+                    here, low = (host, salt), set()
+                if node is not None:
+                    low.add(node)
+                    continue
+                kept, taken = article(blocks_of(html), low)
+                at.append(i), texts.append("\n".join(kept)), dropped.append(taken)
+            own = batch.select(["id", "url"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string()), pa.array(dropped, pa.int64())], names=["id", "url", "text", "n_noise"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.join(noise, ["host", "salt"], "left").select("id", "url", "html", "noise").mapInArrow(run, f"id {kind}, url string, text string, n_noise long")
+    parts = rows.select("host", "salt", "id", "url", "html").unionByName(noise.select("host", "salt", "node"), allowMissingColumns=True)
+    out = parts.repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("node").isNull()).mapInArrow(run, f"id {kind}, url string, text string, n_noise long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"), "n_noise")

@@ -361,6 +361,12 @@ def test_main_text_tree_on_few_pages_and_over_names(spark):
     twins = [(40 + i, f"http://t/{i}", f"<body><!-- {i} --><p>All the same</p></body>") for i in range(2)]
     copies = [(50 + i, f"http://c/{i}", f"<article><h1>Title {i}</h1><p>A long paragraph of a copied article</p><p>and one more of it</p></article><div>Menu</div>") for i in range(4)]
     got = {r.page_id: r for r in pages.extract_main_text(spark.createDataFrame(few + notice + modified + social + twins + copies, "page_id long, url string, html string")).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        again = pages.extract_main_text(spark.createDataFrame(few + notice + modified + social + twins + copies, "page_id long, url string, html string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.page_id: r for r in again} == got
     assert [(got[i].text, got[i].n_noise) for i in range(3)] == [(f"story {i} own\nmore of {i}", 2) for i in range(3)]
     assert all(got[10 + i].text == f"lead {i}\nbody {i}\nend {i}" for i in range(9))
     assert got[20].text == "kept"
