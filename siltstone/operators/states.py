@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.columns import common_prefix, quoted, trimmed
 from siltstone.functions.flow import Scan
+from siltstone.operators.joins import merged
 from siltstone.operators.resolve import enclosing_function
 from siltstone.operators.search import cap
 from siltstone.operators.structure import code_lines, code_text, function_spans
@@ -113,14 +114,23 @@ def code_transitions(files: DataFrame, var: str, helpers: DataFrame | None = Non
     scanned, each by one pass over its code in an Arrow batch; the calls of helpers in a file are found by a join.
     Code behind more than 120 open blocks (flow.DEEPEST) is not read: from_states is null there.
     """
+    rows = cut(code_changes(files, var, helpers).withColumn("c", classify_rhs(F.col("rhs"))))
+    lines = code_lines(merged(files, rows.select("path").distinct(), "path", "left_semi"))
+    rows = enclosing_function(rows, function_spans(lines))
+    to = lambda kind: F.when(F.col("c.kind") == kind, F.col("c.value"))
+    return rows.select("path", "func", "line_no", "from_states", "from_kind", to("state").alias("to"), to("expr").alias("to_expr"), F.nullif("via", F.lit("")).alias("via"), "fell")
+
+
+def code_changes(files: DataFrame, var: str, helpers: DataFrame | None = None) -> DataFrame:
+    """(path, line_no, rhs, via, from_states, from_kind, fell): code_transitions() as they are read, without the functions around them."""
     hit = F.col("content").rlike(rf"\b{quoted(var)}\b\s*=(?:[^=]|$)")
     if helpers is None:
         asked = files.filter(hit).withColumn("helpers", F.create_map().cast("map<string,int>"))
     else:
         called = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))))
-        known = files.select("path", called.alias("name")).join(helpers.select("name", "arg_index").dropDuplicates(["name"]), "name")
+        known = merged(files.select("path", called.alias("name")), helpers.select("name", "arg_index").dropDuplicates(["name"]), "name")
         found = known.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", F.col("arg_index").cast("int")))).alias("helpers"))
-        asked = files.join(found, "path", "left").filter(hit | F.col("helpers").isNotNull())
+        asked = merged(files, found, "path", "left").filter(hit | F.col("helpers").isNotNull())
     code = asked.select("path", code_text(F.col("content")).alias("code"), "helpers")
 
     def scan(batches):
@@ -133,11 +143,7 @@ def code_transitions(files: DataFrame, var: str, helpers: DataFrame | None = Non
                     out.append((path, c.line, c.rhs, c.via, names, c.before.kind, [{"name": n, "set_line": at} for n, at in c.fell]))
             yield pd.DataFrame(out, columns=["path", "line_no", "rhs", "via", "from_states", "from_kind", "fell"])
 
-    rows = cut(code.mapInPandas(scan, CHANGE).withColumn("c", classify_rhs(F.col("rhs"))))
-    lines = code_lines(files.join(rows.select("path").distinct(), "path", "left_semi"))
-    rows = enclosing_function(rows, function_spans(lines))
-    to = lambda kind: F.when(F.col("c.kind") == kind, F.col("c.value"))
-    return rows.select("path", "func", "line_no", "from_states", "from_kind", to("state").alias("to"), to("expr").alias("to_expr"), F.nullif("via", F.lit("")).alias("via"), "fell")
+    return code.mapInPandas(scan, CHANGE)
 
 
 def fell_through(transitions: DataFrame) -> DataFrame:
@@ -151,7 +157,7 @@ def parameters(files: DataFrame) -> DataFrame:
     spans = function_spans(lines)
     asked = spans.select("path", F.col("name").alias("func"), "start_line", F.explode(F.sequence("start_line", F.least("end_line", F.col("start_line") + 9))).alias("line_no"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda s: s["code"])
-    heads = asked.join(lines.select("path", "line_no", "code"), ["path", "line_no"]).groupBy("path", "func", "start_line").agg(F.array_join(rows, " ").alias("head"))
+    heads = merged(asked, lines.select("path", "line_no", "code"), ["path", "line_no"]).groupBy("path", "func", "start_line").agg(F.array_join(rows, " ").alias("head"))
     plain = F.regexp_replace("head", r"\(\s*\*\s*(\w+)\s*\)\s*\([^()]*\)", "$1")  # pointers to functions by their names
     inside = F.regexp_extract(plain, r"\(([^()]*)\)", 1)
     parts = F.transform(F.split(inside, ","), lambda p: F.regexp_extract(p, r"([A-Za-z_]\w*)\W*$", 1))
@@ -161,14 +167,14 @@ def parameters(files: DataFrame) -> DataFrame:
 def helper_functions(transitions: DataFrame, params: DataFrame) -> DataFrame:
     """(name, arg_index): functions that assign one of their own parameters, joined by the parameter's name."""
     own = transitions.filter("to IS NULL AND func IS NOT NULL").select("path", "func", F.col("to_expr").alias("name"))
-    return own.join(params, ["path", "func", "name"]).groupBy(F.col("func").alias("name")).agg(F.min("arg_index").alias("arg_index"))
+    return merged(own, params, ["path", "func", "name"]).groupBy(F.col("func").alias("name")).agg(F.min("arg_index").alias("arg_index"))
 
 
 def helper_transitions(files: DataFrame, var: str, transitions: DataFrame | None = None) -> DataFrame:
     """Transitions of constant arguments to functions that assign their parameter, one level only; not inside such functions, and not where an assignment stands."""
     direct = cut(code_transitions(files, var) if transitions is None else transitions)
-    named = files.join(direct.filter("to IS NULL").select("path").distinct(), "path", "left_semi")
+    named = merged(files, direct.filter("to IS NULL").select("path").distinct(), "path", "left_semi")
     helpers = cut(helper_functions(direct, parameters(named)))
     found = code_transitions(files, var, helpers).filter("via IS NOT NULL")
-    found = found.join(helpers.select(F.col("name").alias("func")), "func", "left_anti")
-    return found.join(direct.select("path", "line_no").distinct(), ["path", "line_no"], "left_anti")
+    found = merged(found, helpers.select(F.col("name").alias("func")), "func", "left_anti")
+    return merged(found, direct.select("path", "line_no").distinct(), ["path", "line_no"], "left_anti")
