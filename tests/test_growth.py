@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from siltstone.operators import resolve
 from siltstone.operators import structure as T
 from siltstone.operators.resolve import enclosing_function
 from siltstone.plans import registry
@@ -50,3 +51,80 @@ def test_branches_nested_and_left_open(spark):
     dead = [r.line_no for r in T.dead_blocks(lines).filter("code = '' AND text <> ''").orderBy("line_no").collect()]
     assert dead == [2, 3, 4, 5, 12, 14, 24]
     assert [r.line_no for r in T.overcounted_branches(lines).orderBy("line_no").collect()] == [19]
+
+
+def _pairs_bounded(spark, job, most):
+    """Rows that the job's joins put out, summed over its plan."""
+    df = job()
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan()
+    stack, rows = [text], 0
+    while stack:
+        node = stack.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            stack.append(node.plan())
+            continue
+        if "Join" in name:
+            rows += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    assert rows <= most, rows
+
+
+def test_definitions_of_one_name_do_not_meet_every_call(spark):
+    """A name that 600 files define and call: 360,000 pairs, of which no answer needs more than a few for each file."""
+    files = [(f"top{i % 3}/d{i // 2}/f{i}.c", i) for i in range(600)]
+    d = spark.createDataFrame([("init", ("func", "define", "struct")[i % 3], path, True) for path, i in files], "name string, kind string, path string, is_def boolean")
+    calls = d.select(d.path.alias("caller_path"), d.name.alias("callee"))
+    _pairs_bounded(spark, lambda: resolve.rank_callee_definition(calls, d.select("name", "kind", "path")), 12_000)
+    _pairs_bounded(spark, lambda: resolve.nearest_definition(d.select("name", d.path.alias("current")), d.select("name", "path", "is_def")), 12_000)
+
+
+def test_best_definitions_against_all_pairs(spark):
+    """Deep and shallow folders, files at the top, equal rows, unknown names, files without a name."""
+    import random
+
+    draw = random.Random(3)
+    folder = lambda: "/".join(draw.choice("ab") for _ in range(draw.choice([0, 1, 2, 3, 12, 13])))
+    place = lambda i: f"{folder()}/f{i}{draw.choice(['.c', '.h', '.txt'])}".lstrip("/")
+    symbols = [(draw.choice("xyz"), draw.choice(["func", "define", "struct", "member"]), place(i), draw.random() < 0.6) for i in range(60)]
+    symbols += [symbols[0], ("w", "define", "a/only.h", False)]
+    calls = sorted({(place(i), draw.choice("xyzwu")) for i in range(80)})
+    s = spark.createDataFrame(symbols, "name string, kind string, path string, is_def boolean")
+    c = spark.createDataFrame(calls, "caller_path string, callee string")
+    split = lambda path: path.rsplit("/", 1)[0].split("/") if "/" in path else [""]
+
+    def common(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    def score(kind, path, caller):
+        a, b = split(caller), split(path)
+        near = 1000 if a == b else 100 * common(a, b)
+        return {"func": 100, "define": 50}.get(kind, 0) + {"c": 10, "h": 5}.get(path.rsplit(".", 1)[1], 0) + near
+
+    got = {(r.caller_path, r.callee): (r.path, r.score, r.candidates, r.confidence, r.likely_macro, r.likely_non_callable) for r in resolve.rank_callee_definition(c, s.select("name", "kind", "path")).collect()}
+    for caller, callee in calls:
+        own = [(kind, path) for name, kind, path, _ in symbols if name == callee]
+        ranked = sorted((-score(kind, path, caller), path) for kind, path in own)
+        n = len(ranked)
+        best = -ranked[0][0] if ranked else None
+        sure = n == 1 or n > 1 and (best >= 1000 or best + ranked[1][0] >= 100)
+        confidence = "low" if not n else "high" if sure else "medium" if best >= 100 else "low"
+        assert got[caller, callee] == (ranked[0][1] if ranked else None, best, n, confidence, all(k == "define" for k, _ in own), n > 0 and all(k in ("struct", "member") for k, _ in own)), (caller, callee)
+    closure = [(caller, path) for caller, _ in calls[:30] for _, _, path, _ in symbols[:9]]
+    words = spark.createDataFrame([(n, p) for p, n in calls], "name string, current string")
+    for given in (None, closure):
+        have = sorted((r.name, r.current, r.path, r.level) for r in resolve.nearest_definition(words, s.select("name", "path", "is_def"), given and spark.createDataFrame(given, "current string, path string")).collect())
+        want = []
+        for current, callee in calls:
+            a = split(current)
+            levels = [(-1 if given and (current, path) in given and is_def else len(a) - common(a, split(path)) if is_def else len(a), path) for name, _, path, is_def in symbols if name == callee]
+            want += [(callee, current, path, level) for level, path in levels if level == min(levels)[0]]
+        assert have == sorted(want)
