@@ -8,6 +8,7 @@ import pytest
 
 from siltstone.operators import resolve
 from siltstone.operators import structure as T
+from siltstone.operators import walks
 from siltstone.operators.resolve import enclosing_function
 from siltstone.plans import registry
 
@@ -128,3 +129,20 @@ def test_best_definitions_against_all_pairs(spark):
             levels = [(-1 if given and (current, path) in given and is_def else len(a) - common(a, split(path)) if is_def else len(a), path) for name, _, path, is_def in symbols if name == callee]
             want += [(callee, current, path, level) for level, path in levels if level == min(levels)[0]]
         assert have == sorted(want)
+
+
+def test_closures_of_small_parts_equal_the_rounds(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "x"), ("x", "y"), ("p", "q"), (None, "q"), ("p", "r"), ("r", "q"), ("q", "s")], "src string, dst string")
+    starts = spark.createDataFrame([("a",), ("x",), ("p",), ("d",), ("none",), (None,), ("a",)], "start string")
+    rows = lambda small: sorted(tuple(r) for r in walks.closures(edges, starts, small).collect())
+    want = [("a", "a", 3), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("p", "q", 1), ("p", "r", 1), ("p", "s", 2), ("x", "x", 1), ("x", "y", 1)]
+    assert rows(None) == want and rows(0) == want and rows(3) == want
+
+
+def test_small_parts_are_closed_without_rounds(spark, tmp_path):
+    """A chain of 300 files took 300 rounds over all that was found."""
+    chain = spark.range(300).selectExpr("id AS src", "id + 1 AS dst")
+    began = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    found = walks.closures(chain, spark.createDataFrame([(0,)], "start long"))
+    assert found.count() == 300
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(began) < 250
