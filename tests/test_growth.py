@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from siltstone.operators import resolve
+from siltstone.operators import reach, resolve
 from siltstone.operators import structure as T
 from siltstone.operators import walks
 from siltstone.operators.resolve import enclosing_function
@@ -146,3 +146,12 @@ def test_small_parts_are_closed_without_rounds(spark, tmp_path):
     found = walks.closures(chain, spark.createDataFrame([(0,)], "start long"))
     assert found.count() == 300
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(began) < 250
+
+
+def test_reachability_broadcasts_no_nodes(spark):
+    """Tables of ids shrink so far in Parquet that Spark took millions of rows for small."""
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 6)], "src long, dst long")
+    pairs = spark.createDataFrame([(1, 4), (4, 1), (5, 6), (1, 1), (None, 1)], "ancestor long, node long")
+    df = reach.reachable(edges, pairs)
+    assert "Broadcast" not in plan_of(df)
+    assert {(r.ancestor, r.node): r.descendant for r in df.collect()} == {(1, 4): True, (4, 1): False, (5, 6): True, (1, 1): True, (None, 1): False}
