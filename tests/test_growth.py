@@ -3,10 +3,11 @@
 import contextlib
 import io
 import os
+import time
 
 import pytest
 
-from siltstone.operators import reach, resolve
+from siltstone.operators import reach, resolve, search
 from siltstone.operators import structure as T
 from siltstone.operators import walks
 from siltstone.operators.resolve import enclosing_function
@@ -155,3 +156,17 @@ def test_reachability_broadcasts_no_nodes(spark):
     df = reach.reachable(edges, pairs)
     assert "Broadcast" not in plan_of(df)
     assert {(r.ancestor, r.node): r.descendant for r in df.collect()} == {(1, 4): True, (4, 1): False, (5, 6): True, (1, 1): True, (None, 1): False}
+
+
+def test_multiline_search_reads_a_long_tail_once(spark):
+    """Half a million characters behind the only match took half a million reads of them."""
+    files = spark.createDataFrame([("a", "one.\n" + "x" * 500_000), ("b", "p.\n\nq.\nr"), ("c", "none")], "path string, content string")
+    began = time.time()
+    found = sorted((r.path, r.line_no, r.match) for r in search.search_multiline(files, r"\.\n").collect())
+    assert found == [("a", 1, ".\n"), ("b", 1, ".\n"), ("b", 3, ".\n")]
+    assert time.time() - began < 20
+
+
+def test_multiline_search_goes_on_behind_empty_matches(spark):
+    files = spark.createDataFrame([("a", "ab\nb")], "path string, content string")
+    assert [r.match for r in search.search_multiline(files, "b*").collect()].count("b") == 2
