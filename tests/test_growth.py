@@ -15,7 +15,7 @@ from siltstone.plans import registry
 
 registry.load()
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-LINE_JOBS = ["call_edges", "callees", "callers", "case_blocks", "classify_hits", "code_hits", "code_transitions", "dead_blocks", "decl_pattern_filter", "extract_definitions", "function_body", "function_spans", "helper_transitions", "ifdef_stack", "leading_comments", "outline", "overcounted_branches", "parameter_places", "static_names", "symbol_cards", "typedef_targets"]
+LINE_JOBS = ["call_edges", "callees", "callers", "case_blocks", "classify_hits", "code_hits", "code_transitions", "dead_blocks", "decl_pattern_filter", "definition_rules", "extract_definitions", "function_body", "function_spans", "helper_transitions", "ifdef_stack", "leading_comments", "outline", "overcounted_branches", "parameter_places", "static_names", "symbol_cards", "typedef_targets"]
 
 
 def plan_of(df) -> str:
