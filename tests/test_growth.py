@@ -170,3 +170,21 @@ def test_multiline_search_reads_a_long_tail_once(spark):
 def test_multiline_search_goes_on_behind_empty_matches(spark):
     files = spark.createDataFrame([("a", "ab\nb")], "path string, content string")
     assert [r.match for r in search.search_multiline(files, "b*").collect()].count("b") == 2
+
+
+def test_pairs_share_what_their_ends_lead_to(spark, monkeypatch):
+    """A hundred pairs of ten starts and ten goals: levels are rows of an end, not of a pair."""
+    edges = [(s, m) for s in range(10) for m in range(100, 130)] + [(m, g) for m in range(200, 230) for g in range(1000, 1010)] + [(m, m + 100) for m in range(100, 130)]
+    asked = [(s, g) for s in range(10) for g in range(1000, 1010)]
+    rows, real = [], walks.written
+
+    def counted(df, label):
+        out = real(df, label)
+        if label in ("front", "step", "moved"):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(walks, "written", counted)
+    got = walks.call_paths(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(asked, "start long, goal long"), 3, None, None, None).collect()
+    assert {(r.start, r.goal): r.path for r in got} == {(s, g): [s, 100, 200, g] for s, g in asked}
+    assert sum(rows) < 1000  # a pair's own fronts were some 9,000 rows
