@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import columns as C
 from siltstone.functions import patterns as P
 from siltstone.operators import search as S
+from siltstone.operators.joins import dealt
 from siltstone.plans.common import FILES, with_lines
 from siltstone.plans.registry import query
 from siltstone.sources import files as E
@@ -269,7 +270,7 @@ def flag_trivial(spark, sf_dir):
   'g(1, [2, 3])' AS arg, 'part_' AS prefix, 'C:/a::b' AS key_path, CAST(p_partkey AS INT) AS key_line, 'x = ' || p_partkey || '; ' AS code, 1 AS balance, p_partkey % 2 = 0 AS has_word FROM part""")
 def scalar_functions(spark, sf_dir):
     k = F.col("p_partkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", k.cast("string").alias("s"))
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", k.cast("string").alias("s")), "p_partkey")
     forms, text = C.radix_forms("p_partkey"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     low, high = text("part_a", F.col("s")), text("part_b", F.col("s"))
     key = C.split_line_key(text("C:/a::b::", F.col("s")))
