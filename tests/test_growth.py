@@ -194,3 +194,10 @@ def test_few_bytes_of_costly_rows_are_many_tasks(spark, tmp_path):
     """One small file of parts is one task to Spark; each row's work is the job."""
     spark.range(40_000).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert registry.QUERIES["scalar_functions"](spark, str(tmp_path)).rdd.getNumPartitions() >= 5
+
+
+def test_few_names_meet_tokens_before_the_shuffle(spark):
+    lines = spark.createDataFrame([("a", "work of a worker, work"), ("b", "no wörk"), (None, "work")], "path string, text string")
+    found = search.tokens_in_file(lines, spark.createDataFrame([("work",), ("work",), ("a",)], "name string"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("a", "work"), ("a", "a"), (None, "work")], key=str)
+    assert "SortMergeJoin" not in plan_of(found)  # every token of every text was sorted by name
