@@ -32,6 +32,18 @@ def test_lines_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan_of(registry.QUERIES[name](spark, DATA))
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name, most", [("call_edges", 5), ("decl_pattern_filter", 4), ("function_body", 5), ("leading_comments", 3)])
+def test_lines_are_read_a_few_times(spark, name, most):
+    """Begins and ends of spans, and the parts of comments, come from one reading of the lines each."""
+    assert plan_of(registry.QUERIES[name](spark, DATA)).count("Generate posexplode(arrays_zip(split(") <= most
+
+
+def test_a_comment_that_ends_behind_slashes_is_told_once(spark):
+    lines = T.code_lines(spark.createDataFrame([("a", "/* b\n// c */\nint f() {\n}\n// g\n\nint h() {\n}")], "path string, content string"))
+    assert [r.body for r in T.function_body(T.function_spans(lines), lines).orderBy("start_line").collect()] == ["/* b\n// c */\nint f() {\n}", "// g\nint h() {\n}"]
+
+
 def test_macros_settle_round_by_round(spark):
     rows = [("A", "B + 1"), ("B", "C * 2"), ("C", "3"), ("LOOP", "LOOP + 1"), ("TWO", "1"), ("TWO", "2"), ("D1", "D2"), ("D2", "D3"), ("D3", "D4"), ("D4", "D5"), ("D5", "D6"), ("D6", "D7"), ("D7", "7")]
     macros = spark.createDataFrame([(n, None, b) for n, b in rows] + [("CALL", "(x)", "x")], "name string, params string, body string")
