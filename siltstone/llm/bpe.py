@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import unicodedata
 from array import array
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from siltstone.llm.bytetext import Hasher, blocks, mix
 #: A chunk of a task's texts ends with so many letters or different pre-tokens.
 CHUNK, GATHER = 1 << 22, 200_000
 #: Bytes of text at a time, small enough for the caches.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 #: Words of a bucket whose ids are held at a time.
 KEPT = 1_000_000
 #: What a row of a chunk holds.
@@ -92,15 +95,16 @@ class Pieces:
         self.hash = self.hasher(self.start, self.end)
         self.first = np.searchsorted(self.start, offsets)
 
-    def word(self, i: int) -> str:
-        return self.text[self.start[i] : self.end[i]]
+    def words(self, at) -> list[str]:
+        text = self.text
+        return [text[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """(a place of each different piece, which of these each piece is): equal hashes are held against the letters."""
         _, at, which = np.unique(self.hash, return_index=True, return_inverse=True)
         if not self.hasher.same(self.start[at][which], self.start, self.end - self.start):
-            seen: dict[str, int] = {}
-            which = np.array([seen.setdefault(self.word(i), len(seen)) for i in range(len(self.start))])
+            seen = defaultdict(count().__next__)
+            which = np.array([seen[w] for w in self.words(slice(None))])
             at = np.unique(which, return_index=True)[1]
         return at, which
 
@@ -132,7 +136,7 @@ class Chunk:
     """A run of whole texts of one task: a dictionary of its different words, and the texts as places in it."""
 
     def __init__(self):
-        self.codes: dict[str, int] = {}
+        self.codes: dict[str, int] = defaultdict(count().__next__)  # a new word gets the next number
         self.hashes: list[np.ndarray] = []
         self.texts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         self.size = 0
@@ -140,7 +144,7 @@ class Chunk:
     def add(self, ids: pa.Array, p: Pieces) -> None:
         at, which = p.distinct()
         known = len(self.codes)
-        code = np.array([self.codes.setdefault(p.word(i), len(self.codes)) for i in at], np.int64)
+        code = np.fromiter(map(self.codes.__getitem__, p.words(at)), np.int64, len(at))
         fresh = np.unique(code, return_index=True)
         self.hashes.append(p.hash[at[fresh[1][fresh[0] >= known]]])
         self.texts.append((ids, np.diff(p.first), (code[which] if len(at) else which).astype(np.int32)))
@@ -159,7 +163,7 @@ class Chunk:
         hashes = np.concatenate([*self.hashes, np.zeros(0, np.uint64)])[order]
         bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        column = pa.array([words[i] for i in order[by]], pa.large_string())
+        column = pa.array([words[i] for i in order[by].tolist()], pa.large_string())
         offsets = np.frombuffer(column.buffers()[1], np.int64, len(words) + 1) if words else np.zeros(1, np.int64)
         data = column.buffers()[2].to_pybytes() if words else b""
         found, cuts = np.unique(bucket[by], return_index=True)
@@ -212,12 +216,13 @@ def json_encoder(model):
     """Words to ids by a byte-level BPE file of the tokenizers library (broadcast as text). Its model takes the words as they are: no pattern is matched again, and special tokens' strings are ordinary text."""
 
     def start():
-        merges = Tokenizer.from_str(model.value).model
+        merge = Tokenizer.from_str(model.value).model.tokenize
         # bytes that are printable stand for themselves, the others in order for the alphabet's further letters
         alphabet = sorted(map(ord, ByteLevel.alphabet()))
         own = {c for c in alphabet if c < 256}
-        letters = dict(zip((b for b in range(256) if b not in own), (c for c in alphabet if c >= 256), strict=True))
-        return lambda words: ([x.id for x in merges.tokenize(w.decode("latin-1").translate(letters))] for w in words)
+        further = iter([c for c in alphabet if c >= 256])
+        letters = "".join(chr(b if b in own else next(further)) for b in range(256))
+        return lambda words: ([x.id for x in merge(codecs.charmap_decode(w, "strict", letters)[0])] for w in words)
 
     return start
 

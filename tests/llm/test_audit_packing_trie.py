@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -213,3 +214,15 @@ def test_mixing_takes_ids_of_any_type(spark):
     taken = {s: sum(c * len(t.split()) for d, t, c in first if "ab"[int(t.split()[-1]) % 2] == s) for s in "ab"}
     targets = {r.source: r.mix.target for r in mixing.mix_sources(docs).select("source", "mix").distinct().collect()}
     assert all(abs(taken[s] - targets[s]) < 0.05 * targets[s] for s in "ab")
+
+
+def test_words_of_a_chunk_keep_their_numbers():
+    """Words are cut in one call a block; a chunk numbers each new one, in order, over all of its blocks."""
+    kinds, chunk = bpe.classes(), bpe.Chunk()
+    for texts in (["a b é a", ""], ["é b\n c"]):
+        data = "".join(texts).encode()
+        offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+        chunk.add(pa.array(list(range(len(texts)))), bpe.Pieces(np.frombuffer(data, np.uint8), offsets, kinds))
+    names = list(chunk.codes)
+    assert list(chunk.codes.values()) == list(range(len(names)))
+    assert ["".join(names[c] for c in code) for _, _, code in chunk.texts] == ["a b é a", "é b\n c"]
