@@ -39,6 +39,19 @@ def test_lines_are_read_a_few_times(spark, name, most):
     assert plan_of(registry.QUERIES[name](spark, DATA)).count("Generate posexplode(arrays_zip(split(") <= most
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_callers_leave_files_without_the_word_early(spark, monkeypatch):
+    """The word is looked for in whole files, before lines are made of them."""
+    seen = []
+    whole = T.code_lines
+    monkeypatch.setattr(T, "code_lines", lambda files: seen.append(files.count()) or whole(files))
+    registry.QUERIES["callers"](spark, DATA)
+    assert seen == [13]  # of 200: those of parts 7, 8 and 79 to 89
+    files = spark.createDataFrame([("a", "f(x)"), ("b", "g /* f( */"), ("c", "f/**/o(1)"), ("d", "h()"), ("e", None)], "path string, content string")
+    assert sorted(r.path for r in T.files_with(files, "f(").collect()) == ["a", "b"]
+    assert [r.path for r in T.files_with(files, "fo(").collect()] == ["c"]
+
+
 def test_a_comment_that_ends_behind_slashes_is_told_once(spark):
     lines = T.code_lines(spark.createDataFrame([("a", "/* b\n// c */\nint f() {\n}\n// g\n\nint h() {\n}")], "path string, content string"))
     assert [r.body for r in T.function_body(T.function_spans(lines), lines).orderBy("start_line").collect()] == ["/* b\n// c */\nint f() {\n}", "// g\nint h() {\n}"]
