@@ -113,6 +113,13 @@ def test_extract_definitions(spark):
     assert {("MAX", "define"), ("color", "enum"), ("helper", "func"), ("alive", "func")} <= got
 
 
+def test_extracted_definitions_are_judged_and_hold_enum_members(spark):
+    files = [("a.c", "int wide(int a,\n  int b);\nint wide(int a,\n  int b)\n{\n}\nint only(int a);\nenum e { P,\n  Q = 2 };\nstruct s {\n};\nvoid __acquires(&l->m)\nreal(struct s *p)\n{\n}"), ("a.h", "int wide(int a, int b);\nint only(int a);\nstruct s {\n};\nint other(int a) wide(lock)\n{\n}")]
+    lines = T.code_lines(spark.createDataFrame(files, "path string, content string"))
+    got = sorted((r["name"], r.kind, r.path, r.line_no) for r in T.extract_definitions(lines).collect())
+    assert got == sorted([("wide", "func", "a.c", 3), ("only", "func", "a.c", 7), ("e", "enum", "a.c", 8), ("P", "enum_member", "a.c", 8), ("Q", "enum_member", "a.c", 9), ("s", "struct", "a.c", 10), ("__acquires", "func", "a.c", 12), ("other", "func", "a.h", 5)])
+
+
 def test_function_body(spark):
     lines = _lines(spark)
     body = T.function_body(T.function_spans(lines), lines).filter(F.col("name") == "alive").first()["body"]
