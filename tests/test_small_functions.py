@@ -78,3 +78,10 @@ def test_the_cap_takes_the_first_by_place(spark, tmp_path):
     sink = live.capped_sink(3, f"{tmp_path}/hits")
     sink(spark.createDataFrame([("b", 1), ("a", 9), ("a", 2), ("c", 1), ("a", 5)], "path string, line_no int").repartition(3), 0)
     assert {(r.path, r.line_no) for r in spark.read.parquet(f"{tmp_path}/hits").collect()} == {("a", 2), ("a", 5), ("a", 9)}
+
+
+def test_prototypes_go_by_each_rows_word(spark):
+    rows = [("a", 1, "int f(int x);", None, "f"), ("a", 2, "ops = { f, g(1) };", None, "f"), ("a", 2, "ops = { f, g(1) };", None, "g"), ("a", 3, "  f(1);", "h", "f"), ("a", 4, "xf(1), f = 2;", None, "f"), ("a", 5, "f  (1)", None, "f")]
+    sites = spark.createDataFrame(rows, "path string, line_no int, text string, func string, word string")
+    assert sorted((r.line_no, r.word) for r in search.decl_pattern_filter(sites, F.col("word")).collect()) == [(2, "f"), (3, "f"), (4, "f")]
+    assert sorted((r.line_no, r.word) for r in search.decl_pattern_filter(sites, "g").collect()) == [(1, "f"), (3, "f"), (4, "f"), (5, "f")]
