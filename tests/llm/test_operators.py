@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -449,6 +450,29 @@ def test_labellers_and_scorer_against_labels(spark):
     assert np.mean([got[i].kept for i in range(300)]) > 0.97 and not any(got[i].kept for i in range(300, 360))
 
 
+def test_every_row_is_fitted(spark, monkeypatch):
+    """Weights are those of all rows, averaged over chunks by their rows, and stay the same when files are cut otherwise; the cut counts all rows too."""
+    texts = [" ".join(_words(i, 60)) + "." for i in range(90)] + [" ".join(w + "###" for w in _words(900 + i, 60)) for i in range(30)] + [None, "", "\n"]
+    seen, whole = [], weak.fit_everywhere
+
+    def spy(rows, targets, chunks, n):
+        held = rows.join(targets, "key").withColumn("chunk", F.pmod("key", F.lit(chunks))).collect()
+        seen.append((n, chunks, held, *whole(rows, targets, chunks, n)))
+        return seen[-1][3:]
+
+    monkeypatch.setattr(weak, "fit_everywhere", spy)
+    got = [{r.doc_id: tuple(r) for r in weak.quality_classifier(_docs(spark, texts).repartition(k), fit_rows=40).collect()} for k in (1, 7)]
+    n, chunks, held, w, bias = seen[0]
+    assert n == len(held) == 120 and chunks == 3 and {r.text for r in held} == set(texts[:120])
+    total = np.zeros(len(w))
+    for chunk in range(3):
+        part = sorted((r for r in held if r.chunk == chunk), key=lambda r: r.key)
+        total += len(part) * weak.fit_linear(*weak.chunk_features(pa.array([r.text for r in part])), np.array([r.target for r in part]), len(w))[0]
+    assert np.abs(total / 120 - w).max() < 1e-6
+    assert got[0] == got[1] and (seen[1][3] == w).all() and seen[1][4] == bias
+    assert sum(got[0][i][4] for i in range(90)) >= 89 and not any(got[0][i][4] for i in range(90, 123))
+
+
 def test_rules_verdict_matches_brute_force_and_is_the_forests(spark):
     """Scale, paths, threshold and verdict of every row by plain loops; on the whole given table the forest keeps
     rows with an unusual share and rejects rows without one."""
