@@ -3,6 +3,7 @@
 import contextlib
 import io
 import os
+import re
 import time
 
 import pytest
@@ -226,3 +227,15 @@ def test_few_names_meet_tokens_before_the_shuffle(spark):
     found = search.tokens_in_file(lines, spark.createDataFrame([("work",), ("work",), ("a",)], "name string"))
     assert sorted(map(tuple, found.collect()), key=str) == sorted([("a", "work"), ("a", "a"), (None, "work")], key=str)
     assert "SortMergeJoin" not in plan_of(found)  # every token of every text was sorted by name
+
+
+def test_subtrees_meet_by_folder_only(spark):
+    """Every pair of one name whose folders lie in one line, as the plain comparison gives them, and no join on the name alone."""
+    rows = [(n, f, i) for i, (n, f) in enumerate((n, f) for n in "xy" for f in ("a", "a/b", "a/b/c", "ab", "a/bc", "d", "d", "d/e/f/g"))]
+    left = spark.createDataFrame(rows, "name string, folder string, i int")
+    right = left.withColumnRenamed("i", "j")
+    found = resolve.subtree_pairs(left, right)
+    want = left.join(right.withColumnRenamed("folder", "other"), "name").filter(resolve.in_subtree("folder", "other"))
+    assert sorted((r.name, r.i, r.j) for r in found.collect()) == sorted((r.name, r.i, r.j) for r in want.collect())
+    keys = re.findall(r"SortMergeJoin\(?\S* ?\[([^\]]*)\]", plan_of(found))
+    assert keys and all("folder#" in k for k in keys), keys
