@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import resolve as R
 from siltstone.operators import search as S
+from siltstone.operators.joins import dealt
 from siltstone.plans.common import LINES
 from siltstone.plans.registry import query
 from siltstone.sources import table
@@ -104,7 +105,8 @@ def sibling_sources(spark, sf_dir):
     named = d.select(F.col("path").alias("full"), F.concat(F.lit("d/"), (F.col("p_partkey") % 97).cast("string"), F.regexp_extract("path", r"(\.\w+)$", 1)).alias("path"))
     pairs = R.sibling_sources(named.filter("path LIKE '%.h'").select("path").distinct(), named.select("path").distinct())
     a, b = named.select(F.col("full").alias("h"), F.col("path").alias("header")), named.select(F.col("full").alias("s"), F.col("path").alias("source"))
-    return pairs.join(a, "header").join(b, "source").select(F.col("h").alias("header"), F.col("s").alias("source"))
+    # few rows here make many behind the last join, whose tasks are those of the rows dealt
+    return dealt(pairs.join(a, "header").select("h", "source"), "h").join(b, "source").select(F.col("h").alias("header"), F.col("s").alias("source"))
 
 
 @query(f"WITH {DEFS} SELECT DISTINCT a.path AS a, b.path AS b FROM defs a JOIN defs b ON a.name = b.name WHERE a.p_partkey < b.p_partkey AND split_part(a.path, '/', 1) = split_part(b.path, '/', 1) AND split_part(a.path, '/', 2) = split_part(b.path, '/', 2)")

@@ -239,3 +239,8 @@ def test_subtrees_meet_by_folder_only(spark):
     assert sorted((r.name, r.i, r.j) for r in found.collect()) == sorted((r.name, r.i, r.j) for r in want.collect())
     keys = re.findall(r"SortMergeJoin\(?\S* ?\[([^\]]*)\]", plan_of(found))
     assert keys and all("folder#" in k for k in keys), keys
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_siblings_are_made_in_many_tasks(spark):
+    assert registry.QUERIES["sibling_sources"](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
