@@ -7,8 +7,9 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from siltstone.operators import reach, resolve, search
+from siltstone.operators import joins, reach, resolve, search
 from siltstone.operators import structure as T
 from siltstone.operators import walks
 from siltstone.operators.resolve import enclosing_function
@@ -244,3 +245,14 @@ def test_subtrees_meet_by_folder_only(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_siblings_are_made_in_many_tasks(spark):
     assert registry.QUERIES["sibling_sources"](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_nearest_definitions_are_made_in_tasks_by_rows(spark, monkeypatch):
+    """Rows of words decide how many tasks meet their definitions, and the answer stays."""
+    rows = [(f"n{i % 3}", f"a{i % 2}/b{i % 5}/{i}.c", i % 4 > 0) for i in range(60)]
+    symbols = spark.createDataFrame(rows, "name string, path string, is_def boolean")
+    words = symbols.select("name", F.col("path").alias("current"))
+    want = sorted(map(str, resolve.nearest_definition(words, symbols).collect()))
+    monkeypatch.setattr(joins, "ROWS_A_TASK", 2)
+    found = resolve.nearest_definition(words, symbols)
+    assert "30), REPARTITION_BY_NUM" in plan_of(found) and sorted(map(str, found.collect())) == want
